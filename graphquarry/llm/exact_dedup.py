@@ -90,8 +90,15 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     if not own and index.exists():
         fresh = materialise(digests.join(index.table().select("digest").hint("merge"), "digest", "left_anti"), "digests_new")
     index.append(fresh)
-    found = index.resolve(fresh).select("doc_id", "digest", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"))
+    found = index.resolve(fresh).select("doc_id", "digest", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"))
     if fresh is not digests:
         old = index.resolve(digests.join(fresh.select("digest").distinct(), "digest", "left_anti"))
         found = found.unionByName(old.select("doc_id", "digest", "keep_id", "group_size", F.lit(False).alias("kept")))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is the one that stays of its group; one of rows that repeat both id and text."""
+    kept = exact_dedup(docs, None, id_col, text_col).filter("kept").select(F.col("doc_id").alias(id_col), F.unhex("text_sha256").alias("_digest"))
+    marked = docs.withColumn("_digest", digest(F.col(text_col)))
+    return marked.join(kept.hint("merge"), [id_col, "_digest"], "left_semi").dropDuplicates([id_col, "_digest"]).select(*docs.columns)

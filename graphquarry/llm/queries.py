@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphquarry.llm import bpe, exact_dedup, language_id, packing, quality, topk, toxicity, warc
+from graphquarry.llm import bpe, exact_dedup, language_id, near_dup, packing, quality, substring_dedup, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, network).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -40,6 +44,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.grade(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents")).withColumnRenamed("kept", "kept_sha256")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = language_id.identify(docs, language_id.learn(docs, remainder(4) != 2))
@@ -57,7 +65,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_quality_classifier, op4_bpe, op5_warc, op6_toxicity, op8_language_id, op9_exact_dedup, op10_top_k)
+    for f in (op1_best_fit_packing, op2_quality_classifier, op3_near_dedup, op4_bpe, op5_warc, op6_toxicity, op7_substring_dedup, op8_language_id, op9_exact_dedup, op10_top_k)
 }
 
 ORACLES = {
@@ -69,6 +77,15 @@ ORACLES = {
                CASE WHEN n >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 100 AND page_id <> first_id THEN first_id END AS refers_to
         FROM f""",
+    "op7_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(text, '[^\x20\x09-\x0D]+') END AS words FROM documents),
+             g AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS phrase
+                   FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w WHERE len(words) >= 13)),
+             f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY phrase) AS first_id FROM g),
+             c AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM f WHERE first_id < doc_id) GROUP BY doc_id)
+        SELECT w.doc_id, len(words) AS n_words, coalesce(len(gone), 0) AS n_removed,
+               sha256(array_to_string(CASE WHEN gone IS NULL THEN words ELSE list_filter(words, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+        FROM w LEFT JOIN c ON w.doc_id = c.doc_id""",
     "op9_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS digest FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY digest) AS keep_id, count(*) OVER (PARTITION BY digest) AS group_size,

@@ -12,7 +12,8 @@ allows, for larger ones.
 
 Defined cases: null html counts as empty; of equal payloads of at least ``least`` bytes
 the one with the smallest page_id is a response and the others revisit it, rows that
-share that page_id all being responses; smaller payloads are all responses; urls have
+share that page_id all being responses; smaller payloads are all responses, as are rows
+without a page_id; urls have
 blanks and control characters percent-encoded; repeated rows are written each; an empty
 table gives an empty result; other columns are ignored. One archive file must fit in a
 task's memory, hence ``archive_bytes``; a single record may be larger and is then alone.
@@ -60,7 +61,7 @@ def record_text(html: Column, least: int = LEAST) -> Column:
     head = F.concat(
         line("WARC/1.1"),
         line("WARC-Type: ", F.when(revisit, "revisit").otherwise("response")),
-        line("WARC-Record-ID: <urn:page:", F.col("page_id").cast("string"), ">"),
+        line("WARC-Record-ID: <urn:page:", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), ">"),
         line("WARC-Target-URI: ", uri),
         line("WARC-Date: 1970-01-01T00:00:00Z"),
         line("WARC-Payload-Digest: sha256:", digest),
@@ -119,6 +120,10 @@ def member_of(record: bytes) -> tuple[bytes, int]:
     return (member[:-1], len(member)) if member[-1] == 0 else (member, len(member) + 1)
 
 
+def _id(text: bytes) -> int | None:
+    return None if text == b"null" else int(text)
+
+
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     offset = seq = 0
     for batch in batches:
@@ -127,7 +132,7 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = 0
             for record in RecordStream().feed(content.as_buffer()):
                 member, length = member_of(record)
-                page = int(re.search(rb"WARC-Record-ID: <urn:page:(-?\d+)>", record)[1])
+                page = _id(re.search(rb"WARC-Record-ID: <urn:page:([^>]+)>", record)[1])
                 line = json.dumps({"offset": offset, "length": length, "page_id": page})
                 out += [("index", seq, line.encode()), ("warc", seq, member)]
                 offset, seq, size = offset + length, seq + 1, size + length
@@ -164,7 +169,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 head, _, rest = record.partition(b"\r\n\r\n")
                 headers = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
                 kind = headers[b"WARC-Type"].decode()
-                page = int(headers[b"WARC-Record-ID"][10:-1])
+                page = _id(headers[b"WARC-Record-ID"][10:-1])
                 http, _, payload = rest[: int(headers[b"Content-Length"])].partition(b"\r\n\r\n")
                 if kind == "response":
                     found.append((page, len(payload), hashlib.sha256(payload).hexdigest(), kind, None, payload))
