@@ -8,10 +8,11 @@ probability Jaccard of the weighted sets. Signatures are cut into bands; documen
 share a band are candidates, and a candidate pair is linked when the exact Jaccard of its
 shingle sets reaches the threshold. Classes are the connected components of the links.
 
-Copies of the same words are reduced to one before banding. Within a band's bucket no pairs
-are listed: a hub, the smallest id, is compared with the others; the hub then leaves, and
-the bucket stays in work for as long as what is left lies in more than one class, so that
-every link that banding can find takes effect.
+Copies of the same words are reduced to one before banding. Within a band's bucket not all pairs
+are listed: a hub, the smallest id, is compared with the others and leaves. A bucket stays in
+work for as long as what is left lies in more than one class; then its next hubs, from its
+smallest classes, are compared with the members of other classes and leave too. So every
+link that banding can find takes effect, and members of one class are not compared again.
 
 Defined cases: texts without words (null, empty, blank) are each their own class; texts of fewer
 than WORDS words have one shingle; rows with a null id are their own class; rows that
@@ -26,19 +27,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from graphquarry.llm.words import hash_words, run_hashes, scramble, split_words
+from graphquarry.llm.words import Words, scramble
 from graphquarry.operators.components import connected_components
 from graphquarry.plans.storage import materialise, release
 
 WORDS, THRESHOLD = 5, 0.8
 #: At a similarity of 0.8 a pair shares a band with a probability of 0.99998.
 BANDS, ROWS = 28, 5
-#: Shingles that are signed together.
-TOGETHER = 200_000
+#: Bytes of text that are signed together.
+TOGETHER = 1_000_000
+#: Hubs a bucket in the second round; four times as many in each later one.
+HUBS = 16
 _STEP = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -79,29 +81,45 @@ def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def shingle_lists(texts: list[bytes], words: int) -> tuple[Words, list[np.ndarray]]:
+    """Hashes of all shingles of each text: runs of ``words`` words, or all its words if it has fewer."""
+    w = Words(texts)
+    hashes, at = w.runs(words)
+    lists = np.split(hashes, np.searchsorted(at, w.first[1:-1]))
+    for k in np.nonzero((np.diff(w.first) < words) & (np.diff(w.first) > 0))[0]:
+        lists[k] = np.array([w.whole(k)])
+    return w, lists
+
+
+def _bytes(column: pa.Array) -> list[bytes]:
+    return [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in column]
+
+
+def batches_of(batch: pa.RecordBatch, most: int) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """Ids and texts of a batch, in runs of about ``most`` bytes."""
+    ids, texts = batch.column(0), _bytes(batch.column(1))
+    start = size = 0
+    for k, x in enumerate(texts):
+        size += len(x)
+        if size >= most or k + 1 == len(texts):
+            yield ids.slice(start, k + 1 - start), texts[start : k + 1]
+            start, size = k + 1, 0
+
+
 def signer(words: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            k = 0
-            while k < len(texts):
-                start, at, sets, weights, digest, count, held = k, [], [], [], [], [], 0
-                while k < len(texts) and held < TOGETHER:
-                    w = split_words(texts[k].as_py())
-                    if w:
-                        s, n = np.unique(run_hashes(hash_words(w), words), return_counts=True)
-                        at.append(k - start), sets.append(s), weights.append(1 + np.log(n))
-                        held += len(s)
-                        digest.append(xxhash.xxh3_128_digest(b" ".join(w)))
-                        count.append(len(s))
-                    else:
-                        digest.append(None), count.append(0)
-                    k += 1
-                found: list = [None] * (k - start)
-                if sets:
-                    for i, b in zip(at, band_hashes(signatures(sets, weights, bands * rows), bands, rows), strict=True):
-                        found[i] = b
-                yield pa.RecordBatch.from_arrays([ids.slice(start, k - start), pa.array(digest, pa.binary()), pa.array(count, pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "digest", "n", "bands"])
+            for ids, texts in batches_of(batch, TOGETHER):
+                w, lists = shingle_lists(texts, words)
+                parts = [np.unique(x, return_counts=True) for x in lists]
+                full = [k for k, x in enumerate(lists) if len(x)]
+                found: list = [None] * len(texts)
+                if full:
+                    signed = signatures([parts[k][0] for k in full], [1 + np.log(parts[k][1]) for k in full], bands * rows)
+                    for k, b in zip(full, band_hashes(signed, bands, rows), strict=True):
+                        found[k] = b
+                digest = [xxhash.xxh3_128_digest(b" ".join(x.split())) if len(y) else None for x, y in zip(texts, lists, strict=True)]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(digest, pa.binary()), pa.array([len(x) for x, _ in parts], pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "digest", "n", "bands"])
 
     return run
 
@@ -111,8 +129,9 @@ def shingler(words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(run_hashes(hash_words(split_words(x.as_py())), words)).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+            for ids, texts in batches_of(batch, TOGETHER):
+                sets = [np.unique(x).tobytes() for x in shingle_lists(texts, words)[1]]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
     return run
 
@@ -156,6 +175,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     pairs = materialise(work.filter(f"rep <> hub and least(n, hub_n) >= {threshold} * greatest(n, hub_n)").select("hub", "rep").distinct(), "pairs")
     links = tested = None
     classes = spark.createDataFrame([], "id bigint, component bigint")
+    work, hubs = work.filter("rep <> hub").select("bucket", "rep", "n"), HUBS
     while True:
         if pairs.limit(1).count():
             fresh = materialise(verify(pairs), "links")
@@ -164,16 +184,20 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
             if fresh.limit(1).count():
                 links = fresh if links is None else links.unionByName(fresh)
                 classes = materialise(connected_components(links), "classes")
-        rest = work.filter("rep <> hub").select("bucket", "rep", "n").join(classes.withColumnRenamed("id", "rep"), "rep", "left")
-        rest = rest.select("bucket", "rep", "n", F.coalesce("component", "rep").alias("class"))
-        open_ = rest.groupBy("bucket").agg(F.min("rep").alias("hub"), F.min_by("n", "rep").alias("hub_n"), F.min_by("class", "rep").alias("hub_class"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").drop("low", "high")
-        work = materialise(rest.join(open_, "bucket"), "buckets")
-        if not work.limit(1).count():
+        rest = work.join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("class"))
+        kinds = rest.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("size"))
+        open_ = rest.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("bucket")
+        rest = rest.join(open_, "bucket", "left_semi").join(kinds, ["bucket", "class"])
+        rest = materialise(rest.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("size", "class", "rep"))), "buckets")
+        if not rest.limit(1).count():
             break
-        pairs = work.filter(f"class <> hub_class and least(n, hub_n) >= {threshold} * greatest(n, hub_n)").select("hub", "rep").distinct()
+        first = rest.filter(F.col("place") <= hubs).select("bucket", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("class").alias("hub_class"), F.col("place").alias("hub_place"))
+        met = rest.join(first, "bucket").filter(f"place > hub_place and class <> hub_class and least(n, hub_n) >= {threshold} * greatest(n, hub_n)")
+        pairs = met.select(F.least("hub", "rep").alias("hub"), F.greatest("hub", "rep").alias("rep")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["hub", "rep"], "left_anti")
         pairs = materialise(pairs, "pairs")
+        work, hubs = rest.filter(F.col("place") > hubs).select("bucket", "rep", "n"), hubs * 4
     groups = unique.select("digest", "rep").join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("group"))
     out = signed.select("doc_id", "digest").join(groups, "digest", "left")
     group = F.when(F.col("doc_id").isNotNull(), F.coalesce("group", "doc_id"))

@@ -33,13 +33,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphquarry.llm.words import hash_words, run_hashes, split_words
+from graphquarry.llm.words import Words
 from graphquarry.plans.storage import materialise, release
 
 WINDOW = 13
 CHUNK_BYTES = 1 << 20
-#: Text bytes a range of chunks; windows a bucket of hash space; windows a shard of an automaton.
-RANGE_BYTES, BUCKET_WINDOWS, SHARD_WINDOWS = 16 << 20, 1_000_000, 250_000
+#: Text bytes a range of chunks; windows a bucket of hash space; bytes of passages an automaton.
+RANGE_BYTES, BUCKET_WINDOWS, SHARD_BYTES = 16 << 20, 1_000_000, 2 << 20
 SERVED = 8
 _BYTES_A_WORD = 6
 
@@ -53,9 +53,9 @@ def chunker(most: int):
         size = 0
 
         def flush() -> pa.RecordBatch:
-            data = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+            sizes, data = packed(texts, 3)
             return pa.RecordBatch.from_arrays(
-                [pa.array([ids[0]], pa.int64()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([np.array([len(x) for x in texts], "<i8").tobytes()], pa.binary()), pa.array([data], pa.binary())],
+                [pa.array([ids[0]], pa.int64()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([sizes], pa.binary()), pa.array([data], pa.binary())],
                 names=["chunk", "ids", "sizes", "texts"],
             )
 
@@ -73,30 +73,41 @@ def chunker(most: int):
     return run
 
 
+def parts_of(data: bytes, sizes: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(sizes)
+    return [data[a:b] for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)] if len(sizes) else []
+
+
+def packed(texts: list[bytes], level: int) -> tuple[bytes, bytes]:
+    """Sizes of some texts, and the texts compressed."""
+    return np.array([len(x) for x in texts], "<i8").tobytes(), zstandard.ZstdCompressor(level=level).compress(b"".join(texts))
+
+
+def unpacked(sizes: bytes, data: bytes) -> list[bytes]:
+    n = np.frombuffer(sizes, "<i8")
+    return parts_of(zstandard.ZstdDecompressor().decompress(data, max_output_size=max(1, int(n.sum()))), n)
+
+
 class Chunk:
-    """Documents of a chunk: ids, rank of each id, words, and the windows' hashes with their places."""
+    """Documents of a chunk: ids, rank of each id, words, and the windows' hashes with the first word of each."""
 
     def __init__(self, ids: bytes, sizes: bytes, texts: bytes, window: int):
         self.ids = np.frombuffer(ids, "<i8")
-        ends = np.cumsum(np.frombuffer(sizes, "<i8"))
-        data = zstandard.ZstdDecompressor().decompress(texts, max_output_size=max(1, int(ends[-1])))
-        self.words = [data[a:b].split() for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True)]
+        self.words = Words(unpacked(sizes, texts))
         self.rank = np.unique(self.ids, return_inverse=True)[1]
-        hashes = hash_words([w for x in self.words for w in x])
-        first = np.r_[0, np.cumsum([len(x) for x in self.words])]
-        parts = [run_hashes(hashes[a:b], window) if b - a >= window else np.zeros(0, np.uint64) for a, b in zip(first[:-1], first[1:], strict=True)]
-        self.hash = np.concatenate(parts)
-        self.doc = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-        self.place = np.concatenate([np.arange(len(x)) for x in parts]) if parts else np.zeros(0, np.int64)
-
-    def runs(self, at: np.ndarray, window: int) -> list[list[bytes]]:
-        """Words of the passages that the windows ``at`` (sorted) make up."""
-        if not len(at):
+        self.hash, self.at = self.words.runs(window)
+
+    def passages(self, windows: np.ndarray, window: int) -> list[tuple[int, int]]:
+        """First word and last word + 1 of the passages that these windows, sorted, make up."""
+        if not len(windows):
             return []
-        doc, place = self.doc[at], self.place[at]
-        cut = np.nonzero((np.diff(at) != 1) | (np.diff(doc) != 0))[0] + 1
-        a, b = np.r_[0, cut], np.r_[cut, len(at)] - 1
-        return [self.words[d][p : q + window] for d, p, q in zip(doc[a].tolist(), place[a].tolist(), place[b].tolist(), strict=True)]
+        at = self.at[windows]
+        text = self.words.text[at]
+        cut = np.nonzero((np.diff(at) != 1) | (np.diff(text) != 0))[0] + 1
+        return list(zip(at[np.r_[0, cut]].tolist(), (at[np.r_[cut, len(at)] - 1] + window).tolist(), strict=True))
+
+    def text(self, first: int, last: int) -> bytes:
+        return self.words.data[self.words.begin[first] : self.words.end[last - 1]]
 
 
 def window_senders(window: int, bits: int):
@@ -167,103 +178,146 @@ def confirmer(window: int):
                 for t, part in zip(r["wanted_by"], np.split(at[order], cut), strict=True):
                     wants.setdefault(t, []).append(part)
             for t, parts in wants.items():
-                found = c.runs(np.unique(np.concatenate(parts)), window)
+                found = [c.text(*x) for x in c.passages(np.unique(np.concatenate(parts)), window)]
                 target.append(t)
-                passages.append(zstandard.ZstdCompressor(level=1).compress(b"\n".join(b" ".join(x) for x in found)))
-        return pa.table([pa.array(target, pa.int64()), pa.array(passages, pa.binary())], names=["chunk", "passages"])
+                passages.append(packed(found, 1))
+        return pa.table([pa.array(target, pa.int64()), pa.array([x for x, _ in passages], pa.binary()), pa.array([x for _, x in passages], pa.binary())], names=["chunk", "sizes", "passages"])
 
     return run
 
 
-class Automaton:
-    """Finds windows of words: a word is one character, other words than the windows' are all the same one."""
-
-    def __init__(self) -> None:
-        self.code: dict[bytes, str] = {}
-        self.found = ahocorasick.Automaton()
-
-    def letter(self, word: bytes) -> str:
-        c = self.code.get(word)
-        if c is None:
-            k = len(self.code) + 1
-            c = self.code[word] = chr(k if k < 0xD800 else k + 0x800)
-        return c
-
-    def add(self, passage: list[bytes], window: int, first: int) -> None:
-        s = "".join(map(self.letter, passage))
-        for k in range(len(s) - window + 1):
-            w = s[k : k + window]
-            if first < self.found.get(w, first + 1):
-                self.found.add_word(w, first)
-
-    def full(self) -> bool:
-        return len(self.found) >= SHARD_WINDOWS or len(self.code) > 1_000_000
-
-    def locate(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
-        get = self.code.get
-        return self.found.iter("".join([get(w, "\0") for w in words]))
-
-
-def automata(c: Chunk, passages: Iterator[list[bytes]], window: int) -> Iterator[Automaton]:
-    """Shards over the passages of earlier chunks (first document -1) and over the chunk's own recurring windows."""
-    a = Automaton()
-    for p in passages:
-        for k in range(0, len(p) - window + 1, SHARD_WINDOWS):
-            a.add(p[k : k + SHARD_WINDOWS + window - 1], window, -1)
-            if a.full():
-                a.found.make_automaton()
-                yield a
-                a = Automaton()
-    order = np.lexsort((np.arange(len(c.hash)), c.rank[c.doc], c.hash))
-    h, r = c.hash[order], c.rank[c.doc[order]]
-    start = np.nonzero(np.r_[True, h[1:] != h[:-1]])[0] if len(h) else np.zeros(0, np.int64)
-    last = np.r_[start[1:], len(h)] - 1
-    own = np.sort(order[start[r[last] > r[start]]]) if len(h) else start
-    for rank in np.unique(c.rank[c.doc[own]]):
-        for p in c.runs(own[c.rank[c.doc[own]] == rank], window):
-            a.add(p, window, int(rank))
-        if a.full():
-            a.found.make_automaton()
-            yield a
-            a = Automaton()
-    if len(a.found):
-        a.found.make_automaton()
-        yield a
+class Letters:
+    """Numbers words, one for each that some passages hold and 0 for all others; numbers are characters."""
+
+    def __init__(self, words: Words):
+        self.words = words
+        self.known, self.where = np.unique(words.hash, return_index=True)
+        self.by_text: dict[bytes, int] | None = None
+        if not words.same(np.arange(len(words)), words, self.where[np.searchsorted(self.known, words.hash)]):
+            self.by_text = {}  # two words have one hash
+            for k in range(len(words)):
+                self.by_text.setdefault(words.data[words.begin[k] : words.end[k]], len(self.by_text))
+
+    def of(self, words: Words) -> str:
+        if self.by_text is not None:
+            get = self.by_text.get
+            n = np.array([get(words.data[a:b], -1) for a, b in zip(words.begin.tolist(), words.end.tolist(), strict=True)], np.int64) + 1
+        else:
+            n = np.searchsorted(self.known, words.hash)
+            n[n == len(self.known)] = 0
+            hit = np.nonzero(self.known[n] == words.hash)[0]
+            if not words.same(hit, self.words, self.where[n[hit]]):
+                self.by_text = {}
+                for k in range(len(self.words)):
+                    self.by_text.setdefault(self.words.data[self.words.begin[k] : self.words.end[k]], len(self.by_text))
+                return self.of(words)
+            n[hit] += 1
+            n[np.setdiff1d(np.arange(len(n)), hit, assume_unique=True)] = 0
+        n[n >= 0xD800] += 0x800
+        return n.astype("<u4").tobytes().decode("utf-32-le")
+
+
+def shards(texts: list[bytes], first: list[int]) -> Iterator[tuple[list[bytes], list[int]]]:
+    """Runs of passages of about SHARD_BYTES."""
+    start = size = 0
+    for k, x in enumerate(texts):
+        size += len(x)
+        if size >= SHARD_BYTES or k + 1 == len(texts):
+            yield texts[start : k + 1], first[start : k + 1]
+            start, size = k + 1, 0
+
+
+def among(x: np.ndarray, those: np.ndarray) -> np.ndarray:
+    """Which of x are among the sorted ``those``."""
+    if not len(those):
+        return np.zeros(len(x), bool)
+    at = np.searchsorted(those, x)
+    at[at == len(those)] = 0
+    return those[at] == x
+
+
+def matches(c: Chunk, windows: np.ndarray, texts: list[bytes], first: list[int], window: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Last words of the chunk's ``windows`` that are windows of the passages, and the first document of each.
+
+    ``first`` has the rank of a passage's first document, descending, -1 for one of an
+    earlier chunk. Hashes pick the windows to compile and the stretches of text to stream;
+    the automaton, whose letters are words, decides.
+    """
+    here = np.unique(c.hash[windows])
+    for part, ranks in shards(texts, first):
+        w = Words(part)
+        hashes, at = w.runs(window)
+        wanted = among(hashes, here)
+        if not wanted.any():
+            continue
+        stretches = c.passages(windows[among(c.hash[windows], np.unique(hashes[wanted]))], window)
+        letters = Letters(w)
+        s = letters.of(w)
+        automaton = ahocorasick.Automaton()
+        add = automaton.add_word
+        add("\0", None)  # what parts the stretches is found at once
+        value = np.array(ranks)[w.text[at[wanted]]]
+        for k, rank in zip(at[wanted].tolist(), value.tolist(), strict=True):
+            add(s[k : k + window], rank)
+        automaton.make_automaton()
+        full = letters.of(c.words)
+        found = [x for x in automaton.iter("\0".join([full[a:b] for a, b in stretches])) if x[1] is not None]
+        if found:
+            end, before = np.array(found, np.int64).T
+            begin = np.array([a for a, _ in stretches])
+            offset = np.cumsum([0, *(b - a + 1 for a, b in stretches)])[:-1]
+            k = np.searchsorted(offset, end, side="right") - 1
+            yield begin[k] + end - offset[k], before
 
 
 def locator(window: int, texts: bool):
-    """Streams a chunk's documents through its automata."""
+    """Streams a chunk's documents through automata of the passages that earlier documents have.
+
+    Documents that equal a passage or an earlier document of the chunk, byte by byte, are
+    covered as they are.
+    """
 
     def run(left, right):
-        out: list[list] = [[], [], [], []]
+        ids, n_words, n_removed, out = [], [], [], []
         if left.num_rows:
             row = left.to_pylist()[0]
             c = Chunk(row["ids"], row["sizes"], row["texts"], window)
-            unpack = zstandard.ZstdDecompressor().decompress
-            passages = (line.split() for x in right.column("passages") for line in unpack(x.as_py()).split(b"\n"))
-            change = [None] * len(c.words)
-            for a in automata(c, passages, window):
-                for d, words in enumerate(c.words):
-                    if len(words) < window:
-                        continue
-                    rank = int(c.rank[d])
-                    ends = [end for end, first in a.locate(words) if first < rank]
-                    if ends:
-                        if change[d] is None:
-                            change[d] = np.zeros(len(words) + 1, np.int32)
-                        at = np.array(ends)
-                        np.add.at(change[d], at - window + 1, 1)
-                        np.add.at(change[d], at + 1, -1)
-            for d, words in enumerate(c.words):
-                gone = 0
-                if change[d] is not None:
-                    covered = np.cumsum(change[d][:-1]) > 0
-                    gone = int(covered.sum())
-                    words = [w for w, x in zip(words, covered.tolist(), strict=True) if not x]
-                kept = b" ".join(words)
-                out[0].append(int(c.ids[d])), out[1].append(len(words) + gone), out[2].append(gone)
-                out[3].append((kept.decode("utf-8", "replace") if gone else None) if texts else hashlib.sha256(kept).hexdigest())
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+            passages = list(dict.fromkeys(x for r in right.to_pylist() for x in unpacked(r["sizes"], r["passages"])))
+            ends = c.words.first.tolist()
+            raw = [c.text(a, b) if b > a else b"" for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            known = {x: -1 for x in passages}
+            for d, x in enumerate(raw):
+                known.setdefault(x, int(c.rank[d]))  # ids are in order
+            copies = np.array([known[x] < r for x, r in zip(raw, c.rank.tolist(), strict=True)], bool) & (np.diff(c.words.first) >= window)
+            text = c.words.text[c.at]
+            alive = np.nonzero(~copies[text])[0] if len(c.ids) else text
+            rank = c.rank[text[alive]]
+            order = np.lexsort((alive, rank, c.hash[alive]))
+            h, rank, order = c.hash[alive][order], rank[order], alive[order]
+            start = np.nonzero(np.r_[True, h[1:] != h[:-1]])[0] if len(h) else np.zeros(0, np.int64)
+            last = np.r_[start[1:], len(h)] - 1
+            again = np.sort(order[start[rank[last] > rank[start]]]) if len(h) else start
+            own = c.passages(again, window)[::-1]  # a window's value is the last one set
+            held = [c.text(*x) for x in own] + passages
+            first = [int(c.rank[c.words.text[a]]) for a, _ in own] + [-1] * len(passages)
+            change = np.zeros(len(c.words) + 1, np.int32)
+            word_rank = c.rank[c.words.text]
+            for end, before in matches(c, alive, held, first, window):
+                end = end[before < word_rank[end]]
+                np.add.at(change, end - window + 1, 1)
+                np.add.at(change, end + 1, -1)
+            gone = (np.cumsum(change[:-1]) > 0) | copies[c.words.text]
+            total = np.r_[0, np.cumsum(gone)]
+            removed = total[c.words.first[1:]] - total[c.words.first[:-1]]
+            for d, x in enumerate(raw):
+                a, b, lost = ends[d], ends[d + 1], int(removed[d])
+                if lost:
+                    kept = b" ".join([w for w, y in zip(x.split(), gone[a:b].tolist(), strict=True) if not y]) if lost < b - a else b""
+                    out.append(kept.decode("utf-8", "replace") if texts else hashlib.sha256(kept).hexdigest())
+                else:
+                    out.append(None if texts else hashlib.sha256(b" ".join(x.split())).hexdigest())
+                ids.append(int(c.ids[d])), n_words.append(b - a), n_removed.append(lost)
+        return pa.table([pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(out, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     return run
 
@@ -273,7 +327,7 @@ def without_id(texts: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [split_words(x) for x in batch.column(1).to_pylist()]
+            words = [x.as_buffer().to_pybytes().split() if x.is_valid else [] for x in batch.column(1)]
             kept = [None if texts else hashlib.sha256(b" ".join(x)).hexdigest() for x in words]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in words], pa.int64()), pa.array([0] * len(words), pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
@@ -298,7 +352,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False,
     sent = chunks.mapInArrow(window_senders(window, bits), "bucket int, chunk bigint, hashes binary")
     asked = materialise(sent.groupBy("bucket").applyInArrow(matcher(bits), "chunk bigint, hashes binary, codes binary, wanted_by array<bigint>"), "wanted")
     release(spark)
-    passages = materialise(chunks.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(confirmer(window), "chunk bigint, passages binary"), "passages")
+    passages = materialise(chunks.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(confirmer(window), "chunk bigint, sizes binary, passages binary"), "passages")
     release(spark)
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept string"
     found = chunks.groupBy("chunk").cogroup(passages.groupBy("chunk")).applyInArrow(locator(window, texts), schema)

@@ -1,37 +1,38 @@
-"""Words between ASCII white space, their 64-bit hashes, and hashes of runs of words."""
+"""Words between ASCII white space: where they are, their 64-bit hashes, and hashes of runs of words.
+
+All work is on whole buffers of bytes with numpy; nothing is kept between calls but
+tables of powers.
+"""
 
 from __future__ import annotations
 
 import numpy as np
-import xxhash
-
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-_new: dict[bytes, int] = {}
-_old: dict[bytes, int] = {}
-#: Word hashes a worker keeps; older ones go when twice as many are held.
-KEPT_WORDS = 300_000
 
+_ALL = (1 << 64) - 1
+_BASE = 0x9E3779B97F4A7C15
+_MIX = np.uint64(_BASE)
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: A 64-bit value for each byte.
+_VALUE = np.random.default_rng(20_240_229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_powers = np.ones(1, np.uint64)
+_inverse = np.ones(1, np.uint64)
 
-def split_words(text: str | None) -> list[bytes]:
-    """Runs of anything but blank, tab, line feed, vertical tab, form feed and carriage return."""
-    return text.encode("utf-8", "replace").split() if text else []
 
-
-def hash_words(words: list[bytes]) -> np.ndarray:
-    global _new, _old
-    if len(_new) > KEPT_WORDS:
-        _old, _new = _new, {}
-    new, old = _new, _old
-    out = []
-    for w in words:
-        h = new.get(w)
-        if h is None:
-            h = old.get(w)
-            if h is None:
-                h = xxhash.xxh3_64_intdigest(w)
-            new[w] = h
-        out.append(h)
-    return np.array(out, np.uint64)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse modulo 2**64."""
+    global _powers, _inverse
+    if len(_powers) < n:
+        size = max(n, 2 * len(_powers))
+        made = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            x = np.full(size, base, np.uint64)
+            x[0] = 1
+            made.append(np.multiply.accumulate(x))
+        if size > 1 << 24:
+            return made[0][:n], made[1][:n]
+        _powers, _inverse = made
+    return _powers[:n], _inverse[:n]
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -41,13 +42,59 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each run of n words; of all words if there are fewer, nothing if there are none."""
-    if not len(words):
-        return np.zeros(0, np.uint64)
-    n = min(n, len(words))
-    count = len(words) - n + 1
-    out = np.zeros(count, np.uint64)
-    for k in range(n):
-        out = out * _MIX + words[k : k + count]
-    return scramble(out + np.uint64(n))
+class Words:
+    """The words of some texts, in one buffer: begin and end of each, its text and its hash."""
+
+    def __init__(self, texts: list[bytes]):
+        self.data = b"\n".join(texts) + b"\n"
+        b = self.bytes = np.frombuffer(self.data, np.uint8)
+        space = _SPACE[b]
+        edge = np.nonzero(space[1:] != space[:-1])[0] + 1
+        if not space[0]:
+            edge = np.r_[0, edge]
+        self.begin, self.end = edge[0::2], edge[1::2]
+        if len(self.end) < len(self.begin):
+            self.end = np.r_[self.end, len(b)]
+        starts = np.cumsum([0, *(len(x) + 1 for x in texts)])
+        self.first = np.searchsorted(self.begin, starts)  # of each text, and the number of words
+        self.text = np.repeat(np.arange(len(texts)), np.diff(self.first))
+        power, inverse = powers(len(b))
+        total = np.empty(len(b) + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(_VALUE[b] * power, out=total[1:])
+        size = (self.end - self.begin).astype(np.uint64)
+        self.hash = scramble((total[self.end] - total[self.begin]) * inverse[self.begin] + size * _MIX)
+
+    def __len__(self) -> int:
+        return len(self.begin)
+
+    def runs(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the runs of n words of one text, and the first word of each."""
+        count = max(0, len(self) - n + 1)
+        out = np.zeros(count, np.uint64)
+        for k in range(n):
+            out = out * _MIX + self.hash[k : k + count]
+        at = np.nonzero(self.text[: count] == self.text[n - 1 :])[0] if count else np.zeros(0, np.int64)
+        return scramble(out[at] + np.uint64(n)), at
+
+    def whole(self, text: int) -> np.uint64:
+        """Hash of all words of a text."""
+        out = 0
+        for h in self.hash[self.first[text] : self.first[text + 1]].tolist():
+            out = (out * _BASE + h) & _ALL
+        return scramble(np.array([out + int(self.first[text + 1] - self.first[text]) & _ALL], np.uint64))[0]
+
+    def same(self, a: np.ndarray, other: Words, b: np.ndarray) -> bool:
+        """Whether words ``a`` are, one by one, the words ``b`` of ``other``, compared byte by byte."""
+        size = self.end[a] - self.begin[a]
+        if (size != other.end[b] - other.begin[b]).any():
+            return False
+        left, right, k = self.begin[a], other.begin[b], 0
+        while len(left):
+            if (self.bytes[left + k] != other.bytes[right + k]).any():
+                return False
+            k += 1
+            more = size > k
+            if not more.all():
+                left, right, size = left[more], right[more], size[more]
+        return True
