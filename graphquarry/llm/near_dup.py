@@ -10,9 +10,11 @@ shingle sets reaches the threshold. Classes are the connected components of the
 
 Copies of the same words are reduced to one before banding. Within a band's bucket not all pairs
 are listed: a hub, the smallest id, is compared with the others and leaves. A bucket stays in
-work for as long as what is left lies in more than one class; then its next hubs, from its
-smallest classes, are compared with the members of other classes and leave too. So every
-link that banding can find takes effect, and members of one class are not compared again.
+work for as long as what is left lies in more than one class; then its next hubs are
+compared with the members of other classes and leave too: at first some of its largest class, which
+soon gather what is like them, then those of its smallest classes. Pairs that cannot reach the threshold, by
+counts of their shingles in parts of hash space, are passed over. So every link that banding
+can find takes effect, and members of one class are not compared again.
 
 Defined cases: texts without words (null, empty, blank) are each their own class; texts of fewer
 than WORDS words have one shingle; rows with a null id are their own class; rows that
@@ -39,8 +41,11 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 28, 5
 #: Bytes of text that are signed together.
 TOGETHER = 1_000_000
-#: Hubs a bucket in the second round; four times as many in each later one.
-HUBS = 16
+#: Parts of hash space by which the shingles that two documents can share at most are bounded.
+GROUPS = 128
+#: Hubs a bucket in rounds that take them from its largest class, and how many such rounds come first;
+#: then they come from its smallest classes, eight times as many in each round.
+HUBS, LARGE_ROUNDS = 8, 1
 _STEP = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -125,13 +130,14 @@ def signer(words: int, bands: int, rows: int):
 
 
 def shingler(words: int):
-    """The distinct shingle hashes of each text, sorted."""
+    """The distinct shingle hashes of each text, sorted, and how many of them fall in each of GROUPS parts of hash space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts in batches_of(batch, TOGETHER):
-                sets = [np.unique(x).tobytes() for x in shingle_lists(texts, words)[1]]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+                sets = [np.unique(x) for x in shingle_lists(texts, words)[1]]
+                spread = [np.bincount((x % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.int32) for x in sets]
+                yield pa.RecordBatch.from_arrays([ids, pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(spread, pa.list_(pa.int32()))], names=["doc_id", "shingles", "spread"])
 
     return run
 
@@ -164,18 +170,20 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     release(spark)
 
     wanted = work.select(F.col("rep").alias("doc_id")).distinct()
-    sets = materialise(slim.join(wanted, "doc_id", "left_semi").mapInArrow(shingler(words), "doc_id bigint, shingles binary"), "shingles")
+    sets = materialise(slim.join(wanted, "doc_id", "left_semi").mapInArrow(shingler(words), "doc_id bigint, shingles binary, spread array<int>"), "shingles")
     release(spark)
     left = sets.select(F.col("doc_id").alias("hub"), F.col("shingles").alias("a"))
     right = sets.select(F.col("doc_id").alias("rep"), F.col("shingles").alias("b"))
 
+    spread = sets.select(F.col("doc_id").alias("rep"), "spread")
+
     def verify(pairs: DataFrame) -> DataFrame:
         return pairs.join(left, "hub").join(right, "rep").select("hub", "rep", "a", "b").mapInArrow(verifier(threshold), "src bigint, dst bigint")
 
     pairs = materialise(work.filter(f"rep <> hub and least(n, hub_n) >= {threshold} * greatest(n, hub_n)").select("hub", "rep").distinct(), "pairs")
     links = tested = None
     classes = spark.createDataFrame([], "id bigint, component bigint")
-    work, hubs = work.filter("rep <> hub").select("bucket", "rep", "n"), HUBS
+    work, hubs, turn = work.filter("rep <> hub").select("bucket", "rep", "n"), HUBS, 0
     while True:
         if pairs.limit(1).count():
             fresh = materialise(verify(pairs), "links")
@@ -188,16 +196,24 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
         kinds = rest.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("size"))
         open_ = rest.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("bucket")
         rest = rest.join(open_, "bucket", "left_semi").join(kinds, ["bucket", "class"])
-        rest = materialise(rest.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("size", "class", "rep"))), "buckets")
+        size = F.desc("size") if turn < LARGE_ROUNDS else F.asc("size")
+        mixed = F.xxhash64("bucket", "rep")
+        rest = materialise(rest.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy(size, "class", mixed, "rep"))), "buckets")
         if not rest.limit(1).count():
             break
-        first = rest.filter(F.col("place") <= hubs).select("bucket", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("class").alias("hub_class"), F.col("place").alias("hub_place"))
-        met = rest.join(first, "bucket").filter(f"place > hub_place and class <> hub_class and least(n, hub_n) >= {threshold} * greatest(n, hub_n)")
+        known = rest.join(spread.dropDuplicates(["rep"]), "rep")
+        first = known.filter(F.col("place") <= hubs).select("bucket", *[F.col(c).alias(f"hub_{c}") for c in ("rep", "n", "class", "place", "spread")])
+        shared = F.aggregate(F.zip_with("spread", "hub_spread", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+        alike = shared * (1 + threshold) >= (F.col("n") + F.col("hub_n")) * threshold - 1e-9
+        met = known.join(first, (known["bucket"] == first["bucket"]) & (F.col("place") > F.col("hub_place")) & (F.col("class") != F.col("hub_class")) & alike)
+        met = met.withColumnRenamed("hub_rep", "hub")
         pairs = met.select(F.least("hub", "rep").alias("hub"), F.greatest("hub", "rep").alias("rep")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["hub", "rep"], "left_anti")
         pairs = materialise(pairs, "pairs")
-        work, hubs = rest.filter(F.col("place") > hubs).select("bucket", "rep", "n"), hubs * 4
+        work = rest.filter(F.col("place") > hubs).select("bucket", "rep", "n")
+        turn += 1
+        hubs = hubs * 8 if turn >= LARGE_ROUNDS else hubs
     groups = unique.select("digest", "rep").join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("group"))
     out = signed.select("doc_id", "digest").join(groups, "digest", "left")
     group = F.when(F.col("doc_id").isNotNull(), F.coalesce("group", "doc_id"))
