@@ -9,7 +9,7 @@ between tasks, so that a lost executor costs only its own partitions.
 
 Defined cases: null counts as empty; an empty text has no ids; very long texts are one
 chunk of their own; repeated rows each get their row; an empty table gives an empty
-result; other columns are ignored; a lone surrogate counts as U+FFFD.
+result; other columns are ignored; bytes that aren't UTF-8 count as U+FFFD.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Characters of text whose new words are encoded together.
+#: Bytes of text whose new words are encoded together.
 CHUNK = 4_000_000
 #: Words a worker keeps encoded; older ones go when twice as many are held.
 KEPT_WORDS = 400_000
@@ -157,13 +157,13 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return _LOADED[path, pattern]
 
 
-def chunks(texts: list[str | None], most: int = CHUNK) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of about ``most`` characters together, and where each starts."""
+def chunks(column: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of about ``most`` bytes together, and where each starts; null is empty."""
     start, held, size = 0, [], 0
-    for k, x in enumerate(texts):
-        x = (x or "").encode("utf-8", "replace").decode() if x and not x.isascii() else x or ""
-        held.append(x)
-        size += len(x)
+    for k, x in enumerate(column):
+        data = x.as_buffer().to_pybytes() if x.is_valid else b""
+        held.append(data.decode("utf-8", "replace"))
+        size += len(data)
         if size >= most:
             yield start, held
             start, held, size = k + 1, [], 0
@@ -175,7 +175,7 @@ def encoder(path: str, pattern: str, digests: bool) -> Callable[[Iterator[pa.Rec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, pattern)
         for batch in batches:
-            for start, texts in chunks(batch.column("text").to_pylist()):
+            for start, texts in chunks(batch.column("text")):
                 ids = v.encode_all(texts)
                 key = batch.column(0).slice(start, len(texts))
                 n = pa.array([len(x) // 4 for x in ids], pa.int64())

@@ -11,17 +11,16 @@ from salted groups, whose sizes are added up first, so that no length gathers in
 Defined cases: null counts as empty; an empty text is one piece holding only the end id;
 texts beyond the capacity are cut into full pieces, the first taking what is left over;
 repeated rows are packed each; equal lengths are numbered by id and piece; an empty table
-gives an empty result; other columns are ignored; lone surrogates count as U+FFFD.
+gives an empty result; other columns are ignored; bytes that aren't UTF-8 count as U+FFFD.
 """
 
 from __future__ import annotations
 
 import bisect
-import os
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -99,36 +98,50 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return slots
 
 
+def _letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class _Ids(dict):
+    """Ids of words as bytes; a word that is missing is encoded by the tokenizer's model."""
+
+    def __init__(self, model, old: dict[str, bytes]):
+        super().__init__()
+        self.model, self.old, self.letters = model, old, _letters()
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.old.get(word)
+        if got is None:
+            ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+            got = struct.pack(f"<{len(ids)}I", *ids)
+        self[word] = got
+        return got
+
+
 class WordTokens:
-    """Ids of texts by a tokenizer, each distinct word of the pre-tokenizer's pattern being encoded once."""
+    """Ids of texts by a byte-level tokenizer, each distinct word of the pre-tokenizer's pattern being encoded once.
+
+    Special tokens' strings in a text are ordinary text.
+    """
 
     def __init__(self, path: str, pattern: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.model = Tokenizer.from_file(path).model
         self.pattern = regex.compile(pattern)
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.ids = _Ids(self.model, {})
+
+    def encode(self, text: str) -> bytes:
+        if len(self.ids) > KEPT_WORDS:
+            old, self.ids.old = self.ids, {}
+            self.ids = _Ids(self.model, old)
+        return b"".join(map(self.ids.__getitem__, self.pattern.findall(text)))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        split = [self.pattern.findall(x) for x in texts]
-        wanted: set[str] = set().union(*split) if split else set()
-        if len(self.new) + len(wanted) > KEPT_WORDS:
-            self.old, self.new = self.new, {}
-        known, missing = {}, []
-        for w in wanted:
-            got = self.new.get(w) or self.old.get(w)
-            if got is None:
-                missing.append(w)
-            else:
-                known[w] = got
-        for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        if len(known) <= KEPT_WORDS:
-            self.new.update(known)
-        return [b"".join(map(known.__getitem__, x)) for x in split]
+        return [self.encode(x) for x in texts]
 
 
 _LOADED: dict[tuple[str, str], WordTokens] = {}
@@ -142,7 +155,7 @@ def cutter(path: str, pattern: str, capacity: int, end_id: int, with_ids: bool)
         if tokens is None:
             tokens = _LOADED[path, pattern] = WordTokens(path, pattern)
         for batch in batches:
-            for begin, texts in chunks(batch.column("text").to_pylist()):
+            for begin, texts in chunks(batch.column("text")):
                 source, number, start, length, crc, cut = [], [], [], [], [], []
                 for k, ids in enumerate(tokens.encode_all(texts)):
                     ids += end
