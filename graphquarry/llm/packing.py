@@ -148,7 +148,7 @@ _LOADED: dict[tuple[str, str], WordTokens] = {}
 
 
 def cutter(path: str, pattern: str, capacity: int, end_id: int, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    end = np.array([end_id], "<u4").tobytes()
+    end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _LOADED.get((path, pattern))
