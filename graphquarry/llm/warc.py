@@ -30,23 +30,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphquarry.plans.storage import materialise, new_path
+from graphquarry.plans.storage import materialise, new_path, release, remove
 
 #: Payload bytes from which equal payloads are written once.
 LEAST = 100
-#: About so many payload bytes go to one archive.
+#: At most about so many payload bytes go to one archive.
 ARCHIVE_BYTES = 32 << 20
 _INFLATE = 1 << 18
 _PART = r"part-(\d+)-"
 
 
-def classify(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """page_id, html, url, digest and refers_to (null for responses)."""
+def classify(pages: DataFrame, dealt: DataFrame, least: int = LEAST) -> DataFrame:
+    """``dealt``, the pages dealt out by page_id, with refers_to (null for responses); their texts move only once."""
     facts = pages.select("page_id", F.unhex(F.sha2(F.encode("html", "UTF-8"), 256)).alias("digest"), F.octet_length("html").cast("long").alias("payload_bytes"))
     facts = materialise(facts, "payload_facts")
     groups = facts.filter(F.col("payload_bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id")).filter("first_id <> last_id")
     revisits = facts.join(groups, "digest").filter("page_id <> first_id").select("page_id", F.col("first_id").alias("refers_to")).distinct()
-    return pages.join(revisits, "page_id", "left")
+    return dealt.join(revisits, "page_id", "left")
 
 
 def record_text(html: Column, least: int = LEAST) -> Column:
@@ -77,7 +77,8 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST, archive_byte
     """One record a row of (page_id, url, html), as whole-file gzip streams under ``path``."""
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     total = slim.agg(F.sum(F.octet_length("html").cast("long"))).first()[0] or 0
-    records = classify(slim, least).repartition(max(1, -(-total // archive_bytes)), "page_id").sortWithinPartitions("page_id")
+    archives = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // archive_bytes))
+    records = classify(slim, slim.repartition(archives, "page_id"), least).sortWithinPartitions("page_id")
     records.select(record_text(F.col("html"), least).alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
@@ -204,5 +205,8 @@ def round_trip(pages: DataFrame, least: int = LEAST, archive_bytes: int = ARCHIV
     spark = pages.sparkSession
     raw, fine = new_path(spark, "warc-raw"), new_path(spark, "warc")
     write_archives(pages, raw, least, archive_bytes)
+    release(spark)
     normalise(spark, raw, fine)
+    remove(spark, raw)
+    release(spark)
     return read_archives(spark, fine)
