@@ -187,6 +187,6 @@ def derived_inheritance(nodes: DataFrame) -> DataFrame:
     near = F.coalesce(F.col("path") == F.col("base_path"), F.lit(False)).cast("int")
     best = Window.partitionBy("src", "full", "type").orderBy(F.desc(near), "dst")
     found = w.join(named, ["base", "base_label"]).filter("src <> dst").withColumn("_n", F.row_number().over(best)).filter("_n = 1")
-    return found.select("src", "dst", "type", F.lit(None).cast("map<string,string>").alias("properties")).distinct()
+    return found.select("src", "dst", "type").distinct().withColumn("properties", F.lit(None).cast("map<string,string>"))
 
 

@@ -490,3 +490,37 @@ def interchange_edges(spark, sf_dir):
 def page_imports(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return p.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]+)"'), F.lit(1))).alias("target"))
+
+
+# --- extraction
+
+
+SOURCES = {
+    "python": ("py", "concat('import os\\nclass C', n, '(Base):\\n    def run(self, a, b=1):\\n        return a\\n\\ndef f', n, '(x):\\n    return x\\n')"),
+    "typescript": ("ts", "concat('import {{ a }} from ''m'';\\nexport interface I', n, ' extends J {{ go(x: number): void; }}\\nclass C', n, ' extends Base implements I', n, ' {{ run(a: string) {{ return a; }} }}\\nconst v', n, ' = 1;\\n')"),
+    "csharp": ("cs", "concat('using System;\\nnamespace N {{\\npublic interface I', n, ' {{ int Size {{ get; }} }}\\npublic class C', n, ' : Base, I', n, ' {{ private int f = 1; public int Size {{ get; }} public void Run(string a) {{ }} }}\\n}}\\n')"),
+}
+EXPECTED = {
+    "python": "('File', f, f), ('Import', 'import os', f || '::import::os'), ('Class', 'C' || n, f || '::C' || n), ('Method', 'run', f || '::C' || n || '::run'), ('Parameter', 'self', f || '::C' || n || '::run::self'), ('Parameter', 'a', f || '::C' || n || '::run::a'), ('Parameter', 'b', f || '::C' || n || '::run::b'), ('Function', 'f' || n, f || '::f' || n), ('Parameter', 'x', f || '::f' || n || '::x')",
+    "typescript": "('File', f, f), ('Import', 'import from m', f || '::import::m'), ('Interface', 'I' || n, f || '::I' || n), ('Method', 'go', f || '::I' || n || '::go'), ('Parameter', 'x', f || '::I' || n || '::go::x'), ('Class', 'C' || n, f || '::C' || n), ('Method', 'run', f || '::C' || n || '::run'), ('Parameter', 'a', f || '::C' || n || '::run::a'), ('Variable', 'v' || n, f || '::v' || n)",
+    "csharp": "('File', f, f), ('Import', 'using System', f || '::using::System'), ('Interface', 'I' || n, 'N.I' || n), ('Variable', 'Size', 'N.I' || n || '.Size'), ('Class', 'C' || n, 'N.C' || n), ('Variable', 'f', 'N.C' || n || '.f'), ('Variable', 'Size', 'N.C' || n || '.Size'), ('Method', 'Run', 'N.C' || n || '.Run(string)'), ('Parameter', 'a', 'N.C' || n || '.Run(string)::a')",
+}
+
+
+def _extraction(language: str):
+    from graphquarry.extract import extract, extracted_nodes
+
+    suffix, made = SOURCES[language]
+
+    def f(spark, sf_dir):
+        table = f"(SELECT CAST(doc_id AS STRING) AS n FROM parquet.`{sf_dir}/documents.parquet`) t"
+        made_here = made.replace("{{", "{").replace("}}", "}").replace("''", "\\'")
+        files = spark.sql(f"SELECT concat('f', n, '.{suffix}') AS path, '{language}' AS language, '' AS checksum, encode({made_here}, 'UTF-8') AS content FROM {table}")
+        return extracted_nodes(extract(files)).select("label", "name", "full_name")
+
+    f.__name__ = f"extract_{language}"
+    return f
+
+
+for _language, (_suffix, _) in SOURCES.items():
+    query(f"SELECT v.* FROM (SELECT CAST(doc_id AS VARCHAR) AS n, concat('f', doc_id, '.{_suffix}') AS f FROM documents) d, LATERAL (VALUES {EXPECTED[_language]}) v(label, name, full_name)")(_extraction(_language))
