@@ -28,11 +28,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphquarry.llm.bpe import KEPT_WORDS, chunks
+from graphquarry.llm.bpe import chunks
 from graphquarry.plans.storage import materialise
 
 CAPACITY = 1024
 END_ID = 2
+#: Words a worker keeps encoded; older ones go when twice as many are held.
+KEPT_WORDS = 250_000
 #: Pieces that are numbered in one group, about.
 GROUP = 200_000
 

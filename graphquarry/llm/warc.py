@@ -30,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphquarry.plans.storage import materialise, new_path, release, remove
+from graphquarry.plans.storage import exists, materialise, new_path, release, remove
 
 #: Payload bytes from which equal payloads are written once.
 LEAST = 100
 #: At most about so many payload bytes go to one archive.
 ARCHIVE_BYTES = 32 << 20
+FOUND = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
 _INFLATE = 1 << 18
 _PART = r"part-(\d+)-"
 
@@ -192,12 +193,14 @@ def _found(rows: list[tuple]) -> pa.RecordBatch:
 
 def read_archives(spark: SparkSession, target: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to and payload (null for revisits) of each indexed record."""
+    if not exists(spark, f"{target}/kind=index"):  # no record was written
+        return spark.createDataFrame([], FOUND)
     lines = spark.read.option("lineSep", "\0").text(f"{target}/kind=index")
     place = F.from_json("value", "offset bigint, length bigint, page_id bigint")
     index = lines.select(F.regexp_extract(F.input_file_name(), _PART, 1).alias("part"), place.alias("place"))
     index = index.groupBy("part").agg(F.collect_list(F.struct("place.offset", "place.length")).alias("places"))
     archives = spark.read.format("binaryFile").load(f"{target}/kind=warc").select(F.regexp_extract("path", _PART, 1).alias("part"), "content")
-    return archives.join(index, "part").select("content", "places").mapInArrow(_read, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary")
+    return archives.join(index, "part").select("content", "places").mapInArrow(_read, FOUND)
 
 
 def round_trip(pages: DataFrame, least: int = LEAST, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:

@@ -1,0 +1,385 @@
+"""Each operator against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
+
+import base64
+import collections
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import tiktoken
+
+import corpus_pipeline
+from graphquarry.llm import bpe, exact_dedup, language_id, near_dup, packing, quality, substring_dedup, topk, toxicity, warc
+from graphquarry.llm.queries import ORACLES, QUERIES, remainder
+from graphquarry.llm.words import Words
+
+G = random.Random(11)
+VOCABULARY = ["".join(G.choice("aeioubcdlmnrst") for _ in range(G.randrange(2, 9))) for _ in range(400)]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, words int, score double"
+
+
+def prose(n, g=G):
+    return " ".join(g.choice(VOCABULARY) for _ in range(n))
+
+
+def corpus():
+    shared = prose(40)
+    texts = [prose(G.randrange(3, 120)) for _ in range(60)]
+    base = prose(100).split()
+    for k in range(12):  # near copies of one text
+        w = list(base)
+        for _ in range(k % 4):
+            w[G.randrange(len(w))] = G.choice(VOCABULARY)
+        texts.append(" ".join(w))
+    texts += [texts[3], texts[3], texts[3].upper(), texts[5] + "\n" + shared, shared + " " + texts[7], "x " * 30 + shared, "be " * 40, "be " * 40]
+    texts += [None, "", "   \n", "one", "one", "ünï çödé — 日本語 🙂\t\tend", "a\x1cb\x85c\xa0d e", prose(30_000), "A B C", "a b c"]
+    return texts
+
+
+TEXTS = corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i * 3 + 1, t, None if i % 9 == 0 else "en", "s", 0, "d", 1, 0.5) for i, t in enumerate(TEXTS)]
+    rows.append(rows[2])  # a repeated row
+    return spark.createDataFrame(rows, SCHEMA).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def as_dict(df, key="doc_id"):
+    return {r[key]: r for r in df.collect()}
+
+
+def text_of(i):
+    return TEXTS[(i - 1) // 3]
+
+
+def encoding():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_packing(docs, empty):
+    e = encoding()
+    rows = packing.pack_documents(docs, P.path("byte_bpe_50k.json"), P.PATTERN, with_ids=True).collect()
+    pieces, bins = collections.defaultdict(dict), collections.defaultdict(list)
+    for r in rows:
+        assert r["ids_crc32"] == zlib.crc32(r["ids"]) and r["length"] == len(r["ids"]) // 4 <= 1024
+        pieces[r["doc_id"]][r["piece"]] = r
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for i, found in pieces.items():
+        ids = np.array([*e.encode_ordinary(text_of(i) or ""), 2], "<u4").tobytes()
+        assert b"".join(found[k]["ids"] for k in range(len(found))) == ids
+        assert all(found[k]["length"] == 1024 for k in range(1, len(found)))
+        assert [found[k]["start"] for k in range(len(found))] == list(np.cumsum([0, *(found[k]["length"] for k in range(len(found) - 1))]))
+    for held in bins.values():
+        at = 0
+        for offset, n in sorted(held):
+            assert offset == at
+            at += n
+        assert at <= 1024
+    assert len(rows) == sum(len(x) for x in pieces.values()) + 1 and len(bins) <= -(-sum(r["length"] for r in rows) // 1024) + 1
+    assert packing.pack_documents(empty, P.path("byte_bpe_50k.json"), P.PATTERN).count() == 0
+
+
+def test_plan_is_as_good_as_best_fit_decreasing():
+    g = random.Random(2)
+    for _ in range(100):
+        sizes = [g.choice((g.randrange(1, 1025), g.randrange(1, 200), 512, 341, 342)) for _ in range(g.randrange(1, 400))]
+        slots = packing.plan(dict(collections.Counter(sizes)))
+        bins = collections.defaultdict(int)
+        for length, a, b, s, _ in slots:
+            for k in range(b - a):
+                bins[s + k] += length
+        assert sum(bins.values()) == sum(sizes) and max(bins.values()) <= 1024
+        best: list[int] = []
+        for n in sorted(sizes, reverse=True):
+            fit = [k for k, x in enumerate(best) if x + n <= 1024]
+            if fit:
+                best[max(fit, key=lambda k: best[k])] += n
+            else:
+                best.append(n)
+        assert len(bins) <= len(best) + 1
+
+
+def test_bpe(docs, empty):
+    e = encoding()
+    path, n = P.path("byte_bpe_50k.tiktoken"), 0
+    found = bpe.encode(docs, path, P.PATTERN)
+    for r in found.collect():
+        want = e.encode_ordinary(text_of(r["doc_id"]) or "")
+        assert np.frombuffer(r["ids"], "<u4").tolist() == want and r["n_tokens"] == len(want)
+        n += 1
+    assert n == len(TEXTS) + 1
+    for r in bpe.decode(found, path, P.PATTERN).collect():
+        assert r["decoded"].decode() == (text_of(r["doc_id"]) or "")
+    for r in bpe.round_trip(docs, path, P.PATTERN).collect():
+        assert r["decoded_sha256"] == hashlib.sha256((text_of(r["doc_id"]) or "").encode()).hexdigest()
+    assert bpe.round_trip(empty, path, P.PATTERN).count() == 0
+
+
+def test_replay_agrees_with_the_library_on_random_bytes():
+    e, g = encoding(), random.Random(4)
+    v = bpe.Vocabulary(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    texts = ["".join(g.choice("aabethn  \n'sé1!") for _ in range(g.randrange(0, 60))) for _ in range(800)] + ["a" * 999]
+    assert [np.frombuffer(x, "<u4").tolist() for x in v.encode_all(texts)] == [e.encode_ordinary(t) for t in texts]
+
+
+def shingles(text, n=5):
+    w = (text or "").encode().split()
+    return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
+
+
+def test_near_dedup(docs, empty):
+    sets = {i * 3 + 1: shingles(t) for i, t in enumerate(TEXTS)}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = [i for i in sets if sets[i]]
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    got = near_dup.near_duplicates(docs).collect()
+    assert len(got) == len(TEXTS) + 1
+    assert {r["doc_id"]: r["group_id"] for r in got} == {i: find(i) for i in sets}
+    assert all(r["kept"] == (r["doc_id"] == r["group_id"]) for r in got)
+    assert near_dup.near_duplicates(empty).count() == 0
+
+
+def test_probminhash_estimates_weighted_similarity():
+    g = np.random.default_rng(1)
+    a, b = g.integers(0, 1 << 63, 300, dtype=np.uint64), None
+    b = np.r_[a[:250], g.integers(0, 1 << 63, 50, dtype=np.uint64)]
+    wa, wb = np.ones(300), np.ones(300)
+    s = near_dup.signatures([a, b], [wa, wb], 1000)
+    assert abs((s[0] == s[1]).mean() - 250 / 350) < 0.05
+    assert (near_dup.signatures([a[:1]], [wa[:1] * 7], 50) == a[0]).all()
+
+
+def brute_substring(rows, n=13):
+    first = {}
+    for i, words in rows:
+        for k in range(len(words) - n + 1):
+            key = tuple(words[k : k + n])
+            first[key] = min(first.get(key, i), i)
+    out = []
+    for i, words in rows:
+        gone = {p for k in range(len(words) - n + 1) if first[tuple(words[k : k + n])] < i for p in range(k, k + n)}
+        kept = b" ".join(w for p, w in enumerate(words) if p not in gone)
+        out.append((i, len(words), len(gone), hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 200])
+def test_substring_dedup(docs, empty, chunk):
+    rows = [(i * 3 + 1, (t or "").encode().split()) for i, t in enumerate(TEXTS)]
+    got = substring_dedup.substring_dedup(docs, chunk_bytes=chunk).collect()
+    assert sorted(map(tuple, got)) == brute_substring([*rows, rows[2]])
+    assert substring_dedup.substring_dedup(empty).count() == 0
+
+
+def test_substring_dedup_on_few_words(spark):
+    g = random.Random(8)
+    rows = [(i, " ".join(g.choice("ab") for _ in range(g.randrange(0, 40)))) for i in range(150)]
+    df = spark.createDataFrame(rows + [(None, rows[5][1])], "doc_id long, text string")
+    got = substring_dedup.substring_dedup(df, window=6, chunk_bytes=150).collect()
+    assert sorted(tuple(r) for r in got if r["doc_id"] is not None) == brute_substring([(i, t.encode().split()) for i, t in rows], 6)
+    assert [r["n_removed"] for r in got if r["doc_id"] is None] == [0]
+
+
+def test_words():
+    texts = [b"", b" a  bb\x0bccc\n", b"a\x1cb\x00 c", b"bb"]
+    w = Words(texts)
+    assert [w.data[a:b] for a, b in zip(w.begin, w.end, strict=True)] == [x for t in texts for x in t.split()]
+    assert w.hash[1] == w.hash[-1] and len(set(w.hash.tolist())) == 5
+
+
+def test_exact_dedup(spark, docs, empty):
+    norm = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    groups = collections.defaultdict(list)
+    for i, t in enumerate([*TEXTS, TEXTS[2]]):
+        groups[norm(t)].append(i * 3 + 1 if i < len(TEXTS) else 7)
+    for r in exact_dedup.exact_dedup(docs).collect():
+        own = groups[norm(text_of(r["doc_id"]))]
+        assert (r["keep_id"], r["group_size"], r["kept"]) == (max(own), len(own), r["doc_id"] == max(own))
+        assert r["text_sha256"] == hashlib.sha256(norm(text_of(r["doc_id"])).encode()).hexdigest()
+    assert exact_dedup.exact_dedup(empty).count() == 0
+    assert exact_dedup.keep_one(docs).count() == len(groups)
+    index = exact_dedup.DigestIndex(spark, buckets=3)
+    one = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    two = spark.createDataFrame([(0, "A"), (9, "c"), (8, "C")], "doc_id long, text string")
+    assert all(r["kept"] for r in exact_dedup.exact_dedup(one, index).collect())
+    assert {r["doc_id"]: (r["keep_id"], r["kept"]) for r in exact_dedup.exact_dedup(two, index).collect()} == {0: (1, False), 9: (9, True), 8: (9, False)}
+    assert index.table().count() == 3
+
+
+def test_warc(spark):
+    long = "<p>é</p>" * 50
+    rows = [(5, "http://a/ b\n", long), (2, None, long), (9, "u", "x" * 99), (8, "u", "x" * 99), (1, "u", None), (3, "u", ""), (7, "u", "WARC/1.1\r\n\r\nContent-Length: 5\r\n\r\n" * 9), (None, "u", long), (2, "v", long)]
+    pages = spark.createDataFrame([(*r, "q") for r in rows], "page_id long, url string, html string, digest string")
+    got = collections.defaultdict(list)
+    for r in warc.round_trip(pages, archive_bytes=300).collect():
+        got[r["page_id"]].append(r)
+    first = {t: min(i for i, _, h in rows if h == t and i is not None) for t in {r[2] for r in rows} if t and len(t.encode()) >= 100}
+    assert sum(map(len, got.values())) == len(rows)
+    for i, _, html in rows:
+        data = (html or "").encode()
+        for r in got[i]:
+            revisit = i is not None and html in first and i != first[html]
+            assert (r["payload_bytes"], r["payload_digest"]) == (len(data), hashlib.sha256(data).hexdigest())
+            assert (r["record_type"], r["refers_to"]) == (("revisit", first[html]) if revisit else ("response", None))
+            assert r["payload"] == (None if revisit else data)
+    assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_warc_members_stand_alone(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 30) for i in range(20)], "page_id long, url string, html string")
+    raw, fine = f"file://{tmp_path}/raw", f"file://{tmp_path}/fine"
+    warc.write_archives(pages, raw)
+    warc.normalise(spark, raw, fine)
+    import gzip
+    import json
+
+    n = 0
+    for index in (tmp_path / "fine/kind=index").glob("part-*"):
+        part = index.name.split("-")[1]
+        (archive,) = (tmp_path / "fine/kind=warc").glob(f"part-{part}-*")
+        data, whole = archive.read_bytes(), b""
+        for line in index.read_bytes().split(b"\0")[:-1]:
+            p = json.loads(line)
+            record = gzip.decompress(data[p["offset"] : p["offset"] + p["length"]])
+            assert f"<urn:page:{p['page_id']}>".encode() in record
+            whole, n = whole + record, n + 1
+        assert gzip.decompress(data) == whole
+    assert n == 20
+
+
+def test_large_record_is_padded():
+    import gzip
+
+    record = b"a" * (1 << 24)
+    member, length = warc.member_of(record)
+    assert length == len(member) + 1 and gzip.decompress(member + b"\0") == record
+    small, length = warc.member_of(b"abc")
+    assert length == len(small) + 1 and gzip.decompress(small + b"\0") == b"abc"
+
+
+def test_top_k(spark):
+    g = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in np.round(g.normal(0, 0.2, 6), 2)]) for i in range(300)]
+    rows += [(300, rows[0][1]), (301, None), (302, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (303, [float("nan")] * 6), (304, [float("inf")] * 6), (305, [0.5]), (320, [0.25]), (306, []), (40, rows[40][1]), (340, [0.0] * 6)]
+    df = spark.createDataFrame([(*r, "l", 1) for r in rows], "vec_id long, embedding array<double>, label string, rank int").repartition(3)
+    ok = [(i, np.floor(64 * np.array(v, float)).astype(int)) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)]
+    for k, block in ((20, 64), (400, 100)):
+        want = []
+        for i, q in {i: q for i, q in ok if i % 20 == 0}.items():
+            found = sorted((-int(q @ v), j) for j, v in ok if j != i and len(v) == len(q))[:k]
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(found)]
+        got = topk.top_k(df, df.filter("vec_id % 20 = 0"), k, block_rows=block, queries_a_block=7)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_language_id(spark, docs, empty):
+    words = {"xx": "kro vlast byl proti sest dnes krok".split(), "yy": "aloha mahalo wiki nui loa kane wahine".split()}
+    rows = [(i, " ".join(G.choice(words[lang]) for _ in range(30)), lang) for i in range(200) for lang in [("xx", "yy")[i % 2]]]
+    rows += [(900, None, "xx"), (901, "", "xx"), (902, "123 !!", None), (903, "kro vlast " * 200_000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = language_id.learn(df, remainder(4) != 2)
+    got = as_dict(language_id.identify(df, profiles))
+    assert all(got[i]["lang_pred"] == lang for i, _, lang in rows[:200]) and got[903]["lang_pred"] == "xx"
+    assert [got[i]["lang_pred"] for i in (900, 901, 902)] == ["und"] * 3 and all(0 <= r["score"] <= 1 for r in got.values())
+    assert language_id.keep_identified(df, profiles).count() == len(rows) - 3
+    nothing = language_id.learn(empty, remainder(4) != 2)
+    assert as_dict(language_id.identify(docs, nothing))[1]["lang_pred"] == "und" and language_id.identify(empty, profiles).count() == 0
+    grams, counts = language_id.gram_counts("ab " * 1000)
+    many = language_id.PIECE
+    try:
+        language_id.PIECE = 100
+        again = language_id.gram_counts("ab " * 1000)
+    finally:
+        language_id.PIECE = many
+    assert set(grams.tolist()) >= set(again[0].tolist()) and abs(int(counts.max()) - int(again[1].max())) <= 0
+
+
+def test_quality(spark, docs, empty):
+    good = [(i, prose(60), 1) for i in range(0, 300, 2)]
+    bad = [(i, prose(60).replace(" ", "!! ").upper() if i % 4 == 1 else (G.choice(VOCABULARY) + " ") * 60, 0) for i in range(1, 300, 2)]
+    rows = good + bad
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows] + [(5000, None), (5001, 1)], "doc_id long, quality int")
+    network = quality.learn(df, labels, remainder(5) != 0)
+    got = as_dict(quality.score(df, network))
+    held = [(got[i]["score"] >= 0.3) == q for i, _, q in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert len(held) > 30 and np.mean(held) > 0.95
+    edge = as_dict(quality.score(docs, network))
+    assert all(0 <= r["score"] <= 1 for r in edge.values()) and quality.score(empty, network).count() == 0
+    assert as_dict(quality.score(docs, quality.learn(df, labels.limit(0), remainder(5) != 0)))[1]["score"] == 0.5
+    block = quality.BLOCK
+    try:  # a long text scores alike in blocks and whole
+        text = (prose(3000) + " !!" * 300 + prose(2000)).encode()
+        whole = network.score(text, network.tables())
+        quality.BLOCK = 4096
+        assert abs(network.score(text, network.tables()) - whole) < 0.05
+    finally:
+        quality.BLOCK = block
+
+
+def test_toxicity(spark, docs, empty):
+    rows = []
+    for i in range(400):
+        w = prose(50).split()
+        for _ in range((i % 4 == 0) * (1 + i % 5)):
+            w.insert(G.randrange(len(w)), G.choice(("grotzig", "grotzen", "vilemaan")))
+        rows.append((i, " ".join(w), int(i % 4 == 0)))
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows] + [(999, None)], "doc_id long, toxic int")
+    model = toxicity.learn(df, labels)
+    got = as_dict(toxicity.grade(df, model))
+    assert np.mean([got[i]["toxic"] == bool(t) for i, _, t in rows]) > 0.97
+    assert all(0 <= r["severity"] <= 2 for r in got.values()) and model.theta[0] < model.theta[1]
+    assert not any(r["toxic"] for r in toxicity.grade(docs, model).collect()) and toxicity.grade(empty, model).count() == 0
+    assert not any(r["toxic"] for r in toxicity.grade(df, toxicity.learn(df, labels.filter("toxic = 0"))).collect())
+
+
+def test_pipeline(spark, tmp_path):
+    rows = [(i * 3 + 1, t, "en", "s", 0) for i, t in enumerate(TEXTS)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    state = before
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, state, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        state = spark.read.parquet(f"{tmp_path}/{k}")
+        assert k == 4 or state.columns == before.columns
+    read = lambda k: as_dict(spark.read.parquet(f"{tmp_path}/{k}"))
+    assert set(as_dict(before)) - set(read(0)) == {i for i, t, *_ in rows if not any(c.isalpha() for c in t or "")}
+    norm = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+    assert set(read(1)) == {max(i for i in read(0) if norm(text_of(i)) == t) for t in {norm(text_of(i)) for i in read(0)}}
+    kept = read(2)
+    assert set(kept) == {r["group_id"] for r in near_dup.near_duplicates(spark.read.parquet(f"{tmp_path}/1")).collect()}
+    cut = {r[0]: r for r in brute_substring([(i, text_of(i).encode().split()) for i in kept])}
+    for i, r in read(3).items():
+        words = b" ".join(r["text"].encode().split())
+        assert hashlib.sha256(words).hexdigest() == cut[i][3] and (cut[i][2] or r["text"] == text_of(i))
+    e = encoding()
+    total = sum(len(e.encode_ordinary(r["text"])) + 1 for r in read(3).values())
+    assert sum(r["length"] for r in state.collect()) == total
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == state.count()
+
+
+def test_registered_queries():
+    assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in QUERIES} and set(ORACLES) <= set(QUERIES)
