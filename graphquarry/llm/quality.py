@@ -179,9 +179,13 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, most: int = LEA
         return Network().fit([], np.zeros(0))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, most / 2 / n))])
     place = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 20))
-    chosen = marked.filter(place / F.lit(float(1 << 20)) < share[F.col("label")])
+    likely = marked.filter(place / F.lit(float(1 << 20)) < share[F.col("label")]).withColumn("place", place)
+    chosen = None
+    for k in counts:
+        part = likely.filter(F.col("label") == k).orderBy("place", "doc_id").limit(most // 2)
+        chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = chosen.join(texts, "doc_id").withColumn("place", place)
+    found = texts.join(F.broadcast(chosen), "doc_id")  # at most ``most`` ids
     from pyspark.sql import Window
 
     so_far = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("label").orderBy("place", "doc_id", "text"))

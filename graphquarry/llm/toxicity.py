@@ -114,11 +114,11 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LEARN_DOCS, id_col: st
     marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1)).dropDuplicates(["doc_id"])
     total = marked.count()
     place = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    chosen = marked.filter(place < min(1.0, most / max(1, total)))
+    chosen = marked.filter(place < min(1.0, most / max(1, total))).orderBy(place, "doc_id").limit(most)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     from graphquarry.plans.storage import materialise
 
-    sample = materialise(chosen.join(texts, "doc_id"), "toxic_sample")
+    sample = materialise(texts.join(F.broadcast(chosen), "doc_id"), "toxic_sample")  # at most ``most`` ids
     n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         model = Ordinal([])
