@@ -1,4 +1,9 @@
-"""From raw documents to packed training sequences: five stages, each written before the next one reads it."""
+"""From raw documents to packed training sequences: five stages, each written before the next one reads it.
+
+Defined cases, beside those of the operators: extra columns pass through all stages but the last,
+whatever their names; rows without a doc_id stay while their text is the only one of its kind and
+lose no words; rows that repeat a doc_id with other texts are documents of their own.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphquarry.llm import exact_dedup, language_id, near_dup, packing, substring_dedup
+from graphquarry.llm.columns import free_name
 from graphquarry.llm.queries import remainder
 from graphquarry.plans.storage import new_path
 
@@ -26,16 +32,19 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one of each class of near copies (operator 3)."""
-    kept = near_dup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    own = free_name(docs, "_kept")
+    kept = near_dup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias(own))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out passages that a document with a smaller id has; other documents stay as they are (operator 7)."""
-    changed = substring_dedup.substring_dedup(docs, texts=True).filter("n_removed > 0").select("doc_id", "kept")
-    text = F.coalesce("kept", "text")
-    joined = docs.join(changed, "doc_id", "left").withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept").cast("long")))
-    return joined.withColumn("text", text).select(*docs.columns)
+    own, source, kept = (free_name(docs, x) for x in ("_own", "_source", "_cut"))
+    changed = substring_dedup.substring_dedup(docs, texts=True).filter("n_removed > 0").select(F.col("doc_id").alias(own), F.col("source").alias(source), F.col("kept").alias(kept))
+    same = (F.col("doc_id") == F.col(own)) & (F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)) == F.col(source))
+    joined = docs.join(changed.dropDuplicates([own, source]), same, "left")
+    values = {"text": F.coalesce(kept, "text"), "n_chars": F.coalesce(F.length(kept).cast("long"), "n_chars")}
+    return joined.select(*[values[c].alias(c) if c in values else F.col(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ digest), and its new digests are appended.
 Defined cases: null text counts as empty; empty texts form one group; among equal texts
 of one batch the largest doc_id stays, and a text that an earlier batch has indexed is
 dropped whatever its id; rows that repeat a doc_id belong to the same group, and each is
-reported; an empty table gives an empty result; other columns of the input are ignored.
+reported; rows without a doc_id stay only where no row of their group has one, keep_id then
+being null; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphquarry.llm.columns import free_name
+
 #: Share of a batch from which a group of copies is joined by broadcast; there are fewer than its inverse.
 HOT_SHARE = 0.002
 
@@ -90,7 +93,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     if not own and index.exists():
         fresh = materialise(digests.join(index.table().select("digest").hint("merge"), "digest", "left_anti"), "digests_new")
     index.append(fresh)
-    found = index.resolve(fresh).select("doc_id", "digest", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"))
+    found = index.resolve(fresh).select("doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
     if fresh is not digests:
         old = index.resolve(digests.join(fresh.select("digest").distinct(), "digest", "left_anti"))
         found = found.unionByName(old.select("doc_id", "digest", "keep_id", "group_size", F.lit(False).alias("kept")))
@@ -99,6 +102,9 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text is the one that stays of its group; one of rows that repeat both id and text."""
-    kept = exact_dedup(docs, None, id_col, text_col).filter("kept").select(F.col("doc_id").alias(id_col), F.unhex("text_sha256").alias("_digest"))
-    marked = docs.withColumn("_digest", digest(F.col(text_col)))
-    return marked.join(kept.hint("merge"), [id_col, "_digest"], "left_semi").dropDuplicates([id_col, "_digest"]).select(*docs.columns)
+    key = free_name(docs, "_key")
+    # digest and id in one column, so that join and distinct need one exchange, null ids included
+    named = lambda i, d: F.concat(d, F.coalesce(F.col(i).cast("string"), F.lit("")).cast("binary")).alias(key)
+    kept = exact_dedup(docs, None, id_col, text_col).filter("kept").select(named("doc_id", F.unhex("text_sha256")))
+    marked = docs.withColumn(key, named(id_col, digest(F.col(text_col))))
+    return marked.join(kept.hint("merge"), key, "left_semi").dropDuplicates([key]).select(*docs.columns)

@@ -5,7 +5,8 @@ with a blank), ranked. A document is profiled the same way over its whole text,
 distance to a language is the sum over its n-grams of how far out of place each one is;
 an n-gram that the language lacks counts as the full profile length.
 
-Defined cases: null, empty and letterless texts give ``und`` with score 0; ties between
+Defined cases: null, empty and letterless texts give ``und`` with score 0, digits of any
+kind not being letters; ties between
 languages go to the smaller name; rows with a null text or language teach nothing; with
 nothing learned every text is ``und``; repeated rows each get their row; very long texts
 are profiled whole, in pieces whose counts are added; other columns are ignored.
@@ -79,7 +80,7 @@ class Profiles:
 
     def classify(self, text: str | None) -> tuple[str, float]:
         """Language and score: 1 less the nearest distance as a share of the largest possible."""
-        if not text or not self.languages:
+        if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0
         own = ranked(*gram_counts(text))
         if not len(own):
@@ -110,7 +111,8 @@ def learn(docs: DataFrame, learnable: Column, per_language: int = LEARN_DOCS, id
     """Profiles from at most about ``per_language`` documents of each language.
 
     The share of a language's documents that is read follows from their number, and a
-    document is in it by hash of its id. The profiles come to the driver: PROFILE n-grams a language.
+    document is in it by hash of its id. The profiles come to the driver: PROFILE n-grams a language,
+    of the 1,000 languages with the most documents.
     """
     usable = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}

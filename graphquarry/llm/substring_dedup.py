@@ -278,7 +278,7 @@ def locator(window: int, texts: bool):
     """
 
     def run(left, right):
-        ids, n_words, n_removed, out = [], [], [], []
+        ids, n_words, n_removed, out, source = [], [], [], [], []
         if left.num_rows:
             row = left.to_pylist()[0]
             c = Chunk(row["ids"], row["sizes"], row["texts"], window)
@@ -316,8 +316,13 @@ def locator(window: int, texts: bool):
                     out.append(kept.decode("utf-8", "replace") if texts else hashlib.sha256(kept).hexdigest())
                 else:
                     out.append(None if texts else hashlib.sha256(b" ".join(x.split())).hexdigest())
+                if texts:
+                    begin, end = c.words.starts[d : d + 2].tolist()
+                    source.append(hashlib.sha256(c.words.data[begin : end - 1]).digest() if lost else None)
                 ids.append(int(c.ids[d])), n_words.append(b - a), n_removed.append(lost)
-        return pa.table([pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(out, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+        columns = [pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(out, pa.string())]
+        names = ["doc_id", "n_words", "n_removed", "kept"]
+        return pa.table([*columns, pa.array(source, pa.binary())], names=[*names, "source"]) if texts else pa.table(columns, names=names)
 
     return run
 
@@ -329,7 +334,9 @@ def without_id(texts: bool):
         for batch in batches:
             words = [x.as_buffer().to_pybytes().split() if x.is_valid else [] for x in batch.column(1)]
             kept = [None if texts else hashlib.sha256(b" ".join(x)).hexdigest() for x in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in words], pa.int64()), pa.array([0] * len(words), pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+            columns = [batch.column(0), pa.array([len(x) for x in words], pa.int64()), pa.array([0] * len(words), pa.int64()), pa.array(kept, pa.string())]
+            names = ["doc_id", "n_words", "n_removed", "kept"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(words), pa.binary())] if texts else columns, names=[*names, "source"] if texts else names)
 
     return run
 
@@ -338,7 +345,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False,
     """doc_id, n_words, n_removed and kept of every row.
 
     ``kept`` is the SHA-256 of the kept words joined by one blank or, with ``texts``, that
-    text itself for rows that lose words and null for the others.
+    text itself for rows that lose words and null for the others; then ``source``, the SHA-256
+    of the whole text as bytes, tells apart rows that repeat an id.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -354,6 +362,6 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False,
     release(spark)
     passages = materialise(chunks.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(confirmer(window), "chunk bigint, sizes binary, passages binary"), "passages")
     release(spark)
-    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept string"
+    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept string" + (", source binary" if texts else "")
     found = chunks.groupBy("chunk").cogroup(passages.groupBy("chunk")).applyInArrow(locator(window, texts), schema)
     return found.unionByName(slim.filter("doc_id is null").mapInArrow(without_id(texts), schema))

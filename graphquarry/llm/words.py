@@ -55,8 +55,8 @@ class Words:
         self.begin, self.end = edge[0::2], edge[1::2]
         if len(self.end) < len(self.begin):
             self.end = np.r_[self.end, len(b)]
-        starts = np.cumsum([0, *(len(x) + 1 for x in texts)])
-        self.first = np.searchsorted(self.begin, starts)  # of each text, and the number of words
+        self.starts = np.cumsum([0, *(len(x) + 1 for x in texts)])  # where each text begins
+        self.first = np.searchsorted(self.begin, self.starts)  # of each text, and the number of words
         self.text = np.repeat(np.arange(len(texts)), np.diff(self.first))
         power, inverse = powers(len(b))
         total = np.empty(len(b) + 1, np.uint64)

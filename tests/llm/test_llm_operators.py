@@ -381,5 +381,29 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == state.count()
 
 
+def test_stages_keep_other_columns_and_odd_rows(spark):
+    """Helper columns' names among the columns, null and repeated ids, repeated rows."""
+    passage = prose(30)
+    rows = [(1, passage + " " + prose(9)), (2, prose(9) + " " + passage), (2, prose(7) + " " + passage), (None, passage + " " + prose(8)), (None, prose(20)), (3, None), (4, "")]
+    rows += [rows[1], rows[4]]
+    extra = ["kept", "_kept", "_key", "_digest", "_own", "_source", "_cut", "group_id", "n_removed", "digest", "piece", "score"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *extra) for i, t in rows], schema)
+    found = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found[name] = stage(spark, df, "").collect()
+        assert all([r[c] for c in extra] == extra for r in found[name]) and stage(spark, df, "").columns == df.columns
+        assert stage(spark, df.limit(0), "").count() == 0
+    assert len(found["language_id"]) == len(rows) - 2
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in found["exact_dedup"]) == sorted({(i or 0, t or "") for i, t in rows if i != 3})
+    assert len(found["near_dedup"]) == len(rows)
+    want = [(i, t if i != 2 else " ".join(t.split()[: -len(passage.split())])) for i, t in rows]
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in found["substring_dedup"]) == sorted((i or 0, t or "") for i, t in want)
+    assert all(r["n_chars"] == len(r["text"] or "") for r in found["substring_dedup"])
+    packed = corpus_pipeline.pack_sequences(spark, df, "").collect()
+    assert len(packed) == len(rows) and {r["doc_id"] for r in packed} == {i for i, _ in rows}
+    assert language_id.Profiles({"xx": np.arange(9, dtype=np.uint64)}).classify("\u00b2\u00b3 \u2167 12") == ("und", 0.0)
+
+
 def test_registered_queries():
     assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in QUERIES} and set(ORACLES) <= set(QUERIES)
