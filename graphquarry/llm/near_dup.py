@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphquarry.llm.batches import batch_bytes
 from graphquarry.llm.words import Words, scramble
 from graphquarry.operators.components import connected_components
 from graphquarry.plans.storage import materialise, release
@@ -39,8 +40,8 @@ from graphquarry.plans.storage import materialise, release
 WORDS, THRESHOLD = 5, 0.8
 #: At a similarity of 0.8 a pair shares a band with a probability of 0.99998.
 BANDS, ROWS = 28, 5
-#: Bytes of text that are signed together.
-TOGETHER = 1_000_000
+#: Bytes of text that are signed together, and of the batches that workers get.
+TOGETHER, BATCH_BYTES = 1 << 18, 8 << 20
 #: Parts of hash space by which the shingles that two documents can share at most are bounded.
 GROUPS = 128
 #: Hubs a bucket in rounds that take them from its largest class, and how many such rounds come first;
@@ -159,6 +160,11 @@ def verifier(threshold: float):
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, group_id (the smallest id of its class) and kept (whether it is that one) of every row."""
+    with batch_bytes(docs.sparkSession, BATCH_BYTES):
+        return _classes(docs, words, threshold, bands, rows, id_col, text_col)
+
+
+def _classes(docs: DataFrame, words: int, threshold: float, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = materialise(slim.mapInArrow(signer(words, bands, rows), "doc_id bigint, digest binary, n int, bands array<bigint>"), "signatures")
