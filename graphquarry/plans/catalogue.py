@@ -110,10 +110,10 @@ def entity_lookup_scored(spark, sf_dir):
 @query(
     """SELECT id, label, name, coalesce(generated_summary, '') AS summary, 1.0 AS score,
         CASE WHEN start_line > 0 AND end_line > 0 THEN start_line END AS first_line, CASE WHEN start_line > 0 AND end_line > 0 THEN end_line END AS last_line,
-        concat('path=', path, CASE WHEN coalesce(visibility, '') <> '' THEN concat(';visibility=', visibility) ELSE '' END) AS metadata FROM nodes WHERE vec_id % 5 = 1""", "nodes",
+        concat('path=', path, CASE WHEN coalesce(visibility, '') <> '' THEN concat(';visibility=', visibility) ELSE '' END) AS metadata FROM nodes""", "nodes",
 )
 def node_details(spark, sf_dir):
-    n = view(spark, sf_dir, "nodes").filter("vec_id % 5 = 1").withColumn("location", location_of())
+    n = view(spark, sf_dir, "nodes").withColumn("location", location_of())
     pairs = F.transform(F.array_sort(F.map_entries(metadata_of("path", "visibility"))), lambda e: F.concat_ws("=", e["key"], e["value"]))
     return n.select("id", "label", "name", F.coalesce("generated_summary", F.lit("")).alias("summary"), F.lit(1.0).alias("score"), F.col("location.start_line").alias("first_line"), F.col("location.end_line").alias("last_line"), F.array_join(pairs, ";").alias("metadata"))
 
@@ -147,9 +147,9 @@ def file_stats(spark, sf_dir):
     return stats.file_stats(view(spark, sf_dir, "files").withColumnRenamed("source", "language"))
 
 
-@query("SELECT l AS label, count(id) FILTER (len(embedding) > 0) AS n_embedded FROM (SELECT unnest(['File','Class','Interface','Method','Function','Variable']) AS l) x LEFT JOIN nodes ON label = l AND vec_id % 10 > 3 GROUP BY l", "nodes")
+@query("SELECT l AS label, count(id) FILTER (len(embedding) > 0) AS n_embedded FROM (SELECT unnest(['File','Class','Interface','Method','Function','Variable']) AS l) x LEFT JOIN nodes ON label = l GROUP BY l", "nodes")
 def embedding_coverage(spark, sf_dir):
-    return stats.embedding_coverage(view(spark, sf_dir, "nodes").filter("vec_id % 10 > 3"))
+    return stats.embedding_coverage(view(spark, sf_dir, "nodes"))
 
 
 @query("SELECT label, count(*) AS total, count(*) FILTER (coalesce(generated_summary, '') <> '') AS completed, count(*) FILTER (summary_status = 'PROCESSING') AS processing, count(*) FILTER (coalesce(generated_summary, '') = '') AS remaining FROM nodes GROUP BY label", "nodes")
@@ -178,12 +178,12 @@ def module_system(spark, sf_dir):
 
 
 def _changes(spark, sf_dir) -> DataFrame:
-    f = view(spark, sf_dir, "files").filter("doc_id % 50 <> 49")
+    f = view(spark, sf_dir, "files")
     current = f.select("path", F.concat(F.lit("/repo/"), "path").alias("absolute_path"), "checksum", "size", scan.extension(F.col("path")).alias("extension"))
     return changes.detect_changes(current, view(spark, sf_dir, "stored").filter("path not like 'outside/%'"))
 
 
-CHANGES = """WITH c AS (SELECT path, checksum, size FROM files WHERE doc_id % 50 <> 49), o AS (SELECT path, checksum FROM stored WHERE path NOT LIKE 'outside/%' AND checksum <> ''),
+CHANGES = """WITH c AS (SELECT path, checksum, size FROM files), o AS (SELECT path, checksum FROM stored WHERE path NOT LIKE 'outside/%' AND checksum <> ''),
     ch AS (SELECT coalesce(c.path, o.path) AS path, CASE WHEN c.path IS NULL THEN 'DELETED' WHEN o.path IS NULL THEN 'NEW' WHEN o.checksum = c.checksum THEN 'UNCHANGED' ELSE 'MODIFIED' END AS status,
            o.checksum AS old_checksum, c.checksum AS new_checksum, coalesce(c.size, 0) AS size FROM c FULL OUTER JOIN o ON c.path = o.path)"""
 
@@ -214,7 +214,7 @@ def deleted_files(spark, sf_dir):
 def _hop(direction: str):
     def f(spark, sf_dir):
         n, e = view(spark, sf_dir, "nodes"), view(spark, sf_dir, "edges")
-        return graph.neighbours(n.filter("vec_id % 2 = 0"), n, e, direction, ("CALLS", "CONTAINS", "EXTENDS"))
+        return graph.neighbours(n, n, e, direction, ("CALLS", "CONTAINS", "EXTENDS"))
 
     return f
 
@@ -223,18 +223,18 @@ DIRECTED = """WITH d AS (SELECT src AS id, dst AS related, type, 'OUT' AS direct
 for _name, _direction, _where in (("one_hop_out", "OUT", "direction = 'OUT'"), ("one_hop_in", "IN", "direction = 'IN'"), ("one_hop_both", "BOTH", "true")):
     _f = _hop(_direction)
     _f.__name__ = _name
-    query(f"{DIRECTED} SELECT d.id, d.related, r.label AS related_label, r.name AS related_name, d.type, d.direction FROM d JOIN nodes a ON a.id = d.id AND a.vec_id % 2 = 0 JOIN nodes r ON r.id = d.related WHERE d.id <> d.related AND d.type IN ('CALLS', 'CONTAINS', 'EXTENDS') AND {_where}", "nodes", "edges")(_f)
+    query(f"{DIRECTED} SELECT d.id, d.related, r.label AS related_label, r.name AS related_name, d.type, d.direction FROM d JOIN nodes a ON a.id = d.id JOIN nodes r ON r.id = d.related WHERE d.id <> d.related AND d.type IN ('CALLS', 'CONTAINS', 'EXTENDS') AND {_where}", "nodes", "edges")(_f)
 
 
 RULES_SQL = "(VALUES " + ", ".join(f"('{a}', {n}, '{t}', {'NULL' if b is None else repr(b)}, '{d}')" for (a, t, b, d), n in [(r, sum(1 for q in graph.RULES[: k + 1] if q[0] == r[0])) for k, r in enumerate(graph.RULES)]) + ") AS r(from_label, rule_ord, rel_type, to_label, rule_direction)"
-EXPANDED = DIRECTED + f""", h AS (SELECT id, label, CAST(vec_id AS INTEGER) AS rank FROM nodes WHERE vec_id < 10),
+EXPANDED = DIRECTED + f""", h AS (SELECT id, label, CAST(vec_id AS INTEGER) AS rank FROM nodes),
     x AS (SELECT h.id AS from_node, h.rank, r.rule_ord, n.id AS related, n.label AS related_label, n.name AS related_name, d.type, d.direction, 1 AS depth
           FROM h JOIN {RULES_SQL} ON h.label = r.from_label JOIN d ON d.id = h.id AND d.type = r.rel_type AND (r.rule_direction = 'BOTH' OR r.rule_direction = d.direction)
           JOIN nodes n ON n.id = d.related WHERE n.id <> h.id AND (r.to_label IS NULL OR r.to_label = n.label))"""
 
 
 def _hits(spark, sf_dir) -> DataFrame:
-    return view(spark, sf_dir, "nodes").filter("vec_id < 10").select("id", F.col("vec_id").cast("int").alias("rank"))
+    return view(spark, sf_dir, "nodes").select("id", F.col("vec_id").cast("int").alias("rank"))
 
 
 @query(EXPANDED + " SELECT * FROM x", "nodes", "edges")
@@ -268,7 +268,7 @@ def reached_sql(types: str, depth: int, out: bool, roots: str) -> str:
 
 
 TOP20 = " QUALIFY row_number() OVER (PARTITION BY root ORDER BY n.name, n.id) <= 20"
-CALLERS, KIN = "vec_id % 20 = 3", "vec_id % 20 IN (1, 2)"
+CALLERS, KIN = "label IN ('Method', 'Function')", "label IN ('Class', 'Interface')"
 
 
 def _tree(types, direction, depth, roots, limit=None):
@@ -299,9 +299,9 @@ def component_reach(spark, sf_dir):
     return connected_components(view(spark, sf_dir, "edges").filter(F.col("type").isin("EXTENDS", "IMPORTS")))
 
 
-@query("SELECT src, dst, type FROM edges WHERE src IN (SELECT id FROM nodes WHERE vec_id % 3 <> 1) AND dst IN (SELECT id FROM nodes WHERE vec_id % 3 <> 1)", "nodes", "edges")
+@query("SELECT src, dst, type FROM edges WHERE src IN (SELECT id FROM nodes WHERE label <> 'Interface') AND dst IN (SELECT id FROM nodes WHERE label <> 'Interface')", "nodes", "edges")
 def endpoint_filter(spark, sf_dir):
-    return graph.resolved_edges(view(spark, sf_dir, "nodes").filter("vec_id % 3 <> 1"), view(spark, sf_dir, "edges"))
+    return graph.resolved_edges(view(spark, sf_dir, "nodes").filter("label <> 'Interface'"), view(spark, sf_dir, "edges"))
 
 
 @query("SELECT 'node' AS kind, id AS a, '' AS b FROM nodes WHERE path NOT LIKE '%/file1%' UNION ALL SELECT type, src, dst FROM edges WHERE src IN (SELECT id FROM nodes WHERE path NOT LIKE '%/file1%') AND dst IN (SELECT id FROM nodes WHERE path NOT LIKE '%/file1%')", "nodes", "edges")
@@ -363,9 +363,9 @@ def pending_summaries(spark, sf_dir):
     return enrich.pending_summaries(view(spark, sf_dir, "nodes"), 40).select("id")
 
 
-@query("SELECT id FROM nodes WHERE generated_summary IS NOT NULL AND vec_id % 2 = 0", "nodes")
+@query("SELECT id FROM nodes WHERE generated_summary IS NOT NULL AND coalesce(visibility, '') <> 'private'", "nodes")
 def pending_embeddings(spark, sf_dir):
-    n = view(spark, sf_dir, "nodes").withColumn("embedding", F.when(F.col("vec_id") % 2 == 1, F.col("embedding")))
+    n = view(spark, sf_dir, "nodes").withColumn("embedding", F.when(F.col("visibility") == "private", F.col("embedding")))
     return enrich.pending_embeddings(n).select("id")
 
 
@@ -385,11 +385,11 @@ _FOCUS_SQL = "CASE label " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in enric
     + f""", c AS (SELECT id, string_agg(concat('- ', line), chr(10) ORDER BY n) AS t FROM fc WHERE n <= 10 GROUP BY id), r AS (SELECT id, string_agg(concat('- ', line), chr(10) ORDER BY n) AS t FROM fr WHERE n <= 5 GROUP BY id)
     SELECT nodes.id, concat('Analyze and summarize this ', lower(label), ': ', name, chr(10), chr(10), CASE WHEN coalesce(raw_code, '') <> '' THEN concat('Code:', chr(10), raw_code, chr(10), chr(10)) ELSE '' END,
         CASE WHEN c.t IS NOT NULL THEN concat('Contains these components:', chr(10), c.t, chr(10), chr(10)) ELSE '' END, CASE WHEN r.t IS NOT NULL THEN concat('Uses/References:', chr(10), r.t, chr(10), chr(10)) ELSE '' END,
-        {_FOCUS_SQL}, chr(10), '{enrich.CLOSING}') AS prompt FROM nodes LEFT JOIN c ON c.id = nodes.id LEFT JOIN r ON r.id = nodes.id WHERE vec_id % 2 = 1""", "nodes", "edges",
+        {_FOCUS_SQL}, chr(10), '{enrich.CLOSING}') AS prompt FROM nodes LEFT JOIN c ON c.id = nodes.id LEFT JOIN r ON r.id = nodes.id""", "nodes", "edges",
 )
 def prompt_build(spark, sf_dir):
     n = view(spark, sf_dir, "nodes")
-    return enrich.prompts(n.filter("vec_id % 2 = 1"), n, view(spark, sf_dir, "edges")).select("id", "prompt")
+    return enrich.prompts(n, n, view(spark, sf_dir, "edges")).select("id", "prompt")
 
 
 @query()
@@ -438,7 +438,7 @@ def explain_query(spark, sf_dir):
 
 
 HITS = """SELECT vec_id % 3 AS query_id, (vec_id * 37) % 1009 AS seq, concat('n', CAST(vec_id % 60 AS STRING)) AS id, CASE vec_id % 3 WHEN 0 THEN 'Class' WHEN 1 THEN 'Method' ELSE 'File' END AS label,
-    CASE WHEN vec_id % 20 = 0 THEN 'PaymentService' WHEN vec_id % 20 < 5 THEN 'login' ELSE 'other' END AS name, CASE WHEN vec_id % 2 = 0 THEN 'vector' ELSE 'entity' END AS match_type, CAST((vec_id * 7) % 130 AS DOUBLE) / 100 AS score FROM {0} WHERE vec_id % 10 < 7"""
+    CASE WHEN vec_id % 20 = 0 THEN 'PaymentService' WHEN vec_id % 20 < 5 THEN 'login' ELSE 'other' END AS name, CASE WHEN vec_id % 2 = 0 THEN 'vector' ELSE 'entity' END AS match_type, CAST((vec_id * 7) % 130 AS DOUBLE) / 100 AS score FROM {0}"""
 
 
 @query(
@@ -458,14 +458,14 @@ def hybrid_merge_score(spark, sf_dir):
 @query()
 def hybrid_search(spark, sf_dir):
     n = view(spark, sf_dir, "nodes")
-    q = view(spark, sf_dir, "asked").filter("query_id < 27").join(n.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
+    q = view(spark, sf_dir, "asked").filter("query_id % 50 = 0").join(n.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
     return search.hybrid_search(q, n, view(spark, sf_dir, "edges"))
 
 
 @query()
 def hierarchical_context(spark, sf_dir):
     n = view(spark, sf_dir, "nodes")
-    return search.hierarchical_context(n.filter("vec_id < 40"), n, view(spark, sf_dir, "edges"))
+    return search.hierarchical_context(n, n, view(spark, sf_dir, "edges"))
 
 
 # --- interchange

@@ -11,8 +11,8 @@ VIEWS = {
                CASE e.label % 6 WHEN 0 THEN 'File' WHEN 1 THEN 'Class' WHEN 2 THEN 'Interface' WHEN 3 THEN 'Method' WHEN 4 THEN 'Function' ELSE 'Variable' END AS label,
                coalesce(p.p_name, concat('node_', CAST(e.vec_id AS STRING))) AS name,
                concat(coalesce(p.p_brand, 'pkg'), '::', coalesce(p.p_name, 'node'), '::', CAST(e.vec_id AS STRING)) AS full_name,
-               CASE WHEN e.vec_id % 11 = 0 THEN NULL ELSE substring(d.text, 1, 300) END AS raw_code,
-               CASE WHEN e.vec_id % 3 = 0 THEN NULL WHEN e.vec_id % 17 = 0 THEN '' ELSE substring(d.text, 1, 120) END AS generated_summary,
+               CASE WHEN e.vec_id % 11 = 0 THEN NULL ELSE d.text END AS raw_code,
+               CASE WHEN e.vec_id % 3 = 0 THEN NULL WHEN e.vec_id % 17 = 0 THEN '' ELSE concat(coalesce(p.p_type, 'code'), ' of ', coalesce(p.p_brand, 'pkg'), ' in ', coalesce(d.lang, 'none'), ' from ', coalesce(d.source, 'none')) END AS generated_summary,
                CASE WHEN e.vec_id % 9 = 0 THEN 'PROCESSING' WHEN e.vec_id % 3 <> 0 THEN 'COMPLETED' END AS summary_status,
                concat('src/dir', CAST(e.vec_id % 7 AS STRING), '/file', CAST(e.vec_id % 40 AS STRING), '.py') AS path,
                CASE e.vec_id % 4 WHEN 0 THEN 'public' WHEN 1 THEN 'private' WHEN 2 THEN '' END AS visibility,
