@@ -329,6 +329,24 @@ def merge_edges(spark, sf_dir):
     return store.merge_edges(old, new).withColumn("properties", F.array_join(pairs, ";"))
 
 
+@query(
+    """WITH stored AS (SELECT id FROM nodes WHERE label <> 'File') SELECT (SELECT count(*) FROM nodes WHERE id NOT IN (SELECT id FROM stored)) AS nodes_created,
+        (SELECT count(*) FROM nodes WHERE id IN (SELECT id FROM stored)) AS nodes_merged, (SELECT count(*) FROM edges) AS edges""", "nodes", "edges",
+)
+def ingestion_stats(spark, sf_dir):
+    n = view(spark, sf_dir, "nodes")
+    return stats.ingestion_stats(n, view(spark, sf_dir, "edges"), n.filter("label <> 'File'"))
+
+
+@query(
+    """WITH e AS (SELECT src AS a, dst AS b FROM edges WHERE type IN ('EXTENDS', 'IMPORTS') UNION SELECT dst, src FROM edges WHERE type IN ('EXTENDS', 'IMPORTS')),
+        walk AS (SELECT id FROM nodes WHERE label = 'File' UNION SELECT e.b FROM walk w JOIN e ON e.a = w.id) SELECT id FROM walk""", "nodes", "edges",
+)
+def component_of_files(spark, sf_dir):
+    roots = view(spark, sf_dir, "nodes").filter("label = 'File'")
+    return graph.component_of(roots, view(spark, sf_dir, "edges").filter(F.col("type").isin("EXTENDS", "IMPORTS")))
+
+
 # --- enrichment
 
 
