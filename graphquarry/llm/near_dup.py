@@ -1,10 +1,11 @@
 """MinHash near-deduplication: ProbMinHash signatures, banding and verification.
 
-Each distinct shingle of WORDS words, weighted by 1 + ln(times it occurs), sends arrivals
-of a Poisson process whose rate is its weight; each arrival falls on a random place of the
-signature and the earliest arrival there names the place's shingle. A shingle stops as soon as
-its next arrival would come after every place's earliest. Two places agree with the
-probability Jaccard of the weighted sets. Signatures are cut into bands; documents that
+Each distinct shingle of WORDS words sends arrivals of a Poisson process whose rate is its
+weight; each arrival falls on a random place of the signature and the earliest arrival there
+names the place's shingle. A shingle stops as soon as its next arrival would come after every
+place's earliest. Two places agree with the probability Jaccard of the weighted sets. All
+weights are 1 here, however often a shingle occurs, so that banding sees the similarity that
+links are held against. Signatures are cut into bands; documents that
 share a band are candidates, and a candidate pair is linked when the exact Jaccard of its
 shingle sets reaches the threshold. Classes are the connected components of the links.
 
@@ -117,15 +118,15 @@ def signer(words: int, bands: int, rows: int):
         for batch in batches:
             for ids, texts in batches_of(batch, TOGETHER):
                 w, lists = shingle_lists(texts, words)
-                parts = [np.unique(x, return_counts=True) for x in lists]
+                sets = [np.unique(x) for x in lists]
                 full = [k for k, x in enumerate(lists) if len(x)]
                 found: list = [None] * len(texts)
                 if full:
-                    signed = signatures([parts[k][0] for k in full], [1 + np.log(parts[k][1]) for k in full], bands * rows)
+                    signed = signatures([sets[k] for k in full], [np.ones(len(sets[k])) for k in full], bands * rows)
                     for k, b in zip(full, band_hashes(signed, bands, rows), strict=True):
                         found[k] = b
                 digest = [xxhash.xxh3_128_digest(b" ".join(x.split())) if len(y) else None for x, y in zip(texts, lists, strict=True)]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(digest, pa.binary()), pa.array([len(x) for x, _ in parts], pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "digest", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(digest, pa.binary()), pa.array([len(x) for x in sets], pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "digest", "n", "bands"])
 
     return run
 

@@ -170,6 +170,18 @@ def test_probminhash_estimates_weighted_similarity():
     assert (near_dup.signatures([a[:1]], [wa[:1] * 7], 50) == a[0]).all()
 
 
+def test_near_dedup_where_a_line_repeats(spark):
+    """Pairs at a Jaccard of 100/124, one of each holding a line many times over."""
+    g, rows = random.Random(21), []
+    for k in range(24):
+        words = [f"w{k}x{j}" for j in range(124)]
+        g.shuffle(words)
+        rows += [(2 * k, " ".join(words[:104])), (2 * k + 1, " ".join(words[:104] + words[104:] * (50, 200)[k % 2]))]
+        assert len(shingles(rows[-1][1]) & shingles(rows[-2][1])) == 100 and len(shingles(rows[-1][1])) == 124
+    got = as_dict(near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: r["group_id"] for i, r in got.items()} == {i: i - i % 2 for i, _ in rows}
+
+
 def brute_substring(rows, n=13):
     first = {}
     for i, words in rows:
