@@ -10,8 +10,9 @@ from salted groups, whose sizes are added up first, so that no length gathers in
 
 Defined cases: null counts as empty; an empty text is one piece holding only the end id;
 texts beyond the capacity are cut into full pieces, the first taking what is left over;
-repeated rows are packed each; equal lengths are numbered by id and piece; an empty table
-gives an empty result; other columns are ignored; bytes that aren't UTF-8 count as U+FFFD.
+added tokens' strings in a text give those tokens' ids; repeated rows are packed each;
+equal lengths are numbered by id and piece; an empty table gives an empty result; other
+columns are ignored; bytes that aren't UTF-8 count as U+FFFD.
 """
 
 from __future__ import annotations
@@ -126,13 +127,20 @@ class _Ids(dict):
 class WordTokens:
     """Ids of texts by a byte-level tokenizer, each distinct word of the pre-tokenizer's pattern being encoded once.
 
-    Special tokens' strings in a text are ordinary text.
+    Texts are split at the tokenizer's added tokens first, as the library does.
     """
 
     def __init__(self, path: str, pattern: str):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path).model
+        tokenizer = Tokenizer.from_file(path)
+        self.model = tokenizer.model
+        added = tokenizer.get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError("added tokens that take in or look at their surroundings aren't supported")
+        self.added = {t.content: struct.pack("<I", k) for k, t in added.items()}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.split = regex.compile("(" + "|".join(map(regex.escape, longest)) + ")") if longest else None
         self.pattern = regex.compile(pattern)
         self.ids = _Ids(self.model, {})
 
@@ -140,7 +148,12 @@ class WordTokens:
         if len(self.ids) > KEPT_WORDS:
             old, self.ids.old = self.ids, {}
             self.ids = _Ids(self.model, old)
-        return b"".join(map(self.ids.__getitem__, self.pattern.findall(text)))
+        if not any(x in text for x in self.added):
+            return b"".join(map(self.ids.__getitem__, self.pattern.findall(text)))
+        out = []
+        for k, part in enumerate(self.split.split(text)):
+            out += [self.added[part]] if k % 2 else map(self.ids.__getitem__, self.pattern.findall(part))
+        return b"".join(out)
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         return [self.encode(x) for x in texts]

@@ -90,6 +90,15 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, P.path("byte_bpe_50k.json"), P.PATTERN).count() == 0
 
 
+def test_ids_equal_those_of_the_library():
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(P.path("byte_bpe_50k.json")), packing.WordTokens(P.path("byte_bpe_50k.json"), P.PATTERN)
+    texts = ["see <|endoftext|> here", "<|endoftext|>", "<|endoftext|><|endoftext|>  a", "a \n<|endoftext|>\n b's", "<|endoftext |> <|endoftext|", *(t for t in TEXTS[:80] if t)]
+    for text, ids in zip(texts, own.encode_all(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_plan_is_as_good_as_best_fit_decreasing():
     g = random.Random(2)
     for _ in range(100):
