@@ -12,7 +12,8 @@ allows, for larger ones.
 
 Defined cases: null html counts as empty; of equal payloads of at least ``least`` bytes
 the one with the smallest page_id is a response and the others revisit it, rows that
-share that page_id all being responses; smaller payloads are all responses, as are rows
+share that page_id all being responses; rows that repeat a page_id with another html are
+records of their own, each compared by its own payload; smaller payloads are all responses, as are rows
 without a page_id; urls have
 blanks and control characters percent-encoded; repeated rows are written each; an empty
 table gives an empty result; other columns are ignored. One archive file must fit in a
@@ -42,17 +43,21 @@ _PART = r"part-(\d+)-"
 
 
 def classify(pages: DataFrame, dealt: DataFrame, least: int = LEAST) -> DataFrame:
-    """``dealt``, the pages dealt out by page_id, with refers_to (null for responses); their texts move only once."""
-    facts = pages.select("page_id", F.unhex(F.sha2(F.encode("html", "UTF-8"), 256)).alias("digest"), F.octet_length("html").cast("long").alias("payload_bytes"))
+    """``dealt``, the pages with their digests, dealt out by page_id and digest, with refers_to (null for responses); their texts move only once."""
+    facts = pages.select("page_id", payload_digest().alias("digest"), F.octet_length("html").cast("long").alias("payload_bytes"))
     facts = materialise(facts, "payload_facts")
     groups = facts.filter(F.col("payload_bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id")).filter("first_id <> last_id")
-    revisits = facts.join(groups, "digest").filter("page_id <> first_id").select("page_id", F.col("first_id").alias("refers_to")).distinct()
-    return dealt.join(revisits, "page_id", "left")
+    revisits = facts.join(groups, "digest").filter("page_id <> first_id").select("page_id", "digest", F.col("first_id").alias("refers_to")).distinct()
+    return dealt.join(revisits, ["page_id", "digest"], "left")
+
+
+def payload_digest() -> Column:
+    return F.unhex(F.sha2(F.encode("html", "UTF-8"), 256))
 
 
 def record_text(html: Column, least: int = LEAST) -> Column:
     """A WARC record, less the line end that the writer adds."""
-    digest = F.sha2(F.encode(html, "UTF-8"), 256)
+    digest = F.lower(F.hex("digest"))
     size = F.octet_length(html).cast("string")
     line = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x], F.lit("\r\n"))
     uri = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), " ", "%20"), r"[\x00-\x1f\x7f]", "%0A")
@@ -79,7 +84,8 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST, archive_byte
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     total = slim.agg(F.sum(F.octet_length("html").cast("long"))).first()[0] or 0
     archives = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // archive_bytes))
-    records = classify(slim, slim.repartition(archives, "page_id"), least).sortWithinPartitions("page_id")
+    dealt = slim.withColumn("digest", payload_digest()).repartition(archives, "page_id", "digest")
+    records = classify(slim, dealt, least).sortWithinPartitions("page_id")
     records.select(record_text(F.col("html"), least).alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 

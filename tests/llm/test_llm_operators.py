@@ -267,6 +267,17 @@ def test_warc(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_where_a_page_id_has_several_texts(spark):
+    one, two, other = "<p>one</p>" * 20, "<p>two</p>" * 20, "<p>other</p>" * 20
+    rows = [(1, one), (2, two), (5, one), (5, other), (5, "short"), (6, one), (6, two), (6, None)]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string")
+    digest = lambda h: hashlib.sha256((h or "").encode()).hexdigest()
+    first = {one: 1, two: 2}
+    want = [(i, digest(h), first[h] if i > 2 and h in first else None, None if i > 2 and h in first else (h or "").encode()) for i, h in rows]
+    got = [(r["page_id"], r["payload_digest"], r["refers_to"], r["payload"] if r["payload"] is None else bytes(r["payload"])) for r in warc.round_trip(pages).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_warc_members_stand_alone(spark, tmp_path):
     pages = spark.createDataFrame([(i, "u", f"page {i} " * 30) for i in range(20)], "page_id long, url string, html string")
     raw, fine = f"file://{tmp_path}/raw", f"file://{tmp_path}/fine"
