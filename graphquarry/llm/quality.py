@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphquarry.plans.storage import materialise
+
 EMBED, WIDTH, STRIDE, FILTERS, UNITS = 6, 8, 4, 16, 16
 #: Positions of the filters in a chunk (256 bytes), and from one chunk to the next.
 CHUNK, HOP = 64, 32
@@ -168,10 +170,21 @@ class Network:
         return out
 
 
+def within(sizes: list[tuple[int, int]], budget: int) -> list[int]:
+    """Of (row, size) in turn, the rows that fit what is left of the budget; the smallest row where none fits."""
+    picked, left = [], budget
+    for row, size in sizes:
+        if size <= left:
+            picked.append(row)
+            left -= size
+    return picked or [row for row, _ in sorted(sizes, key=lambda x: x[1])[:1]]
+
+
 def learn(docs: DataFrame, labels: DataFrame, learnable: Column, most: int = LEARN_DOCS, most_bytes: int = LEARN_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network:
     """A network fitted on at most ``most`` labelled documents, as many of each label, chosen by hash of the id.
 
-    The sample comes to the driver: ``most_bytes`` of text at most, beyond the first document.
+    The sample comes to the driver: ``most_bytes`` of text at most, half of it of each label. A document that
+    doesn't fit what is left is passed over; where none of a label fits, its shortest is read up to the limit.
     """
     marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter(learnable & F.col("label").isin(0, 1)).dropDuplicates(["doc_id"])
     counts = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -186,12 +199,15 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, most: int = LEA
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     found = texts.join(F.broadcast(chosen), "doc_id")  # at most ``most`` ids
-    from pyspark.sql import Window
-
-    so_far = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("label").orderBy("place", "doc_id", "text"))
-    rows = found.withColumn("so_far", so_far).filter(F.col("so_far") <= most_bytes // 2).select("doc_id", "text", "label").collect()
+    sample = materialise(found.withColumn("row", F.monotonically_increasing_id()), "quality_sample")
+    size = F.octet_length("text").cast("long").alias("size")
+    listed = sample.select("row", "label", size).orderBy("place", "doc_id", F.xxhash64("text")).collect()
+    picked = [n for k in counts for n in within([(r["row"], r["size"]) for r in listed if r["label"] == k], most_bytes // 2)]
+    text = F.substring(F.col("text").cast("binary"), 1, most_bytes // 2).alias("text")
+    wanted = docs.sparkSession.createDataFrame([(n,) for n in picked], "row long")
+    rows = sample.join(F.broadcast(wanted), "row").select("doc_id", text, "label").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return Network().fit([r["text"].encode("utf-8", "replace") for r in rows], np.array([r["label"] for r in rows], np.float32))
+    return Network().fit([bytes(r["text"]) for r in rows], np.array([r["label"] for r in rows], np.float32))
 
 
 def scorer(network: Network) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

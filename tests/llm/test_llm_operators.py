@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from graphquarry.llm import bpe, exact_dedup, language_id, near_dup, packing, quality, substring_dedup, topk, toxicity, warc
@@ -371,6 +372,19 @@ def test_quality(spark, docs, empty):
         quality.BLOCK = block
 
 
+def test_quality_learns_beside_very_long_documents(spark):
+    """The first document of a label in the order of drawing is beyond the budget, or all of them are."""
+    long = "x" + "é" * 60_000  # the limit falls within a character
+    ids = [r["id"] for r in spark.range(40).orderBy("id").selectExpr("id").orderBy(F.pmod(F.xxhash64("id", F.lit("quality")), F.lit(1 << 20))).collect()]
+    for many in (1, 20):
+        rows = [(i, long if n < many and k == 0 else prose(20), k) for k in (0, 1) for n, i in enumerate(x for x in ids if x % 2 == k)]
+        df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+        labels = spark.createDataFrame([(i, k) for i, _, k in rows], "doc_id long, quality int")
+        network = quality.learn(df, labels, F.lit(True), most_bytes=40_000)
+        assert network.constant is None
+    assert quality.within([(1, 9), (2, 3), (3, 8), (4, 2)], 7) == [2, 4] and quality.within([(1, 9), (2, 8)], 7) == [2] and quality.within([], 7) == []
+
+
 def test_toxicity(spark, docs, empty):
     rows = []
     for i in range(400):
@@ -388,6 +402,19 @@ def test_toxicity(spark, docs, empty):
     assert not any(r["toxic"] for r in toxicity.grade(df, toxicity.learn(df, labels.filter("toxic = 0"))).collect())
 
 
+def test_toxicity_where_toxic_rows_are_rare(spark):
+    """60 toxic ones of 6,000, and 400 to learn from: a draw without regard to labels gets four."""
+    g, hot = random.Random(31), ["grotzig", "vilemaan", "schnurk", "brabbel", "zwackel"]
+    rows = [(i, prose(12, g) + (f" {hot[i // 100 % 5]}" * 2 if i % 100 == 0 else ""), int(i % 100 == 0)) for i in range(6000)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.learn(df, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"), most=400)
+    assert set(hot) <= set(model.names)
+    got = as_dict(toxicity.grade(df, model))
+    assert all(got[i]["toxic"] == bool(t) for i, _, t in rows)
+    assert toxicity.quotas({0: 9000, 1: 70}, 400) == {0: 330, 1: 70} and toxicity.quotas({0: 300, 1: 70}, 400) == {0: 300, 1: 70}
+    assert toxicity.quotas({0: 9000, 1: 9000}, 400) == {0: 200, 1: 200}
+
+
 def test_pipeline(spark, tmp_path):
     rows = [(i * 3 + 1, t, "en", "s", 0) for i, t in enumerate(TEXTS)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
