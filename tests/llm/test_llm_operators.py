@@ -440,6 +440,17 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == state.count()
 
 
+def test_pipeline_writes_token_ids(spark):
+    df = spark.createDataFrame([(1, "one two three"), (2, prose(2000)), (3, None)], "doc_id long, text string")
+    texts, ids = {r["doc_id"]: r["text"] or "" for r in df.collect()}, collections.defaultdict(dict)
+    for r in corpus_pipeline.pack_sequences(spark, df, "").collect():
+        assert r["length"] == len(r["ids"]) // 4 and r["ids_crc32"] == zlib.crc32(r["ids"])
+        ids[r["doc_id"]][r["piece"]] = r["ids"]
+    e = encoding()
+    for i, t in texts.items():
+        assert np.frombuffer(b"".join(ids[i][k] for k in sorted(ids[i])), "<u4").tolist() == [*e.encode_ordinary(t), packing.END_ID]
+
+
 def test_stages_keep_other_columns_and_odd_rows(spark):
     """Helper columns' names among the columns, null and repeated ids, repeated rows."""
     passage = prose(30)
