@@ -1,46 +1,97 @@
-"""Where intermediate tables go: always the folder that every executor shares."""
+"""Where intermediate tables go: always the folder that every executor shares.
+
+A table that is written here is read by what follows it, so it can only be removed once the
+result has been consumed: ``discard`` drops one that nothing reads any more, ``cleanup`` all
+that a session wrote and still has.
+"""
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: list[str] = []
+_WRITTEN: dict[str, set[str]] = {}
+#: Spark's own setting by which a query's shuffle files go when it has ended.
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_UNITS = {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40, "p": 1 << 50}
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for the jobs that run within; jobs that other threads start on the session meanwhile see it too."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def byte_size(text: str) -> int:
+    """A size as Spark's settings have it: a number, with a unit or without."""
+    found = re.fullmatch(r"\s*(\d+)\s*([kmgtp]?)i?b?\s*", text.lower())
+    if not found:
+        raise ValueError(f"not a size: {text!r}")
+    return int(found[1]) * _UNITS[found[2]]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; one of our own only where none is set."""
+    """The cluster's shared checkpoint folder; on a local master that has none set, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _FALLBACK:
         _FALLBACK.append(tempfile.mkdtemp(prefix="graphquarry-"))
     return "file://" + _FALLBACK[0]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path of our own that ``cleanup`` knows of."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     This cuts lineage: what follows depends on files that survive the loss of an
-    executor, and a consumer that scans twice does not compute twice.
+    executor, and a consumer that scans twice does not compute twice. The shuffle files
+    behind it go when it is written.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with setting(spark, _SHUFFLE_CLEANUP, "true"):
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes what ``materialise`` wrote, where nothing will read it again; other DataFrames and None are passed over."""
+    for t in tables:
+        path = getattr(t, "written_to", None)
+        if path:
+            remove(t.sparkSession, path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def cleanup(spark: SparkSession) -> None:
+    """Removes all that this application wrote through this module and still has."""
+    for path in sorted(_WRITTEN.get(spark.sparkContext.applicationId, ())):
+        remove(spark, path)
 
 
 def _located(spark: SparkSession, path: str):
@@ -52,6 +103,7 @@ def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of ours that nothing will read again."""
     store, target = _located(spark, path)
     store.delete(target, True)
+    _WRITTEN.get(spark.sparkContext.applicationId, set()).discard(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
