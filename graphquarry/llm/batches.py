@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager
 
 from pyspark.sql import SparkSession
 
+from graphquarry.plans.storage import byte_size, setting
+
 _KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-@contextmanager
-def batch_bytes(spark: SparkSession, most: int) -> Iterator[None]:
+def batch_bytes(spark: SparkSession, most: int) -> AbstractContextManager[None]:
     """Arrow batches of at most about ``most`` bytes in the jobs that run within, unless the session's are smaller."""
-    before = spark.conf.get(_KEY)
-    spark.conf.set(_KEY, str(min(most, int(before.rstrip("b")))))
-    try:
-        yield
-    finally:
-        spark.conf.set(_KEY, before)
+    return setting(spark, _KEY, str(min(most, byte_size(spark.conf.get(_KEY)))))

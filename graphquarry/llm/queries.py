@@ -28,7 +28,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents")).drop("row")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
