@@ -1,15 +1,17 @@
 """Exact deduplication against a persistent digest index.
 
-The index is a table of (digest, keep_id, group_size), bucketed and sorted by digest.
-A batch is reduced to one row per digest before anything is joined, anti-joined against
+The index is a table of (digest, keep_id), bucketed and sorted by digest. Data comes in
+batches. A batch is reduced to one row per digest before anything is joined, anti-joined against
 the index by sort-merge (only the batch side moves: the index is already laid out by
-digest), and its new digests are appended.
+digest), and its new digests are appended. A table is cut into BATCHES ranges of ids, the
+largest ids first, so that what the index has is what stays.
 
 Defined cases: null text counts as empty; empty texts form one group; among equal texts
-of one batch the largest doc_id stays, and a text that an earlier batch has indexed is
-dropped whatever its id; rows that repeat a doc_id belong to the same group, and each is
+of one call the largest doc_id stays, and a text that an earlier call has indexed is
+dropped whatever its id; group_size counts the rows of this call; rows that repeat a doc_id belong to the same group, and each is
 reported; rows without a doc_id stay only where no row of their group has one, keep_id then
-being null; an empty table gives an empty result; other columns of the input are ignored.
+being null; an empty table gives an empty result; very long texts are hashed whole, in one
+buffer; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -17,13 +19,16 @@ from __future__ import annotations
 import string
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphquarry.llm.columns import free_name
+from graphquarry.plans.storage import discard, materialise
 
-#: Share of a batch from which a group of copies is joined by broadcast; there are fewer than its inverse.
+#: Share of a call's rows from which a group of copies is joined by broadcast; there are fewer than its inverse.
 HOT_SHARE = 0.002
+#: Ranges of ids that a call's rows are put to the index in, one after the other.
+BATCHES = 4
 
 
 def normalised(text: Column) -> Column:
@@ -36,75 +41,103 @@ def digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A digest index that outlives the batches; ``name`` is a table in the warehouse."""
+    """A digest index that outlives the batches; ``name`` is a table in the warehouse, empty at first."""
 
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if not spark.catalog.tableExists(self.name):
+            self._save(spark.createDataFrame([], "digest binary, keep_id bigint"))
 
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
+    def _save(self, rows: DataFrame) -> None:
+        rows.write.bucketBy(self.buckets, "digest").sortBy("digest").option("compression", "zstd").mode("append").saveAsTable(self.name)
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+    def unseen(self, digests: DataFrame) -> DataFrame:
+        """Rows whose digest the index lacks, by sort-merge anti-join; the index side isn't exchanged."""
+        return digests.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
+
     def append(self, digests: DataFrame) -> None:
-        """Add the digests of (digest, doc_id) that the index lacks."""
-        groups = digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        if self.exists():
-            groups = groups.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
-        (
-            groups.repartition(self.buckets, "digest")
-            .write.bucketBy(self.buckets, "digest")
-            .sortBy("digest")
-            .option("compression", "zstd")
-            .mode("append")
-            .saveAsTable(self.name)
-        )
-
-    def resolve(self, digests: DataFrame) -> DataFrame:
-        """(doc_id, digest) with the index's keep_id and group_size.
-
-        Digests that hold more than ``HOT_SHARE`` of the indexed rows are fewer than
-        1 / HOT_SHARE and are joined by broadcast, so that no task gets all of a group.
-        """
-        index = self.table()
-        total = index.agg(F.sum("group_size")).first()[0] or 0
-        hot = index.filter(F.col("group_size") > total * HOT_SHARE)
-        if not hot.limit(1).count():
-            return digests.join(index.hint("merge"), "digest")
-        hot_keys = F.broadcast(hot.select("digest"))
-        return (
-            digests.join(F.broadcast(hot), "digest")
-            .unionByName(digests.join(hot_keys, "digest", "left_anti").join(index.hint("merge"), "digest"))
-        )
-
-
-def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_sha256 of every row of ``docs``."""
-    from graphquarry.plans.storage import materialise
+        """Add the digests of (digest, doc_id) that the index lacks, each with its largest doc_id."""
+        groups = digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"))
+        self._save(self.unseen(groups).repartition(self.buckets, "digest"))
+
+
+def descending(digests: DataFrame, batches: int) -> list[DataFrame]:
+    """The rows cut into ranges of doc_id, the largest first, those without one with the last. Only the cuts come to the driver."""
+    cuts = digests.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
+    edges = [None, *sorted({int(x) for x in cuts}, reverse=True), None]
+    out = []
+    for high, low in zip(edges, edges[1:], strict=False):
+        part = digests if high is None else digests.filter((F.col("doc_id") < high) | F.col("doc_id").isNull())
+        out.append(part if low is None else part.filter(F.col("doc_id") >= low))
+    return out
+
 
+def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256 of every row of ``docs``.
+
+    ``index`` is one that earlier calls have filled; without one, an index of our own is filled
+    and dropped again.
+    """
     spark = docs.sparkSession
+    digests = materialise(docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("digest")), "digests")
     own = index is None
     index = index or DigestIndex(spark)
-    digests = materialise(docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("digest")), "digests")
-    fresh = digests
-    if not own and index.exists():
-        fresh = materialise(digests.join(index.table().select("digest").hint("merge"), "digest", "left_anti"), "digests_new")
-    index.append(fresh)
-    found = index.resolve(fresh).select("doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
-    if fresh is not digests:
-        old = index.resolve(digests.join(fresh.select("digest").distinct(), "digest", "left_anti"))
-        found = found.unionByName(old.select("doc_id", "digest", "keep_id", "group_size", F.lit(False).alias("kept")))
-    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    # what earlier calls had indexed, before this one adds to it
+    groups = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
+    if own:
+        groups = groups.withColumn("fresh", F.lit(True))
+    else:
+        new = index.unseen(groups).withColumn("fresh", F.lit(True))
+        groups = materialise(new.unionByName(groups.join(index.table().select("digest").hint("merge"), "digest", "left_semi").withColumn("fresh", F.lit(False))), "digest_groups")
+    for part in descending(digests, batches):
+        index.append(part)
+    found = materialise(groups.join(index.table().hint("merge"), "digest"), "digests_found")
+    if own:
+        index.drop()
+    else:
+        discard(groups)
+    every = _resolved(digests, found)
+    stays = F.col("fresh") & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    return every.select("doc_id", "keep_id", "group_size", stays.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def _resolved(digests: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows with what was found of their digest.
+
+    Digests that hold more than ``HOT_SHARE`` of the rows are fewer than
+    1 / HOT_SHARE and are joined by broadcast, so that no task gets all of a group.
+    """
+    total = found.agg(F.sum("group_size")).first()[0] or 0
+    hot = found.filter(F.col("group_size") > total * HOT_SHARE)
+    if not hot.limit(1).count():
+        return digests.join(found.hint("merge"), "digest")
+    rest = digests.join(F.broadcast(hot.select("digest")), "digest", "left_anti")
+    return digests.join(F.broadcast(hot), "digest").unionByName(rest.join(found.hint("merge"), "digest"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text is the one that stays of its group; one of rows that repeat both id and text."""
-    key = free_name(docs, "_key")
-    # digest and id in one column, so that join and distinct need one exchange, null ids included
+    """The rows of ``docs``, all columns, whose text is the one that stays of its group.
+
+    Of rows that repeat both id and text the one stays whose columns come first in order.
+    """
+    key, place = free_name(docs, "_key"), free_name(docs, "_place")
+    # digest and id in one column, so that the join needs one exchange, null ids included
     named = lambda i, d: F.concat(d, F.coalesce(F.col(i).cast("string"), F.lit("")).cast("binary")).alias(key)
-    kept = exact_dedup(docs, None, id_col, text_col).filter("kept").select(named("doc_id", F.unhex("text_sha256")))
+    result = exact_dedup(docs, None, id_col, text_col).filter("kept").select(named("doc_id", F.unhex("text_sha256")))
+    kept = materialise(result.groupBy(key).agg(F.count(F.lit(1)).alias(place)), "digests_kept")
     marked = docs.withColumn(key, named(id_col, digest(F.col(text_col))))
-    return marked.join(kept.hint("merge"), key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+    once = marked.join(kept.filter(F.col(place) == 1).select(key).hint("merge"), key, "left_semi")
+    again = kept.filter(F.col(place) > 1).select(key)
+    if not again.limit(1).count():
+        return once.select(*docs.columns)
+    order = [F.to_json(F.struct(*[F.col(c) for c in docs.columns if c != text_col])), F.xxhash64(text_col), text_col]
+    repeats = marked.join(again.hint("merge"), key, "left_semi").withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col(place) == 1)
+    return once.unionByName(repeats.drop(place)).select(*docs.columns)
