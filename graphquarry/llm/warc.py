@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphquarry.plans.storage import exists, materialise, new_path, release, remove
+from graphquarry.plans.storage import exists, materialise, new_path, remove
 
 #: Payload bytes from which equal payloads are written once.
 LEAST = 100
@@ -214,8 +214,6 @@ def round_trip(pages: DataFrame, least: int = LEAST, archive_bytes: int = ARCHIV
     spark = pages.sparkSession
     raw, fine = new_path(spark, "warc-raw"), new_path(spark, "warc")
     write_archives(pages, raw, least, archive_bytes)
-    release(spark)
     normalise(spark, raw, fine)
     remove(spark, raw)
-    release(spark)
     return read_archives(spark, fine)
