@@ -148,24 +148,30 @@ def shingles(text, n=5):
     return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
 
 
-def test_near_dedup(docs, empty):
-    sets = {i * 3 + 1: shingles(t) for i, t in enumerate(TEXTS)}
-    parent = {i: i for i in sets}
+def joined(ids, links):
+    """The least id of each id's component."""
+    parent = {i: i for i in ids}
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    return {i: find(i) for i in ids}
+
+
+def brute_classes(sets):
     ids = [i for i in sets if sets[i]]
-    for k, a in enumerate(ids):
-        for b in ids[:k]:
-            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                x, y = sorted((find(a), find(b)))
-                parent[y] = x
+    return joined(sets, [(a, b) for k, a in enumerate(ids) for b in ids[:k] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+
+
+def test_near_dedup(docs, empty):
     got = near_dup.near_duplicates(docs).collect()
     assert len(got) == len(TEXTS) + 1
-    assert {r["doc_id"]: r["group_id"] for r in got} == {i: find(i) for i in sets}
+    assert {r["doc_id"]: r["group_id"] for r in got} == brute_classes({i * 3 + 1: shingles(t) for i, t in enumerate(TEXTS)})
     assert all(r["kept"] == (r["doc_id"] == r["group_id"]) for r in got)
     assert near_dup.near_duplicates(empty).count() == 0
 
@@ -192,6 +198,62 @@ def test_near_dedup_where_a_line_repeats(spark):
     assert {i: r["group_id"] for i, r in got.items()} == {i: i - i % 2 for i, _ in rows}
 
 
+@pytest.mark.parametrize(("salted", "share"), [(3, 0.002), (3, 1.0), (2048, 0.0)])
+def test_near_dedup_deals_large_buckets(spark, monkeypatch, salted, share):
+    """One large group of near copies beside dissimilar texts that share most of their words."""
+    monkeypatch.setattr(near_dup, "SALTED", salted)
+    monkeypatch.setattr(near_dup, "HOT_SHARE", share)
+    g = random.Random(17)
+    base, frame = [f"b{k}" for k in range(90)], [f"f{k}" for k in range(60)]
+    rows = []
+    for k in range(60):
+        w = list(base)
+        w[g.randrange(90)] = f"x{k}"
+        rows.append((k, " ".join(w)))
+        rows.append((100 + k, " ".join(frame + [f"y{k}z{j}" for j in range(20 + k % 3)])))
+    got = as_dict(near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), bands=40, rows=2))
+    assert {i: r["group_id"] for i, r in got.items()} == brute_classes({i: shingles(t) for i, t in rows})
+
+
+def test_near_dedup_where_ids_repeat(spark):
+    near, other = prose(80), prose(60)
+    rows = [(1, near), (2, near + " end"), (2, other), (2, other), (3, other + " end"), (None, near)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = near_dup.near_duplicates(df).collect()
+    assert sorted((r["doc_id"] or 0, r["group_id"] or 0, r["kept"]) for r in got) == [(0, 0, True), (1, 1, True), (2, 1, False), (2, 2, True), (2, 2, True), (3, 2, False)]
+    assert len({r["class_id"] for r in got if r["doc_id"]}) == 2
+    left = corpus_pipeline.drop_near_copies(spark, df, "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in left) == sorted([(0, near), (1, near), (2, other), (2, other)])
+
+
+def weighted_similarity(a, b):
+    """Probability Jaccard, term by term."""
+    out = 0.0
+    for i in a.keys() & b.keys():
+        out += 1 / sum(max(a.get(j, 0) / a[i], b.get(j, 0) / b[i]) for j in a.keys() | b.keys())
+    return out
+
+
+def test_near_dedup_of_weighted_shingles(spark):
+    g, texts = random.Random(23), []
+    for _ in range(12):
+        words, line = [f"w{g.randrange(10**6)}" for _ in range(60)], [f"l{g.randrange(10**6)}" for _ in range(8)]
+        texts += [" ".join(words + line * k) for k in (1, 2, 3, 8, 30, 33)]
+    counts = {i: collections.Counter(tuple(w[k : k + 5]) for w in [t.split()] for k in range(len(w) - 4)) for i, t in enumerate(texts)}
+    similar = lambda a, b: weighted_similarity(counts[a], counts[b])
+    for a, b in ((0, 1), (1, 4), (4, 5), (0, 6)):
+        keys = sorted(counts[a].keys() | counts[b].keys())
+        at = {x: n for n, x in enumerate(keys)}
+        one, two = (sorted((at[x], float(n)) for x, n in counts[i].items()) for i in (a, b))
+        got = near_dup.probability_jaccard(*(np.array(x) for x in zip(*one, strict=True)), *(np.array(x) for x in zip(*two, strict=True)))
+        assert abs(got - similar(a, b)) < 1e-9
+    links = [(a, b) for a in counts for b in counts if a < b and similar(a, b) >= 0.8]
+    sets = {i: {i} for i in counts}
+    assert len(links) > 12 and any((a, b) not in links for a in range(6) for b in range(a + 1, 6))
+    got = as_dict(near_dup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), weighted=True))
+    assert {i: r["group_id"] for i, r in got.items()} == joined(sets, links)
+
+
 def brute_substring(rows, n=13):
     first = {}
     for i, words in rows:
@@ -214,6 +276,42 @@ def test_substring_dedup(docs, empty, chunk):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("mask", [0xFFFF << 48, 0xF000 << 48])
+def test_substring_dedup_where_hashes_collide(docs, spark, mask):
+    """Windows' hashes cut to 16 and to 4 bits: nearly every window shares its hash with others."""
+    g = random.Random(12)
+    rows = [(i, " ".join(g.choice("abcd") for _ in range(g.randrange(0, 60)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring_dedup.substring_dedup(df, window=6, chunk_bytes=300, mask=mask).collect()
+    assert sorted(map(tuple, got)) == brute_substring([(i, t.encode().split()) for i, t in rows], 6)
+    own = [(i * 3 + 1, (t or "").encode().split()) for i, t in enumerate(TEXTS)]
+    got = substring_dedup.substring_dedup(docs, chunk_bytes=4000, mask=mask).collect()
+    assert sorted(map(tuple, got)) == brute_substring([*own, own[2]])
+
+
+@pytest.mark.parametrize("common", [0, 2, 8])
+@pytest.mark.parametrize("window", [5, 6, 13])
+def test_passages_are_located_wherever_they_occur(monkeypatch, common, window):
+    monkeypatch.setattr(substring_dedup, "COMMON", common)
+    g = random.Random(window)
+    for letters in ("ab", "abcdefgh"):
+        texts = [" ".join(g.choice(letters) for _ in range(g.randrange(0, 60))) for _ in range(20)]
+        cut = [t.split()[a : a + window + g.randrange(0, 12)] for t in texts[:8] for a in [g.randrange(0, 20)]]
+        held = [" \n".join(x).encode() for x in cut if len(x) >= window]
+        ranks = list(range(-1, len(held) - 1))
+        words = Words([t.encode() for t in texts])
+        got = collections.defaultdict(set)
+        for part, own in substring_dedup.shards(held, ranks):
+            for at, rank in zip(*(x.tolist() for x in substring_dedup.Passages(part, own, window).located(words)), strict=True):
+                got[at].add(rank)
+        flat = [(k, w) for k, t in enumerate(texts) for w in t.split()]
+        for at in range(len(flat)):
+            here = flat[at : at + window]
+            phrase = [w for _, w in here] if len({k for k, _ in here}) == 1 and len(here) == window else None
+            want = {r for x, r in zip([h.decode().split() for h in held], ranks, strict=True) for k in range(len(x) - window + 1) if x[k : k + window] == phrase}
+            assert bool(want) == bool(got[at]) and got[at] <= want and (not want or min(want) in got[at])
+
+
 def test_substring_dedup_on_few_words(spark):
     g = random.Random(8)
     rows = [(i, " ".join(g.choice("ab") for _ in range(g.randrange(0, 40)))) for i in range(150)]
@@ -246,7 +344,41 @@ def test_exact_dedup(spark, docs, empty):
     two = spark.createDataFrame([(0, "A"), (9, "c"), (8, "C")], "doc_id long, text string")
     assert all(r["kept"] for r in exact_dedup.exact_dedup(one, index).collect())
     assert {r["doc_id"]: (r["keep_id"], r["kept"]) for r in exact_dedup.exact_dedup(two, index).collect()} == {0: (1, False), 9: (9, True), 8: (9, False)}
+    assert {r["doc_id"]: r["kept"] for r in exact_dedup.exact_dedup(one, index).collect()} == {1: False, 2: False}
     assert index.table().count() == 3
+    index.drop()
+
+
+def test_exact_dedup_anti_joins_each_batch_with_the_index(spark, docs, monkeypatch):
+    index, plans, sizes = exact_dedup.DigestIndex(spark, buckets=4), [], []
+    unseen = exact_dedup.DigestIndex.unseen
+
+    def watched(self, digests):
+        out = unseen(self, digests)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        sizes.append((digests.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "unseen", watched)
+    tables = {t.name for t in spark.catalog.listTables()}
+    for batches in (1, 3, 7):
+        got = exact_dedup.exact_dedup(docs, batches=batches).collect()
+        assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in got} == {(r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(docs).collect()}
+    assert {t.name for t in spark.catalog.listTables()} == tables  # an index of our own doesn't stay
+    assert len(plans) >= 1 + 3 + 7 and any(new < n for n, new in sizes)
+    for p in plans:
+        assert "SortMergeJoin" in p and "LeftAnti" in p
+        index_side = p[p.index("LeftAnti") :].split("FileScan")[-1]
+        assert "Bucketed: true" in index_side
+    index.drop()
+
+
+def test_exact_dedup_chooses_the_same_of_repeated_rows(spark):
+    rows = [(1, "a b", x) for x in "cab"] + [(2, "A B", x) for x in "zyx"] + [(3, "own", "q")]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string, more string").repartition(3 + seed)
+        assert sorted(map(tuple, exact_dedup.keep_one(df).collect())) == [(2, "A B", "x"), (3, "own", "q")]
 
 
 def test_warc(spark):
