@@ -31,10 +31,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one of each class of near copies (operator 3)."""
-    own = free_name(docs, "_kept")
-    kept = near_dup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias(own))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
+    """Keeps one of each class of near copies (operator 3); rows are told apart by id and text."""
+    own, key, mark = (free_name(docs, x) for x in ("_kept", "_row", "_mark"))
+    kept = near_dup.near_duplicates(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias(own), F.col("row").alias(key)).distinct()
+    marked = docs.filter("doc_id is not null").withColumn(mark, near_dup.row_key("doc_id", "text"))
+    found = marked.join(kept, (F.col(mark) == F.col(key)) & (F.col("doc_id") == F.col(own)), "left_semi").drop(mark)
+    return found.unionByName(docs.filter("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
