@@ -36,7 +36,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(_table(spark, sf_dir, "pages")).drop("payload")
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

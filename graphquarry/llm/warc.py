@@ -3,7 +3,9 @@
 ``write_archives`` writes one record a page as whole-file gzip streams. ``normalise``
 inflates each stream once, rewrites every record as a gzip member of its own, and in the
 same pass writes an index line (offset, length, id) a record beside the archive.
-``read_archives`` takes the records at the indexed offsets.
+``read_archives`` goes through whole archives, member by member, where they lie: no archive's
+bytes are exchanged; ``checked`` holds what it found against the index. ``read_records`` opens only
+the archives in which the index has the wanted pages, and inflates only those members.
 
 Both outputs go through Spark's text writer, hence to any store that Spark knows. Its
 line separator after a member is one zero byte: that is the last byte of the member's
@@ -22,6 +24,7 @@ task's memory, hence ``archive_bytes``; a single record may be larger and is the
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import zlib
@@ -37,7 +40,9 @@ from graphquarry.plans.storage import exists, materialise, new_path, remove
 LEAST = 100
 #: At most about so many payload bytes go to one archive.
 ARCHIVE_BYTES = 32 << 20
-FOUND = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
+FOUND = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, part string, offset bigint, length bigint"
+#: Pages, and archives that hold them, up to which ``read_records`` goes by the index.
+LOOKUP_PAGES, LOOKUP_ARCHIVES = 100_000, 1000
 _INFLATE = 1 << 18
 _PART = r"part-(\d+)-"
 
@@ -86,7 +91,7 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST, archive_byte
     archives = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // archive_bytes))
     dealt = slim.withColumn("digest", payload_digest()).repartition(archives, "page_id", "digest")
     records = classify(slim, dealt, least).sortWithinPartitions("page_id")
-    records.select(record_text(F.col("html"), least).alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
+    records.select(record_text(F.col("html"), least).alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", 0).text(path)
 
 
 class RecordStream:
@@ -162,58 +167,123 @@ def normalise(spark: SparkSession, source: str, target: str) -> None:
     """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source).select("content").mapInArrow(_rewrite, "kind string, seq bigint, member binary")
     rows = rows.sortWithinPartitions("kind", "seq").select("kind", F.col("member").cast("string").alias("value"))
-    rows.write.option("lineSep", "\0").partitionBy("kind").text(target)
+    rows.write.option("lineSep", "\0").option("maxRecordsPerFile", 0).partitionBy("kind").text(target)
+
+
+def members(content: memoryview) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, record) of an archive's members in turn; zero padding counts to the member before it."""
+    at = 0
+    while at < len(content):
+        start, out, inflate = at, [], zlib.decompressobj(31)
+        while not inflate.eof:
+            if at >= len(content):
+                raise ValueError(f"the member at {start} has no end")
+            part = content[at : at + _INFLATE]
+            out.append(inflate.decompress(part))
+            at += len(part) - len(inflate.unused_data)
+        while at < len(content) and not content[at]:
+            at += 1
+        yield start, at - start, b"".join(out)
+
+
+def parsed(record: bytes) -> tuple:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to and payload (None for revisits) of a record."""
+    head, _, rest = record.partition(b"\r\n\r\n")
+    headers = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
+    kind, page = headers[b"WARC-Type"].decode(), _id(headers[b"WARC-Record-ID"][10:-1])
+    http, _, payload = rest[: int(headers[b"Content-Length"])].partition(b"\r\n\r\n")
+    if kind == "response":
+        return page, len(payload), hashlib.sha256(payload).hexdigest(), kind, None, payload
+    size = int(re.search(rb"\r\nContent-Length: (\d+)", http)[1])
+    return page, size, headers[b"WARC-Payload-Digest"].partition(b":")[2].decode(), kind, int(headers[b"WARC-Refers-To"][10:-1]), None
+
+
+def _fields(payloads: bool) -> str:
+    return FOUND + ", payload binary" * payloads
+
+
+def _reader(payloads: bool):
+    """Records of archives (part, content[, places]): all, or those at the places."""
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()] + [pa.binary()] * payloads
+    names = [x.split()[0] for x in _fields(payloads).split(", ")]
+
+    def rows(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(types)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = batch.column("places").to_pylist() if "places" in batch.schema.names else [None] * batch.num_rows
+            for part, content, wanted in zip(batch.column("part").to_pylist(), batch.column("content"), places, strict=True):
+                view, found, size = memoryview(content.as_buffer()), [], 0
+                if wanted is None:
+                    records = members(view)
+                else:
+                    records = ((p["offset"], p["length"], next(members(view[p["offset"] : p["offset"] + p["length"]]))[2]) for p in wanted)
+                for offset, length, record in records:
+                    *facts, payload = parsed(record)
+                    found.append((*facts, part, offset, length, payload))
+                    size += len(payload or b"") * payloads + 100
+                    if size > _INFLATE * 16:
+                        yield rows(found)
+                        found, size = [], 0
+                if found:
+                    yield rows(found)
 
+    return run
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import hashlib
 
-    for batch in batches:
-        found = []
-        for content, places in zip(batch.column("content"), batch.column("places"), strict=True):
-            view = memoryview(content.as_buffer())
-            for place in places.as_py():
-                record = zlib.decompress(view[place["offset"] : place["offset"] + place["length"]].tobytes(), 31)
-                head, _, rest = record.partition(b"\r\n\r\n")
-                headers = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
-                kind = headers[b"WARC-Type"].decode()
-                page = _id(headers[b"WARC-Record-ID"][10:-1])
-                http, _, payload = rest[: int(headers[b"Content-Length"])].partition(b"\r\n\r\n")
-                if kind == "response":
-                    found.append((page, len(payload), hashlib.sha256(payload).hexdigest(), kind, None, payload))
-                else:
-                    size = int(re.search(rb"\r\nContent-Length: (\d+)", http)[1])
-                    found.append((page, size, headers[b"WARC-Payload-Digest"].partition(b":")[2].decode(), kind, int(headers[b"WARC-Refers-To"][10:-1]), None))
-                if len(found) >= 500:
-                    yield _found(found)
-                    found = []
-        if found:
-            yield _found(found)
+def _archives(spark: SparkSession, *paths: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(list(paths)).select(F.regexp_extract("path", _PART, 1).alias("part"), "content")
 
 
-def _found(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
-    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
+def read_archives(spark: SparkSession, target: str, payloads: bool = True) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, place and, if asked for, payload (null for revisits) of every record."""
+    if not exists(spark, f"{target}/kind=warc"):  # no record was written
+        return spark.createDataFrame([], _fields(payloads))
+    return _archives(spark, f"{target}/kind=warc").mapInArrow(_reader(payloads), _fields(payloads))
 
 
-def read_archives(spark: SparkSession, target: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to and payload (null for revisits) of each indexed record."""
-    if not exists(spark, f"{target}/kind=index"):  # no record was written
-        return spark.createDataFrame([], FOUND)
+def read_index(spark: SparkSession, target: str) -> DataFrame:
+    """part, offset, length and page_id of every record, from the sidecar files."""
+    if not exists(spark, f"{target}/kind=index"):
+        return spark.createDataFrame([], "part string, offset bigint, length bigint, page_id bigint")
     lines = spark.read.option("lineSep", "\0").text(f"{target}/kind=index")
     place = F.from_json("value", "offset bigint, length bigint, page_id bigint")
-    index = lines.select(F.regexp_extract(F.input_file_name(), _PART, 1).alias("part"), place.alias("place"))
-    index = index.groupBy("part").agg(F.collect_list(F.struct("place.offset", "place.length")).alias("places"))
-    archives = spark.read.format("binaryFile").load(f"{target}/kind=warc").select(F.regexp_extract("path", _PART, 1).alias("part"), "content")
-    return archives.join(index, "part").select("content", "places").mapInArrow(_read, FOUND)
+    return lines.select(F.regexp_extract(F.input_file_name(), _PART, 1).alias("part"), place.alias("place")).select("part", "place.*")
+
 
+def checked(found: DataFrame, index: DataFrame) -> DataFrame:
+    """The records that the index has at the place where they were found; only places and facts are exchanged."""
+    named = index.select("part", "offset", "length", F.col("page_id").alias("_page"))
+    return found.join(named, ["part", "offset", "length"]).filter(F.col("page_id").eqNullSafe(F.col("_page"))).drop("_page")
 
-def round_trip(pages: DataFrame, least: int = LEAST, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Writes, normalises and reads back the pages."""
+
+def read_records(spark: SparkSession, target: str, pages: DataFrame) -> DataFrame:
+    """The records, with payloads, of the pages (page_id).
+
+    Up to LOOKUP_PAGES records in LOOKUP_ARCHIVES archives are read by the index; for more, the archives are read whole.
+    """
+    asked = pages.select(F.col("page_id").cast("long").alias("page_id")).filter("page_id is not null").distinct()
+    places = read_index(spark, target).join(asked, "page_id", "left_semi")
+    few = places.limit(LOOKUP_PAGES + 1).collect()
+    parts = sorted({r["part"] for r in few})
+    if len(few) > LOOKUP_PAGES or len(parts) > LOOKUP_ARCHIVES:
+        return read_archives(spark, target).join(asked, "page_id", "left_semi").select(*[x.split()[0] for x in _fields(True).split(", ")])
+    if not few:
+        return spark.createDataFrame([], _fields(True))
+    by_part = spark.createDataFrame([(r["part"], r["offset"], r["length"]) for r in few], "part string, offset bigint, length bigint")
+    by_part = by_part.groupBy("part").agg(F.collect_list(F.struct("offset", "length")).alias("places"))
+    archives = _archives(spark, *[f"{target}/kind=warc/part-{p}-*" for p in parts])
+    return archives.join(F.broadcast(by_part), "part").mapInArrow(_reader(True), _fields(True))
+
+
+def round_trip(pages: DataFrame, least: int = LEAST, archive_bytes: int = ARCHIVE_BYTES, payloads: bool = False) -> DataFrame:
+    """Writes, normalises and reads back the pages: all records, without payloads those that the index bears out."""
     spark = pages.sparkSession
     raw, fine = new_path(spark, "warc-raw"), new_path(spark, "warc")
     write_archives(pages, raw, least, archive_bytes)
     normalise(spark, raw, fine)
     remove(spark, raw)
-    return read_archives(spark, fine)
+    found = read_archives(spark, fine, payloads)
+    found = found if payloads else checked(found, read_index(spark, fine))
+    return found.drop("part", "offset", "length")
