@@ -386,7 +386,7 @@ def test_warc(spark):
     rows = [(5, "http://a/ b\n", long), (2, None, long), (9, "u", "x" * 99), (8, "u", "x" * 99), (1, "u", None), (3, "u", ""), (7, "u", "WARC/1.1\r\n\r\nContent-Length: 5\r\n\r\n" * 9), (None, "u", long), (2, "v", long)]
     pages = spark.createDataFrame([(*r, "q") for r in rows], "page_id long, url string, html string, digest string")
     got = collections.defaultdict(list)
-    for r in warc.round_trip(pages, archive_bytes=300).collect():
+    for r in warc.round_trip(pages, archive_bytes=300, payloads=True).collect():
         got[r["page_id"]].append(r)
     first = {t: min(i for i, _, h in rows if h == t and i is not None) for t in {r[2] for r in rows} if t and len(t.encode()) >= 100}
     assert sum(map(len, got.values())) == len(rows)
@@ -397,7 +397,38 @@ def test_warc(spark):
             assert (r["payload_bytes"], r["payload_digest"]) == (len(data), hashlib.sha256(data).hexdigest())
             assert (r["record_type"], r["refers_to"]) == (("revisit", first[html]) if revisit else ("response", None))
             assert r["payload"] == (None if revisit else data)
-    assert warc.round_trip(pages.limit(0)).count() == 0
+    facts = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    whole = [tuple(r[c] for c in facts) for rows in got.values() for r in rows]
+    assert sorted(map(str, whole)) == sorted(str(tuple(r[c] for c in facts)) for r in warc.round_trip(pages, archive_bytes=300).collect())
+    assert warc.round_trip(pages.limit(0)).count() == warc.round_trip(pages.limit(0), payloads=True).count() == 0
+
+
+def test_warc_records_by_the_index(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 30) for i in range(40)] + [(7, "u", "another " * 30)], "page_id long, url string, html string")
+    raw, fine = f"file://{tmp_path}/raw", f"file://{tmp_path}/fine"
+    warc.write_archives(pages, raw, archive_bytes=2000)
+    warc.normalise(spark, raw, fine)
+    asked = spark.createDataFrame([(7,), (31,), (99,), (None,), (7,)], "page_id long")
+    want = sorted([(7, b"page 7 " * 30), (7, b"another " * 30), (31, b"page 31 " * 30)])
+    facts = lambda df: sorted((r["page_id"], bytes(r["payload"])) for r in df.collect())
+    assert facts(warc.read_records(spark, fine, asked)) == want
+    monkeypatch.setattr(warc, "LOOKUP_PAGES", 1)
+    assert facts(warc.read_records(spark, fine, asked)) == want
+    assert warc.read_records(spark, fine, asked.filter("page_id = 99")).count() == 0
+    found, index = warc.read_archives(spark, fine), warc.read_index(spark, fine)
+    assert warc.checked(found, index).count() == 41 and warc.checked(found, index.withColumn("offset", F.col("offset") + 1)).count() == 0
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_members_of_an_archive():
+    import gzip
+
+    parts = [gzip.compress(b"a" * n) + b"\0" * pad for n, pad in ((0, 0), (5, 1), (1 << 20, 0), (7, 3))]
+    got = list(warc.members(memoryview(b"".join(parts))))
+    assert [(o, n) for o, n, _ in got] == [(sum(map(len, parts[:k])), len(x)) for k, x in enumerate(parts)]
+    assert [len(x) for *_, x in got] == [0, 5, 1 << 20, 7]
+    with pytest.raises(ValueError):
+        list(warc.members(memoryview(parts[2][:-9])))
 
 
 def test_warc_where_a_page_id_has_several_texts(spark):
@@ -407,7 +438,7 @@ def test_warc_where_a_page_id_has_several_texts(spark):
     digest = lambda h: hashlib.sha256((h or "").encode()).hexdigest()
     first = {one: 1, two: 2}
     want = [(i, digest(h), first[h] if i > 2 and h in first else None, None if i > 2 and h in first else (h or "").encode()) for i, h in rows]
-    got = [(r["page_id"], r["payload_digest"], r["refers_to"], r["payload"] if r["payload"] is None else bytes(r["payload"])) for r in warc.round_trip(pages).collect()]
+    got = [(r["page_id"], r["payload_digest"], r["refers_to"], r["payload"] if r["payload"] is None else bytes(r["payload"])) for r in warc.round_trip(pages, payloads=True).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
