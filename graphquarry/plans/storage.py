@@ -63,7 +63,7 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, *partition_by: str, **options: str | int) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     This cuts lineage: what follows depends on files that survive the loss of an
@@ -73,7 +73,7 @@ def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     with setting(spark, _SHUFFLE_CLEANUP, "true"):
-        writer = df.write.option("compression", "zstd")
+        writer = df.write.options(compression="zstd", **options)
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
