@@ -7,7 +7,12 @@ adders on whole bitmaps; a negative weight takes the complement. The top rows ar
 selected from the most significant slice of the sum downward, and the rows left at the
 boundary, which have equal scores, are resolved by id.
 
-Defined cases: vectors that are null, empty or hold a null or non-finite component take
+The blocks are written once and stay where they were written. Queries go to them: all that
+fit QUERY_BYTES at a time, in passes over the index. A task keeps each query's best rows over all
+blocks that it reads, passes over blocks whose best possible score is below the query's k-th, and
+sends on at most k rows a query.
+
+Defined cases: rows without an id take no part; vectors that are null, empty or hold a null or non-finite component take
 no part; vectors of another length than the query's are not compared with it; a query's
 own rows are those of its id; of repeated query ids the smallest vector asks; ties go to
 the smaller id; an empty table gives an empty result; other columns are ignored.
@@ -19,10 +24,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
+from graphquarry.plans.storage import discard, materialise, new_path
+
+#: Bytes of query vectors that the driver and each task hold in a pass over the index.
+QUERY_BYTES = 16 << 20
+BLOCKS_A_FILE = 16
 BLOCK = "dim int, rows int, low array<bigint>, bits array<int>, ids binary, slices binary"
 
 
@@ -125,89 +134,133 @@ def rows_of(bitmap: np.ndarray) -> np.ndarray:
     return np.nonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))[0]
 
 
-def search_blocks(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Top k of each block for each query that the block is joined with."""
+class Block:
+    """A block of the index, as it is searched."""
+
+    def __init__(self, row: dict):
+        self.ids, n = np.frombuffer(row["ids"], "<i8"), row["rows"]
+        self.words = (n + 63) // 64
+        self.planes = np.frombuffer(row["slices"], np.uint64).reshape(-1, self.words)
+        self.bits = row["bits"]
+        self.first = np.r_[0, np.cumsum(self.bits)]
+        self.low = np.array(row["low"], np.int64)
+        self.span = np.array([(1 << x) - 1 for x in self.bits], np.int64)
+        live = np.zeros(self.words * 64, np.uint8)
+        live[:n] = 1
+        self.live = np.packbits(live, bitorder="little").view(np.uint64)
+
+    def best_possible(self, queries: np.ndarray) -> np.ndarray:
+        """No row's score with a query is above this."""
+        return queries @ self.low + np.maximum(queries, 0) @ self.span
+
+    def top(self, own_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best rows, but for the query's own."""
+        by: list[list[np.ndarray]] = []
+        base = int(query @ self.low)
+        for d, weight in enumerate(query.tolist()):
+            if not weight:
+                continue
+            own = self.planes[self.first[d] : self.first[d + 1]]
+            if weight < 0:
+                own, weight, base = ~own, -weight, base + weight * ((1 << self.bits[d]) - 1)
+            while len(by) < weight.bit_length() + self.bits[d]:
+                by.append([])
+            for t in range(weight.bit_length()):
+                if weight >> t & 1:
+                    for s in range(self.bits[d]):
+                        by[t + s].append(own[s : s + 1])
+        total = add_slices(by, self.words)
+        alive = self.live.copy()
+        for r in np.nonzero(self.ids == own_id)[0]:
+            alive[r // 64] &= ~np.uint64(1 << int(r % 64))
+        sure, tied = select_top(total, alive, k)
+        sure, tied = rows_of(sure), rows_of(tied)
+        if len(sure) + len(tied) > k:
+            tied = tied[np.argsort(self.ids[tied], kind="stable")[: k - len(sure)]]
+        rows = np.r_[sure, tied].astype(np.int64)
+        score = np.full(len(rows), base, np.int64)
+        for w, plane in enumerate(total):
+            score += ((plane[rows // 64] >> (rows % 64).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << w
+        return self.ids[rows], score
+
+
+class Best:
+    """Each query's k best rows so far."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
+        self.ids, self.queries, self.k = ids, queries, k
+        self.rows: list[np.ndarray] = [np.zeros(0, np.int64)] * len(ids)
+        self.scores: list[np.ndarray] = [np.zeros(0, np.int64)] * len(ids)
+        self.least = np.full(len(ids), np.iinfo(np.int64).min)  # k-th score, where there are k
+
+    def add(self, block: Block) -> None:
+        for n in np.nonzero(block.best_possible(self.queries) >= self.least)[0].tolist():
+            rows, scores = block.top(int(self.ids[n]), self.queries[n], self.k)
+            rows, scores = np.r_[self.rows[n], rows], np.r_[self.scores[n], scores]
+            keep = np.lexsort((rows, -scores))[: self.k]
+            self.rows[n], self.scores[n] = rows[keep], scores[keep]
+            if len(keep) == self.k:
+                self.least[n] = scores[keep[-1]]
+
+
+def search_blocks(asked: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Top k over all blocks of a task for queries given as dim: (ids, vectors)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {dim: Best(ids, q, k) for dim, (ids, q) in asked.items()}
         for batch in batches:
             for row in batch.to_pylist():
-                ids, n = np.frombuffer(row["ids"], "<i8"), row["rows"]
-                words = (n + 63) // 64
-                planes = np.frombuffer(row["slices"], np.uint64).reshape(-1, words)
-                first = np.r_[0, np.cumsum(row["bits"])]
-                live = np.zeros(words * 64, np.uint8)
-                live[:n] = 1
-                live = np.packbits(live, bitorder="little").view(np.uint64)
-                low, bits = np.array(row["low"], np.int64), row["bits"]
-                queries = np.frombuffer(row["q_vectors"], "<i8").reshape(-1, row["dim"])
-                out_q, out_v, out_s = [], [], []
-                for qid, q in zip(np.frombuffer(row["q_ids"], "<i8"), queries, strict=True):
-                    by: list[list[np.ndarray]] = []
-                    base = int(q @ low)
-                    for d, weight in enumerate(q.tolist()):
-                        if not weight:
-                            continue
-                        own = planes[first[d] : first[d + 1]]
-                        if weight < 0:
-                            own, weight, base = ~own, -weight, base + weight * ((1 << bits[d]) - 1)
-                        while len(by) < weight.bit_length() + bits[d]:
-                            by.append([])
-                        for t in range(weight.bit_length()):
-                            if weight >> t & 1:
-                                for s in range(bits[d]):
-                                    by[t + s].append(own[s : s + 1])
-                    total = add_slices(by, words)
-                    mine = rows_of_ids(ids, qid)
-                    alive = live.copy()
-                    for r in mine:
-                        alive[r // 64] &= ~np.uint64(1 << int(r % 64))
-                    sure, tied = select_top(total, alive, k)
-                    sure, tied = rows_of(sure), rows_of(tied)
-                    if len(sure) + len(tied) > k:
-                        tied = tied[np.argsort(ids[tied], kind="stable")[: k - len(sure)]]
-                    top = np.r_[sure, tied].astype(np.int64)
-                    score = np.full(len(top), base, np.int64)
-                    for w, plane in enumerate(total):
-                        score += ((plane[top // 64] >> (top % 64).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << w
-                    out_q.append(np.full(len(top), qid)), out_v.append(ids[top]), out_s.append(score)
-                cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0), pa.int64())
-                yield pa.RecordBatch.from_arrays([cat(out_q), cat(out_v), cat(out_s)], names=["query_id", "vec_id", "score"])
+                if row["dim"] in best:
+                    best[row["dim"]].add(Block(row))
+        for b in best.values():
+            for at in range(0, len(b.ids), 4096):
+                rows, scores = b.rows[at : at + 4096], b.scores[at : at + 4096]
+                names = np.repeat(b.ids[at : at + 4096], [len(x) for x in rows])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (names, np.concatenate(rows), np.concatenate(scores))], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def rows_of_ids(ids: np.ndarray, own: int) -> np.ndarray:
-    return np.nonzero(ids == own)[0]
-
-
-def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, block_rows: int = 8192, queries_a_block: int = 512) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k highest integer inner products.
+def usable_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
+    slim = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("e"))
+    return slim.filter(usable("e") & F.col("vec_id").isNotNull()).select("vec_id", quantise("e", scale).alias("v"))
 
-    Queries are gathered into blocks too; every row block meets every query block once,
-    by an equi-join on the query block's number.
-    """
-    from graphquarry.plans.storage import materialise
 
-    spark = candidates.sparkSession
+def build_index(candidates: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, block_rows: int = 8192) -> DataFrame:
+    """The bit-sliced index of all rows that take part, written, BLOCKS_A_FILE blocks a file, so that tasks can share it out."""
+    return materialise(usable_vectors(candidates, id_col, vector_col, scale).mapInArrow(slice_blocks(block_rows), BLOCK), "slices", maxRecordsPerFile=BLOCKS_A_FILE)
 
-    def vectors(df: DataFrame) -> DataFrame:
-        return df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("e")).filter(usable("e") & F.col("vec_id").isNotNull()).select("vec_id", quantise("e", scale).alias("v"))
 
-    blocks = vectors(candidates).mapInArrow(slice_blocks(block_rows), BLOCK)
-    asked = vectors(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = materialise(asked.withColumn("dim", F.size("v")), "queries")
-    n = asked.count()
-    q_blocks = max(1, -(-n // queries_a_block))
-
-    def gather(key, table):
-        dim, q_block = (x.as_py() for x in key)
-        flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return pa.table({"dim": pa.array([dim], pa.int32()), "q_block": pa.array([q_block], pa.int32()), "q_ids": pa.array([table.column("vec_id").to_numpy().astype("<i8").tobytes()], pa.binary()), "q_vectors": pa.array([flat.astype("<i8").tobytes()], pa.binary())})
-
-    asked = asked.withColumn("q_block", F.pmod(F.hash("vec_id"), F.lit(q_blocks)).cast("int"))
-    grouped = asked.groupBy("dim", "q_block").applyInArrow(gather, "dim int, q_block int, q_ids binary, q_vectors binary")
-    met = blocks.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))).join(grouped, ["dim", "q_block"])
-    met = met.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1))
-    part = met.mapInArrow(search_blocks(k), "query_id bigint, vec_id bigint, score bigint")
+def search(index: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """query_id, rank, vec_id, score: each query's k highest integer inner products with the rows of an index."""
+    spark = index.sparkSession
+    asked = usable_vectors(queries, id_col, vector_col, scale).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = materialise(asked, "queries")
+    size = asked.agg(F.sum(8 * F.size("v").cast("long"))).first()[0] or 0
+    passes = max(1, -(-size // query_bytes))
+    if passes > 1:
+        whole = asked
+        asked = materialise(asked.withColumn("pass", F.pmod(F.xxhash64("vec_id"), F.lit(passes)).cast("int")), "queries", "pass")
+        discard(whole)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return part.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def one(n: int) -> DataFrame:
+        table = (asked if passes == 1 else asked.filter(F.col("pass") == n)).select("vec_id", "v").toArrow()
+        ids, lists = table.column("vec_id").to_numpy(), table.column("v").combine_chunks()
+        sizes, flat = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False)
+        starts = np.cumsum(sizes) - sizes
+        by_dim = {int(d): (ids[sizes == d], flat[starts[sizes == d][:, None] + np.arange(d)]) for d in np.unique(sizes)}
+        part = index.mapInArrow(search_blocks(by_dim, k), "query_id bigint, vec_id bigint, score bigint")
+        return part.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    if passes == 1:
+        return one(0)
+    path = new_path(spark, "top-k")
+    for n in range(passes):
+        one(n).write.mode("append").parquet(path)
+    return spark.read.schema("query_id bigint, rank int, vec_id bigint, score bigint").parquet(path)
+
+
+def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, block_rows: int = 8192, query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """The same over an index made for the call."""
+    return search(build_index(candidates, id_col, vector_col, scale, block_rows), queries, k, id_col, vector_col, scale, query_bytes)
