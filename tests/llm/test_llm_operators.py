@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -485,11 +486,33 @@ def test_top_k(spark):
         for i, q in {i: q for i, q in ok if i % 20 == 0}.items():
             found = sorted((-int(q @ v), j) for j, v in ok if j != i and len(v) == len(q))[:k]
             want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(found)]
-        got = topk.top_k(df, df.filter("vec_id % 20 = 0"), k, block_rows=block, queries_a_block=7)
-        assert sorted(map(tuple, got.collect())) == sorted(want)
+        for size in (200, 1 << 20):  # several passes, and one
+            got = topk.top_k(df, df.filter("vec_id % 20 = 0"), k, block_rows=block, query_bytes=size)
+            assert sorted(map(tuple, got.collect())) == sorted(want)
+    nameless = df.unionByName(df.filter("vec_id < 5").withColumn("vec_id", F.lit(None).cast("long")))
+    assert sorted(map(tuple, topk.top_k(nameless, nameless.filter("vec_id % 20 = 0"), 400, block_rows=100).collect())) == sorted(want)
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_leaves_the_index_where_it_is(spark):
+    g = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in g.normal(0, 0.2, 4)]) for i in range(500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(8)
+    index = topk.build_index(df, block_rows=50)
+    got = topk.search(index, df.filter("vec_id < 30"), 3)
+    assert got.count() == 90
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Repartition" not in plan
+    v = np.floor(64 * np.array([x for _, x in rows])).astype(np.int64)
+    best = topk.Best(np.arange(30), v[:30], 3)
+    for part in np.array_split(np.arange(500), 7):
+        (batch,) = topk.slice_blocks(1000)([pa.RecordBatch.from_pydict({"vec_id": part, "v": v[part].tolist()})])
+        block = topk.Block(batch.to_pylist()[0])
+        assert (block.best_possible(v[:30]) >= (v[:30] @ v[part].T).max(axis=1)).all()
+        best.add(block)
+    assert [(r["query_id"], r["vec_id"]) for r in got.orderBy("query_id", "rank").collect()] == [(i, j) for i in range(30) for j in best.rows[i].tolist()]
+
+
 def test_language_id(spark, docs, empty):
     words = {"xx": "kro vlast byl proti sest dnes krok".split(), "yy": "aloha mahalo wiki nui loa kane wahine".split()}
     rows = [(i, " ".join(G.choice(words[lang]) for _ in range(30)), lang) for i in range(200) for lang in [("xx", "yy")[i % 2]]]
