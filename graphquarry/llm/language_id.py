@@ -19,14 +19,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphquarry.plans.storage import discard, materialise
+
 #: N-grams in a profile.
 PROFILE = 400
 #: Documents a language that the profiles are learned from, chosen by hash of the id.
 LEARN_DOCS = 2000
+#: Counts of n-grams that a task holds before it passes them on; languages whose counts are sent to all tasks.
+HELD, SENT = 1_000_000, 10_000
 #: Characters that are profiled at once.
 PIECE = 1 << 20
 UNDETERMINED = "und"
@@ -69,14 +73,26 @@ def ranked(grams: np.ndarray, counts: np.ndarray, most: int = PROFILE) -> np.nda
 
 
 class Profiles:
-    """Profiles of some languages, laid out for lookup of n-grams in all of them at once."""
+    """Profiles of some languages, laid out by n-gram: which languages have it, and at what rank."""
 
     def __init__(self, profiles: dict[str, np.ndarray]):
         self.languages = sorted(profiles)
-        self.grams = np.unique(np.concatenate([profiles[x] for x in self.languages])) if profiles else np.zeros(0, np.uint64)
-        self.ranks = np.full((len(self.grams) + 1, len(self.languages)), -1, np.int64)
-        for k, name in enumerate(self.languages):
-            self.ranks[np.searchsorted(self.grams, profiles[name]), k] = np.arange(len(profiles[name]))
+        grams = np.concatenate([np.zeros(0, np.uint64), *(profiles[x] for x in self.languages)])
+        order = np.argsort(grams, kind="stable")
+        self.lang = np.repeat(np.arange(len(self.languages)), [len(profiles[x]) for x in self.languages])[order]
+        self.rank = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(profiles[x])) for x in self.languages)])[order]
+        self.grams, first = np.unique(grams[order], return_index=True)
+        self.first = np.r_[first, len(grams)]
+
+    def apart(self, own: np.ndarray) -> np.ndarray:
+        """Distance of a profile to each language."""
+        at = np.searchsorted(self.grams, own)
+        at[at == len(self.grams)] = 0
+        place = np.nonzero(self.grams[at] == own)[0]
+        begin, many = self.first[at[place]], np.diff(self.first)[at[place]]
+        row = np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        near = PROFILE - np.minimum(np.abs(self.rank[row] - np.repeat(place, many)), PROFILE)
+        return PROFILE * len(own) - np.bincount(self.lang[row], weights=near, minlength=len(self.languages)).astype(np.int64)
 
     def classify(self, text: str | None) -> tuple[str, float]:
         """Language and score: 1 less the nearest distance as a share of the largest possible."""
@@ -85,49 +101,50 @@ class Profiles:
         own = ranked(*gram_counts(text))
         if not len(own):
             return UNDETERMINED, 0.0
-        at = np.searchsorted(self.grams, own)
-        at[at == len(self.grams)] = 0
-        at = np.where(self.grams[at] == own, at, len(self.grams))
-        ranks = self.ranks[at]
-        apart = np.where(ranks < 0, PROFILE, np.minimum(np.abs(ranks - np.arange(len(own))[:, None]), PROFILE)).sum(axis=0)
+        apart = self.apart(own)
         best = int(np.argmin(apart))
         return self.languages[best], 1.0 - float(apart[best]) / (PROFILE * len(own))
 
 
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, gram, n) of a partition's texts, added up before they are dealt out."""
+    """(lang, gram, n) of a partition's texts, added up before they are dealt out, as far as HELD entries go."""
     total: dict[str, dict[int, int]] = {}
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for lang, own in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.int64())], names=["lang", "gram", "n"])
+        total.clear()
+
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             grams, counts = gram_counts(text)
             own = total.setdefault(lang, {})
             for g, n in zip(grams.tolist(), counts.tolist(), strict=True):
                 own[g] = own.get(g, 0) + n
-    for lang, own in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.int64())], names=["lang", "gram", "n"])
+        if sum(map(len, total.values())) > HELD:
+            yield from flush()
+    yield from flush()
 
 
 def learn(docs: DataFrame, learnable: Column, per_language: int = LEARN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Profiles:
     """Profiles from at most about ``per_language`` documents of each language.
 
     The share of a language's documents that is read follows from their number, and a
-    document is in it by hash of its id. The profiles come to the driver: PROFILE n-grams a language,
-    of the 1,000 languages with the most documents.
+    document is in it by hash of its id. The profiles come to the driver: PROFILE n-grams, some
+    3 kB, for every language that occurs.
     """
     usable = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
-    if not counts:
-        return Profiles({})
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))])
+    counts = materialise(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
     place = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    part = usable.filter(place < share[F.col("lang")]).mapInArrow(count_grams, "lang string, gram bigint, n bigint")
+    few = counts.limit(SENT + 1).count() <= SENT
+    drawn = usable.join(F.broadcast(counts) if few else counts.hint("merge"), "lang").filter(place < F.lit(float(per_language)) / F.col("n"))
+    part = drawn.select("lang", "text").mapInArrow(count_grams, "lang string, gram bigint, n bigint")
     total = part.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    from pyspark.sql import Window
-
     top = total.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("r") <= PROFILE)
     found: dict[str, list] = {}
     for r in top.orderBy("lang", "r").collect():
         found.setdefault(r["lang"], []).append(r["gram"])
+    discard(counts)
     return Profiles({k: np.array(v, np.int64).astype(np.uint64) for k, v in found.items()})
 
 
