@@ -7,7 +7,8 @@ through a second layer, chunks are max-pooled and the pooled units give one prob
 Filters, embedding and layers are learned by gradient descent on a bounded sample.
 
 Defined cases: null and empty texts are scored as one blank chunk; very long texts are
-scored whole, in blocks; rows with null labels teach nothing; with no labels, or labels
+scored whole, in blocks that give the same chunks; rows with null labels teach nothing, nor do documents
+whose label rows differ; of rows that repeat a doc_id the one teaches whose text's hash is least; with no labels, or labels
 of one kind only, every score is the share of label 1 (0.5 without any); repeated rows
 each get their row; an empty table gives an empty result; other columns are ignored.
 """
@@ -51,13 +52,26 @@ def repeats(b: np.ndarray) -> np.ndarray:
     return out
 
 
-def windows(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and repeat marks under each filter position: two arrays of (positions, WIDTH)."""
+def padded(data: bytes) -> bytes:
+    """Blanks up to one chunk at least, and to a whole number of strides."""
     data = data.ljust(CHUNK * STRIDE + WIDTH - STRIDE, b" ")
-    pad = -(len(data) - WIDTH) % STRIDE
-    b = np.frombuffer(data + b" " * pad, np.uint8)
-    view = lambda x: np.lib.stride_tricks.sliding_window_view(x, WIDTH)[::STRIDE]
-    return view(b), view(repeats(b))
+    return data + b" " * (-(len(data) - WIDTH) % STRIDE)
+
+
+def positions(data: bytes) -> int:
+    return (len(data) - WIDTH) // STRIDE + 1
+
+
+def windows(data: bytes, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and repeat marks of padded data under the filter positions from first to last - 1: two arrays of (positions, WIDTH).
+
+    The marks are those that the whole data has there.
+    """
+    start, stop = first * STRIDE, (positions(data) if last is None else last) * STRIDE + WIDTH - STRIDE
+    before, behind = max(0, start - LAGS[-1]), min(len(data), stop + 7)
+    around = np.frombuffer(data[before:behind], np.uint8)
+    view = lambda x: np.lib.stride_tricks.sliding_window_view(x[start - before : stop - before], WIDTH)[::STRIDE]
+    return view(around), view(repeats(around))
 
 
 def chunk_starts(positions: int) -> np.ndarray:
@@ -85,23 +99,27 @@ class Network:
         """What each byte adds to each filter at each of the WIDTH places."""
         return np.einsum("be,kef->kbf", self.p["emb"], self.p["w"][:, :EMBED])
 
-    def chunk_means(self, data: bytes, tables: np.ndarray) -> np.ndarray:
-        b, rep = windows(data)
+    def chunk_means(self, data: bytes, starts: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """Mean responses of the filters in the chunks of padded data that begin at ``starts``, in order."""
+        first = int(starts[0])
+        b, rep = windows(data, first, int(starts[-1]) + CHUNK)
         h = rep @ self.p["w"][:, EMBED] + self.p["b"]
         for k in range(WIDTH):
             h += tables[k][b[:, k]]
         np.maximum(h, 0, out=h)
         total = np.concatenate([np.zeros((1, FILTERS)), np.cumsum(h, axis=0, dtype=np.float64)])
-        s = chunk_starts(len(h))
+        s = starts - first
         return ((total[s + CHUNK] - total[s]) / CHUNK).astype(np.float32)
 
     def score(self, data: bytes, tables: np.ndarray) -> float:
+        """The probability of label 1; chunks are gone through in blocks of about BLOCK bytes."""
         if self.constant is not None:
             return self.constant
-        best = None
-        step = BLOCK - CHUNK * STRIDE
-        for start in range(0, max(1, len(data) - CHUNK * STRIDE), step):
-            g = np.maximum(self.chunk_means(data[start : start + BLOCK], tables) @ self.p["v"] + self.p["c"], 0).max(axis=0)
+        data = padded(data)
+        starts, best = chunk_starts(positions(data)), None
+        step = max(1, BLOCK // (HOP * STRIDE))
+        for k in range(0, len(starts), step):
+            g = np.maximum(self.chunk_means(data, starts[k : k + step], tables) @ self.p["v"] + self.p["c"], 0).max(axis=0)
             best = g if best is None else np.maximum(best, g)
         return float(1 / (1 + np.exp(-np.clip(best @ self.p["u"] + self.p["o"][0], -30, 30))))
 
@@ -113,7 +131,7 @@ class Network:
         p = self.p
         self.p["o"][0] = np.log(labels.mean() / (1 - labels.mean()))
         m, v, t = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
-        inputs = [windows(x) for x in texts]
+        inputs = [windows(padded(x)) for x in texts]
         size = 16
         for epoch in range(epochs):
             lr = rate * 0.5 * (1 + np.cos(np.pi * epoch / epochs))
@@ -180,13 +198,25 @@ def within(sizes: list[tuple[int, int]], budget: int) -> list[int]:
     return picked or [row for row, _ in sorted(sizes, key=lambda x: x[1])[:1]]
 
 
+def agreed(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(doc_id, label) of documents whose label rows all say the same, 0 or 1; nulls don't count."""
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
+    return known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("_high")).filter("label = _high and label in (0, 1)").select("doc_id", "label")
+
+
+def one_text(rows: DataFrame) -> DataFrame:
+    """One row of each doc_id: that whose text's hash is least."""
+    others = [c for c in rows.columns if c not in ("doc_id", "text")]
+    return rows.groupBy("doc_id", *others).agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("_first")).select("doc_id", "_first.text", *others)
+
+
 def learn(docs: DataFrame, labels: DataFrame, learnable: Column, most: int = LEARN_DOCS, most_bytes: int = LEARN_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network:
     """A network fitted on at most ``most`` labelled documents, as many of each label, chosen by hash of the id.
 
     The sample comes to the driver: ``most_bytes`` of text at most, half of it of each label. A document that
     doesn't fit what is left is passed over; where none of a label fits, its shortest is read up to the limit.
     """
-    marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter(learnable & F.col("label").isin(0, 1)).dropDuplicates(["doc_id"])
+    marked = agreed(labels, id_col, label_col).filter(learnable)
     counts = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return Network().fit([], np.zeros(0))
@@ -198,7 +228,7 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, most: int = LEA
         part = likely.filter(F.col("label") == k).orderBy("place", "doc_id").limit(most // 2)
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = texts.join(F.broadcast(chosen), "doc_id")  # at most ``most`` ids
+    found = one_text(texts.join(F.broadcast(chosen), "doc_id"))  # at most ``most`` ids
     sample = materialise(found.withColumn("row", F.monotonically_increasing_id()), "quality_sample")
     size = F.octet_length("text").cast("long").alias("size")
     listed = sample.select("row", "label", size).orderBy("place", "doc_id", F.xxhash64("text")).collect()
