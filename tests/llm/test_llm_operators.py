@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -535,6 +536,169 @@ def test_language_id(spark, docs, empty):
     assert set(grams.tolist()) >= set(again[0].tolist()) and abs(int(counts.max()) - int(again[1].max())) <= 0
 
 
+def naive_grams(text):
+    """N-grams as numbers, 21 bits a character."""
+    words = " " + re.sub(r"[\W\d_]+", " ", text.lower()).strip() + " "
+    found = [c for c in words if c != " "] if words.strip() else []
+    found += [words[k : k + 2] for k in range(len(words) - 1)] if found else []
+    found += [words[k : k + 3] for k in range(len(words) - 2) if words[k + 1] != " "] if found else []
+    return [sum(ord(c) << 21 * (len(x) - 1 - n) for n, c in enumerate(x)) for x in found]
+
+
+def naive_profile(texts):
+    counts = collections.Counter(g for t in texts for g in naive_grams(t))
+    return sorted(counts, key=lambda g: (-counts[g], g))[:400]
+
+
+def test_op8_against_out_of_place_distances(spark, tmp_path):
+    g = random.Random(41)
+    made = {x: ["".join(g.choice(a) for _ in range(g.randrange(2, 7))) for _ in range(60)] for x, a in (("aa", "abcdeé"), ("bb", "bcdefgß"), ("cc", "defghijk"))}
+    rows = [(i, " ".join(g.choice(made[lang]) for _ in range(g.randrange(1, 40))) + g.choice(("", " 12!", "\n")), None if i % 11 == 0 else lang) for i in range(150) for lang in [("aa", "bb", "cc")[i % 3]]]
+    rows += [(200, None, "aa"), (201, "", "bb"), (202, "12 _ ?", "cc"), (203, "Ünï", None), (204, rows[4][1] * 40, None), (4, rows[4][1], "bb")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    profiles = {x: {gram: n for n, gram in enumerate(naive_profile([t for i, t, lang in rows if lang == x and t is not None and not held(i)]))} for x in made}
+    want = []
+    for i, t, _ in rows:
+        own = naive_profile([t]) if t and any(c.isalpha() for c in t) else []
+        apart = {x: sum(min(400, abs(p[gram] - n)) if gram in p else 400 for n, gram in enumerate(own)) for x, p in profiles.items()}
+        best = min(sorted(apart), key=apart.get) if own else "und"
+        want.append((i, held(i), best, round(1 - apart[best] / (400 * len(own)), 9) if own else 0.0))
+    got = QUERIES["op8_language_id"](spark, str(tmp_path))
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score"]
+    assert sorted((*r[:3], round(r[3], 9)) for r in got.collect()) == sorted(want)
+
+
+def test_every_language_can_be_predicted(spark, monkeypatch):
+    """More languages than are counted at once, each of few documents."""
+    monkeypatch.setattr(language_id, "SENT", 100)
+    rows = [(k * 3 + j, " ".join(chr(0x4E00 + 7 * k + m) * 2 for m in range(6)), f"l{k:04d}") for k in range(1100) for j in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = language_id.learn(df, F.lit(True))
+    assert len(profiles.languages) == 1100
+    assert all(r["lang"] == r["lang_pred"] for r in language_id.identify(df, profiles).join(df.select("doc_id", "lang"), "doc_id").collect())
+
+
+def naive_quality(network, data):
+    """The network's forward pass, byte by byte."""
+    q, p = quality, {k: x.astype(float) for k, x in network.p.items()}
+    data = data.ljust(q.CHUNK * q.STRIDE + q.WIDTH - q.STRIDE, b" ")
+    data += b" " * (-(len(data) - q.WIDTH) % q.STRIDE)
+    again = [any(k >= lag and data[k : k + 8] == data[k - lag : k - lag + 8] for lag in q.LAGS) and k + 8 <= len(data) for k in range(len(data))]
+    h = []
+    for at in range(0, len(data) - q.WIDTH + 1, q.STRIDE):
+        total = p["b"].copy()
+        for k in range(q.WIDTH):
+            total += np.r_[p["emb"][data[at + k]], float(again[at + k])] @ p["w"][k]
+        h.append(np.maximum(total, 0))
+    starts = sorted({*range(0, len(h) - q.CHUNK + 1, q.HOP), len(h) - q.CHUNK})
+    units = np.max([np.maximum(np.mean(h[s : s + q.CHUNK], axis=0) @ p["v"] + p["c"], 0) for s in starts], axis=0)
+    return 1 / (1 + np.exp(-(units @ p["u"] + p["o"][0])))
+
+
+def test_quality_forward_and_gradient(monkeypatch):
+    network = quality.Network(3)
+    network.p["o"][0] = 0.3
+    texts = [b"", b"a", b"abc " * 90, prose(150).encode(), bytes(range(256)) * 3, ("é" * 700).encode()]
+    tables = network.tables()
+    whole = [network.score(x, tables) for x in texts]
+    assert np.allclose(whole, [naive_quality(network, x) for x in texts], atol=1e-5)
+    for block in (1, 500, 1000):  # blocks of one chunk, and of a few
+        monkeypatch.setattr(quality, "BLOCK", block)
+        assert np.allclose([network.score(x, tables) for x in texts], whole, atol=1e-6)
+    network.p = {k: x.astype(float) for k, x in network.p.items()}
+    labels = np.array([1, 0, 1, 0, 1, 0], np.float32)
+    loss = lambda: float(np.mean([-np.log(s if y else 1 - s) for s, y in zip([naive_quality(network, x) for x in texts], labels, strict=True)]))
+    grad = network.gradient([quality.windows(quality.padded(x)) for x in texts], labels)
+    g = np.random.default_rng(6)
+    for key, value in network.p.items():
+        flat, slope = value.reshape(-1), np.asarray(grad[key]).reshape(-1)
+        often = np.argsort(-np.abs(slope))[:40]
+        for k in {int(often[0]), int(g.choice(often)), int(g.integers(len(flat)))}:
+            before = flat[k]
+            flat[k] = before + 1e-5
+            high = loss()
+            flat[k] = before - 1e-5
+            low = loss()
+            flat[k] = before
+            assert abs((high - low) / 2e-5 - slope[k]) < 1e-3 + 0.02 * abs(slope[k]), key
+
+
+def test_op2_through_its_query(spark, tmp_path):
+    rows = [(i, prose(30), 1) if i % 3 else (i, (G.choice(VOCABULARY) + " ") * 40, 0) for i in range(240)]
+    rows += [(500, None, 0), (501, "", 0), (502, prose(20), None)]
+    labels = [(i, q) for i, _, q in rows] + [(10, 0), (11, 1), (None, 1), (9999, 1)]  # 10 is contradicted, 11 repeated
+    spark.createDataFrame([r[:2] for r in rows] + [(11, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i, *_ in rows}
+    known = {r["doc_id"]: r["label"] for r in quality.agreed(spark.read.parquet(f"{tmp_path}/labels.parquet"), "doc_id", "quality").collect()}
+    assert known == {9999: 1} | {i: q for i, _, q in rows if q is not None and i != 10}
+    got = QUERIES["op2_quality_classifier"](spark, str(tmp_path))
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"]
+    network = quality.learn(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"), remainder(5) != 0)
+    found = got.collect()
+    assert len(found) == len(rows) + 1
+    for r in found:
+        assert r["held_out"] == held[r["doc_id"]] and r["predicted"] == int(r["score"] >= 0.3)
+    one = {r["doc_id"]: r for r in found if r["doc_id"] != 11}
+    assert all(abs(one[i]["score"] - naive_quality(network, (t or "").encode())) < 1e-4 for i, t, _ in rows[::20] + rows[-3:] if i in one)
+    assert np.mean([one[i]["predicted"] == q for i, _, q in rows[:240] if held[i] and i in one]) > 0.95
+    # what a held-out row says, and columns that aren't the text, change nothing
+    other = spark.createDataFrame([(i, None if q is None else 1 - q if i in held and held[i] else q) for i, q in labels], "doc_id long, quality int")
+    again = quality.learn(spark.read.parquet(f"{tmp_path}/documents.parquet"), other, remainder(5) != 0)
+    assert all((again.p[k] == network.p[k]).all() for k in network.p)
+
+
+def naive_features(text):
+    out = collections.Counter()
+    for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        out.update([w] + [w[:4] + "-"] * (len(w) > 4) + [w[:5] + "-"] * (len(w) > 5))
+    return out
+
+
+def test_op6_through_its_query(spark, tmp_path):
+    rows = []
+    for i in range(300):
+        w = prose(25).split()
+        for _ in range((i % 5 == 0) * (1 + i % 4)):
+            w.insert(G.randrange(len(w)), G.choice(("grotzig", "grotzen", "vilemaan")))
+        rows.append((i, " ".join(w), int(i % 5 == 0)))
+    rows += [(900, None, 0), (901, "", 0), (902, "!!", 1), (903, prose(40) + " x" * 300_000 + " grotzig vilemaan" * 3, None)]
+    spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, t) for i, _, t in rows] + [(1, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    tables = [spark.read.parquet(f"{tmp_path}/{x}.parquet") for x in ("documents", "labels")]
+    held = {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 5 == 0}
+    for got, model in ((as_dict(QUERIES["op6_toxicity"](spark, str(tmp_path))), toxicity.learn(*tables)), (None, toxicity.learn(*tables, remainder(5) != 0))):
+        got = got or as_dict(toxicity.grade(tables[0], model))
+        for i, t, _ in rows:
+            s = sum(model.w[model.at[f]] * (1 + np.log(n)) for f, n in naive_features(t).items() if f in model.at)
+            above = [1 / (1 + np.exp(-(s - x))) for x in model.theta]
+            assert abs(got[i]["severity"] - sum(above)) < 1e-6 and abs(got[i]["p_toxic"] - above[0]) < 1e-6
+            assert (got[i]["grade"], got[i]["toxic"]) == (sum(x >= 0.5 for x in above), above[0] >= 0.5)
+        assert np.mean([got[i]["toxic"] == bool(t) for i, _, t in rows[:300] if i in held]) > 0.95 and got[903]["toxic"]
+
+
+def test_ordinal_fit_is_a_minimum_of_the_likelihood():
+    g = np.random.default_rng(8)
+    rows = [(sorted(g.choice(5, 3, replace=False).tolist()), g.uniform(0.5, 2, 3).tolist()) for _ in range(200)]
+    truth = np.array([2.0, -1.0, 0.5, 1.0, -2.0])
+    grades = np.array([int((np.dot(truth[k], x) + g.logistic()) > 0) + int((np.dot(truth[k], x) + g.logistic()) > 2) for k, x in rows])
+    counts = g.uniform(0.5, 1.5, 200)
+
+    def loss(w, theta):
+        total = 0.0
+        for (k, x), grade, own in zip(rows, grades, counts, strict=True):
+            above = [1.0, *(1 / (1 + np.exp(-(sum(w[i] * v for i, v in zip(k, x, strict=True)) - t))) for t in theta), 0.0]
+            total -= own * np.log(above[grade] - above[grade + 1])
+        return total / len(rows) + 1e-4 / 2 * float(w @ w)
+
+    model = toxicity.Ordinal([f"f{k}" for k in range(5)]).fit(rows, grades, counts_for=counts)
+    least = loss(model.w, model.theta)
+    for _ in range(60):
+        assert least <= loss(model.w + g.normal(0, 0.1, 5), np.sort(model.theta + g.normal(0, 0.1, 2))) + 1e-4
+    assert least < loss(np.zeros(5), np.array([0.0, 1.0]))
+
+
 def test_quality(spark, docs, empty):
     good = [(i, prose(60), 1) for i in range(0, 300, 2)]
     bad = [(i, prose(60).replace(" ", "!! ").upper() if i % 4 == 1 else (G.choice(VOCABULARY) + " ") * 60, 0) for i in range(1, 300, 2)]
@@ -548,14 +712,6 @@ def test_quality(spark, docs, empty):
     edge = as_dict(quality.score(docs, network))
     assert all(0 <= r["score"] <= 1 for r in edge.values()) and quality.score(empty, network).count() == 0
     assert as_dict(quality.score(docs, quality.learn(df, labels.limit(0), remainder(5) != 0)))[1]["score"] == 0.5
-    block = quality.BLOCK
-    try:  # a long text scores alike in blocks and whole
-        text = (prose(3000) + " !!" * 300 + prose(2000)).encode()
-        whole = network.score(text, network.tables())
-        quality.BLOCK = 4096
-        assert abs(network.score(text, network.tables()) - whole) < 0.05
-    finally:
-        quality.BLOCK = block
 
 
 def test_quality_learns_beside_very_long_documents(spark):
