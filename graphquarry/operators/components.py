@@ -5,13 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphquarry.plans.storage import materialise
+from graphquarry.plans.storage import discard, materialise
 
+#: Share of the edges from which a node's are joined by broadcast; there are fewer such nodes than its inverse.
+HOT_SHARE = 0.002
+#: Edges up to which no node can have too many for one task.
+FEW = 500_000
 
-def _star(pairs: DataFrame, large: bool) -> DataFrame:
-    """(src, dst): neighbours of each src joined to the least node among them and src."""
-    least = pairs.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("least"))
-    joined = pairs.join(least, "src")
+
+def _star(pairs: DataFrame, large: bool, total: int) -> DataFrame:
+    """(src, dst): neighbours of each src joined to the least node among them and src.
+
+    The least node is found by partial aggregation. A hub's is sent to wherever its edges are, so that no task gets all of them.
+    """
+    least = pairs.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("least"), F.count(F.lit(1)).alias("many"))
+    if total <= FEW:
+        joined = pairs.join(least, "src")
+    else:
+        hot = least.filter(F.col("many") > total * HOT_SHARE)
+        rest = pairs.join(F.broadcast(hot.select("src")), "src", "left_anti")
+        joined = pairs.join(F.broadcast(hot), "src").unionByName(rest.join(least.hint("merge"), "src"))
     if large:
         return joined.filter("dst > src").select(F.col("dst").alias("src"), F.col("least").alias("dst"))
     moved = joined.filter("dst <> least").select(F.col("dst").alias("src"), F.col("least").alias("dst"))
@@ -37,8 +50,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             break
         seen = mark
         both = state.unionByName(state.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        large = _star(both, True).filter("src <> dst").distinct()
-        state = materialise(_star(large, False).filter("src <> dst").distinct(), "components")
+        large = materialise(_star(both, True, 2 * mark["n"]).filter("src <> dst").distinct(), "components")
+        before, state = state, materialise(_star(large, False, 2 * mark["n"]).filter("src <> dst").distinct(), "components")
+        discard(before, large)
     stars = state.select(F.col("src").alias("id"), F.col("dst").alias("component"))
     heads = state.select("dst").distinct().select(F.col("dst").alias("id"), F.col("dst").alias("component"))
     alone = loops.join(stars.unionByName(heads).select(F.col("id").alias("src")), "src", "left_anti").select(F.col("src").alias("id"), F.col("src").alias("component"))

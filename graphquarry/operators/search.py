@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphquarry.functions.query_parser import parsed
 from graphquarry.operators.graph import call_hierarchy, expand_candidates, inheritance_hierarchy, rules_table
+from graphquarry.operators.enrich import hashing_embedder
 from graphquarry.operators.stats import hierarchy_counts
 from graphquarry.operators.vector import vector_search
+from graphquarry.plans.storage import materialise
+from graphquarry.schema import location_of, metadata_of
 
 
 @dataclass(frozen=True)
@@ -28,29 +32,59 @@ class SearchConfig:
     boost_types: float = 1.1
     max_score: float = 2.0
 
+    def __post_init__(self) -> None:
+        counts = (self.max_vector_results, self.max_entity_results, self.max_total_results)
+        if not all(1 <= x <= 100 for x in counts):
+            raise ValueError("results are limited to 1 to 100")
+        if not 0 <= self.min_similarity <= 2 or self.max_context_nodes < 0 or self.context_roots < 0:
+            raise ValueError("the similarity lies from 0 to 2, numbers of context nodes from 0")
+
+
+#: Characters of an entity by which it meets the names that have them, and lookups that are sent to all tasks.
+GRAM, SENT_LOOKUPS = 3, 100_000
+
+
+def grams(text: Column, size: int) -> Column:
+    """The distinct runs of ``size`` characters of a text; none of null or shorter ones."""
+    n = F.length(text)
+    return F.array_distinct(F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda k: F.substring(text, k, F.lit(size)))).otherwise(F.array().cast("array<string>")))
+
 
 def lookup(names: DataFrame, nodes: DataFrame, limit: int = 10) -> DataFrame:
     """(.., id, label, match_score) for rows of ``names`` (lookup_id, entity): nodes whose name or full name contains the entity.
 
     1.0 for the name itself, 0.9 for the full name, 0.8 within the name, else 0.7; the best
-    ``limit`` of each lookup, by name. Entities come from the text of a query: they are few, and
-    are sent to the nodes only in blocks of rows that their number bounds.
+    ``limit`` of each lookup, by name. What contains an entity contains its first GRAM characters: by those
+    the two meet, and the pairs are checked. An empty entity is in every name; a null one in none.
     """
-    asked = names.select("lookup_id", "entity").filter("entity is not null")
-    rows = asked.orderBy("lookup_id").collect()
-    out = None
+    size = F.least(F.length("entity"), F.lit(GRAM))
+    asked = names.select("lookup_id", "entity").filter("entity is not null").withColumn("gram", F.substring(F.col("entity"), F.lit(1), size))
+    full = F.coalesce("full_name", F.lit(""))
+    every = F.array_distinct(F.concat(F.array(F.lit("")), *[grams(F.coalesce(x, F.lit("")), n) for x in (F.col("name"), full) for n in range(1, GRAM + 1)]))
+    known = nodes.filter("name is not null or full_name is not null").select("id", "label", "name", "full_name", F.explode(every).alias("gram"))
+    few = asked.limit(SENT_LOOKUPS + 1).count() <= SENT_LOOKUPS
+    found = known.join(F.broadcast(asked) if few else asked, "gram")
+    entity = F.col("entity")
+    found = found.filter(F.coalesce(F.contains("name", entity), F.lit(False)) | F.coalesce(F.contains("full_name", entity), F.lit(False)))
+    score = F.when(F.col("name") == entity, 1.0).when(F.col("full_name") == entity, 0.9).when(F.contains("name", entity), 0.8).otherwise(0.7)
     order = Window.partitionBy("lookup_id").orderBy(F.desc("match_score"), F.asc_nulls_last("name"), "id")
-    for at in range(0, len(rows), 1000):
-        block = F.array(*[F.struct(F.lit(r["lookup_id"]).alias("lookup_id"), F.lit(r["entity"]).alias("entity")) for r in rows[at : at + 1000]])
-        hit = F.filter(block, lambda x: F.coalesce(F.contains(F.col("name"), x["entity"]), F.lit(False)) | F.coalesce(F.contains(F.col("full_name"), x["entity"]), F.lit(False)))
-        found = nodes.select("id", "label", "name", "full_name", F.explode(hit).alias("x")).select("id", "label", "name", "full_name", "x.lookup_id", "x.entity")
-        entity = F.col("entity")
-        score = F.when(F.col("name") == entity, 1.0).when(F.col("full_name") == entity, 0.9).when(F.contains("name", entity), 0.8).otherwise(0.7)
-        part = found.withColumn("match_score", score).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = nodes.limit(0).select("id", "label", "name", "full_name").withColumns({"lookup_id": F.lit(""), "entity": F.lit(""), "match_score": F.lit(0.0), "_n": F.lit(0)})
-    return out.select("lookup_id", "entity", "id", "label", "name", "match_score", F.col("_n").alias("place"))
+    best = found.withColumn("match_score", score).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+    return best.select("lookup_id", "entity", "id", "label", "name", "match_score", "place")
+
+
+def named_like(nodes: DataFrame, name_part: str = "", full_name_part: str = "", labels: tuple[str, ...] = ()) -> DataFrame:
+    """Nodes whose name and full name contain these parts, of some labels or of all."""
+    found = nodes.filter(F.contains("name", F.lit(name_part)) & F.contains("full_name", F.lit(full_name_part)))
+    return found.filter(F.col("label").isin(*labels)) if labels else found
+
+
+def node_details(nodes: DataFrame, ids: DataFrame | None = None, include_source: bool = False) -> DataFrame:
+    """What is shown of the nodes with these ids (id), or of all: score 1.0, the place if it is known, and the source code only if asked for."""
+    found = nodes if ids is None else nodes.join(ids.select("id").distinct(), "id", "left_semi")
+    source = F.col("raw_code") if include_source else F.lit(None).cast("string")
+    extra = metadata_of(*[c for c in ("path", "visibility", "type") if c in nodes.columns])
+    shown = ["id", "label", "name", "full_name", F.coalesce("generated_summary", F.lit("")).alias("summary"), source.alias("raw_code")]
+    return found.select(*shown, F.lit(1.0).alias("score"), location_of().alias("location"), extra.alias("metadata"))
 
 
 def merge_and_score(hits: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
@@ -73,16 +107,27 @@ def merge_and_score(hits: DataFrame, config: SearchConfig = SearchConfig()) -> D
     return merged.withColumn("hybrid_score", F.least(F.lit(config.max_score), score)).select("query_id", "seq", "id", "label", "name", "match_type", "base", "hybrid_score")
 
 
-def hybrid_search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, config: SearchConfig = SearchConfig(), rules: DataFrame | None = None) -> DataFrame:
-    """The best nodes for each query (query_id, text, vector): query_id, rank, id, label, name, match_type, hybrid_score, explanation.
+def with_vectors(queries: DataFrame, embed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Queries with a vector each, made from the text by the backend where they bring none."""
+    if "vector" in queries.columns:
+        return queries
+    return queries.withColumn("vector", (embed or hashing_embedder())(F.col("text")))
+
+
+def search_by_text(queries: DataFrame, nodes: DataFrame, config: SearchConfig = SearchConfig(), embed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The nodes nearest to each query (query_id, text[, node_types]); labels that aren't indexed find nothing. The embedding must be the one that the nodes have."""
+    asked = materialise(with_vectors(queries, embed), "queries")
+    return vector_search(nodes, asked, config.max_vector_results, config.min_similarity)
+
+
+def hybrid_search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, config: SearchConfig = SearchConfig(), rules: DataFrame | None = None, embed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The best nodes for each query (query_id, text[, vector]): query_id, rank, id, label, name, match_type, hybrid_score, explanation.
 
     The intent decides the branches: vectors for semantic, hybrid and contextual queries, names for
     entity and hybrid ones, context for contextual ones or where the text asks for it. The context
     is that of the first hits, before scoring.
     """
-    from graphquarry.plans.storage import materialise
-
-    intents = materialise(parsed(queries.select("query_id", "text", "vector")).withColumnRenamed("programming_terms", "keywords"), "intents")
+    intents = materialise(parsed(with_vectors(queries, embed).select("query_id", "text", "vector")).withColumnRenamed("programming_terms", "keywords"), "intents")
     by_vector = intents.filter(F.col("query_type").isin("semantic", "hybrid", "contextual"))
     near = vector_search(nodes, by_vector, config.max_vector_results, config.min_similarity)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))

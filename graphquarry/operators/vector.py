@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphquarry.plans.storage import materialise, new_path
 from graphquarry.schema import INDEXED
 
 MIN_SIMILARITY, MAX_RESULTS, EXACT_BOOST = 0.6, 20, 1.2
-#: Query vectors that are sent to the tasks together; more go in further passes.
-QUERIES_AT_ONCE = 1024
+#: Query vectors in a block; bytes of them that are sent to the tasks in a pass; bytes of node vectors in a block.
+QUERIES_A_BLOCK, QUERY_BYTES, BLOCK_BYTES = 1024, 32 << 20, 16 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -32,66 +33,99 @@ def similar_to(nodes: DataFrame, vector: list[float], k: int = MAX_RESULTS, leas
     return scored.filter("score is not null").orderBy(F.desc("score"), "id").limit(k).filter(F.col("score") >= least)
 
 
-def knn(nodes: DataFrame, queries: DataFrame, k: int = MAX_RESULTS) -> DataFrame:
+def knn(nodes: DataFrame, queries: DataFrame, k: int = MAX_RESULTS, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, id, label, score): the k nearest nodes of each label to each query (query_id, vector).
 
-    Queries go to the tasks in blocks of QUERIES_AT_ONCE; a task multiplies its rows with a
-    block and passes on at most k rows a query and label, so that what is shuffled doesn't
-    grow with the rows a task reads.
+    Queries are written as blocks of QUERIES_A_BLOCK. As many blocks as have ``query_bytes`` are sent to the tasks
+    in a pass over the nodes; more of them go in further passes. A task multiplies blocks of its rows with them and
+    passes on at most k rows a block, query and label.
     """
     spark = nodes.sparkSession
-    asked = queries.filter(F.size("vector") > 0).select("query_id", "vector").orderBy("query_id").collect()
-    slim = nodes.filter((F.size("embedding") > 0) & F.col("label").isin(*INDEXED)).select("id", "label", "embedding")
-    schema = slim.sparkSession.createDataFrame([], queries.select("query_id").schema).schema
-    schema = schema.add("id", "string").add("label", "string").add("score", "double")
-    found = None
-    for at in range(0, len(asked), QUERIES_AT_ONCE):
-        block = asked[at : at + QUERIES_AT_ONCE]
-        part = slim.mapInArrow(_nearest([r["query_id"] for r in block], [r["vector"] for r in block], k, schema), schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], schema)
+    id_type = queries.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {id_type}, id string, label string, score double"
+    asked = queries.filter(F.size("vector") > 0).select("query_id", F.transform("vector", lambda x: x.cast("double")).alias("v"))
+    asked = asked.withColumn("dim", F.size("v")).withColumn("place", F.row_number().over(Window.partitionBy("dim", F.pmod(F.xxhash64("query_id"), F.lit(64))).orderBy("query_id")))
+    block = F.concat_ws("-", F.pmod(F.xxhash64("query_id"), F.lit(64)).cast("string"), F.floor(F.col("place") / QUERIES_A_BLOCK).cast("string"))
+    gathered = asked.groupBy("dim", block.alias("block")).agg(F.collect_list(F.struct("query_id", "v")).alias("q"))
+    packed = materialise(gathered.select("dim", F.col("q.query_id").alias("query_ids"), F.flatten("q.v").alias("query_values")).withColumn("nth", F.monotonically_increasing_id()), "query_blocks")
+    size = packed.agg(F.sum(8 * F.size("query_values").cast("long"))).first()[0] or 0
+    passes = max(1, -(-size // query_bytes))
+    slim = nodes.filter((F.size("embedding") > 0) & F.col("label").isin(*INDEXED)).select("id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    rows = slim.mapInArrow(_gather, "dim int, label string, ids array<string>, values array<double>")
     order = Window.partitionBy("query_id", "label").orderBy(F.desc("score"), "id")
-    return found.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k).drop("_n")
-
-
-def _nearest(names: list, vectors: list, k: int, schema):
-    by_size: dict[int, list[int]] = {}
-    for n, v in enumerate(vectors):
-        by_size.setdefault(len(v), []).append(n)
-
-    def unit(m: np.ndarray) -> np.ndarray:
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, norm, out=np.full_like(m, np.nan), where=norm > 0)
-
-    asked = {d: (rows, unit(np.array([vectors[n] for n in rows], float))) for d, rows in by_size.items()}
 
+    def one(n: int) -> DataFrame:
+        few = packed if passes == 1 else packed.filter(F.pmod(F.xxhash64("nth"), F.lit(passes)) == n)
+        met = rows.join(F.broadcast(few.drop("nth")), "dim").mapInArrow(_nearest(k), schema)
+        return met.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k).drop("_n")
+
+    if passes == 1:
+        return one(0)
+    path = new_path(spark, "knn")
+    for n in range(passes):
+        one(n).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, label, v) as blocks of one label and length, of about BLOCK_BYTES."""
+    held: dict[tuple[int, str], list[tuple[pa.Array, pa.Array]]] = {}
+    size: dict[tuple[int, str], int] = {}
+
+    def flush(key: tuple[int, str]) -> pa.RecordBatch:
+        ids, values = (pa.concat_arrays(x) for x in zip(*held.pop(key), strict=True))
+        size.pop(key)
+        whole = lambda a, t: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a.cast(t))
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]]), whole(ids, pa.string()), whole(values, pa.float64())], names=["dim", "label", "ids", "values"])
+
+    for batch in batches:
+        lists, labels = batch.column("v"), batch.column("label").dictionary_encode()
+        dims = lists.value_lengths().to_numpy(zero_copy_only=False)
+        codes = labels.indices.to_numpy(zero_copy_only=False)
+        for dim, code in set(zip(dims.tolist(), codes.tolist(), strict=True)):
+            at = pa.array(np.nonzero((dims == dim) & (codes == code))[0])
+            key = (dim, labels.dictionary[code].as_py())
+            held.setdefault(key, []).append((batch.column("id").take(at), lists.take(at).flatten()))
+            size[key] = size.get(key, 0) + 8 * dim * len(at)
+            if size[key] >= BLOCK_BYTES:
+                yield flush(key)
+    for key in list(held):
+        yield flush(key)
+
+
+def _matrix(values: pa.ListScalar, dim: int) -> np.ndarray:
+    """Rows of unit length; NaN where a row is all zeros."""
+    m = values.values.to_numpy(zero_copy_only=False).reshape(-1, dim)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, norm, out=np.full_like(m, np.nan, dtype=float), where=norm > 0)
+
+
+def _nearest(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, labels = batch.column("id").to_pylist(), np.array(batch.column("label").to_pylist(), object)
-            lists = batch.column("embedding").to_pylist()
-            sizes = np.array([len(x) for x in lists])
-            out: list[list] = [[], [], [], []]
-            for d, (rows, q) in asked.items():
-                for label in set(labels[sizes == d]):
-                    at = np.nonzero((sizes == d) & (labels == label))[0]
-                    score = (1 + q @ unit(np.array([lists[i] for i in at], float)).T) / 2
-                    for n, own in zip(rows, score, strict=True):
-                        good = np.nonzero(~np.isnan(own))[0]
-                        if len(good) > k:
-                            edge = np.partition(own[good], -k)[-k]
-                            good = good[own[good] >= edge]
-                        for i in sorted(good, key=lambda i: (-own[i], ids[at[i]]))[:k]:
-                            out[0].append(names[n]), out[1].append(ids[at[i]]), out[2].append(label), out[3].append(float(own[i]))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch_type(names)), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.float64())], names=["query_id", "id", "label", "score"])
+            for n in range(batch.num_rows):
+                dim, label = batch.column("dim")[n].as_py(), batch.column("label")[n].as_py()
+                ids, names = batch.column("ids")[n].values, batch.column("query_ids")[n].values
+                rows, asked = (_matrix(batch.column(c)[n], dim) for c in ("values", "query_values"))
+                known = np.nonzero(~np.isnan(rows[:, 0]))[0]
+                rows, of, at, scores = rows[known], [], [], []
+                step = max(1, (4 << 20) // max(1, len(known)))
+                for first in range(0, len(asked), step):
+                    score = (1 + asked[first : first + step] @ rows.T) / 2
+                    for q, own in enumerate(score):
+                        if not len(own) or np.isnan(own[0]):
+                            continue
+                        good = np.arange(len(own))
+                        if len(own) > k:  # all that tie with the k-th
+                            good = np.nonzero(own >= np.partition(own, -k)[-k])[0]
+                        of.append(np.full(len(good), first + q)), at.append(known[good]), scores.append(own[good])
+                if of:
+                    of, at = pa.array(np.concatenate(of)), pa.array(np.concatenate(at))
+                    yield pa.RecordBatch.from_arrays([names.take(of), ids.take(at), pa.array([label] * len(at)), pa.array(np.concatenate(scores))], names=["query_id", "id", "label", "score"])
 
     return run
 
 
-def batch_type(names: list) -> pa.DataType:
-    return pa.string() if names and isinstance(names[0], str) else pa.int64()
-
-
 def exact_match(text: Column, name: Column, summary: Column) -> Column:
     """Name within the query or the query within the name, or a query word of over 3 letters within the summary.
 
@@ -121,7 +155,8 @@ def vector_search(nodes: DataFrame, queries: DataFrame, k: int = MAX_RESULTS, le
     return scored.select("query_id", "id", "label", "name", "original_score", "score")
 
 
-def similar_nodes(nodes: DataFrame, ids: list[str], k: int = MAX_RESULTS, least: float = MIN_SIMILARITY, boost: bool = True) -> DataFrame:
-    """For each of some nodes its nearest of the same label, itself taken out after the limit, hence k - 1 at most."""
-    own = nodes.filter(F.col("id").isin(ids)).select(F.col("id").alias("query_id"), F.lit("").alias("text"), F.col("embedding").alias("vector"), F.array("label").alias("node_types"))
+def similar_nodes(nodes: DataFrame, ids: list[str] | DataFrame, k: int = MAX_RESULTS, least: float = MIN_SIMILARITY, boost: bool = True) -> DataFrame:
+    """For each of some nodes (ids, or rows with an id) its nearest of the same label, itself taken out after the limit, hence k - 1 at most."""
+    asked = nodes.filter(F.col("id").isin(ids)) if isinstance(ids, list) else nodes.join(ids.select("id").distinct(), "id", "left_semi")
+    own = asked.select(F.col("id").alias("query_id"), F.lit("").alias("text"), F.col("embedding").alias("vector"), F.array("label").alias("node_types"))
     return vector_search(nodes, own, k, least, boost, per_label=True).filter("query_id <> id")

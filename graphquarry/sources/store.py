@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,12 +11,27 @@ from graphquarry.operators.graph import component_of, resolved_edges
 from graphquarry.schema import INTERCHANGE, NODE_FIELDS
 
 
-def upsert_nodes(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Merge by id: what the new row has replaces, nulls leave the stored value."""
+def latest(*batches: DataFrame) -> DataFrame:
+    """One row an id: of each column the last batch's value that isn't null; within a batch that of the row with the largest hash."""
+    tagged = None
+    for n, b in enumerate(batches):
+        hashed = [c for c, t in b.dtypes if "map<" not in t]
+        part = b.withColumn("_order", F.struct(F.lit(n).alias("batch"), F.xxhash64(*hashed).alias("tie")))
+        tagged = part if tagged is None else tagged.unionByName(part, allowMissingColumns=True)
+    names = [c for c in tagged.columns if c not in ("id", "_order")]
+    return tagged.groupBy("id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_order"))).alias(c) for c in names])
+
+
+def upsert_nodes(stored: DataFrame, *incoming: DataFrame) -> DataFrame:
+    """Merge by id: what the new rows have replaces, nulls leave the stored value.
+
+    Ids that repeat among the new rows are one node; the last batch's values win.
+    """
+    new = latest(*incoming)
     names = [c for c in stored.columns if c != "id"]
-    new = incoming.select("id", *[F.col(c).alias(f"_{c}") for c in names if c in incoming.columns])
-    joined = stored.join(new, "id", "full_outer")
-    return joined.select("id", *[F.coalesce(f"_{c}", c).alias(c) if c in incoming.columns else F.col(c) for c in names])
+    known = [c for c in names if c in new.columns]
+    joined = stored.join(new.select("id", *[F.col(c).alias(f"_{c}") for c in known]), "id", "full_outer")
+    return joined.select("id", *[F.coalesce(f"_{c}", c).alias(c) if c in known else F.col(c) for c in names])
 
 
 def merge_edges(*batches: DataFrame) -> DataFrame:
@@ -34,10 +51,14 @@ def create_edges(nodes: DataFrame, stored: DataFrame, incoming: DataFrame) -> Da
     return merge_edges(stored, resolved_edges(nodes, incoming))
 
 
+def owned_by(nodes: DataFrame, paths: DataFrame) -> DataFrame:
+    """The nodes that files at ``paths`` (path) own, the files included."""
+    return nodes.join(paths.select("path").distinct(), "path", "left_semi").select(*nodes.columns)
+
+
 def delete_owned(nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Without everything that files at ``paths`` (path) own, and without edges to or from it."""
-    gone = nodes.join(paths.select("path").distinct(), "path", "left_semi").select("id")
-    return _without(nodes, edges, gone)
+    return _without(nodes, edges, owned_by(nodes, paths).select("id"))
 
 
 def delete_component(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -45,6 +66,14 @@ def delete_component(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> tu
     return _without(nodes, edges, component_of(roots, edges))
 
 
+def deletion_counts(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """One row: the files among ``gone`` (id), the other nodes, and the edges that go with them."""
+    ids = gone.select("id").distinct()
+    n = nodes.join(ids, "id", "left_semi").agg(F.count_if(F.col("label") == "File").alias("files"), F.count_if(F.col("label") != "File").alias("related"))
+    marked = edges.join(ids.select(F.col("id").alias("src"), F.lit(1).alias("_s")), "src", "left").join(ids.select(F.col("id").alias("dst"), F.lit(1).alias("_d")), "dst", "left")
+    return n.join(marked.agg(F.count_if(F.coalesce("_s", "_d").isNotNull()).alias("edges")), how="inner")
+
+
 def _without(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     kept = edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
     return nodes.join(gone, "id", "left_anti").select(*nodes.columns), kept.select(*edges.columns)
@@ -77,9 +106,22 @@ def edges_of(documents: DataFrame) -> DataFrame:
     return documents.select(F.explode("relationships").alias("r")).select(F.col("r.source_id").alias("src"), F.col("r.target_id").alias("dst"), "r.type", "r.properties")
 
 
-def combine(documents: DataFrame) -> DataFrame:
-    """All documents' files, nodes and edges as one batch of language ``multi``, each kind a table of its own in the result's rows."""
-    return documents.withColumn("language", F.lit("multi"))
+@dataclass(frozen=True)
+class Batch:
+    """What several extraction runs found, as one batch."""
+
+    language: str
+    files: DataFrame
+    nodes: DataFrame
+    edges: DataFrame
+
+
+def combine(*documents: DataFrame) -> Batch:
+    """The files, nodes and edges of all documents (rows of ``read_interchange``) together, language ``multi``. Repeats stay, for the upsert to reduce."""
+    every = documents[0]
+    for d in documents[1:]:
+        every = every.unionByName(d)
+    return Batch("multi", every.select(F.explode("processed_files").alias("path")), nodes_of(every), edges_of(every))
 
 
 def write_interchange(nodes: DataFrame, edges: DataFrame, path: str, language: str = "multi") -> None:
