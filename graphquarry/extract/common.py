@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import bisect
-import hashlib
 import posixpath
 
+from graphquarry.schema import node_id
+
 
 class Graph:
     def __init__(self, path: str, text: str, language: str):
@@ -20,7 +21,7 @@ class Graph:
     def add(self, label: str, name: str, full_name: str, span: tuple[int, int] | None = None, parent: str | None = None, edge: str | None = None, **fields) -> str:
         """A node, with the text between two offsets as its code, and an edge from its parent; returns its id."""
         nth = self.seen[label, full_name] = self.seen.get((label, full_name), -1) + 1
-        own = hashlib.sha256("|".join((label, self.path, full_name, str(nth))).encode()).hexdigest()
+        own = node_id(label, self.path, full_name, nth)
         node = {"id": own, "label": label, "name": name, "full_name": full_name, "path": self.path}
         if span:
             node |= {"raw_code": self.text[span[0] : span[1]], "location": self.location(*span)}

@@ -36,11 +36,13 @@ def extract_csharp(path: str, text: str) -> tuple[list[dict], list[dict]]:
     around: list[tuple[int, int, str]] = []
 
     def docs(at: int) -> str | None:
-        lines = []
-        for line in reversed(text[:at].split("\n")[:-1]):
-            if not line.strip().startswith("///"):
+        lines, n = [], g.place(at)[0] - 1
+        while n > 0:
+            line = text[g.lines[n - 1] : g.lines[n] - 1].strip()
+            if not line.startswith("///"):
                 break
-            lines.append(line.strip().removeprefix("///").strip())
+            lines.append(line.removeprefix("///").strip())
+            n -= 1
         return "\n".join(reversed(lines)).strip() or None
 
     def parameters(owner: str, full: str, part: str) -> list[str]:
@@ -117,7 +119,9 @@ def extract_csharp(path: str, text: str) -> tuple[list[dict], list[dict]]:
         open_ = m.find("{", t.end())
         end = closing(m, open_)
         space = next((n for a, b, n in reversed(spaces) if a < t.start() < b), None)
-        outer = [n for a, b, n in around if a < t.start() < b]
+        while around and around[-1][1] <= t.start():  # types come in order: those that have closed hold no more
+            around.pop()
+        outer = [n for _, _, n in around]
         full = ".".join([*([space] if space else []), *outer, t["name"]]) if space or outer else f"{path}::{t['name']}"
         around.append((open_, end, t["name"]))
         mods = t["mods"].split()

@@ -23,6 +23,8 @@ _DECLARED = re.compile(
 _METHOD = re.compile(r"(?P<mods>(?:(?:public|private|protected|static|async|abstract|override|readonly|get|set)\s+)*)(?P<star>\*?)\s*(?P<name>#?[A-Za-z_$][\w$]*)\s*\??\s*(?=[(<])")
 _NOT_METHODS = ("if", "for", "while", "switch", "catch", "return", "function", "new", "typeof", "await", "super", "with")
 _NAME = re.compile(r"[A-Za-z_$][\w$]*")
+_GOES_ON = re.compile(r"\s*[.,?:+&|=]")
+_LOOP = re.compile(r"\s(?:of|in)\s")
 
 
 def extract_ecma(path: str, text: str, language: str, module_system: str = "esm") -> tuple[list[dict], list[dict]]:
@@ -123,7 +125,7 @@ def extract_ecma(path: str, text: str, language: str, module_system: str = "esm"
                 if m[k] in "{([":
                     k = closing(m, k)
                     continue
-                if m[k] == ";" or m[k] == "\n" and not re.match(r"\s*[.,?:+&|=]", m[k:]) or re.match(r"\s(?:of|in)\s", m[k:]):
+                if m[k] == ";" or m[k] == "\n" and not _GOES_ON.match(m, k) or m[k].isspace() and _LOOP.match(m, k):
                     end = k
                     break
                 k += 1

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 # They decide how a query is classified.
 PROGRAMMING_TERMS = (
-    "class method function variable interface enum constructor property field parameter return "
-    "public private protected static async await import export extends implements inherit override "
-    "abstract virtual final const let var api service controller model dto entity repository database "
-    "query connection client http request response json xml rest authenticate authorize login logout "
-    "session cache redis memory storage file directory test mock stub unit integration e2e exception "
-    "error try catch throw handle log logger debug info warn"
-).split()
+    "class", "method", "function", "variable", "interface", "enum", "constructor", "property", "field", "parameter",
+    "return", "public", "private", "protected", "static", "async", "await", "import", "export", "extends",
+    "implements", "inherit", "override", "abstract", "virtual", "final", "const", "let", "var", "api", "service",
+    "controller", "model", "dto", "entity", "repository", "database", "query", "connection", "client", "http",
+    "request", "response", "json", "xml", "rest", "authenticate", "authorize", "login", "logout", "session", "cache",
+    "redis", "memory", "storage", "file", "directory", "test", "mock", "stub", "unit", "integration", "e2e",
+    "exception", "error", "try", "catch", "throw", "handle", "log", "logger", "debug", "info", "warn",
+)
 ENTITY_PATTERNS = (
     r"\b[A-Z][a-zA-Z]*(?:Service|Controller|Repository|Manager|Handler|Factory|Builder|Helper|Util|Utils)\b",
     r"\b[A-Z][a-zA-Z]*(?:Entity|Model|DTO|Request|Response|Config|Configuration)\b",
@@ -29,12 +30,12 @@ CONTEXT_PHRASES = (
     "calls", "called by", "uses", "used by", "implements", "extends", "inherits", "derived",
     "related", "similar", "dependencies", "hierarchy", "structure", "architecture", "flow", "interaction",
 )
-STRATEGIES = ("Vector semantic search using embeddings", "Direct entity name lookup", "Graph context expansion")
+STRATEGIES = ("nearest embeddings", "lookup by name", "related nodes")
 APPROACHES = {
-    "semantic": "Pure semantic search - finding code with similar meaning",
-    "entity": "Entity lookup - finding specific named code elements",
-    "hybrid": "Hybrid approach - combining semantic search with entity lookup",
-    "contextual": "Contextual search - semantic search with relationship traversal",
+    "semantic": "by meaning: the nodes whose embeddings are nearest",
+    "entity": "by name: the nodes called as the query says",
+    "hybrid": "by meaning and by name together",
+    "contextual": "by meaning, with the neighbourhood of what is found",
 }
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,7 +17,7 @@ CHILD_TYPES, RELATED_TYPES = ("CONTAINS", "DEFINES", "DECLARES"), ("CALLS", "USE
 #: Labels whose missing summary keeps their parent waiting.
 BLOCKING = ("Class", "Interface", "Method", "Function", "Variable", "Parameter")
 MAX_CHILDREN, MAX_RELATED = 10, 5
-# The closing instruction of each level's prompt.
+# The prompt's wording, in which each level's instruction closes it.
 FOCUS = {
     "Parameter": "Focus on: parameter type, purpose, constraints, default values",
     "Variable": "Focus on: variable type, purpose, scope, usage pattern",
@@ -44,9 +44,10 @@ def pending_embeddings(nodes: DataFrame, limit: int | None = None) -> DataFrame:
     return found.orderBy("id").limit(limit) if limit else found
 
 
-def pending_level(nodes: DataFrame, label: str) -> DataFrame:
-    """Nodes of a level that have no summary and aren't in work."""
-    return nodes.filter((F.col("label") == label) & blank("generated_summary") & (F.coalesce("summary_status", F.lit("")) != "PROCESSING"))
+def pending_level(nodes: DataFrame, label: str, limit: int | None = None) -> DataFrame:
+    """Nodes of a level that have no summary and aren't in work: all, or the first by full name as one batch."""
+    found = nodes.filter((F.col("label") == label) & blank("generated_summary") & (F.coalesce("summary_status", F.lit("")) != "PROCESSING"))
+    return found.orderBy(F.asc_nulls_last("full_name"), "id").limit(limit) if limit else found
 
 
 def ready(candidates: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -95,6 +96,46 @@ def extractive_summary() -> Column:
     return F.concat(text, F.when(held > 0, F.format_string(" (%d components)", held)).otherwise(""))
 
 
+def batch_summariser(summarise: Callable[[list[str]], list[str | None]], batch: int = 32) -> Callable[[], Column]:
+    """A backend that gets prompts in batches, as the levels want it.
+
+    The prompts of a batch that raises are tried one by one; what raises alone, and what is
+    null, has failed, and stops nothing else.
+    """
+
+    @F.pandas_udf("string")
+    def run(prompts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in prompts:
+            yield pd.Series(_in_batches(summarise, s.fillna("").tolist(), batch), dtype=object)
+
+    return lambda: run(F.col("prompt"))
+
+
+def batch_embedder(embed: Callable[[list[str]], list[list[float]]], batch: int = 32, max_chars: int | None = None) -> Callable[[Column], Column]:
+    """A backend that gets texts in batches, cut to ``max_chars`` if that is given; failures give no vector, so that the node stays pending."""
+
+    @F.pandas_udf("array<float>")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in texts:
+            cut = [x[:max_chars] if max_chars else x for x in s.fillna("").tolist()]
+            yield pd.Series([None if v is None else list(map(float, v)) for v in _in_batches(embed, cut, batch)], dtype=object)
+
+    return run
+
+
+def _in_batches(function: Callable[[list[str]], list], texts: list[str], batch: int) -> list:
+    def tried(some: list[str]) -> list:
+        try:
+            made = list(function(some))
+            if len(made) != len(some):
+                raise ValueError(f"{len(made)} results for {len(some)} texts")
+            return made
+        except Exception:  # whatever the backend raises is its batch's own failure
+            return [None] if len(some) == 1 else [x for one in some for x in tried([one])]
+
+    return [x for k in range(0, len(texts), batch) for x in tried(texts[k : k + batch])]
+
+
 def embed_text() -> Column:
     """What is embedded of a node: its summary, else the beginning of its code, else its name."""
     return F.when(F.trim(F.coalesce("generated_summary", F.lit(""))) != "", F.col("generated_summary")).when(~blank("raw_code"), F.substring("raw_code", 1, 1000)).otherwise(F.coalesce("name", F.lit("")))
@@ -135,20 +176,26 @@ def reset_status(nodes: DataFrame) -> DataFrame:
 
 
 def summarise_levels(nodes: DataFrame, edges: DataFrame, summarise: Callable[[], Column] = extractive_summary) -> DataFrame:
-    """Summaries of all levels, bottom-up: one set-based, written step a level.
+    """Summaries of all levels, bottom-up: one set-based step a level.
 
     ``summarise`` makes a column from a node's columns, children, related and prompt; where
-    it gives null the node gets a note that it failed, and is not tried again.
+    it gives null the node gets a note that it failed, and is not tried again. A level writes only its
+    new summaries; between levels only ids, names and summaries are put together, and the nodes are joined once, at the end.
     """
-    state = nodes
+    narrow = nodes.select("id", "label", "name", "generated_summary", "summary_status")
+    made: DataFrame | None = None
     for label in LEVELS:
-        work = prompts(ready(pending_level(state, label), state, edges), state, edges)
+        state = narrow if made is None else _with_summaries(narrow, made)
+        work = prompts(ready(pending_level(nodes, label), state, edges), state, edges)
         failed = F.concat(F.lit("Code "), F.lower("label"), F.lit(" - summary generation failed"))
-        done = work.select("id", F.coalesce(summarise(), failed).alias("generated_summary"))
-        made = done.withColumn("summary_status", F.lit("COMPLETED"))
-        joined = state.join(made.select("id", F.col("generated_summary").alias("_s"), F.col("summary_status").alias("_t")), "id", "left")
-        state = materialise(joined.withColumns({"generated_summary": F.coalesce("_s", "generated_summary"), "summary_status": F.coalesce("_t", "summary_status")}).select(*nodes.columns), f"summaries-{label.lower()}")
-    return state
+        done = materialise(work.select("id", F.coalesce(summarise(), failed).alias("_s"), F.lit("COMPLETED").alias("_t")), f"summaries-{label.lower()}")
+        made = done if made is None else made.unionByName(done)
+    return materialise(_with_summaries(nodes, made), "summaries")
+
+
+def _with_summaries(nodes: DataFrame, made: DataFrame) -> DataFrame:
+    columns = {"generated_summary": F.coalesce("_s", "generated_summary"), "summary_status": F.coalesce("_t", "summary_status")}
+    return nodes.join(made, "id", "left").withColumns(columns).select(*nodes.columns)
 
 
 def embed_pending(nodes: DataFrame, embed: Callable[[Column], Column] | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,9 +38,9 @@ INTERCHANGE = (
 )
 
 
-def node_id(label: Column, path: Column, full_name: Column, ordinal: Column) -> Column:
+def node_id(label: str, path: str, full_name: str, ordinal: int) -> str:
     """The same id for the same element in every run, and different ones in different files."""
-    return F.sha2(F.concat_ws("|", label, path, full_name, ordinal.cast("string")), 256)
+    return hashlib.sha256("|".join((label, path, full_name, str(ordinal))).encode()).hexdigest()
 
 
 def known_label(label: Column) -> Column:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import posixpath
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ IGNORED = ("__pycache__", ".git", ".svn", ".hg", "node_modules", "bin", "obj", "
 DOT_FILES_KEPT = (".gitignore", ".env")
 LANGUAGES = {".py": "python", ".cs": "csharp", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".tsx": "typescript"}
 JS_IGNORED = ("node_modules", "dist", "build")
+#: Folders that the driver lists before tasks go on.
+FOLDERS = 256
 FILE = "path string, absolute_path string, size bigint, content binary"
 
 
@@ -41,36 +45,70 @@ def javascript_files(files: DataFrame) -> DataFrame:
     return files.filter(language(F.col("path")).isin("javascript", "typescript") & ~skip)
 
 
+def _opened(root: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and the path in it of a folder, given as a path or as a URI."""
+    if "://" in root or root.startswith("file:"):
+        return pafs.FileSystem.from_uri(root)
+    return pafs.LocalFileSystem(), os.path.abspath(root)
+
+
+def _listed(store: pafs.FileSystem, root: str, folder: str) -> tuple[list[str], list[str]]:
+    """Files and folders that stand directly in a folder, relative to the root; ignored folders aren't entered, unreadable ones are empty."""
+    try:
+        found = store.get_file_info(pafs.FileSelector(posixpath.join(root, folder) if folder else root))
+    except OSError:
+        return [], []
+    named = [(posixpath.join(folder, x.base_name), x.type) for x in found]
+    files = sorted(x for x, t in named if t == pafs.FileType.File)
+    return files, sorted(x for x, t in named if t == pafs.FileType.Directory and posixpath.basename(x) not in IGNORED)
+
+
 def scan_directory(spark: SparkSession, root: str, partitions: int | None = None) -> DataFrame:
     """The known source files under ``root``: path relative to it, content and checksum.
 
-    The driver lists names only; tasks read the contents, so ``root`` must be a folder that
-    all of them see. Files that can't be read get an empty checksum. A missing root raises.
+    ``root`` is a folder that all tasks see, or the URI of one in any store that Arrow opens. The driver
+    lists the upper folders, until there are FOLDERS to share out; tasks walk those, list and read their
+    files. Files that can't be read get an empty checksum. A missing root raises.
     """
-    if not os.path.isdir(root):
+    store, top = _opened(root)
+    if store.get_file_info(top).type != pafs.FileType.Directory:
         raise FileNotFoundError(root)
-    listed = []
-    for folder, folders, names in os.walk(root):
-        folders[:] = sorted(d for d in folders if d not in IGNORED)
-        listed += [(os.path.relpath(os.path.join(folder, n), root),) for n in sorted(names)]
-    paths = spark.createDataFrame(listed, "path string")
-    chosen = paths.filter(wanted(F.col("path")) & language(F.col("path")).isNotNull())
-    chosen = chosen.repartition(partitions or spark.sparkContext.defaultParallelism)
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for p in pdf["path"]:
-                full = os.path.join(root, p)
+    names: list[str] = []
+    folders = [""]
+    while folders and len(folders) < FOLDERS:
+        found = [_listed(store, top, x) for x in folders]
+        names += [x for files, _ in found for x in files]
+        folders = [x for _, inner in found for x in inner]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, base = _opened(root)
+        for batch in batches:
+            todo = batch.column("folder").to_pylist()
+            while todo:
+                files, inner = _listed(own, base, todo.pop())
+                todo += inner
+                yield pa.RecordBatch.from_arrays([pa.array(files, pa.string())], names=["path"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, base = _opened(root)
+        for batch in batches:
+            for p in batch.column("path").to_pylist():
+                full = posixpath.join(base, p)
                 try:
-                    with open(full, "rb") as f:
+                    with own.open_input_stream(full) as f:
                         data = f.read()
                 except OSError:
                     data = None
-                rows.append((p, os.path.abspath(full), len(data) if data is not None else 0, data))
-            yield pd.DataFrame(rows, columns=["path", "absolute_path", "size", "content"])
+                columns = [[p], [full], [len(data) if data is not None else 0], [data]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.binary()), strict=True)], names=["path", "absolute_path", "size", "content"])
 
-    return described(chosen.mapInPandas(read, FILE))
+    paths = spark.createDataFrame([(x,) for x in names], "path string")
+    if folders:
+        inner = spark.createDataFrame([(x,) for x in folders], "folder string").repartition(partitions or len(folders))
+        paths = paths.unionByName(inner.mapInArrow(walk, "path string"))
+    chosen = paths.filter(wanted(F.col("path")) & language(F.col("path")).isNotNull())
+    chosen = chosen.repartition(partitions or spark.sparkContext.defaultParallelism)
+    return described(chosen.mapInArrow(read, FILE))
 
 
 def described(files: DataFrame) -> DataFrame:
