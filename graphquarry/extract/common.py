@@ -18,13 +18,13 @@ class Graph:
         suffix = posixpath.splitext(path)[1]
         self.file = self.add("File", posixpath.basename(path), path, absolute_path=path, extension=suffix.lower(), content=text, raw_code=None, language=language)
 
-    def add(self, label: str, name: str, full_name: str, span: tuple[int, int] | None = None, parent: str | None = None, edge: str | None = None, **fields) -> str:
-        """A node, with the text between two offsets as its code, and an edge from its parent; returns its id."""
+    def add(self, label: str, name: str, full_name: str, span: tuple[int, int] | None = None, parent: str | None = None, edge: str | None = None, at: tuple[int, int] | None = None, **fields) -> str:
+        """A node, with the text between two offsets as its code and as its place, unless that is given, and an edge from its parent; returns its id."""
         nth = self.seen[label, full_name] = self.seen.get((label, full_name), -1) + 1
         own = node_id(label, self.path, full_name, nth)
         node = {"id": own, "label": label, "name": name, "full_name": full_name, "path": self.path}
         if span:
-            node |= {"raw_code": self.text[span[0] : span[1]], "location": self.location(*span)}
+            node |= {"raw_code": self.text[span[0] : span[1]], "location": self.location(*(at or span))}
         self.nodes.append(node | fields)
         if parent:
             self.edges.append({"src": parent, "dst": own, "type": edge})
@@ -102,3 +102,23 @@ def split_top(text: str, mask: str, sep: str = ",") -> list[str]:
             start = k + 1
     last = text[start:].strip()
     return [*parts, last] if last or parts else []
+
+
+def parts(mask: str, begin: int, end: int) -> list[tuple[int, int]]:
+    """The stretches between commas outside brackets."""
+    out, depth, start = [], 0, begin
+    for k in range(begin, end):
+        c = mask[k]
+        depth += (c in "([{") - (c in ")]}")
+        if c == "," and not depth:
+            out.append((start, k))
+            start = k + 1
+    return [*out, (start, end)]
+
+
+def last_before(mask: str, at: int) -> str:
+    """The last character before an offset that isn't blank; empty if there is none."""
+    k = at
+    while k and mask[k - 1].isspace():
+        k -= 1
+    return mask[k - 1 : k]

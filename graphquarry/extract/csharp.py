@@ -1,22 +1,26 @@
 """C#, by a scan of the text outside strings and comments.
 
-Full names are made of the namespace, the types around and the member; bases are told
-apart as the file shows them: a declared interface or class of that name, else the
-convention of a leading I; a first base that is neither is a class.
+Full names are made of the namespace, the types around and the member, with type parameters; bases are told
+apart as the file shows them: a declared interface or class of that name, which then has its full name, else the
+convention of a leading I; a first base that is neither is a class. Structs and records have
+no node of their own, hence their members no parent; finalisers, operators, events and delegates have none either.
 """
 
 from __future__ import annotations
 
 import re
 
-from graphquarry.extract.common import Graph, closing, masked, split_top
+from graphquarry.extract.common import Graph, closing, last_before, masked, parts, split_top
 
-_MODS = r"(?P<mods>(?:(?:public|private|protected|internal|static|abstract|sealed|virtual|override|async|readonly|const|partial|new|extern|unsafe|volatile|required|event)\s+)*)"
+_MODS = r"(?P<mods>(?:(?:public|private|protected|internal|static|abstract|sealed|virtual|override|async|readonly|const|partial|new|extern|unsafe|volatile|required|event|delegate)\s+)*)"
 _TYPE = re.compile(_MODS + r"(?P<kind>class|interface|struct|record|enum)\s+(?P<name>[A-Za-z_]\w*)\s*(?P<generic><[^{>]*>)?")
 _USING = re.compile(r"^[ \t]*using\s+(?:static\s+)?(?:(?P<alias>\w+)\s*=\s*)?(?P<name>[\w.]+)\s*;", re.M)
 _SPACE = re.compile(r"\bnamespace\s+([\w.]+)\s*([{;])")
 _WORD = r"[\w.]+(?:\s*<[^;{}()]*?>)?(?:\[[,\s]*\])*\??"
-_MEMBER = re.compile(_MODS + rf"(?:(?P<type>{_WORD})\s+)?(?P<name>~?[A-Za-z_]\w*)\s*(?:<[\w,\s]+>)?\s*(?P<next>\(|\{{|=>|=(?!=)|;|,)")
+_MEMBER = re.compile(_MODS + rf"(?:(?P<type>{_WORD})\s+)?(?P<name>~?[A-Za-z_]\w*)\s*(?P<generic><[\w,\s]+>)?\s*(?P<next>\(|\{{|=>|=(?!=)|;|,)")
+
+
+_STOP = re.compile(r"\{|;|=>")
 
 
 def visibility(mods: list[str]) -> str:
@@ -30,13 +34,16 @@ def extract_csharp(path: str, text: str) -> tuple[list[dict], list[dict]]:
         at = u.start() + len(u[0]) - len(u[0].lstrip())
         g.add("Import", f"using {u['name']}", f"{path}::using::{u['name']}", (at, u.end()), g.file, "IMPORTS", module=u["name"], alias=u["alias"], imported_names=[], is_wildcard=False)
     spaces = [(s.start(), closing(m, s.end() - 1) if s[2] == "{" else len(m), s[1]) for s in _SPACE.finditer(m)]
-    found = [t for t in _TYPE.finditer(m) if m.find("{", t.end()) >= 0]
+    found = [t for t in _TYPE.finditer(m) if m.find("{", t.end()) >= 0 and not (t.start() and (m[t.start() - 1].isalnum() or m[t.start() - 1] in "_@"))]
     interfaces = {t["name"] for t in found if t["kind"] == "interface"}
-    classes = {t["name"] for t in found if t["kind"] != "interface"}
+    classes = {t["name"] for t in found if t["kind"] in ("class", "record")}
+    names: dict[str, str] = {}  # simple to full
     around: list[tuple[int, int, str]] = []
 
     def docs(at: int) -> str | None:
         lines, n = [], g.place(at)[0] - 1
+        if text[g.lines[n] : at].strip():
+            return None
         while n > 0:
             line = text[g.lines[n - 1] : g.lines[n] - 1].strip()
             if not line.startswith("///"):
@@ -45,6 +52,17 @@ def extract_csharp(path: str, text: str) -> tuple[list[dict], list[dict]]:
             n -= 1
         return "\n".join(reversed(lines)).strip() or None
 
+    def start_of(at: int) -> int:
+        """Where the attributes before a type begin."""
+        while True:
+            k = at
+            while k and m[k - 1].isspace():
+                k -= 1
+            open_ = m.rfind("[", 0, k) if k and m[k - 1] == "]" else -1
+            if open_ < 0 or closing(m, open_) != k or last_before(m, open_) not in ("", ";", "{", "}", "]"):
+                return at
+            at = open_
+
     def parameters(owner: str, full: str, part: str) -> list[str]:
         names = []
         for p in split_top(part, masked(part, verbatim=True)):
@@ -59,36 +77,45 @@ def extract_csharp(path: str, text: str) -> tuple[list[dict], list[dict]]:
                 g.add("Parameter", words[-1], f"{full}::{words[-1]}", None, owner, "DECLARES", type=" ".join(words[:-1]) or None, default_value=default.strip() or None if eq else None, is_optional=bool(eq), is_params=mod == "params", is_variadic=mod == "params", modifier=mod if mod in ("ref", "out", "in") else None)
         return names
 
-    def members(owner: str, full: str, simple: str, begin: int, end: int) -> None:
-        k = begin
+    def members(owner: str | None, full: str, simple: str, begin: int, end: int) -> None:
+        k, attribute = begin, None
         while k < end:
             if m[k] in "{([":
+                attribute = (k if attribute is None else attribute) if m[k] == "[" else None
                 k = closing(m, k)
                 continue
+            if m[k].isspace():
+                k += 1
+                continue
             inner = _TYPE.match(m, k)
             if inner and m.find("{", inner.end()) >= 0 and not (m[k - 1].isalnum() or m[k - 1] == "_"):
-                k = closing(m, m.find("{", inner.end()))
+                k, attribute = closing(m, m.find("{", inner.end())), None
                 continue
             d = _MEMBER.match(m, k) if m[k].isalpha() or m[k] in "_~" else None
             if not d or m[k - 1].isalnum() or m[k - 1] == "_" or d["name"] in ("where", "get", "set", "return") or not (d["type"] or d["name"].lstrip("~") == simple):
                 word = re.compile(r"[~\w]+|.", re.S).match(m, k)
-                k = word.end()
+                k, attribute = word.end(), None
+                continue
+            mods, name, kind, at = d["mods"].split(), d["name"], d["type"], k if attribute is None else attribute
+            attribute = None
+            if name.startswith("~") or {"event", "delegate"} & set(mods):
+                stop = _STOP.search(m, closing(m, d.end() - 1) if d["next"] == "(" else d.start("next"))
+                k = end if not stop else closing(m, stop.start()) if stop[0] == "{" else stop.end()
                 continue
-            mods, name, kind, at = d["mods"].split(), d["name"], d["type"], k
-            member = f"{full}.{name}"
+            member = f"{full}.{name}" + re.sub(r"\s*,\s*", ", ", d["generic"] or "")
             shown = {"visibility": visibility(mods), "is_static": "static" in mods, "docstring": docs(at)}
             if d["next"] == "(":
                 open_ = d.end() - 1
                 close = closing(m, open_)
-                stop = re.compile(r"\{|;|=>").search(m, close)
+                stop = _STOP.search(m, close)
                 finish = end if not stop else closing(m, stop.start()) if stop[0] == "{" else m.find(";", stop.start()) + 1
                 part = text[open_ + 1 : close - 1]
-                names = parameters("", "", part)
+                named = parameters("", "", part)
                 kinds = [" ".join(re.sub(r"^\[[^\]]*\]\s*", "", p).partition("=")[0].split()[:-1]) for p in split_top(part, masked(part, verbatim=True))]
                 member = f"{member}({', '.join(kinds)})"
                 built = name == simple and not kind
                 more = {"properties": {"is_constructor": "true"}} if built else {}
-                own = g.add("Method", name, member, (at, finish), owner, "DEFINES", is_abstract="abstract" in mods, is_virtual="virtual" in mods, is_override="override" in mods, is_async="async" in mods, return_type="void" if built else kind, parameters=names, signature=f"{name}({', '.join(kinds)})", **shown, **more)
+                own = g.add("Method", name, member, (at, finish), owner, "DEFINES", is_abstract="abstract" in mods, is_virtual="virtual" in mods, is_override="override" in mods, is_async="async" in mods, return_type="void" if built else kind, parameters=named, signature=member, **shown, **more)
                 parameters(own, member, part)
                 k = max(finish, close)
             elif d["next"] in ("{", "=>"):
@@ -99,7 +126,7 @@ def extract_csharp(path: str, text: str) -> tuple[list[dict], list[dict]]:
                     tail = re.compile(r"\s*=[^;]*;").match(m, finish)
                     finish = tail.end() if tail else finish
                 else:
-                    finish, readonly = m.find(";", d.end()) + 1, True
+                    finish, readonly = m.find(";", d.end()) + 1, False
                 g.add("Variable", name, member, (at, finish), owner, "HAS_MEMBER", type=kind, is_readonly=readonly, is_constant=False, scope="static" if "static" in mods else "instance", properties={"is_property": "true"}, **shown)
                 k = finish
             else:
@@ -107,32 +134,41 @@ def extract_csharp(path: str, text: str) -> tuple[list[dict], list[dict]]:
                 while finish < end and m[finish] != ";":
                     finish = closing(m, finish) if m[finish] in "{([" else finish + 1
                 start = d.start("name")
-                for part in split_top(text[start:finish], m[start:finish]):
-                    field, eq, value = part.partition("=")
+                for first, last in parts(m, start, finish):
+                    first += len(text[first:last]) - len(text[first:last].lstrip())
+                    field, eq, value = text[first:last].rstrip().partition("=")
                     if re.fullmatch(r"\w+", field.strip()):
-                        g.add("Variable", field.strip(), f"{full}.{field.strip()}", (at, finish + 1), owner, "HAS_MEMBER", type=kind, value=value.strip() or None if eq else None, is_constant="const" in mods, is_readonly="readonly" in mods, scope="static" if "static" in mods or "const" in mods else "instance", **shown)
+                        here = (first, first + len(text[first:last].rstrip()))
+                        g.add("Variable", field.strip(), f"{full}.{field.strip()}", (at, finish + 1), owner, "HAS_MEMBER", here, type=kind, value=value.strip() or None if eq else None, is_constant="const" in mods, is_readonly="readonly" in mods, scope="static" if "static" in mods else "instance", **shown)
                 k = finish + 1
 
+    types = []
     for t in found:
-        if t["kind"] == "enum":
-            continue
         open_ = m.find("{", t.end())
         end = closing(m, open_)
         space = next((n for a, b, n in reversed(spaces) if a < t.start() < b), None)
         while around and around[-1][1] <= t.start():  # types come in order: those that have closed hold no more
             around.pop()
-        outer = [n for _, _, n in around]
-        full = ".".join([*([space] if space else []), *outer, t["name"]]) if space or outer else f"{path}::{t['name']}"
-        around.append((open_, end, t["name"]))
+        simple = t["name"] + re.sub(r"\s*,\s*", ", ", t["generic"] or "").strip()
+        full = ".".join([*([space] if space else []), *(n for _, _, n in around), simple])
+        around.append((open_, end, simple))
+        if t["kind"] != "enum":
+            names.setdefault(t["name"], full)
+            types.append((t, open_, end, full))
+
+    for t, open_, end, full in types:
         mods = t["mods"].split()
         head = text[t.end() : open_]
         bases = [b.split(" where ")[0].strip() for b in split_top(head.partition(":")[2], head.partition(":")[2])] if ":" in head.split(" where ")[0] else []
         plain = [re.sub(r"<.*", "", b).split(".")[-1] for b in bases]
         is_interface = [p in interfaces or p not in classes and bool(re.match(r"I[A-Z]", p)) for p in plain]
-        common = {"visibility": visibility(mods), "docstring": docs(t.start())}
+        bases = [b if "<" in b or p not in names else names[p] for b, p in zip(bases, plain, strict=True)]
+        common = {"visibility": visibility(mods), "docstring": docs(start_of(t.start()))}
         if t["kind"] == "interface":
-            own = g.add("Interface", t["name"], full, (t.start(), end), g.file, "CONTAINS", base_interfaces=bases, **common)
+            own = g.add("Interface", t["name"], full, (start_of(t.start()), end), g.file, "CONTAINS", base_interfaces=bases, **common)
+        elif t["kind"] == "class":
+            own = g.add("Class", t["name"], full, (start_of(t.start()), end), g.file, "CONTAINS", is_abstract="abstract" in mods, is_static="static" in mods, is_sealed="sealed" in mods, base_classes=[b for b, i in zip(bases, is_interface, strict=True) if not i], interfaces=[b for b, i in zip(bases, is_interface, strict=True) if i], **common)
         else:
-            own = g.add("Class", t["name"], full, (t.start(), end), g.file, "CONTAINS", is_abstract="abstract" in mods, is_static="static" in mods, is_sealed="sealed" in mods, base_classes=[b for b, i in zip(bases, is_interface, strict=True) if not i], interfaces=[b for b, i in zip(bases, is_interface, strict=True) if i], **common)
+            own = None
         members(own, full, t["name"], open_ + 1, end - 1)
     return g.nodes, g.edges

@@ -2,29 +2,47 @@
 
 There is no parser for these languages on the cluster. Regular expression literals that
 hold quotes or braces, and declarations whose head is spread over template strings, can be
-missed; everything else follows the declarations' syntax.
+missed; everything else follows the declarations' syntax. In TypeScript the blanks and comments
+before a declaration belong to it; in JavaScript they don't.
 """
 
 from __future__ import annotations
 
 import re
 
-from graphquarry.extract.common import Graph, closing, masked, split_top
+from graphquarry.extract.common import Graph, closing, last_before, masked, parts, split_top
 
+_ID = r"[A-Za-z_$][\w$]*"
 _DECLARED = re.compile(
-    r"(?<![\w$.])(?:(?P<fn>(?P<async>async\s+)?function\s*(?P<star>\*?)\s*(?P<fname>[A-Za-z_$][\w$]*))"
-    r"|(?P<cls>(?P<abstract>abstract\s+)?class\s+(?P<cname>[A-Za-z_$][\w$]*))"
-    r"|(?P<iface>interface\s+(?P<iname>[A-Za-z_$][\w$]*))"
-    r"|(?P<var>(?P<kind>const|let|var)\s+(?=[A-Za-z_$]))"
-    r"|(?P<imp>import\b(?!\s*\())|(?P<exp>export\b)"
+    rf"(?<![\w$.#])(?:(?P<fn>(?P<async>async\s+)?function\s*(?P<star>\*?)\s*(?P<fname>{_ID}))"
+    rf"|(?P<cls>(?P<abstract>abstract\s+)?class\s+(?!extends\b)(?P<cname>{_ID}))"
+    rf"|(?P<iface>interface\s+(?P<iname>{_ID}))"
+    r"|(?P<var>(?P<kind>const|let|var)\s+(?=[A-Za-z_$\[{]))"
+    r"|(?P<imp>import\b(?!\s*[(.]))|(?P<exp>export\b)"
     r"|(?P<req>require\s*\(\s*(?=[\"']))"
-    r"|(?P<mod>(?:module\.exports|exports\.[A-Za-z_$][\w$]*)\s*=(?!=)))"
+    rf"|(?P<mod>(?:module\.exports|exports\.{_ID})\s*=(?!=)))"
 )
-_METHOD = re.compile(r"(?P<mods>(?:(?:public|private|protected|static|async|abstract|override|readonly|get|set)\s+)*)(?P<star>\*?)\s*(?P<name>#?[A-Za-z_$][\w$]*)\s*\??\s*(?=[(<])")
+_METHOD = re.compile(rf"(?P<mods>(?:(?:public|private|protected|static|async|abstract|override|readonly|get|set)\s+(?!\())*)(?P<star>\*?)\s*(?P<name>#?{_ID})\s*\??\s*(?=[(<])")
 _NOT_METHODS = ("if", "for", "while", "switch", "catch", "return", "function", "new", "typeof", "await", "super", "with")
-_NAME = re.compile(r"[A-Za-z_$][\w$]*")
+_MODIFIERS = ("export", "default", "declare", "abstract", "async", "public", "private", "protected", "static", "override", "readonly")
+_NAME = re.compile(_ID)
+_DOTTED = re.compile(rf"{_ID}(?:\s*\.\s*{_ID})*")
 _GOES_ON = re.compile(r"\s*[.,?:+&|=]")
 _LOOP = re.compile(r"\s(?:of|in)\s")
+_BEHIND = re.compile(r"\s*(?::\s*[^{;=]+?)?\s*([{;])")
+_BODY = re.compile(r"[{;]")
+_RETURNS = re.compile(r"\s*:\s*([^{;=]+?)\s*(?=\{|;|=>|$)")
+_IMPORT = re.compile(r"import\s+(?:type\s+)?([^;\"']*?)\s*(?:from\s*)?([\"'])")
+_EXPORT_VALUE = re.compile(r"export\s*(?:=|default\b(?!\s+(?:abstract\s+class|class|interface|function|async\s+function)\b))")
+_EXPORT_DEFAULT = re.compile(r"export\s+default\b")
+_EXPORT_NAMES = re.compile(r"export\s+(?:type\s+)?\{([^}]*)\}")
+_EXPORT_ALL = re.compile(r"export\s+(?:type\s+)?\*")
+_ALIAS = re.compile(r"\s+as\s+")
+
+
+def plain_type(text: str) -> str:
+    """A heritage clause's type without its arguments."""
+    return re.sub(r"\s*<.*", "", text, flags=re.S).strip()
 
 
 def extract_ecma(path: str, text: str, language: str, module_system: str = "esm") -> tuple[list[dict], list[dict]]:
@@ -32,43 +50,62 @@ def extract_ecma(path: str, text: str, language: str, module_system: str = "esm"
     g = Graph(path, text, "typescript-react" if path.endswith(".tsx") else language)
     m = masked(text, templates=True)
 
-    def params(owner: str, full: str, at: int) -> tuple[list[str], int]:
-        """Names of the parameters whose bracket is at ``at``, and the offset behind it; nodes for them if they have an owner."""
+    def full_start(at: int) -> int:
+        """Where the blanks and comments before a declaration and its modifiers begin."""
+        while True:
+            k = at
+            while k and m[k - 1].isspace():
+                k -= 1
+            word = k
+            while word and (m[word - 1].isalnum() or m[word - 1] in "_$"):
+                word -= 1
+            if m[word:k] not in _MODIFIERS:
+                return k
+            at = word
+
+    def span(start: int, end: int) -> tuple[int, int]:
+        return (full_start(start), end) if ts else (start, end)
+
+    def params(at: int, method: bool) -> tuple[list[tuple[str, str | None, str | None, bool]], int]:
+        """Name, type, default and question mark of the parameters whose bracket is at ``at``, and the offset behind it."""
         end = closing(m, at)
-        names, rows = [], []
+        rows = []
         for part in split_top(text[at + 1 : end - 1], m[at + 1 : end - 1]):
-            rest = re.sub(r"^(?:(?:public|private|protected|readonly)\s+)+", "", part)
-            head, _, default = rest.partition("=")
-            head, _, kind = head.partition(":")
-            name = head.strip().lstrip(".").rstrip("?").strip()
-            plain = bool(_NAME.fullmatch(name)) and not part.startswith("...")
-            names.append(name if plain else "unknown")
-            if plain:
-                rows.append((name, kind.strip() or None, default.strip() or None, head.strip().endswith("?")))
-        return names, end if not owner else add_params(owner, full, rows, end)
-
-    def add_params(owner: str, full: str, rows: list, end: int) -> int:
+            rest = re.sub(r"^(?:(?:public|private|protected|readonly|override)\s+)+", "", part)
+            head, eq, default = _assigned(rest)
+            name, kind = _typed(head) if ts else (head.strip(), None)
+            optional = ts and name.endswith("?")
+            name = name.removesuffix("?").strip()
+            if ts:
+                name = name.removeprefix("...").strip()
+            elif not _NAME.fullmatch(name) or (method and eq):
+                name = "unknown"
+            rows.append((name, kind, (default.strip() if ts else "has_default") if eq else None, optional))
+        return rows, end
+
+    def add_params(owner: str, full: str, rows: list) -> None:
         for name, kind, default, optional in rows:
-            value = default if ts or default is None else "has_default"
-            g.add("Parameter", name, f"{full}::{name}", None, owner, "DECLARES", type=kind if ts else None, default_value=value, is_optional=optional or default is not None)
-        return end
+            g.add("Parameter", name, f"{full}::{name}", None, owner, "DECLARES", type=kind, default_value=default, is_optional=optional)
 
     def body_end(at: int) -> int:
         """Behind the braces that open next, or behind the next semicolon if that comes first."""
-        found = re.compile(r"[{;]").search(m, at)
+        found = _BODY.search(m, at)
         if not found:
             return len(m)
         return closing(m, found.start()) if found[0] == "{" else found.end()
 
     def return_type(at: int) -> str | None:
-        found = re.compile(r"\s*:\s*([^{;=]+?)\s*(?=\{|;|=>|$)").match(m, at)
-        return text[found.start(1) : found.end(1)] if ts and found else None
+        found = _RETURNS.match(m, at) if ts else None
+        return text[found.start(1) : found.end(1)] if found else None
 
     def heritage(head: str, word: str) -> list[str]:
         found = re.search(rf"\b{word}\s+([^{{]*?)(?=\bimplements\b|\bextends\b|$)", head)
-        return split_top(found[1], found[1]) if found else []
+        parts = split_top(found[1], found[1]) if found else []
+        if ts:
+            return [plain_type(x) for x in parts]
+        return [re.sub(r"\s", "", x) if _DOTTED.fullmatch(x) else "unknown" for x in parts]
 
-    def members(owner: str, full: str, begin: int, end: int, interface: bool) -> None:
+    def members(owner: str, full: str, begin: int, end: int) -> None:
         k = begin
         while k < end:
             c = m[k]
@@ -83,84 +120,121 @@ def extract_ecma(path: str, text: str, language: str, module_system: str = "esm"
                 k = found.end()
                 continue
             open_ = m.find("(", found.end())
-            close = closing(m, open_)
-            behind = re.compile(r"\s*(?::\s*[^{;=]+?)?\s*([{;])").match(m, close)
-            if not behind and not interface:
+            rows, close = params(open_, True)
+            behind = _BEHIND.match(m, close)
+            if not behind:
                 k = close
                 continue
-            mods = found["mods"].split()
-            stop = closing(m, behind.end() - 1) if behind and behind[1] == "{" else (behind.end() if behind else close)
-            if not ts or (found["name"] != "constructor" and not {"get", "set"} & set(mods)):
-                name = found["name"]
-                names, _ = params("", "", open_)
+            mods, name = found["mods"].split(), found["name"]
+            stop = closing(m, behind.end() - 1) if behind[1] == "{" else behind.end()
+            if not ts or (name != "constructor" and not {"get", "set"} & set(mods)):
+                name = name if ts else name.removeprefix("#")
+                names = [x for x, *_ in rows]
                 visible = next((x for x in mods if x in ("public", "private", "protected")), None)
-                own = g.add("Method", name, f"{full}::{name}", (found.start(), stop), owner, "DEFINES", is_static="static" in mods, is_abstract="abstract" in mods or interface, is_async="async" in mods, visibility=visible, parameters=names, return_type=return_type(close), signature=f"{name}({', '.join(names)})")
+                own = g.add("Method", name, f"{full}::{name}", span(found.start(), stop), owner, "DEFINES", is_static="static" in mods, is_abstract="abstract" in mods, is_async="async" in mods, visibility=visible, parameters=names, return_type=return_type(close), signature=f"{name}({', '.join(names)})")
                 if ts:
-                    params(own, f"{full}::{name}", open_)
+                    add_params(own, f"{full}::{name}", rows)
             k = stop
 
+    def variables(d: re.Match) -> None:
+        if ts and last_before(m, d.start()) == "(":  # of a loop: no statement
+            return
+        k, end = d.end(), len(m)
+        while k < len(m):  # to the end of the statement, brackets being passed over
+            if m[k] in "{([":
+                k = closing(m, k)
+                continue
+            if m[k] in ";)" or m[k] == "\n" and not _GOES_ON.match(m, k) or m[k].isspace() and _LOOP.match(m, k):
+                end = k
+                break
+            k += 1
+        begin = d.start() + len(d["kind"])  # where the first declarator's blanks begin
+        for start, stop in parts(m, begin, end):
+            first = start + len(text[start:stop]) - len(text[start:stop].lstrip())
+            last = first + len(text[first:stop].rstrip())
+            head, eq, value = _assigned(text[first:last])
+            name, kind = _typed(head) if ts else (head.strip(), None)
+            name = name.removesuffix("!").strip()
+            if _NAME.fullmatch(name):
+                shown = (value.strip() if ts else "has_initializer") if eq else None
+                g.add("Variable", name, f"{path}::{name}", (start if ts else first, last), g.file, "DECLARES", type=kind, value=shown, is_constant=d["kind"] == "const")
+
+    def imported(at: int) -> None:
+        found = _IMPORT.match(m, at)
+        if not found or "=" in found[1]:
+            return
+        quote = found.end() - 1
+        end = m.find(found[2], quote + 1)
+        module, clause = text[quote + 1 : end], found[1].strip().removesuffix("from").strip()
+        inner = re.search(r"\{(.*?)\}", clause, re.S)
+        which = -1 if ts else 0
+        names = [re.sub(r"^type\s+", "", _ALIAS.split(x.strip())[which].strip()) for x in inner[1].split(",") if x.strip()] if inner else []
+        rest = re.sub(r"\{.*?\}", "", clause, flags=re.S).strip(" ,\n")
+        star = "*" in rest
+        lead = (["default"] if re.match(r"[A-Za-z_$]", rest) else []) + (["*"] if star else [])
+        g.add("Import", f"import from {module}", f"{path}::import::{module}", (at, end + 1), g.file, "IMPORTS", module=module, imported_names=lead + names, is_wildcard=star)
+
+    def exported(at: int) -> None:
+        default = (_EXPORT_VALUE if ts else _EXPORT_DEFAULT).match(m, at)
+        named, every = _EXPORT_NAMES.match(m, at), _EXPORT_ALL.match(m, at)
+        if every and not ts or ts and not (default or named or every):
+            return
+        names = ["default"] if default else [_ALIAS.split(x.strip())[-1].strip() for x in named[1].split(",") if x.strip()] if named else []
+        end = (named or default or every).end() if named or default or every else at + len("export")
+        g.add("Export", "export default" if default else f"export {', '.join(names)}", f"{path}::export", (at, end), g.file, "EXPORTS", exported_names=names, is_default=bool(default))
+
     for d in _DECLARED.finditer(m):
         at = d.start()
         if d["fn"]:
             open_ = m.find("(", d.end())
-            names, behind = params("", "", open_)
-            full = f"{path}::{d['fname']}"
-            own = g.add("Function", d["fname"], full, (at, body_end(behind)), g.file, "CONTAINS", parameters=names, is_async=bool(d["async"]), is_generator=bool(d["star"]), return_type=return_type(behind), signature=f"{d['fname']}({', '.join(names)})")
-            params(own, full, open_)
+            rows, behind = params(open_, False)
+            full, names = f"{path}::{d['fname']}", [x for x, *_ in rows]
+            more = {} if ts else {"is_generator": bool(d["star"])}
+            own = g.add("Function", d["fname"], full, span(at, body_end(behind)), g.file, "CONTAINS", parameters=names, is_async=bool(d["async"]), return_type=return_type(behind), signature=f"{d['fname']}({', '.join(names)})", **more)
+            add_params(own, full, rows)
         elif d["cls"] or d["iface"]:
             name = d["cname"] or d["iname"]
             open_ = m.find("{", d.end())
-            if open_ < 0:
+            if open_ < 0 or d["iface"] and not ts:
                 continue
             head, end, full = text[d.end() : open_].strip(), closing(m, open_), f"{path}::{name}"
             head = re.sub(r"^<[^>]*>\s*", "", head)
             if d["cls"]:
-                own = g.add("Class", name, full, (at, end), g.file, "CONTAINS", is_abstract=bool(d["abstract"]), base_classes=heritage(head, "extends"), interfaces=heritage(head, "implements"))
+                own = g.add("Class", name, full, span(at, end), g.file, "CONTAINS", is_abstract=bool(d["abstract"]), base_classes=heritage(head, "extends"), interfaces=heritage(head, "implements") if ts else [])
+                members(own, full, open_ + 1, end - 1)
             else:
-                own = g.add("Interface", name, full, (at, end), g.file, "CONTAINS", base_interfaces=heritage(head, "extends"))
-            members(own, full, open_ + 1, end - 1, bool(d["iface"]))
+                g.add("Interface", name, full, span(at, end), g.file, "CONTAINS", base_interfaces=heritage(head, "extends"))
         elif d["var"]:
-            k, end = d.end(), len(m)
-            while k < len(m):  # to the end of the statement, brackets being passed over
-                if m[k] in "{([":
-                    k = closing(m, k)
-                    continue
-                if m[k] == ";" or m[k] == "\n" and not _GOES_ON.match(m, k) or m[k].isspace() and _LOOP.match(m, k):
-                    end = k
-                    break
-                k += 1
-            for part in split_top(text[d.end() : end], m[d.end() : end]):
-                head, eq, value = part.partition("=")
-                name, _, kind = head.partition(":")
-                if _NAME.fullmatch(name.strip()):
-                    name = name.strip()
-                    shown = (value.strip() if ts else "has_initializer") if eq else None
-                    g.add("Variable", name, f"{path}::{name}", (at, end), g.file, "DECLARES", type=(kind.strip() or None) if ts else None, value=shown, is_constant=d["kind"] == "const")
+            variables(d)
         elif d["imp"]:
-            found = re.compile(r"import\s+(?:type\s+)?([^;\"']*?)\s*(?:from\s*)?([\"'])").match(m, at)
-            if not found:
-                continue
-            quote = found.end() - 1
-            end = m.find(found[2], quote + 1)
-            module, clause = text[quote + 1 : end], found[1].strip().removesuffix("from").strip()
-            inner = re.search(r"\{(.*?)\}", clause, re.S)
-            names = [re.split(r"\s+as\s+", x)[0].strip() for x in inner[1].split(",") if x.strip()] if inner else []
-            rest = re.sub(r"\{.*?\}", "", clause, flags=re.S).strip(" ,")
-            star = "*" in rest
-            lead = (["*"] if star else []) + (["default"] if re.match(r"[A-Za-z_$]", rest) else [])
-            g.add("Import", f"import from {module}", f"{path}::import::{module}", (at, end + 1), g.file, "IMPORTS", module=module, imported_names=lead + names, is_wildcard=star)
+            imported(at)
         elif d["exp"]:
-            default = re.compile(r"export\s+(?:default\b|=)").match(m, at)
-            named = re.compile(r"export\s+(?:type\s+)?\{([^}]*)\}").match(m, at)
-            if ts and not default and not named:
-                continue
-            names = ["default"] if default else [re.split(r"\s+as\s+", x)[-1].strip() for x in named[1].split(",") if x.strip()] if named else []
-            g.add("Export", f"export {', '.join(names)}".strip(), f"{path}::export::{','.join(names)}", (at, (named or default or d).end()), g.file, "EXPORTS", exported_names=names, is_default=bool(default))
+            exported(at)
         elif d["req"] and module_system == "cjs" and not ts:
             quote = d.end()
             end = m.find(m[quote], quote + 1)
             module = text[quote + 1 : end]
-            g.add("Import", f"require({module})", f"{path}::require::{module}", (at, end + 2), g.file, "IMPORTS", module=module, imported_names=["*"], is_wildcard=False)
+            g.add("Import", f"require('{module}')", f"{path}::require::{module}", (at, end + 2), g.file, "IMPORTS", module=module)
         elif d["mod"] and module_system == "cjs" and not ts:
             g.add("Export", "module.exports", f"{path}::module.exports", (at, d.end()), g.file, "EXPORTS", exported_names=["default"], is_default=True)
     return g.nodes, g.edges
+
+
+def _assigned(part: str) -> tuple[str, bool, str]:
+    """What stands before and behind an equals sign outside brackets, that is no arrow or comparison."""
+    depth = 0
+    for k, c in enumerate(part):
+        depth += (c in "([{") - (c in ")]}")
+        if c == "=" and not depth and part[k + 1 : k + 2] not in ("=", ">") and part[k - 1 : k] not in ("=", "<", ">", "!"):
+            return part[:k], True, part[k + 1 :]
+    return part, False, ""
+
+
+def _typed(head: str) -> tuple[str, str | None]:
+    """Name and type around a colon outside brackets."""
+    depth = 0
+    for k, c in enumerate(head):
+        depth += (c in "([{") - (c in ")]}")
+        if c == ":" and not depth:
+            return head[:k].strip(), head[k + 1 :].strip() or None
+    return head.strip(), None

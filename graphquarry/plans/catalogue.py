@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphquarry.functions.query_parser import CONTEXT_PHRASES, ENTITY_PATTERNS, NODE_TYPE_WORDS, PROGRAMMING_TERMS, explained, parsed
+from graphquarry.extract import extract, extracted_edges, extracted_nodes
+from graphquarry.functions.query_parser import APPROACHES, CONTEXT_PHRASES, ENTITY_PATTERNS, NODE_TYPE_WORDS, PROGRAMMING_TERMS, STRATEGIES, explained, parsed
 from graphquarry.operators import changes, enrich, graph, search, stats, vector
 from graphquarry.operators.components import connected_components
+from graphquarry.plans import samples
+from graphquarry.plans.storage import materialise
 from graphquarry.plans.views import view, with_views
 from graphquarry.schema import location_of, metadata_of
 from graphquarry.sources import scan, store
@@ -513,32 +516,26 @@ def page_imports(spark, sf_dir):
 # --- extraction
 
 
-SOURCES = {
-    "python": ("py", "concat('import os\\nclass C', n, '(Base):\\n    def run(self, a, b=1):\\n        return a\\n\\ndef f', n, '(x):\\n    return x\\n')"),
-    "typescript": ("ts", "concat('import {{ a }} from ''m'';\\nexport interface I', n, ' extends J {{ go(x: number): void; }}\\nclass C', n, ' extends Base implements I', n, ' {{ run(a: string) {{ return a; }} }}\\nconst v', n, ' = 1;\\n')"),
-    "csharp": ("cs", "concat('using System;\\nnamespace N {{\\npublic interface I', n, ' {{ int Size {{ get; }} }}\\npublic class C', n, ' : Base, I', n, ' {{ private int f = 1; public int Size {{ get; }} public void Run(string a) {{ }} }}\\n}}\\n')"),
-}
-EXPECTED = {
-    "python": "('File', f, f), ('Import', 'import os', f || '::import::os'), ('Class', 'C' || n, f || '::C' || n), ('Method', 'run', f || '::C' || n || '::run'), ('Parameter', 'self', f || '::C' || n || '::run::self'), ('Parameter', 'a', f || '::C' || n || '::run::a'), ('Parameter', 'b', f || '::C' || n || '::run::b'), ('Function', 'f' || n, f || '::f' || n), ('Parameter', 'x', f || '::f' || n || '::x')",
-    "typescript": "('File', f, f), ('Import', 'import from m', f || '::import::m'), ('Interface', 'I' || n, f || '::I' || n), ('Method', 'go', f || '::I' || n || '::go'), ('Parameter', 'x', f || '::I' || n || '::go::x'), ('Class', 'C' || n, f || '::C' || n), ('Method', 'run', f || '::C' || n || '::run'), ('Parameter', 'a', f || '::C' || n || '::run::a'), ('Variable', 'v' || n, f || '::v' || n)",
-    "csharp": "('File', f, f), ('Import', 'using System', f || '::using::System'), ('Interface', 'I' || n, 'N.I' || n), ('Variable', 'Size', 'N.I' || n || '.Size'), ('Class', 'C' || n, 'N.C' || n), ('Variable', 'f', 'N.C' || n || '.f'), ('Variable', 'Size', 'N.C' || n || '.Size'), ('Method', 'Run', 'N.C' || n || '.Run(string)'), ('Parameter', 'a', 'N.C' || n || '.Run(string)::a')",
-}
+def _sources(spark, sf_dir, language: str, text: str | None = None, where: str = "true") -> DataFrame:
+    """One file a document, its number in place of ``@`` (but for Python's decorators)."""
+    suffix, system, sample = samples.SOURCES[language]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter(where).select(F.col("doc_id").cast("string").alias("n"))
+    made = F.regexp_replace(F.lit(text or sample), "@(?!decorated|static)", F.col("n"))
+    return docs.select(F.concat(F.lit("f"), "n", F.lit(f".{suffix}")).alias("path"), F.lit(language).alias("language"), F.lit(system).alias("module_system"), F.encode(made, "UTF-8").alias("content")).withColumn("checksum", F.sha2("content", 256))
 
 
 def _extraction(language: str):
-    from graphquarry.extract import extract, extracted_nodes
-
-    suffix, made = SOURCES[language]
-
     def f(spark, sf_dir):
-        table = f"(SELECT CAST(doc_id AS STRING) AS n FROM parquet.`{sf_dir}/documents.parquet`) t"
-        made_here = made.replace("{{", "{").replace("}}", "}").replace("''", "\\'")
-        files = spark.sql(f"SELECT concat('f', n, '.{suffix}') AS path, '{language}' AS language, '' AS checksum, encode({made_here}, 'UTF-8') AS content FROM {table}")
-        return extracted_nodes(extract(files)).select("label", "name", "full_name")
+        out = materialise(extract(_sources(spark, sf_dir, language)), "extracted")
+        n, e = extracted_nodes(out), extracted_edges(out)
+        parents = e.select(F.col("dst").alias("id"), F.col("type").alias("edge"), F.col("src").alias("_src")).join(n.select(F.col("id").alias("_src"), F.col("full_name").alias("parent")), "_src")
+        found = n.join(parents, "id", "left").withColumn("facts", samples.facts())
+        return found.select("label", "name", "full_name", "edge", "parent", F.col("location.start_line").alias("first_line"), F.col("location.end_line").alias("last_line"), "facts")
 
     f.__name__ = f"extract_{language}"
     return f
 
 
-for _language, (_suffix, _) in SOURCES.items():
-    query(f"SELECT v.* FROM (SELECT CAST(doc_id AS VARCHAR) AS n, concat('f', doc_id, '.{_suffix}') AS f FROM documents) d, LATERAL (VALUES {EXPECTED[_language]}) v(label, name, full_name)")(_extraction(_language))
+for _language in samples.SOURCES:
+    _columns = ", ".join(f"replace({c}, '@', CAST(doc_id AS VARCHAR)) AS {c}" if c not in ("first_line", "last_line") else c for c in samples.COLUMNS)
+    query(f"SELECT {_columns} FROM documents, (VALUES {samples.values_sql(_language)}) v({', '.join(samples.COLUMNS)})")(_extraction(_language))
