@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -142,7 +142,10 @@ def embed_text() -> Column:
 
 
 def hashing_embedder(dims: int = 64, max_tokens: int = 512) -> Callable[[Column], Column]:
-    """The offline embedding backend: signed hashes of lower-case words, averaged; needs no model and no seed."""
+    """The offline embedding backend: signed hashes of lower-case words, averaged; needs no model and no seed.
+
+    A word's MD5 gives its place (the first four hex digits, modulo ``dims``) and its sign (plus if the fifth is even).
+    """
 
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
@@ -150,8 +153,8 @@ def hashing_embedder(dims: int = 64, max_tokens: int = 512) -> Callable[[Column]
             v = np.zeros(dims, np.float32)
             words = (text or "").lower().split()[:max_tokens]
             for w in words:
-                h = zlib.crc32(w.encode())
-                v[h % dims] += 1.0 if h >> 16 & 1 else -1.0
+                h = hashlib.md5(w.encode(), usedforsecurity=False).hexdigest()
+                v[int(h[:4], 16) % dims] += -1.0 if int(h[4], 16) & 1 else 1.0
             return (v / max(1, len(words))).tolist()
 
         return texts.map(one)

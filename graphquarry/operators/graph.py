@@ -104,7 +104,7 @@ def expand_context_exact(hits: DataFrame, nodes: DataFrame, edges: DataFrame, ru
     spark = nodes.sparkSession
     rules = rules if rules is not None else rules_table(spark)
     first = hits.orderBy("rank").limit(max_hits)
-    order = ["depth", F.asc_nulls_last("related_name"), "related"]
+    order = ["depth", F.asc_nulls_last("related_name"), "related", "direction"]
     found = expand_candidates(first, nodes, edges, rules)
     few = found.withColumn("_n", F.row_number().over(Window.partitionBy("rank", "rule_ord").orderBy(*order))).filter(F.col("_n") <= max_related)
     rows: dict[int, dict[int, list]] = {}

@@ -111,7 +111,8 @@ def _nearest(k: int):
                 rows, of, at, scores = rows[known], [], [], []
                 step = max(1, (4 << 20) // max(1, len(known)))
                 for first in range(0, len(asked), step):
-                    score = (1 + asked[first : first + step] @ rows.T) / 2
+                    # rounded, so that equal vectors tie wherever they stand
+                    score = np.round((1 + asked[first : first + step] @ rows.T) / 2, 12)
                     for q, own in enumerate(score):
                         if not len(own) or np.isnan(own[0]):
                             continue

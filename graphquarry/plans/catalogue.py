@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphquarry import index as indexing
 from graphquarry.extract import extract, extracted_edges, extracted_nodes
 from graphquarry.functions.query_parser import APPROACHES, CONTEXT_PHRASES, ENTITY_PATTERNS, NODE_TYPE_WORDS, PROGRAMMING_TERMS, STRATEGIES, explained, parsed
 from graphquarry.operators import changes, enrich, graph, search, stats, vector
@@ -14,7 +15,7 @@ from graphquarry.operators.components import connected_components
 from graphquarry.plans import samples
 from graphquarry.plans.storage import materialise
 from graphquarry.plans.views import view, with_views
-from graphquarry.schema import location_of, metadata_of
+from graphquarry.schema import LEVELS
 from graphquarry.sources import scan, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,21 +36,17 @@ def quoted(values) -> str:
     return ", ".join("'" + x.replace("'", "''") + "'" for x in values)
 
 
-COS = "(1 + list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))))) / 2"
+COS = "round((1 + list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))))) / 2, 12)"
 
 
 # --- vectors
 
 
-def _vector_of(spark: SparkSession, sf_dir: str, vec_id: int) -> list[float]:
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter(F.col("vec_id") == vec_id).select("embedding").collect()
-    return rows[0]["embedding"] if rows else []
-
-
-@query(f"SELECT b.id, b.label, round({COS}, 4) AS score FROM nodes a JOIN nodes b ON a.vec_id = 7 AND b.vec_id <> 7 QUALIFY row_number() OVER (ORDER BY {COS} DESC, b.id) <= 20", "nodes")
+@query(f"SELECT a.vec_id AS query_id, b.id, b.label, round({COS}, 4) AS score FROM nodes a JOIN nodes b ON a.vec_id % 50 = 0 AND b.id <> a.id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.id) <= 20", "nodes")
 def knn_similar(spark, sf_dir):
-    others = view(spark, sf_dir, "nodes").filter("vec_id <> 7")
-    return vector.similar_to(others, _vector_of(spark, sf_dir, 7), 20, 0.0).select("id", "label", F.round("score", 4).alias("score"))
+    found = vector.knn(view(spark, sf_dir, "nodes"), _asked_vectors(spark, sf_dir, 50), 21).filter(F.col("id") != F.concat(F.lit("n"), F.col("query_id").cast("string")))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return found.withColumn("place", place).filter("place <= 20").select("query_id", "id", "label", F.round("score", 4).alias("score"))
 
 
 def _asked_vectors(spark, sf_dir, every: int) -> DataFrame:
@@ -84,12 +81,13 @@ def search_by_embedding_global(spark, sf_dir):
 
 
 @query(
-    f"""WITH s AS (SELECT a.id AS query_id, b.id, b.label, b.name, {COS} AS cos FROM nodes a JOIN nodes b ON a.vec_id IN (3, 8, 21, 34) AND a.label = b.label),
+    f"""WITH s AS (SELECT a.id AS query_id, b.id, b.label, b.name, {COS} AS cos FROM nodes a JOIN nodes b ON a.vec_id % 50 = 0 AND a.label = b.label),
         r AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, id) <= 6)
         SELECT query_id, id, label, name, round(cos, 4) AS original_score, round(cos * 1.2, 4) AS score FROM r WHERE cos >= 0.5 AND id <> query_id""", "nodes",
 )
 def similar_to_node(spark, sf_dir):
-    found = vector.similar_nodes(view(spark, sf_dir, "nodes"), ["n3", "n8", "n21", "n34"], 6, 0.5)
+    n = view(spark, sf_dir, "nodes")
+    found = vector.similar_nodes(n, n.filter("vec_id % 50 = 0"), 6, 0.5)
     return found.withColumns({"original_score": F.round("original_score", 4), "score": F.round("score", 4)})
 
 
@@ -116,15 +114,22 @@ def entity_lookup_scored(spark, sf_dir):
         concat('path=', path, CASE WHEN coalesce(visibility, '') <> '' THEN concat(';visibility=', visibility) ELSE '' END) AS metadata FROM nodes""", "nodes",
 )
 def node_details(spark, sf_dir):
-    n = view(spark, sf_dir, "nodes").withColumn("location", location_of())
-    pairs = F.transform(F.array_sort(F.map_entries(metadata_of("path", "visibility"))), lambda e: F.concat_ws("=", e["key"], e["value"]))
-    return n.select("id", "label", "name", F.coalesce("generated_summary", F.lit("")).alias("summary"), F.lit(1.0).alias("score"), F.col("location.start_line").alias("first_line"), F.col("location.end_line").alias("last_line"), F.array_join(pairs, ";").alias("metadata"))
+    n = search.node_details(view(spark, sf_dir, "nodes"))
+    pairs = F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return n.select("id", "label", "name", "summary", "score", F.col("location.start_line").alias("first_line"), F.col("location.end_line").alias("last_line"), F.array_join(pairs, ";").alias("metadata"))
+
+
+@query("SELECT id, full_name, raw_code AS with_source, CAST(NULL AS VARCHAR) AS without_source FROM nodes WHERE vec_id % 50 = 0", "nodes")
+def node_by_id(spark, sf_dir):
+    n = view(spark, sf_dir, "nodes")
+    ids = n.filter("vec_id % 50 = 0").select("id")
+    plain = search.node_details(n, ids).select("id", F.col("raw_code").alias("without_source"))
+    return search.node_details(n, ids, include_source=True).join(plain, "id").select("id", "full_name", F.col("raw_code").alias("with_source"), "without_source")
 
 
 @query("SELECT id, label, name FROM nodes WHERE contains(name, 'ring') AND contains(full_name, 'Brand#1') AND label IN ('Class', 'Method', 'Function')", "nodes")
 def name_contains(spark, sf_dir):
-    n = view(spark, sf_dir, "nodes")
-    return n.filter(F.contains("name", F.lit("ring")) & F.contains("full_name", F.lit("Brand#1")) & F.col("label").isin("Class", "Method", "Function")).select("id", "label", "name")
+    return search.named_like(view(spark, sf_dir, "nodes"), "ring", "Brand#1", ("Class", "Method", "Function")).select("id", "label", "name")
 
 
 @query("SELECT id, CASE WHEN trim(coalesce(generated_summary, '')) <> '' THEN generated_summary WHEN coalesce(raw_code, '') <> '' THEN substring(raw_code, 1, 1000) ELSE name END AS embed_text FROM nodes", "nodes")
@@ -251,9 +256,23 @@ def rule_expansion(spark, sf_dir):
     return found.select("from_node", "rank", "rule_ord", "related", "type", "depth")
 
 
-@query()
+# The greedy pass as a recursion over its steps: a hit's beginning, its rules in order, its end.
+GREEDY = EXPANDED + """, ten AS (SELECT id, rank FROM h ORDER BY rank LIMIT 10),
+    c AS (SELECT x.*, row_number() OVER (PARTITION BY x.rank, rule_ord ORDER BY depth, related_name, related, direction) AS n FROM x JOIN ten ON ten.id = x.from_node),
+    step AS (SELECT rank, id, o, row_number() OVER (ORDER BY rank, o) AS k, (SELECT list(related ORDER BY n) FROM c WHERE c.rank = ten.rank AND c.rule_ord = o) AS found FROM ten, (SELECT unnest(range(0, 11)) AS o)),
+    pass AS (SELECT 0 AS k, CAST([] AS VARCHAR[]) AS done, CAST([] AS STRUCT(rank INTEGER, o BIGINT, related VARCHAR)[]) AS kept, false AS skip
+        UNION ALL SELECT s.k, CASE WHEN o = 10 THEN CASE WHEN skip THEN done ELSE list_append(done, s.id) END WHEN skip OR o = 0 OR found IS NULL THEN done ELSE list_concat(done, list_filter(found[1:greatest(0, 50 - len(kept))], lambda y: NOT list_contains(done, y))) END,
+            CASE WHEN skip OR o IN (0, 10) OR found IS NULL THEN kept ELSE list_concat(kept, list_transform(list_distinct(list_filter(found[1:greatest(0, 50 - len(kept))], lambda y: NOT list_contains(done, y))), lambda y: {'rank': s.rank, 'o': o, 'related': y})) END,
+            CASE WHEN o = 0 THEN list_contains(done, s.id) ELSE skip END
+        FROM pass p JOIN step s ON s.k = p.k + 1),
+    final AS (SELECT unnest(kept) AS e FROM pass WHERE k = (SELECT max(k) FROM step))
+    SELECT c.from_node, c.rank, c.rule_ord, c.related, c.type, c.direction, c.depth FROM final JOIN c ON c.rank = e.rank AND c.rule_ord = e.o AND c.related = e.related QUALIFY row_number() OVER (PARTITION BY c.rank, c.rule_ord, c.related ORDER BY n) = 1"""
+
+
+@query(GREEDY, "nodes", "edges")
 def rule_expansion_exact(spark, sf_dir):
-    return graph.expand_context_exact(_hits(spark, sf_dir), view(spark, sf_dir, "nodes"), view(spark, sf_dir, "edges"))
+    found = graph.expand_context_exact(_hits(spark, sf_dir), view(spark, sf_dir, "nodes"), view(spark, sf_dir, "edges"))
+    return found.select("from_node", "rank", "rule_ord", "related", "type", "direction", "depth")
 
 
 @query(EXPANDED + " SELECT 'node_type' AS kind, related_label AS value, count(*) AS n FROM x GROUP BY related_label UNION ALL SELECT 'relationship', type, count(*) FROM x GROUP BY type UNION ALL SELECT 'depth', CAST(depth AS VARCHAR), count(*) FROM x GROUP BY depth UNION ALL SELECT 'max_depth', '', max(depth) FROM x UNION ALL SELECT 'total_nodes', '', count(*) FROM x UNION ALL SELECT 'total_links', '', count(*) FROM x", "nodes", "edges")
@@ -413,16 +432,45 @@ def prompt_build(spark, sf_dir):
     return enrich.prompts(n, n, view(spark, sf_dir, "edges")).select("id", "prompt")
 
 
-@query()
+def levels_sql() -> str:
+    """The state of all nodes after each level, one table behind the other."""
+    out, last = "WITH s0 AS (SELECT id, label, name, raw_code, generated_summary, summary_status FROM nodes)", "s0"
+    for k, label in enumerate(LEVELS, 1):
+        out += f""", k{k} AS (SELECT e.src AS id, least(10, count(DISTINCT c.id)) AS n FROM edges e JOIN {last} c ON c.id = e.dst WHERE e.type IN ({quoted(enrich.CHILD_TYPES)}) AND coalesce(c.generated_summary, '') <> '' GROUP BY e.src),
+            w{k} AS (SELECT s.id FROM {last} s WHERE label = '{label}' AND {PENDING} AND NOT EXISTS (SELECT 1 FROM edges e JOIN {last} c ON c.id = e.dst WHERE e.src = s.id AND e.type IN ({quoted(enrich.CHILD_TYPES)}) AND c.label IN ({quoted(enrich.BLOCKING)}) AND coalesce(c.generated_summary, '') = '')),
+            s{k} AS (SELECT s.id, label, name, raw_code, CASE WHEN w.id IS NULL THEN generated_summary ELSE concat(label, ' ', name, CASE WHEN trim(split_part(coalesce(raw_code, ''), chr(10), 1)) <> '' THEN concat(': ', substring(trim(split_part(raw_code, chr(10), 1)), 1, 160)) ELSE '' END,
+                CASE WHEN coalesce(k.n, 0) > 0 THEN concat(' (', k.n, ' components)') ELSE '' END) END AS generated_summary, CASE WHEN w.id IS NULL THEN summary_status ELSE 'COMPLETED' END AS summary_status
+                FROM {last} s LEFT JOIN w{k} w ON w.id = s.id LEFT JOIN k{k} k ON k.id = s.id)"""
+        last = f"s{k}"
+    return out + f" SELECT id, label, generated_summary, summary_status FROM {last}"
+
+
+@query(levels_sql(), "nodes", "edges")
 def level_summaries(spark, sf_dir):
     n = view(spark, sf_dir, "nodes").drop("embedding")
     return enrich.summarise_levels(n, view(spark, sf_dir, "edges")).select("id", "label", "generated_summary", "summary_status")
 
 
-@query()
+@query("WITH a AS (" + levels_sql().replace("WITH ", "WITH ", 1) + ") SELECT coalesce(a.label, 'total') AS label, count(*) AS n FROM a JOIN nodes USING (id) WHERE coalesce(a.generated_summary, '') <> '' AND coalesce(nodes.generated_summary, '') = '' GROUP BY ROLLUP (a.label)", "nodes", "edges")
+def enrichment_totals(spark, sf_dir):
+    n = view(spark, sf_dir, "nodes").drop("embedding")
+    return enrich.enrichment_totals(n, enrich.summarise_levels(n, view(spark, sf_dir, "edges")))
+
+
+@query(
+    """WITH t AS (SELECT id, CASE WHEN trim(generated_summary) <> '' THEN generated_summary WHEN coalesce(raw_code, '') <> '' THEN substring(raw_code, 1, 1000) ELSE name END AS text FROM nodes WHERE generated_summary IS NOT NULL),
+        w AS (SELECT id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')[1:512] AS words FROM t),
+        h AS (SELECT id, len(words) AS n, md5(unnest(words)) AS m FROM w),
+        p AS (SELECT id, n, CAST(concat('0x', m[1:4]) AS INTEGER) % 64 AS place, CASE WHEN CAST(concat('0x', m[5:5]) AS INTEGER) % 2 = 1 THEN -1 ELSE 1 END AS sign FROM h),
+        s AS (SELECT id, place, CAST(sum(sign) AS DOUBLE) / any_value(n) AS x FROM p GROUP BY id, place)
+        SELECT nodes.id, CASE WHEN nodes.generated_summary IS NOT NULL THEN 64 ELSE -1 END AS dims, round(coalesce(sum((place + 1) * x), 0), 3) + 0.0 AS weighed, round(coalesce(sum(x * x), 0), 3) + 0.0 AS squared FROM nodes LEFT JOIN s ON s.id = nodes.id GROUP BY ALL""", "nodes",
+)
 def embed_nodes(spark, sf_dir):
     n = view(spark, sf_dir, "nodes").withColumn("embedding", F.lit(None).cast("array<float>"))
-    return enrich.embed_pending(n).select("id", F.size("embedding").alias("dims"))
+    v = F.coalesce(F.col("embedding"), F.array().cast("array<float>"))
+    places = F.transform(v, lambda x, k: x.cast("double") * (k + 1))
+    add = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 3) + F.lit(0.0)
+    return enrich.embed_pending(n).select("id", F.coalesce(F.size("embedding"), F.lit(-1)).alias("dims"), add(places).alias("weighed"), add(F.transform(v, lambda x: x.cast("double") * x.cast("double"))).alias("squared"))
 
 
 # --- queries
@@ -451,9 +499,8 @@ def query_type(spark, sf_dir):
     return parsed(view(spark, sf_dir, "asked")).select("query_id", "query_type", "confidence")
 
 
-@query(PARSED + """ SELECT query_id, array_to_string(list_filter([CASE WHEN query_type <> 'entity' THEN 'Vector semantic search using embeddings' END, CASE WHEN query_type IN ('entity', 'hybrid') THEN 'Direct entity name lookup' END,
-    CASE WHEN expand_context THEN 'Graph context expansion' END], lambda x: x IS NOT NULL), '; ') AS search_strategy, CASE query_type WHEN 'semantic' THEN 'Pure semantic search - finding code with similar meaning' WHEN 'entity' THEN 'Entity lookup - finding specific named code elements'
-    WHEN 'hybrid' THEN 'Hybrid approach - combining semantic search with entity lookup' ELSE 'Contextual search - semantic search with relationship traversal' END AS estimated_approach FROM t""", "asked")
+@query(PARSED + f""" SELECT query_id, array_to_string(list_filter([CASE WHEN query_type <> 'entity' THEN '{STRATEGIES[0]}' END, CASE WHEN query_type IN ('entity', 'hybrid') THEN '{STRATEGIES[1]}' END,
+    CASE WHEN expand_context THEN '{STRATEGIES[2]}' END], lambda x: x IS NOT NULL), '; ') AS search_strategy, CASE query_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in APPROACHES.items())} END AS estimated_approach FROM t""", "asked")
 def explain_query(spark, sf_dir):
     return explained(view(spark, sf_dir, "asked")).select("query_id", F.array_join("search_strategy", "; ").alias("search_strategy"), "estimated_approach")
 
@@ -476,19 +523,67 @@ def hybrid_merge_score(spark, sf_dir):
     return search.merge_and_score(full).withColumn("hybrid_score", F.round("hybrid_score", 6))
 
 
-@query()
+HYBRID = (
+    PARSED.replace("WITH w AS", "WITH w AS", 1).replace("FROM asked)", "FROM asked WHERE query_id % 50 = 0)")
+    + ", " + DIRECTED.removeprefix("WITH ") + EXPANDED.removeprefix(DIRECTED)
+    + f""", i AS (SELECT t.*, a.embedding FROM t JOIN nodes a ON a.vec_id = t.query_id),
+    cos AS (SELECT a.query_id, a.text, a.node_types, b.id, b.label, b.name, b.generated_summary, {COS} AS cos FROM i a JOIN nodes b ON a.query_type IN ('semantic', 'hybrid', 'contextual')),
+    near AS (SELECT * FROM cos QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY cos DESC, id) <= 20),
+    up AS (SELECT *, CASE WHEN {MATCH} THEN cos * 1.2 ELSE cos END AS score FROM near WHERE cos >= 0.6 AND (len(node_types) = 0 OR list_contains(node_types, label))),
+    best AS (SELECT * FROM up QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, list_position(['File','Class','Interface','Method','Function','Variable'], label), id) <= 20),
+    v AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS seq, id, label, name, 'vector' AS match_type, score FROM best),
+    e AS (SELECT query_id, unnest(entity_names) AS entity, unnest(range(0, len(entity_names))) AS nth FROM i WHERE query_type IN ('entity', 'hybrid')),
+    l AS (SELECT query_id, nth, entity, n.id, n.label, n.name, CASE WHEN n.name = entity THEN 1.0 WHEN full_name = entity THEN 0.9 WHEN contains(n.name, entity) THEN 0.8 ELSE 0.7 END AS found FROM e JOIN nodes n ON contains(n.name, entity) OR contains(full_name, entity)),
+    p10 AS (SELECT *, row_number() OVER (PARTITION BY query_id, nth ORDER BY found DESC, name, id) AS place FROM l QUALIFY place <= 10),
+    hits AS (SELECT * FROM v UNION ALL SELECT query_id, 1000000 + nth * 1000 + place, id, label, name, 'entity', CAST(found AS DOUBLE) * CAST(1.3 AS DOUBLE) FROM p10),
+    roots AS (SELECT hits.query_id, hits.id FROM hits JOIN i ON i.query_id = hits.query_id AND (query_type = 'contextual' OR expand_context) QUALIFY row_number() OVER (PARTITION BY hits.query_id ORDER BY seq) <= 10),
+    rel AS (SELECT query_id, least(50, count(DISTINCT related)) AS related FROM roots JOIN x ON x.from_node = roots.id GROUP BY query_id),
+    mg AS (SELECT query_id, id, min(seq) AS seq, arg_min(label, seq) AS label, arg_min(name, seq) AS name, max(score) AS base, string_agg(match_type, '+' ORDER BY seq) AS match_type FROM hits GROUP BY query_id, id),
+    sc AS (SELECT mg.*, rel.related, least(CAST(2.0 AS DOUBLE), base
+        * CAST(CASE WHEN len(list_filter(entity_names, lambda y: lower(y) = lower(coalesce(mg.name, '')))) > 0 OR len(list_filter(programming_terms, lambda y: contains(lower(coalesce(mg.name, '')), y))) > 0 THEN 1.5 ELSE 1.0 END AS DOUBLE)
+        * CAST(confidence AS DOUBLE) * CAST(CASE WHEN list_contains(node_types, mg.label) THEN 1.2 ELSE 1.0 END AS DOUBLE) * CAST(CASE WHEN contains(match_type, '+') THEN 1.1 ELSE 1.0 END AS DOUBLE)
+        + CAST(CASE WHEN coalesce(rel.related, 0) > 0 THEN least(0.1, rel.related * 0.002) ELSE 0.0 END AS DOUBLE)) AS hybrid_score FROM mg JOIN i ON i.query_id = mg.query_id LEFT JOIN rel ON rel.query_id = mg.query_id)
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, seq) AS INTEGER) AS rank, id, label, name, match_type, round(hybrid_score, 6) AS hybrid_score,
+        concat(match_type, ' match', CASE WHEN related IS NOT NULL THEN concat(' | Context: ', related, ' related nodes') ELSE '' END) AS explanation FROM sc QUALIFY rank <= 30"""
+)
+
+
+@query(HYBRID, "asked", "nodes", "edges")
 def hybrid_search(spark, sf_dir):
     n = view(spark, sf_dir, "nodes")
     q = view(spark, sf_dir, "asked").filter("query_id % 50 = 0").join(n.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
-    return search.hybrid_search(q, n, view(spark, sf_dir, "edges"))
+    return search.hybrid_search(q, n, view(spark, sf_dir, "edges")).withColumn("hybrid_score", F.round("hybrid_score", 6))
+
+
+def _walk(p: str, types: tuple[str, ...], depth: int, out: bool, roots: str, limit: str = "") -> str:
+    """Common table expressions of how many nodes each root reaches; the last is named after ``p``."""
+    a, b = ("src", "dst") if out else ("dst", "src")
+    return f"""{p}_walk AS (SELECT id AS root, id, 0 AS depth FROM nodes WHERE {roots} UNION ALL SELECT DISTINCT w.root, e.{b}, w.depth + 1 FROM {p}_walk w JOIN edges e ON e.{a} = w.id AND e.type IN ({quoted(types)}) WHERE w.depth < {depth}),
+        {p}_least AS (SELECT root, id FROM {p}_walk GROUP BY root, id HAVING min(depth) > 0),
+        {p} AS (SELECT root, n.id FROM {p}_least l JOIN nodes n ON n.id = l.id{limit})"""
+
+
+_WALKS = [_walk("ci", graph.CALLS, 2, False, CALLERS, TOP20), _walk("co", graph.CALLS, 2, True, CALLERS, TOP20), _walk("ki", graph.INHERITANCE, 5, False, KIN), _walk("ko", graph.INHERITANCE, 5, True, KIN)]
 
 
-@query()
+@query("WITH " + ", ".join(_WALKS) + """, every AS (SELECT root, 1 AS n_in, 0 AS n_out FROM ci UNION ALL SELECT root, 0, 1 FROM co UNION ALL SELECT root, 1, 0 FROM ki UNION ALL SELECT root, 0, 1 FROM ko)
+    SELECT root, CAST(sum(n_in) AS BIGINT) AS n_in, CAST(sum(n_out) AS BIGINT) AS n_out FROM every GROUP BY root""", "nodes", "edges")
 def hierarchical_context(spark, sf_dir):
     n = view(spark, sf_dir, "nodes")
     return search.hierarchical_context(n, n, view(spark, sf_dir, "edges"))
 
 
+@query("SELECT vec_id AS query_id, id, label FROM nodes WHERE vec_id % 50 = 0 AND coalesce(generated_summary, '') <> ''", "nodes")
+def search_by_text(spark, sf_dir):
+    """Each node that is asked for by its own summary finds itself first of its label."""
+    n = enrich.embed_pending(view(spark, sf_dir, "nodes").withColumn("embedding", F.lit(None).cast("array<float>")))
+    asked = n.filter("vec_id % 50 = 0 and coalesce(generated_summary, '') <> ''").select(F.col("vec_id").alias("query_id"), F.col("generated_summary").alias("text"), F.array("label").alias("node_types"), F.col("id").alias("own"))
+    found = search.search_by_text(asked.drop("own"), n, search.SearchConfig(max_vector_results=100))
+    top = found.groupBy("query_id").agg(F.max("original_score").alias("high"))
+    hit = found.join(top, "query_id").join(asked.select("query_id", "own"), "query_id").filter("id = own and abs(original_score - high) < 1e-9")
+    return hit.select("query_id", "id", "label")
+
+
 # --- interchange
 
 
@@ -507,12 +602,6 @@ def interchange_edges(spark, sf_dir):
     return store.edges_of(store.parse_interchange(texts)).select("src", "dst", "type")
 
 
-@query("SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]+)\"', 1)) AS target FROM pages")
-def page_imports(spark, sf_dir):
-    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return p.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]+)"'), F.lit(1))).alias("target"))
-
-
 # --- extraction
 
 
@@ -539,3 +628,74 @@ def _extraction(language: str):
 for _language in samples.SOURCES:
     _columns = ", ".join(f"replace({c}, '@', CAST(doc_id AS VARCHAR)) AS {c}" if c not in ("first_line", "last_line") else c for c in samples.COLUMNS)
     query(f"SELECT {_columns} FROM documents, (VALUES {samples.values_sql(_language)}) v({', '.join(samples.COLUMNS)})")(_extraction(_language))
+
+
+# --- indexing
+
+
+_CHANGED = samples.SOURCES["python"][2].replace("class C@", "class D@")
+#: Of ten documents one is new in the second state, one gone and one changed.
+FIRST, SECOND = "doc_id % 10 <> 0", "doc_id % 10 <> 1"
+
+
+def _states(spark, sf_dir):
+    first = _sources(spark, sf_dir, "python", None, FIRST)
+    second = _sources(spark, sf_dir, "python", None, f"{SECOND} and doc_id % 10 <> 2").unionByName(_sources(spark, sf_dir, "python", _CHANGED, "doc_id % 10 = 2"))
+    full = lambda f: f.withColumns({"absolute_path": F.concat(F.lit("/repo/"), "path"), "size": F.octet_length("content").cast("long"), "extension": F.lit(".py")})
+    return full(first), full(second)
+
+
+def _indexed(spark, sf_dir):
+    """The results of two runs over changing files and a third over unchanged ones."""
+    first, second = _states(spark, sf_dir)
+    one = indexing.index_files(first, *indexing.empty(spark))
+    summarised = one.nodes.withColumn("generated_summary", F.when(F.col("label") == "Function", F.concat(F.lit("summary of "), "name")))
+    two = indexing.index_files(second, summarised, one.edges)
+    return one, two, indexing.index_files(second, two.nodes, two.edges)
+
+
+_IN_SECOND = "FROM (SELECT *, doc_id % 10 = 2 AS changed, doc_id % 10 = 0 AS fresh FROM documents WHERE doc_id % 10 <> 1) d, (VALUES " + samples.values_sql("python") + f") v({', '.join(samples.COLUMNS)})"
+_named = lambda c: f"replace(CASE WHEN changed THEN replace({c}, 'C@', 'D@') ELSE {c} END, '@', CAST(doc_id AS VARCHAR))"
+
+
+@query(f"SELECT label, {_named('name')} AS name, {_named('full_name')} AS full_name, edge, {_named('parent')} AS parent, CASE WHEN label = 'Function' AND NOT fresh THEN concat('summary of ', {_named('name')}) END AS generated_summary {_IN_SECOND}")
+def index_twice(spark, sf_dir):
+    """The graph after files came, went and changed; what is still there keeps its summary."""
+    _, _, three = _indexed(spark, sf_dir)
+    parents = three.edges.select(F.col("dst").alias("id"), F.col("type").alias("edge"), F.col("src").alias("_src")).join(three.nodes.select(F.col("id").alias("_src"), F.col("full_name").alias("parent")), "_src")
+    return three.nodes.join(parents, "id", "left").select("label", "name", "full_name", "edge", "parent", "generated_summary")
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id % 10 AS k FROM documents), n AS (SELECT {len(samples.EXPECTED['python'])} AS every, {sum('C@' in (r[2] or '') for r in samples.EXPECTED['python'])} AS renamed),
+        c AS (SELECT count(*) FILTER (k = 0) AS new, count(*) FILTER (k = 2) AS modified, count(*) FILTER (k = 1) AS deleted, count(*) FILTER (k NOT IN (0, 1, 2)) AS unchanged, count(*) FILTER (k <> 1) AS now FROM d)
+        SELECT run, metric, CAST(v AS BIGINT) AS n FROM (SELECT 2 AS run, unnest(['files new', 'files modified', 'files deleted', 'files unchanged', 'files failed', 'nodes created', 'nodes merged', 'edges', 'files removed', 'nodes removed']) AS metric,
+            unnest([new, modified, deleted, unchanged, 0, new * every + modified * renamed, modified * (every - renamed), now * (every - 1), deleted, deleted * (every - 1) + modified * renamed]) AS v FROM c, n
+        UNION ALL SELECT 3, unnest(['files new', 'files modified', 'files deleted', 'files unchanged', 'files failed', 'nodes created', 'nodes merged', 'edges', 'files removed', 'nodes removed']), unnest([0, 0, 0, now, 0, 0, 0, now * (every - 1), 0, 0]) FROM c, n) r""",
+)
+def index_summary(spark, sf_dir):
+    _, two, three = _indexed(spark, sf_dir)
+    return two.summary.withColumn("run", F.lit(2)).unionByName(three.summary.withColumn("run", F.lit(3))).select("run", "metric", "n")
+
+
+@query("SELECT count(*) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(DISTINCT path) FROM nodes) AS n_files FROM nodes", "nodes", "edges")
+def combined_outputs(spark, sf_dir):
+    n, e = view(spark, sf_dir, "nodes"), view(spark, sf_dir, "edges")
+    listed = F.collect_list(F.struct("id", "label", "name", "full_name", "path")).alias("nodes")
+    one = n.groupBy("path").agg(listed).select(F.to_json(F.struct(F.lit("python").alias("language"), F.array("path").alias("processed_files"), "nodes")).alias("value"))
+    links = F.collect_list(F.struct(F.col("src").alias("source_id"), F.col("dst").alias("target_id"), "type")).alias("relationships")
+    two = e.groupBy("src").agg(links).select(F.to_json(F.struct(F.lit("csharp").alias("language"), "relationships")).alias("value"))
+    batch = store.combine(store.parse_interchange(one), store.parse_interchange(two))
+    return batch.nodes.agg(F.count(F.lit(1)).alias("n_nodes")).join(batch.edges.agg(F.count(F.lit(1)).alias("n_edges"))).join(batch.files.agg(F.count_distinct("path").alias("n_files")))
+
+
+@query("WITH gone AS (SELECT id, label FROM nodes WHERE path LIKE '%/file1%') SELECT count(*) FILTER (label = 'File') AS files, count(*) FILTER (label <> 'File') AS related, (SELECT count(*) FROM edges WHERE src IN (SELECT id FROM gone) OR dst IN (SELECT id FROM gone)) AS edges FROM gone", "nodes", "edges")
+def deletion_counts(spark, sf_dir):
+    n = view(spark, sf_dir, "nodes")
+    return store.deletion_counts(n, view(spark, sf_dir, "edges"), n.filter("path like '%/file1%'"))
+
+
+@query("SELECT id, full_name FROM nodes WHERE label = 'Method' AND coalesce(generated_summary, '') = '' AND coalesce(summary_status, '') <> 'PROCESSING' ORDER BY full_name, id LIMIT 25", "nodes")
+def pending_level(spark, sf_dir):
+    """A level's next batch is the first 25 by full name."""
+    return enrich.pending_level(view(spark, sf_dir, "nodes"), "Method", 25).select("id", "full_name")

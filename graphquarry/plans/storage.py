@@ -109,3 +109,9 @@ def remove(spark: SparkSession, path: str) -> None:
 def exists(spark: SparkSession, path: str) -> bool:
     store, target = _located(spark, path)
     return store.exists(target)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what stands directly in a folder."""
+    store, target = _located(spark, path)
+    return [x.getPath().getName() for x in store.listStatus(target)]

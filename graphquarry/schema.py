@@ -28,6 +28,8 @@ NODE = (
     "is_variadic boolean, is_params boolean, modifier string, module string, alias string, imported_names array<string>, "
     "is_wildcard boolean, exported_names array<string>, is_default boolean"
 )
+#: A node as a store has it, with what enrichment adds.
+STORED = f"{NODE}, generated_summary string, summary_status string, embedding array<float>"
 NODE_FIELDS = tuple(x.split()[0] for x in NODE.replace(LOCATION, "location").replace("map<string, string>", "map").split(", "))
 EDGE = "src string, dst string, type string, properties map<string, string>"
 #: A document of one extraction run, as it is exchanged.

@@ -111,6 +111,18 @@ def scan_directory(spark: SparkSession, root: str, partitions: int | None = None
     return described(chosen.mapInArrow(read, FILE))
 
 
+def package_files(spark: SparkSession, root: str) -> DataFrame:
+    """(dir, type) of the package.json files under ``root``; those that can't be parsed have no type."""
+    store, top = _opened(root)
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "package.json").text(root if "://" in root else f"file://{top}")
+    base = "/" + top.strip("/") + "/"
+    where = F.regexp_replace(F.url_decode(F.input_file_name()), r"^[a-z0-9]+:/+", "/")
+    inner = F.substring_index(where, base, -1)
+    folder = F.regexp_replace(F.regexp_replace(inner, r"/?package\.json$", ""), "^/+", "")
+    found = files.select(folder.alias("dir"), F.get_json_object("value", "$.type").alias("type"))
+    return found.filter(~F.arrays_overlap(F.split("dir", "/"), F.array(*[F.lit(x) for x in IGNORED])))
+
+
 def described(files: DataFrame) -> DataFrame:
     """Adds checksum (of the bytes; empty if there are none to read), extension and language."""
     return files.withColumns({"checksum": F.coalesce(F.sha2("content", 256), F.lit("")), "extension": extension(F.col("path")), "language": language(F.col("path"))})

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphquarry.operators.graph import component_of, resolved_edges
-from graphquarry.schema import INTERCHANGE, NODE_FIELDS
+from graphquarry.schema import EDGE, INTERCHANGE, NODE_FIELDS, STORED
 
 
 def latest(*batches: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def write_snapshot(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 
 def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+    return spark.read.schema(STORED).parquet(f"{path}/nodes").select(*spark.createDataFrame([], STORED).columns), spark.read.schema(EDGE).parquet(f"{path}/edges").select("src", "dst", "type", "properties")
 
 
 def read_interchange(spark: SparkSession, path: str) -> DataFrame:

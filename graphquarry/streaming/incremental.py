@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from graphquarry import index as indexing
 from graphquarry.operators.changes import detect_changes, files_to_process, stored_snapshot
 
 
@@ -28,3 +29,15 @@ def index_stream(files: DataFrame, stored: Callable[[], DataFrame], apply: Calla
 
     writer = files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def into_store(spark: SparkSession, path: str) -> Callable[[DataFrame, int], None]:
+    """An ``apply`` that brings a store up to date with a batch's files (with content). A batch that is repeated finds them unchanged."""
+
+    def apply(files: DataFrame, number: int) -> None:
+        nodes, edges = indexing.read(spark, path)
+        result = indexing.index_files(files.drop("status"), nodes, edges, whole=False)
+        if result.changes.filter("status <> 'UNCHANGED'").limit(1).count():
+            indexing.write(result.nodes, result.edges, path)
+
+    return apply
