@@ -6,12 +6,13 @@ together, are matched greedily in at most pairs, the longest with the longest th
 smaller ones, longest first, go where they leave the smallest gap. A plan is a list of
 slots, "the a-th to b-th piece of length L stand at offset o of sequences s to s+b-a";
 each piece finds its slot by its number among the pieces of its length. The numbers come
-from salted groups, whose sizes are added up first, so that no length gathers in one task.
+from salted groups, whose sizes are added up first, so that no length gathers in one task;
+a length has as many groups as bound their pieces, or their bytes where ids come along.
 
 Defined cases: null counts as empty; an empty text is one piece holding only the end id;
 texts beyond the capacity are cut into full pieces, the first taking what is left over;
 added tokens' strings in a text give those tokens' ids; repeated rows are packed each;
-equal lengths are numbered by id and piece; an empty table gives an empty result; other
+equal lengths are numbered in groups, there by id, piece and checksum; an empty table gives an empty result; other
 columns are ignored; bytes that aren't UTF-8 count as U+FFFD.
 """
 
@@ -36,8 +37,9 @@ CAPACITY = 1024
 END_ID = 2
 #: Words a worker keeps encoded; older ones go when twice as many are held.
 KEPT_WORDS = 250_000
-#: Pieces that are numbered in one group, about.
-GROUP = 200_000
+#: Pieces that are numbered in one group, about, and bytes where they carry their ids.
+GROUP = 25_000
+GROUP_BYTES = 8 << 20
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -198,17 +200,24 @@ def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, e
     return slim.mapInArrow(cutter(path, pattern, capacity, end_id, with_ids), T.StructType(fields))
 
 
+def salts(histogram: dict[int, int], capacity: int, with_ids: bool) -> list[int]:
+    """How many groups the pieces of each length, from 1 to the capacity, are numbered in."""
+    most = [min(GROUP, GROUP_BYTES // (4 * n) + 1) if with_ids else GROUP for n in range(1, capacity + 1)]
+    return [max(1, -(-histogram.get(n, 0) // m)) for n, m in enumerate(most, 1)]
+
+
 def pack(rows: DataFrame, capacity: int = CAPACITY, length_col: str = "length", order_cols: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """``rows`` with sequence_id and offset; lengths run from 1 to the capacity.
 
-    ``rows`` is read three times and should be a written table. To the driver come the
-    histogram (at most ``capacity`` rows); the plan that is sent out has a few slots a length.
+    ``rows`` is read three times and should be a written table; a column ``ids`` is moved once.
+    To the driver come the histogram (at most ``capacity`` rows); the plan that is sent out has
+    a few slots a length.
     """
     spark = rows.sparkSession
     counts = {r["n"]: r["c"] for r in rows.groupBy(F.col(length_col).alias("n")).agg(F.count(F.lit(1)).alias("c")).collect()}
     slots = spark.createDataFrame(plan(counts, capacity), "_length long, _first long, _end long, _sequence long, _offset long")
-    salts = max(1, -(-max(counts.values(), default=0) // GROUP)) * (8 if max(counts.values(), default=0) > 1000 else 1)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*order_cols), F.lit(salts)))
+    groups = F.get(F.lit(salts(counts, capacity, "ids" in rows.columns)), F.col(length_col).cast("int") - 1)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*order_cols), groups))
     sizes = salted.groupBy(length_col, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(length_col).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select(length_col, "_salt", F.coalesce(before, F.lit(0)).alias("_before"))
@@ -221,4 +230,4 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, length_col: str = "length",
 
 def pack_documents(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of every document, each with its place."""
-    return pack(materialise(pieces(docs, path, pattern, capacity, end_id, with_ids, id_col, text_col), "pieces"), capacity)
+    return pack(materialise(pieces(docs, path, pattern, capacity, end_id, with_ids, id_col, text_col), "pieces"), capacity, order_cols=("doc_id", "piece", "ids_crc32"))

@@ -93,6 +93,25 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, P.path("byte_bpe_50k.json"), P.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("with_ids", [False, True])
+def test_packing_in_many_groups(spark, monkeypatch, with_ids):
+    """Lengths of many groups, a hot null id and rows that repeat leave every sequence gapless."""
+    monkeypatch.setattr(packing, "GROUP", 5)
+    monkeypatch.setattr(packing, "GROUP_BYTES", 2 * 4 * 1024)
+    texts = [" a" * (2500 + k % 3) for k in range(30)] + [" b" * (k % 4) for k in range(60)]
+    rows = [(None if k % 3 else k, t) for k, t in enumerate(texts)] + [(0, texts[0])] * 2
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), P.path("byte_bpe_50k.json"), P.PATTERN, with_ids=with_ids).collect()
+    assert sum(r["length"] for r in got) == sum(len(t) // 2 + 1 for _, t in rows)
+    bins = collections.defaultdict(list)
+    for r in got:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for held in bins.values():
+        ends = np.cumsum([n for _, n in sorted(held)])
+        assert [o for o, _ in sorted(held)] == [0, *ends[:-1]] and ends[-1] <= 1024
+    sizes = collections.Counter(r["length"] for r in got)
+    assert packing.salts(sizes, 1024, with_ids)[1023] == -(-sizes[1024] // (3 if with_ids else 5))
+
+
 def test_ids_equal_those_of_the_library():
     from tokenizers import Tokenizer
 
