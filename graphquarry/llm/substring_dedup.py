@@ -6,7 +6,8 @@ chunk holds smaller ids only.
 1. Recurring windows: each chunk sends the hashes of its distinct windows of WINDOW words
    to buckets of hash space; a window in several chunks recurs. Each later chunk is matched
    with one earlier chunk that holds the window, the k-th with the (k-1)//8-th, so that no
-   chunk serves more than eight others for one window, however often it occurs.
+   chunk serves more than eight others for one window, however often it occurs. Beyond GROUP_RANGES
+   ranges of chunks each group of ranges is matched in itself, and then the groups' first holders.
 2. Confirmation: the earlier chunk finds those windows in its texts, joins neighbouring
    ones to passages and sends their words to the later chunk.
 3. Location: each chunk compiles the passages it got, and those that recur among its own
@@ -24,7 +25,8 @@ chunk holds smaller ids only.
 Defined cases: null, empty and blank texts have no words; documents shorter than a window
 lose nothing; windows that recur only within one document stay; documents that repeat
 an id are not smaller than each other and stand in one chunk; rows with a null id neither lose words nor cause
-losses; a text longer than a chunk is a chunk of its own, of which a worker holds the words' places;
+losses; a text longer than a chunk is a chunk of its own, of which a worker holds the words' places, and so are all rows
+that repeat one id, which are never divided between chunks; passages of any length and any number of different words are cut for the automata;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -48,6 +50,8 @@ CHUNK_BYTES = 1 << 20
 #: Text bytes a range of chunks; windows a bucket of hash space; bytes of passages an automaton.
 RANGE_BYTES, BUCKET_WINDOWS, SHARD_BYTES = 16 << 20, 1_000_000, 2 << 20
 SERVED = 8
+#: Ranges of chunks whose windows are matched in one group: a window that every chunk holds adds a hash a chunk to it.
+GROUP_RANGES = 4096
 _BYTES_A_WORD = 6
 #: Places of a block in the passages from which its windows are compiled instead.
 COMMON = 8
@@ -123,24 +127,33 @@ class Chunk:
         return self.words.data[self.words.begin[first] : self.words.end[last - 1]]
 
 
+def low_bytes(h: np.ndarray) -> bytes:
+    """The hashes without their highest byte, 7 bytes each."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
+
+
 def window_senders(window: int, bits: int, mask: int):
-    """(bucket, chunk, hashes): a chunk's distinct windows, by the first ``bits`` of the hash; 7 bytes a hash."""
+    """(part, bucket, chunk, hashes): a chunk's distinct windows, by the first ``bits`` of the hash; 7 bytes a hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 h = np.unique(Chunk(row, window, mask).hash)
                 edge = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
-                low = np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7])
                 full = [k for k in range(1 << bits) if edge[k] < edge[k + 1]]
-                blobs = [low[edge[k] : edge[k + 1]].tobytes() for k in full]
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([row["chunk"]] * len(full), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "chunk", "hashes"])
+                blobs = [low_bytes(h[edge[k] : edge[k + 1]]) for k in full]
+                columns = [pa.array([row["part"]] * len(full), pa.int32()), pa.array(full, pa.int32()), pa.array([row["chunk"]] * len(full), pa.int64()), pa.array(blobs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "bucket", "chunk", "hashes"])
 
     return run
 
 
-def matcher(bits: int):
-    """A bucket's windows that several chunks hold: for each serving chunk the hashes, and which chunk wants each."""
+def matcher(bits: int, onward: bool = False):
+    """A bucket's windows that several chunks hold: for each serving chunk the hashes, and which chunk wants each.
+
+    ``onward`` adds, without ``codes`` and ``wanted_by``, the windows that each chunk is the first to hold, for a match
+    between the firsts of several ranges of chunks.
+    """
 
     def run(key, table):
         table = table.sort_by("chunk")
@@ -167,7 +180,16 @@ def matcher(bits: int):
             out[1].append(h[later[part]].astype("<u8").tobytes())
             out[2].append(code.astype("<u4").tobytes())
             out[3].append(chunks[wants].tolist())
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.list_(pa.int64()))], names=["chunk", "hashes", "codes", "wanted_by"])
+        if onward:
+            at = np.nonzero(start)[0]
+            at = at[np.argsort(chunk[at], kind="stable")]
+            for part in np.split(at, np.nonzero(np.diff(chunk[at]))[0] + 1):
+                out[0].append(int(chunks[chunk[part[0]]]))
+                out[1].append(low_bytes(h[part]))
+                out[2].append(None)
+                out[3].append(None)
+        columns = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.list_(pa.int64()))]
+        return pa.table([pa.array([key[0].as_py()] * len(out[0]), pa.int32()), *columns], names=["bucket", "chunk", "hashes", "codes", "wanted_by"])
 
     return run
 
@@ -234,8 +256,30 @@ def lettered(numbers: np.ndarray) -> str:
     return n.astype("<u4").tobytes().decode("utf-32-le")
 
 
-def shards(texts: list[bytes], first: list[int]) -> Iterator[tuple[list[bytes], list[int]]]:
-    """Runs of passages of about SHARD_BYTES."""
+def cut(texts: list[bytes], first: list[int], window: int, most: int) -> tuple[list[bytes], list[int]]:
+    """The passages, those of more than ``most`` bytes in pieces, which overlap so that each window lies in one of them whole."""
+    out: list[bytes] = []
+    ranks: list[int] = []
+    for x, rank in zip(texts, first, strict=True):
+        if len(x) <= most:
+            out.append(x)
+            ranks.append(rank)
+            continue
+        w, start, stop = Words([x]), 0, 0
+        while stop < len(w):
+            stop = min(len(w), max(start + window, int(np.searchsorted(w.end, w.begin[start] + most, "right"))))
+            out.append(w.data[w.begin[start] : w.end[stop - 1]])
+            ranks.append(rank)
+            start = stop - window + 1
+    return out, ranks
+
+
+def shards(texts: list[bytes], first: list[int], window: int) -> Iterator[tuple[list[bytes], list[int]]]:
+    """Runs of passages of about SHARD_BYTES, long ones cut.
+
+    That bounds an automaton's letters too: its passages hold fewer different words than there are characters.
+    """
+    texts, first = cut(texts, first, window, SHARD_BYTES // 2)
     start = size = 0
     for k, x in enumerate(texts):
         size += len(x)
@@ -358,7 +402,7 @@ def locator(window: int, texts: bool, mask: int, settled: bool):
             first = list(received.values()) + [int(c.rank[c.words.text[a]]) for a, _ in own]
             word_rank = c.rank[c.words.text]
             found = np.zeros(len(c.words) + 1, bool)
-            for part, ranks in shards(held, first):
+            for part, ranks in shards(held, first, window):
                 at, before = Passages(part, ranks, window).located(c.words)
                 found[at[before < word_rank[at]]] = True
             change = np.zeros(len(c.words) + 1, np.int32)
@@ -369,7 +413,7 @@ def locator(window: int, texts: bool, mask: int, settled: bool):
             if not settled and len(h):
                 recurs = np.zeros(len(h), bool)
                 recurs[order] = by_rank > np.repeat(by_rank[start], last - start + 1)
-                for part, _ in shards(list(received), list(received.values())):
+                for part, _ in shards(list(received), list(received.values()), window):
                     recurs |= among(c.hash, np.unique(Words(part).runs(window)[0] & np.uint64(mask)))
                 missed = np.unique(c.hash[recurs & ~found[c.at]])
                 doubt = [missed.astype("<u8").tobytes() if len(missed) else None]
@@ -428,6 +472,18 @@ def phrase_packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array([x for x, _ in made], pa.binary()), pa.array([x for _, x in made], pa.binary()), batch.column("first_id")], names=["chunk", "sizes", "passages", "first_id"])
 
 
+WANTED = "bucket int, chunk bigint, hashes binary, codes binary, wanted_by array<bigint>"
+
+
+def _matched(sent: DataFrame, bits: int, groups: int) -> DataFrame:
+    """What each chunk is asked for. Of more than one group of ranges, each is matched in itself, then the groups' firsts."""
+    if groups == 1:
+        return materialise(sent.groupBy("bucket").applyInArrow(matcher(bits), WANTED), "wanted")
+    near = materialise(sent.groupBy("bucket", F.expr(f"part % {groups}").alias("group")).applyInArrow(matcher(bits, True), WANTED), "wanted_near")
+    far = near.filter("codes is null").select("bucket", "chunk", "hashes").groupBy("bucket").applyInArrow(matcher(bits), WANTED)
+    return materialise(near.filter("codes is not null").unionByName(far), "wanted")
+
+
 PASSAGES = "chunk bigint, sizes binary, passages binary, first_id bigint"
 
 
@@ -467,13 +523,13 @@ def without_id(texts: bool):
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False, chunk_bytes: int = CHUNK_BYTES, id_col: str = "doc_id", text_col: str = "text", mask: int = _ALL_BITS) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False, chunk_bytes: int = CHUNK_BYTES, id_col: str = "doc_id", text_col: str = "text", mask: int = _ALL_BITS, group_ranges: int = GROUP_RANGES) -> DataFrame:
     """doc_id, n_words, n_removed and kept of every row.
 
     ``kept`` is the SHA-256 of the kept words joined by one blank or, with ``texts``, that
     text itself for rows that lose words and null for the others; then ``source``, the SHA-256
     of the whole text as bytes, tells apart rows that repeat an id. ``mask`` clears bits of the windows' hashes,
-    below the highest 16: the result is the same, by way of more doubts.
+    below the highest 16: the result is the same, by way of more doubts. ``group_ranges`` only shifts work.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -481,10 +537,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False,
     total = named.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
     dealt = named.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id")
-    chunks = materialise(dealt.mapInArrow(chunker(chunk_bytes), "chunk bigint, ids binary, sizes binary, texts binary"), "chunks")
+    chunks = materialise(dealt.mapInArrow(chunker(chunk_bytes), "chunk bigint, ids binary, sizes binary, texts binary").withColumn("part", F.spark_partition_id()), "chunks")
     bits = max(8, int(total / _BYTES_A_WORD / BUCKET_WINDOWS).bit_length())
-    sent = chunks.mapInArrow(window_senders(window, bits, mask), "bucket int, chunk bigint, hashes binary")
-    asked = materialise(sent.groupBy("bucket").applyInArrow(matcher(bits), "chunk bigint, hashes binary, codes binary, wanted_by array<bigint>"), "wanted")
+    sent = chunks.mapInArrow(window_senders(window, bits, mask), "part int, bucket int, chunk bigint, hashes binary")
+    asked = _matched(sent, bits, -(-ranges // max(1, group_ranges)))
     passages = materialise(chunks.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(confirmer(window, mask), PASSAGES), "passages")
     discard(asked)
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept string, chunk bigint, doubt binary" + (", source binary" if texts else "")
