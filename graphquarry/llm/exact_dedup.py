@@ -23,12 +23,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphquarry.llm.columns import free_name
-from graphquarry.plans.storage import discard, materialise
+from graphquarry.plans.storage import discard, materialise, new_path, remove
 
 #: Share of a call's rows from which a group of copies is joined by broadcast; there are fewer than its inverse.
 HOT_SHARE = 0.002
 #: Ranges of ids that a call's rows are put to the index in, one after the other.
-BATCHES = 4
+BATCHES = 2
 
 
 def normalised(text: Column) -> Column:
@@ -41,23 +41,33 @@ def digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A digest index that outlives the batches; ``name`` is a table in the warehouse, empty at first."""
+    """A digest index that outlives the batches; ``name`` is a table, empty at first.
 
-    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None):
+    Its files are in ``path``, by default a new folder of the one that all executors share, never in a warehouse that
+    may be a folder of one machine.
+    """
+
+    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None, path: str | None = None):
         self.spark = spark
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.path = None
         if not spark.catalog.tableExists(self.name):
+            self.path = path or new_path(spark, "digest-index")
             self._save(spark.createDataFrame([], "digest binary, keep_id bigint"))
 
     def _save(self, rows: DataFrame) -> None:
-        rows.write.bucketBy(self.buckets, "digest").sortBy("digest").option("compression", "zstd").mode("append").saveAsTable(self.name)
+        writer = rows.write.bucketBy(self.buckets, "digest").sortBy("digest").option("compression", "zstd").mode("append")
+        (writer.option("path", self.path) if self.path else writer).saveAsTable(self.name)
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
     def drop(self) -> None:
+        """The table and, where this object made it, its files."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        if self.path:
+            remove(self.spark, self.path)
 
     def unseen(self, digests: DataFrame) -> DataFrame:
         """Rows whose digest the index lacks, by sort-merge anti-join; the index side isn't exchanged."""
@@ -90,6 +100,18 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     digests = materialise(docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("digest")), "digests")
     own = index is None
     index = index or DigestIndex(spark)
+    try:
+        found = _found(digests, index, own, batches)
+    finally:
+        if own:
+            index.drop()
+    every = _resolved(digests, found)
+    stays = F.col("fresh") & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    return every.select("doc_id", "keep_id", "group_size", stays.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def _found(digests: DataFrame, index: DigestIndex, own: bool, batches: int) -> DataFrame:
+    """keep_id, group_size and whether it is new, of every digest of the call, which the index gets."""
     # what earlier calls had indexed, before this one adds to it
     groups = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
     if own:
@@ -100,13 +122,8 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     for part in descending(digests, batches):
         index.append(part)
     found = materialise(groups.join(index.table().hint("merge"), "digest"), "digests_found")
-    if own:
-        index.drop()
-    else:
-        discard(groups)
-    every = _resolved(digests, found)
-    stays = F.col("fresh") & F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return every.select("doc_id", "keep_id", "group_size", stays.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    discard(groups)
+    return found
 
 
 def _resolved(digests: DataFrame, found: DataFrame) -> DataFrame:
