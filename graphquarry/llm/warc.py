@@ -253,9 +253,17 @@ def read_index(spark: SparkSession, target: str) -> DataFrame:
 
 
 def checked(found: DataFrame, index: DataFrame) -> DataFrame:
-    """The records that the index has at the place where they were found; only places and facts are exchanged."""
-    named = index.select("part", "offset", "length", F.col("page_id").alias("_page"))
-    return found.join(named, ["part", "offset", "length"]).filter(F.col("page_id").eqNullSafe(F.col("_page"))).drop("_page")
+    """The records, held against the index; only places and facts are exchanged.
+
+    A record that the index lacks or has under another page, and an index line without a record, raise an error
+    that names the place: nothing goes without a word.
+    """
+    there = found.withColumn("_record", F.lit(True))
+    named = index.select("part", "offset", "length", F.col("page_id").alias("_page"), F.lit(True).alias("_line"))
+    both = there.join(named, ["part", "offset", "length"], "full_outer")
+    agrees = F.col("_record").isNotNull() & F.col("_line").isNotNull() & F.col("page_id").eqNullSafe(F.col("_page"))
+    place = F.concat(F.lit("archive and index differ at "), F.concat_ws(" ", "part", "offset", "length"))
+    return both.filter(F.when(agrees, True).otherwise(F.raise_error(place).cast("boolean"))).drop("_page", "_record", "_line")
 
 
 def read_records(spark: SparkSession, target: str, pages: DataFrame) -> DataFrame:
