@@ -14,7 +14,8 @@ sends on at most k rows a query.
 
 Defined cases: rows without an id take no part; vectors that are null, empty or hold a null or non-finite component take
 no part; vectors of another length than the query's are not compared with it; a query's
-own rows are those of its id; of repeated query ids the smallest vector asks; ties go to
+own rows are those of its id; a vector whose scores could pass 64 bits (its length times the square of its largest
+quantised component is 2**60 or more) raises an error, as no score of it would be right; of repeated query ids the smallest vector asks; ties go to
 the smaller id; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -223,7 +224,11 @@ def search_blocks(asked: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> Ca
 
 def usable_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     slim = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("e"))
-    return slim.filter(usable("e") & F.col("vec_id").isNotNull()).select("vec_id", quantise("e", scale).alias("v"))
+    small = F.size("e") * F.pow(scale * F.array_max(F.transform("e", lambda x: F.abs(x.cast("double")))) + 1, 2.0) < float(1 << 60)
+    fits = F.when(small, True).otherwise(F.raise_error(F.concat(F.lit("vector too large for 64-bit scores: "), F.col("vec_id").cast("string"))).cast("boolean"))
+    # one condition, so that it is only asked of vectors that take part
+    takes_part = F.when(usable("e") & F.col("vec_id").isNotNull(), fits).otherwise(False)
+    return slim.filter(takes_part).select("vec_id", quantise("e", scale).alias("v"))
 
 
 def build_index(candidates: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, block_rows: int = 8192) -> DataFrame:
