@@ -18,6 +18,7 @@ import corpus_pipeline
 from graphquarry.llm import bpe, exact_dedup, language_id, near_dup, packing, quality, substring_dedup, topk, toxicity, warc
 from graphquarry.llm.queries import ORACLES, QUERIES, remainder
 from graphquarry.llm.words import Words
+from graphquarry.plans import storage
 
 G = random.Random(11)
 VOCABULARY = ["".join(G.choice("aeioubcdlmnrst") for _ in range(G.randrange(2, 9))) for _ in range(400)]
@@ -322,7 +323,7 @@ def test_passages_are_located_wherever_they_occur(monkeypatch, common, window):
         ranks = list(range(-1, len(held) - 1))
         words = Words([t.encode() for t in texts])
         got = collections.defaultdict(set)
-        for part, own in substring_dedup.shards(held, ranks):
+        for part, own in substring_dedup.shards(held, ranks, window):
             for at, rank in zip(*(x.tolist() for x in substring_dedup.Passages(part, own, window).located(words)), strict=True):
                 got[at].add(rank)
         flat = [(k, w) for k, t in enumerate(texts) for w in t.split()]
@@ -342,6 +343,37 @@ def test_substring_dedup_on_few_words(spark):
     assert [r["n_removed"] for r in got if r["doc_id"] is None] == [0]
 
 
+def test_substring_dedup_of_long_passages_of_different_words(spark):
+    """More different words in one recurring passage than there are characters to number them with."""
+    n = 1_200_000
+    text = " ".join(f"{k:x}" for k in range(n))
+    df = spark.createDataFrame([(1, text), (2, "before " + text + " behind"), (3, "x")], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.substring_dedup(df).select("doc_id", "n_words", "n_removed").collect()}
+    assert got == {1: (n, 0), 2: (n + 2, n), 3: (1, 0)}
+
+
+@pytest.mark.parametrize("most", [1, 40, 1000])
+def test_cut_passages_hold_every_window(most):
+    g = random.Random(3)
+    held = [" ".join(g.choice(VOCABULARY) for _ in range(n)).encode() for n in (13, 20, 300)]
+    made, ranks = substring_dedup.cut(held, [4, 5, 6], 13, most)
+    windows = lambda x, r: {(r, tuple(x.split()[k : k + 13])) for k in range(len(x.split()) - 12)}
+    assert set().union(*map(windows, held, [4, 5, 6])) == set().union(*map(windows, made, ranks))
+    assert all(len(x) <= most or len(x.split()) == 13 for x in made)
+
+
+def test_substring_dedup_of_a_window_in_every_chunk(spark, monkeypatch):
+    """Ranges of chunks matched in groups, and then the groups' firsts, give what one group gives."""
+    monkeypatch.setattr(substring_dedup, "RANGE_BYTES", 2000)
+    g = random.Random(21)
+    common = prose(20, g)
+    rows = [(i, prose(g.randrange(0, 30), g) + " " + common + " " + prose(5, g)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_substring([(i, t.encode().split()) for i, t in rows])
+    for ranges in (1, 3, 1000):
+        assert sorted(map(tuple, substring_dedup.substring_dedup(df, chunk_bytes=300, group_ranges=ranges).collect())) == want
+
+
 def test_words():
     texts = [b"", b" a  bb\x0bccc\n", b"a\x1cb\x00 c", b"bb"]
     w = Words(texts)
@@ -367,7 +399,21 @@ def test_exact_dedup(spark, docs, empty):
     assert {r["doc_id"]: (r["keep_id"], r["kept"]) for r in exact_dedup.exact_dedup(two, index).collect()} == {0: (1, False), 9: (9, True), 8: (9, False)}
     assert {r["doc_id"]: r["kept"] for r in exact_dedup.exact_dedup(one, index).collect()} == {1: False, 2: False}
     assert index.table().count() == 3
+    path = index.path
     index.drop()
+    assert path.startswith(storage.shared_dir(spark)) and not storage.exists(spark, path)
+
+
+def test_exact_dedup_leaves_no_index_when_a_batch_fails(spark, docs, monkeypatch):
+    def broken(self, digests):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "append", broken)
+    tables, files = {t.name for t in spark.catalog.listTables()}, {x for x in storage.children(spark, storage.shared_dir(spark)) if x.startswith("digest-index")}
+    with pytest.raises(RuntimeError, match="lost"):
+        exact_dedup.exact_dedup(docs)
+    assert {t.name for t in spark.catalog.listTables()} == tables
+    assert {x for x in storage.children(spark, storage.shared_dir(spark)) if x.startswith("digest-index")} == files
 
 
 def test_exact_dedup_anti_joins_each_batch_with_the_index(spark, docs, monkeypatch):
@@ -437,7 +483,11 @@ def test_warc_records_by_the_index(spark, tmp_path, monkeypatch):
     assert facts(warc.read_records(spark, fine, asked)) == want
     assert warc.read_records(spark, fine, asked.filter("page_id = 99")).count() == 0
     found, index = warc.read_archives(spark, fine), warc.read_index(spark, fine)
-    assert warc.checked(found, index).count() == 41 and warc.checked(found, index.withColumn("offset", F.col("offset") + 1)).count() == 0
+    assert warc.checked(found, index).count() == 41
+    other = F.when(F.col("page_id") == 31, 32).otherwise(F.col("page_id")).cast("long")
+    for damaged in (index.filter("page_id <> 31"), index.withColumn("page_id", other), index.unionByName(index.limit(1).withColumn("offset", F.col("offset") + 1))):
+        with pytest.raises(Exception, match="archive and index differ"):
+            warc.checked(found, damaged).collect()
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
 
 
@@ -512,6 +562,8 @@ def test_top_k(spark):
     nameless = df.unionByName(df.filter("vec_id < 5").withColumn("vec_id", F.lit(None).cast("long")))
     assert sorted(map(tuple, topk.top_k(nameless, nameless.filter("vec_id % 20 = 0"), 400, block_rows=100).collect())) == sorted(want)
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+    with pytest.raises(Exception, match="too large for 64-bit scores: 9"):
+        topk.top_k(spark.createDataFrame([(9, [1e9, 0.0]), (8, [1e300, float("inf")])], "vec_id long, embedding array<double>"), df)
 
 
 def test_top_k_leaves_the_index_where_it_is(spark):
