@@ -1,4 +1,4 @@
-"""Words between ASCII white space: where they are, their 64-bit hashes, and hashes of runs of words.
+"""Words between ASCII white space, or other single bytes: where they are, their 64-bit hashes, and hashes of runs of words.
 
 All work is on whole buffers of bytes with numpy; nothing is kept between calls but
 tables of powers.
@@ -6,6 +6,9 @@ tables of powers.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 
 _ALL = (1 << 64) - 1
@@ -42,13 +45,46 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes behind which words are compared one by one.
+_LONG = 64
+
+
+def table(*parts: int | range) -> np.ndarray:
+    """A table of bytes for ``Words``: those given, and the line end that stands between texts."""
+    out = np.zeros(256, bool)
+    for x in (0x0A, *parts):
+        out[x if isinstance(x, int) else list(x)] = True
+    return out
+
+
+def slices(text: bytes, most: int, between: np.ndarray) -> Iterator[bytes]:
+    """The text in parts of about ``most`` bytes, cut before a byte of ``between``; longer ones where there is none."""
+    start = 0
+    while len(text) - start > most:
+        at, step = start + most, 1 << 16
+        while at < len(text):
+            found = np.nonzero(between[np.frombuffer(text, np.uint8, min(step, len(text) - at), at)])[0]
+            if len(found):
+                at += int(found[0])
+                break
+            at = min(len(text), at + step)
+        yield text[start:at]
+        start = at
+    yield text[start:]
+
+
+def mark(name: str) -> int:
+    """A 64-bit number for a name, the same in every task."""
+    return int.from_bytes(hashlib.blake2b(name.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+
+
 class Words:
     """The words of some texts, in one buffer: begin and end of each, its text and its hash."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], space: np.ndarray = _SPACE):
         self.data = b"\n".join(texts) + b"\n"
         b = self.bytes = np.frombuffer(self.data, np.uint8)
-        space = _SPACE[b]
+        space = space[b]
         edge = np.nonzero(space[1:] != space[:-1])[0] + 1
         if not space[0]:
             edge = np.r_[0, edge]
@@ -91,6 +127,9 @@ class Words:
             return False
         left, right, k = self.begin[a], other.begin[b], 0
         while len(left):
+            if k == _LONG:
+                rest = zip(left.tolist(), right.tolist(), size.tolist(), strict=True)
+                return all(self.data[x + k : x + n] == other.data[y + k : y + n] for x, y, n in rest)
             if (self.bytes[left + k] != other.bytes[right + k]).any():
                 return False
             k += 1
@@ -98,3 +137,16 @@ class Words:
             if not more.all():
                 left, right, size = left[more], right[more], size[more]
         return True
+
+    def word(self, k: int) -> bytes:
+        return self.data[self.begin[k] : self.end[k]]
+
+    def numbered(self, at: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A number for each of the words ``at``, the same for equal words of one ``kind`` and for no others; and for each number a place in ``at``."""
+        _, first, number = np.unique(scramble(self.hash[at] + kind.astype(np.uint64) * _MIX), return_index=True, return_inverse=True)
+        if (kind == kind[first[number]]).all() and self.same(at, self, at[first[number]]):
+            return number, first
+        seen: dict[tuple[int, bytes], int] = {}  # two words have one hash
+        for n, k in enumerate(at.tolist()):
+            number[n] = seen.setdefault((int(kind[n]), self.word(k)), len(seen))
+        return number, np.unique(number, return_index=True)[1]
