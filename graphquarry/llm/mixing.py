@@ -163,10 +163,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     plan = materialise(plan.join(sources, "_source"), "mixing_plan")
     total = plan.agg(F.sum("docs")).first()[0] or 0
     discard(lengths, sources)
-    # rows without an id are told apart by their place: of one source and length it doesn't matter which of them go
+    # rows without an id are told apart by their place and come last: of one source and length it doesn't matter which of them go
     place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
     hashed = sized.withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id", place))
-    found = _with_plan(hashed, plan, total).withColumn("_bucket", F.pmod("_hash", F.ceil(F.col("docs") / bucket_docs).cast("long")))
+    buckets = F.ceil(F.col("docs") / bucket_docs).cast("long")
+    found = _with_plan(hashed, plan, total).withColumn("_bucket", F.pmod("_hash", buckets) + F.when(F.col("doc_id").isNull(), buckets).otherwise(0))
     found = materialise(found, "mixing_rows")
     discard(sized, plan)
     shown = lambda df, more: df.select("doc_id", "size", "source_size", "target", ((F.col("base").cast("long") + more.cast("long")) * F.col("size")).alias("taken"))
