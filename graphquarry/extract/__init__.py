@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from graphquarry.extract.csharp import extract_csharp
 from graphquarry.extract.ecma import extract_ecma
 from graphquarry.extract.python import extract_python
 from graphquarry.schema import EDGE, NODE
 
-EXTRACTED = "path string, error string, nodes string, edges string"
+#: Files that a task turns into rows at once.
+BATCH = 64
 
 
-def extract_text(path: str, text: str, language: str, module_system: str = "esm") -> tuple[list[dict], list[dict]]:
+def extract_source(path: str, text: str, language: str, module_system: str = "esm") -> tuple[list[dict], list[dict], list[dict]]:
+    """Nodes, edges, and references (src, kind, name): what functions and methods call and create, by the names that the text has."""
     if language == "python":
         return extract_python(path, text)
     if language == "csharp":
@@ -27,37 +30,59 @@ def extract_text(path: str, text: str, language: str, module_system: str = "esm"
     raise ValueError(f"no extractor for {language}")
 
 
+def extract_text(path: str, text: str, language: str, module_system: str = "esm") -> tuple[list[dict], list[dict]]:
+    """Nodes and edges; calls and creations are properties of the functions and methods that hold them."""
+    nodes, edges, references = extract_source(path, text, language, module_system)
+    own = {n["id"]: n for n in nodes}
+    said: dict[tuple[str, str], list[str]] = {}
+    for r in references:
+        said.setdefault((r["src"], {"call": "calls", "new": "creates"}[r["kind"]]), []).append(r["name"])
+    for (src, key), names in said.items():
+        own[src]["properties"] = (own[src].get("properties") or {}) | {key: ",".join(names)}
+    return nodes, edges
+
+
+def _row_type() -> StructType:
+    return StructType.fromDDL(f"path string, error string, nodes array<struct<{_struct(NODE)}>>, edges array<struct<{_struct(EDGE)}>>")
+
+
 def extract(files: DataFrame) -> DataFrame:
-    """path, error, nodes and edges (JSON arrays) of files (path, content, checksum, language[, module_system]).
+    """path, error, nodes and edges (arrays of rows) of files (path, content, checksum, language[, module_system]).
 
     A file that can't be parsed gets an error and nothing else; it stops no other file.
     """
     system = F.col("module_system") if "module_system" in files.columns else F.lit("esm")
     slim = files.select("path", F.col("content").cast("binary").alias("content"), "checksum", "language", F.coalesce(system, F.lit("esm")).alias("module_system"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples():
-                try:
-                    data = bytes(r.content) if r.content is not None else b""
-                    nodes, edges = extract_text(r.path, data.decode("utf-8-sig", "replace"), r.language, r.module_system)
-                    nodes[0].update(size=len(data), checksum=r.checksum)
-                    rows.append((r.path, None, json.dumps(nodes), json.dumps(edges)))
-                except Exception as e:  # any failure is the file's own
-                    rows.append((r.path, f"{type(e).__name__}: {e}", None, None))
-            yield pd.DataFrame(rows, columns=["path", "error", "nodes", "edges"])
-
-    return slim.mapInPandas(run, EXTRACTED)
+    row_type = _row_type()
+    schema = to_arrow_schema(row_type)
+
+    def one(path: str, content: bytes | None, checksum: str, language: str, system: str) -> dict:
+        try:
+            data = content or b""
+            nodes, edges = extract_text(path, data.decode("utf-8-sig", "replace"), language, system)
+            nodes[0].update(size=len(data), checksum=checksum)
+            for n in nodes:
+                if n.get("properties"):
+                    n["properties"] = list(n["properties"].items())
+            return {"path": path, "nodes": nodes, "edges": edges}
+        except Exception as e:  # any failure is the file's own
+            return {"path": path, "error": f"{type(e).__name__}: {e}"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                rows = [one(*r.values()) for r in batch.slice(at, BATCH).to_pylist()]
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return slim.mapInArrow(run, row_type)
 
 
 def extracted_nodes(extracted: DataFrame) -> DataFrame:
-    struct = "array<struct<" + _struct(NODE) + ">>"
-    return extracted.filter("error is null").select(F.explode(F.from_json("nodes", struct)).alias("n")).select("n.*")
+    return extracted.filter("error is null").select(F.explode("nodes").alias("n")).select("n.*")
 
 
 def extracted_edges(extracted: DataFrame) -> DataFrame:
-    return extracted.filter("error is null").select(F.explode(F.from_json("edges", "array<struct<" + _struct(EDGE) + ">>")).alias("e")).select("e.*")
+    return extracted.filter("error is null").select(F.explode("edges").alias("e")).select("e.*")
 
 
 def failures(extracted: DataFrame) -> DataFrame:

@@ -38,87 +38,3 @@ class Graph:
     def location(self, start: int, end: int) -> dict:
         (a, b), (c, d) = self.place(start), self.place(end)
         return {"start_line": a, "start_column": b, "end_line": c, "end_column": d}
-
-
-def masked(text: str, verbatim: bool = False, templates: bool = False) -> str:
-    """The text with the inside of comments and strings blanked, of the same length; line ends stay."""
-    out = list(text)
-    k, n = 0, len(text)
-
-    def blank(a: int, b: int) -> None:
-        for i in range(a, min(b, n)):
-            if out[i] != "\n":
-                out[i] = " "
-
-    while k < n:
-        two = text[k : k + 2]
-        if two == "//":
-            end = text.find("\n", k)
-            end = n if end < 0 else end
-            blank(k, end)
-            k = end
-        elif two == "/*":
-            end = text.find("*/", k + 2)
-            end = n if end < 0 else end + 2
-            blank(k, end)
-            k = end
-        elif verbatim and (two == '@"' or text[k : k + 3] in ('$@"', '@$"')):
-            start = k = text.index('"', k) + 1
-            while k < n and not (text[k] == '"' and text[k : k + 2] != '""'):
-                k += 2 if text[k : k + 2] == '""' else 1
-            blank(start, k)
-            k += 1
-        elif text[k] in "\"'" or templates and text[k] == "`":
-            quote, start = text[k], k + 1
-            k += 1
-            while k < n and text[k] != quote and (quote == "`" or text[k] != "\n"):
-                k += 2 if text[k] == "\\" else 1
-            blank(start, k)
-            k += 1
-        else:
-            k += 1
-    return "".join(out)
-
-
-def closing(mask: str, at: int) -> int:
-    """The offset behind the bracket that closes the one at ``at``; the end of the text if none does."""
-    pairs = {"{": "}", "(": ")", "[": "]", "<": ">"}
-    open_, close = mask[at], pairs[mask[at]]
-    depth = 0
-    for k in range(at, len(mask)):
-        depth += (mask[k] == open_) - (mask[k] == close and not (close == ">" and mask[k - 1] == "="))
-        if not depth:
-            return k + 1
-    return len(mask)
-
-
-def split_top(text: str, mask: str, sep: str = ",") -> list[str]:
-    """Parts of ``text`` between separators that stand in no bracket."""
-    parts, depth, start = [], 0, 0
-    for k, c in enumerate(mask):
-        depth += (c in "([{<") - (c in ")]}" or c == ">" and mask[k - 1 : k] not in ("=", "-"))
-        if c == sep and depth == 0:
-            parts.append(text[start:k].strip())
-            start = k + 1
-    last = text[start:].strip()
-    return [*parts, last] if last or parts else []
-
-
-def parts(mask: str, begin: int, end: int) -> list[tuple[int, int]]:
-    """The stretches between commas outside brackets."""
-    out, depth, start = [], 0, begin
-    for k in range(begin, end):
-        c = mask[k]
-        depth += (c in "([{") - (c in ")]}")
-        if c == "," and not depth:
-            out.append((start, k))
-            start = k + 1
-    return [*out, (start, end)]
-
-
-def last_before(mask: str, at: int) -> str:
-    """The last character before an offset that isn't blank; empty if there is none."""
-    k = at
-    while k and mask[k - 1].isspace():
-        k -= 1
-    return mask[k - 1 : k]

@@ -1,174 +1,384 @@
-"""C#, by a scan of the text outside strings and comments.
+"""C#: declarations, by recursive descent over tokens.
 
 Full names are made of the namespace, the types around and the member, with type parameters; bases are told
 apart as the file shows them: a declared interface or class of that name, which then has its full name, else the
 convention of a leading I; a first base that is neither is a class. Structs and records have
-no node of their own, hence their members no parent; finalisers, operators, events and delegates have none either.
+no node of their own, hence their members no parent; finalisers, operators, indexers, events, delegates and local functions have none either.
+Of conditional directives the branch counts that is compiled with no symbols but the file's own.
 """
 
 from __future__ import annotations
 
 import re
 
-from graphquarry.extract.common import Graph, closing, last_before, masked, parts, split_top
+from graphquarry.extract.common import Graph
+from graphquarry.extract.lexing import Tokens, csharp_tokens
 
-_MODS = r"(?P<mods>(?:(?:public|private|protected|internal|static|abstract|sealed|virtual|override|async|readonly|const|partial|new|extern|unsafe|volatile|required|event|delegate)\s+)*)"
-_TYPE = re.compile(_MODS + r"(?P<kind>class|interface|struct|record|enum)\s+(?P<name>[A-Za-z_]\w*)\s*(?P<generic><[^{>]*>)?")
-_USING = re.compile(r"^[ \t]*using\s+(?:static\s+)?(?:(?P<alias>\w+)\s*=\s*)?(?P<name>[\w.]+)\s*;", re.M)
-_SPACE = re.compile(r"\bnamespace\s+([\w.]+)\s*([{;])")
-_WORD = r"[\w.]+(?:\s*<[^;{}()]*?>)?(?:\[[,\s]*\])*\??"
-_MEMBER = re.compile(_MODS + rf"(?:(?P<type>{_WORD})\s+)?(?P<name>~?[A-Za-z_]\w*)\s*(?P<generic><[\w,\s]+>)?\s*(?P<next>\(|\{{|=>|=(?!=)|;|,)")
-
-
-_STOP = re.compile(r"\{|;|=>")
+_MODIFIERS = {"public", "private", "protected", "internal", "static", "abstract", "sealed", "virtual", "override", "async", "readonly", "const", "partial", "new", "extern", "unsafe", "volatile", "required", "file", "fixed", "scoped"}
+_PARAMETER_MODIFIERS = {"ref", "out", "in", "params", "this", "scoped", "readonly"}
+_TYPES = {"class", "interface", "struct", "record", "enum"}
+_NO_CALLS = {"if", "for", "foreach", "while", "switch", "catch", "return", "lock", "using", "fixed", "nameof", "typeof", "sizeof", "default", "checked", "unchecked", "await", "new", "when", "throw", "base", "this", "in", "is", "as", "and", "or", "not", "stackalloc", "yield", "var"}
 
 
 def visibility(mods: list[str]) -> str:
     return next((x for x in ("public", "private", "protected", "internal") if x in mods), "private")
 
 
-def extract_csharp(path: str, text: str) -> tuple[list[dict], list[dict]]:
-    g = Graph(path, text, "csharp")
-    m = masked(text, verbatim=True)
-    for u in _USING.finditer(m):
-        at = u.start() + len(u[0]) - len(u[0].lstrip())
-        g.add("Import", f"using {u['name']}", f"{path}::using::{u['name']}", (at, u.end()), g.file, "IMPORTS", module=u["name"], alias=u["alias"], imported_names=[], is_wildcard=False)
-    spaces = [(s.start(), closing(m, s.end() - 1) if s[2] == "{" else len(m), s[1]) for s in _SPACE.finditer(m)]
-    found = [t for t in _TYPE.finditer(m) if m.find("{", t.end()) >= 0 and not (t.start() and (m[t.start() - 1].isalnum() or m[t.start() - 1] in "_@"))]
-    interfaces = {t["name"] for t in found if t["kind"] == "interface"}
-    classes = {t["name"] for t in found if t["kind"] in ("class", "record")}
-    names: dict[str, str] = {}  # simple to full
-    around: list[tuple[int, int, str]] = []
-
-    def docs(at: int) -> str | None:
-        lines, n = [], g.place(at)[0] - 1
-        if text[g.lines[n] : at].strip():
-            return None
-        while n > 0:
-            line = text[g.lines[n - 1] : g.lines[n] - 1].strip()
-            if not line.startswith("///"):
+def spaced(text: str) -> str:
+    """Type arguments with one blank behind each comma."""
+    return re.sub(r"\s*,\s*", ", ", text)
+
+
+class Parser:
+    def __init__(self, path: str, text: str):
+        self.g, self.path, self.text = Graph(path, text, "csharp"), path, text
+        tokens, self.comments = csharp_tokens(text)
+        self.t = Tokens(text, tokens)
+        self.comment = 0
+        self.types: list[dict] = []
+        self.bodies: list[tuple[int, int, str]] = []  # first and last token of methods, with their ids
+        self.usings: list[str] = []
+
+    # --- tokens
+
+    def documentation(self, k: int) -> str | None:
+        """The first documentation comment between the token before k and k, without its marks."""
+        begin, end = self.t.tokens[k - 1].end if k else 0, self.t.tokens[k].start
+        lines: list[str] = []
+        while self.comment < len(self.comments) and self.comments[self.comment].start < begin:
+            self.comment += 1
+        for c in self.comments[self.comment :]:
+            if c.start > end:
                 break
-            lines.append(line.removeprefix("///").strip())
-            n -= 1
-        return "\n".join(reversed(lines)).strip() or None
-
-    def start_of(at: int) -> int:
-        """Where the attributes before a type begin."""
-        while True:
-            k = at
-            while k and m[k - 1].isspace():
-                k -= 1
-            open_ = m.rfind("[", 0, k) if k and m[k - 1] == "]" else -1
-            if open_ < 0 or closing(m, open_) != k or last_before(m, open_) not in ("", ";", "{", "}", "]"):
-                return at
-            at = open_
-
-    def parameters(owner: str, full: str, part: str) -> list[str]:
-        names = []
-        for p in split_top(part, masked(part, verbatim=True)):
-            head, eq, default = re.sub(r"^\[[^\]]*\]\s*", "", p).partition("=")
-            words = head.split()
-            mod = words[0] if words and words[0] in ("ref", "out", "in", "params", "this") else None
-            words = words[1:] if mod else words
-            if not words:
-                continue
-            names.append(words[-1])
-            if owner:
-                g.add("Parameter", words[-1], f"{full}::{words[-1]}", None, owner, "DECLARES", type=" ".join(words[:-1]) or None, default_value=default.strip() or None if eq else None, is_optional=bool(eq), is_params=mod == "params", is_variadic=mod == "params", modifier=mod if mod in ("ref", "out", "in") else None)
-        return names
+            if c.text.startswith("/**") and c.text != "/**/" and not lines:
+                return "\n".join(x for x in (re.sub(r"^\s*\*(?!/)\s?", "", y).strip() for y in c.text[3:-2].split("\n")) if x) or None
+            if c.text.startswith("///") and not c.text.startswith("////"):
+                lines.append(c.text[3:].strip())
+            elif lines:
+                break
+        return "\n".join(lines).strip() or None
 
-    def members(owner: str | None, full: str, simple: str, begin: int, end: int) -> None:
-        k, attribute = begin, None
+    def attributes(self, k: int) -> int:
+        while self.t.at(k) == "[":
+            k = self.t.behind(k)
+        return k
+
+    def modifiers(self, k: int) -> tuple[list[str], int]:
+        t, mods = self.t, []
+        while t.at(k) in _MODIFIERS and (t.is_name(k + 1) or t.at(k + 1) in ("(", "~", "[")) and not (t.at(k) in ("file", "required", "scoped", "async") and t.at(k + 1) == "("):
+            mods.append(t.at(k))
+            k += 1
+        return mods, k
+
+    def type_end(self, k: int) -> int:
+        """The token behind the type at k."""
+        t = self.t
+        while t.at(k) in ("ref", "readonly", "scoped"):
+            k += 1
+        if t.at(k) == "(":
+            k = t.behind(k)
+        elif t.at(k) == "delegate" and t.at(k + 1) == "*":
+            k = t.angles(k + 2) or k + 2
+        else:
+            while t.is_name(k):
+                k += 1
+                if t.at(k) == "<":
+                    k = t.angles(k) or k
+                if t.at(k) not in (".", "::"):
+                    break
+                k += 1
+        while t.at(k) in ("?", "*") or t.at(k) == "[" and (t.partner[k] == k + 1 or all(t.at(j) == "," for j in range(k + 1, t.partner[k]))):
+            k = t.behind(k)
+        return k
+
+    def statement_end(self, k: int, end: int) -> int:
+        """The token behind the next semicolon outside brackets."""
+        t = self.t
+        while k < end and t.at(k) != ";":
+            k = t.behind(k)
+        return min(end, k + 1)
+
+    def body(self, k: int, end: int) -> tuple[int, int]:
+        """Of what follows a head, constraints and initialisers included: the first token of the body, and the one behind it."""
+        t = self.t
+        while k < end and t.at(k) not in ("{", "=>", ";"):
+            k = t.behind(k)
+        if t.at(k) == "{":
+            return k, t.partner[k] + 1
+        return k, self.statement_end(k, end)
+
+    # --- declarations
+
+    def scope(self, k: int, end: int, space: str) -> None:
+        """Namespaces and types; other statements are passed over."""
+        t = self.t
         while k < end:
-            if m[k] in "{([":
-                attribute = (k if attribute is None else attribute) if m[k] == "[" else None
-                k = closing(m, k)
+            first = k
+            if t.at(k) == "namespace":
+                begin = k = k + 1
+                while t.is_name(k) or t.at(k) == ".":
+                    k += 1
+                name = ".".join(x for x in (space, re.sub(r"\s", "", t.slice(begin, k))) if x)
+                if t.at(k) == "{":
+                    self.scope(k + 1, t.partner[k], name)
+                    k = t.behind(k)
+                else:
+                    space, k = name, k + 1
                 continue
-            if m[k].isspace():
+            if t.at(k) == "using" or t.at(k) == "global" and t.at(k + 1) == "using":
+                behind = self.using(k)
+                if behind:
+                    k = behind
+                    continue
+            k = self.attributes(k)
+            mods, k = self.modifiers(k)
+            if self.is_type(k):
+                k = self.type_declaration(first, k, end, mods, space, [])
+            elif t.at(k) == "{":
+                k = t.behind(k)
+            else:  # delegates, and statements at the top
+                while k < end and t.at(k) not in (";", "{"):
+                    k = t.behind(k)
+                k = t.behind(k) if k < end else k
+            k = max(k, first + 1)
+
+    def using(self, k: int) -> int | None:
+        t, first = self.t, k
+        k += 2 if t.at(k) == "global" else 1
+        static = t.at(k) == "static"
+        k += static + (t.at(k + static) == "unsafe")
+        alias = t.at(k) if t.is_name(k) and t.at(k + 1) == "=" else None
+        k += 2 if alias else 0
+        begin, k = k, self.type_end(k)
+        if t.at(k) != ";" or not t.is_name(begin):
+            return None
+        name = re.sub(r"\s", "", t.slice(begin, k))
+        self.g.add("Import", f"using {name}", f"{self.path}::using::{name}", (t.tokens[first].start, t.tokens[k].end), self.g.file, "IMPORTS", module=name, alias=alias, imported_names=[], is_wildcard=False)
+        if not alias and not static:
+            self.usings.append(name)
+        return k + 1
+
+    def is_type(self, k: int) -> bool:
+        t = self.t
+        if t.at(k) == "record":
+            return t.is_name(k + 1) and (t.at(k + 1) in ("class", "struct") or t.at(k + 2) in ("(", "{", ";", ":", "<"))
+        return t.at(k) in _TYPES and t.is_name(k + 1)
+
+    def type_declaration(self, first: int, k: int, end: int, mods: list[str], space: str, outer: list[str]) -> int:
+        """A type with its members, given its first token and its keyword; returns the token behind it."""
+        t, kind = self.t, self.t.at(k)
+        docs = self.documentation(first)
+        k += 2 if kind == "record" and t.at(k + 1) in ("class", "struct") else 1
+        name = t.at(k)
+        k += 1
+        generic = ""
+        if t.at(k) == "<":
+            begin, k = k, t.angles(k) or k + 1
+            generic = spaced(re.sub(r"\b(?:in|out)\s+", "", t.slice(begin, k)))
+        if t.at(k) == "(":  # primary constructor
+            k = t.behind(k)
+        bases: list[str] = []
+        if t.at(k) == ":":
+            while t.at(k) in (":", ","):
+                begin, k = k + 1, self.type_end(k + 1)
+                bases.append(t.slice(begin, k))
+                if t.at(k) == "(":
+                    k = t.behind(k)
+        while k < end and t.at(k) not in ("{", ";"):  # constraints
+            k = t.behind(k)
+        body = k if t.at(k) == "{" else None
+        last = t.partner[k] if body is not None else k
+        simple = name + generic
+        full = ".".join([*([space] if space else []), *outer, simple])
+        behind = last + 1 + (body is not None and t.at(last + 1) == ";")
+        if kind == "enum":
+            return behind
+        entry = {"kind": kind, "name": name, "full": full, "bases": bases, "mods": mods, "docs": docs, "first": first, "last": min(last, len(t) - 1), "body": body, "id": None, "space": space, "outer": outer}
+        self.types.append(entry)
+        if kind in ("class", "interface"):
+            span = (t.tokens[first].start, t.tokens[entry["last"]].end)
+            common = {"visibility": visibility(mods), "docstring": docs}
+            if kind == "interface":
+                entry["id"] = self.g.add("Interface", name, full, span, self.g.file, "CONTAINS", **common)
+            else:
+                entry["id"] = self.g.add("Class", name, full, span, self.g.file, "CONTAINS", is_abstract="abstract" in mods, is_static="static" in mods, is_sealed="sealed" in mods, **common)
+            entry["node"] = self.g.nodes[-1]
+        if body is not None:
+            self.members(entry, body + 1, last)
+        return behind
+
+    def members(self, owner: dict, k: int, end: int) -> None:
+        while k < end:
+            k = max(self.member(owner, k, end), k + 1)
+
+    def member(self, owner: dict, first: int, end: int) -> int:
+        t = self.t
+        k = self.attributes(first)
+        mods, k = self.modifiers(k)
+        if self.is_type(k):
+            return self.type_declaration(first, k, end, mods, owner["space"], [*owner["outer"], owner["full"][len(".".join([x for x in (owner["space"], *owner["outer"]) if x])) :].lstrip(".")])
+        if t.at(k) == "delegate" and t.at(k + 1) != "*":
+            return self.statement_end(k, end)
+        if t.at(k) == "event":
+            k = self.type_end(k + 1)
+            while k < end and t.at(k) not in (";", "{"):
+                k = t.behind(k)
+            return t.behind(k)
+        if t.at(k) == "~" or t.at(k) in ("implicit", "explicit"):
+            return self.body(k + 1, end)[1]
+        if t.at(k) == owner["name"] and t.at(k + 1) == "(":
+            return self.method(owner, first, k, k + 1, None, mods, end)
+        if not (t.is_name(k) or t.at(k) == "("):
+            return k + 1 if t.at(k) != "{" else t.behind(k)
+        begin, k = k, self.type_end(k)
+        kind = t.slice(begin, k)
+        if t.at(k) == "operator" or t.at(k) == "this" or t.at(k) == "checked":
+            return self.body(k + 1, end)[1]
+        # a name, behind the interface's that is implemented explicitly
+        named = k
+        while t.is_name(k):
+            behind = t.angles(k + 1) if t.at(k + 1) == "<" else k + 1
+            if t.at(behind or k) not in (".", "::"):
+                break
+            k = behind + 1
+        if t.at(k) == "this":
+            return self.body(k + 1, end)[1]
+        if not t.is_name(k):
+            return max(k, begin + 1)
+        behind = k + 1
+        if t.at(behind) == "<":
+            behind = t.angles(behind) or behind
+        if t.at(behind) == "(":
+            return self.method(owner, first, k, behind, kind, mods, end, named)
+        if t.at(k + 1) in ("{", "=>"):
+            return self.property(owner, first, k, kind, mods, end, named)
+        if t.at(k + 1) in ("=", ";", ","):
+            return self.fields(owner, first, k, kind, mods, end)
+        return k + 1
+
+    def shown(self, first: int, mods: list[str]) -> dict:
+        return {"visibility": visibility(mods), "is_static": "static" in mods, "docstring": self.documentation(first)}
+
+    def parameters(self, open_: int) -> list[dict]:
+        t, k, end, rows = self.t, open_ + 1, self.t.partner[open_], []
+        while k < end:
+            k = self.attributes(k)
+            mods = []
+            while t.at(k) in _PARAMETER_MODIFIERS:
+                mods.append(t.at(k))
                 k += 1
+            begin, k = k, self.type_end(k)
+            kind, name = t.slice(begin, k), t.at(k).removeprefix("@")
+            k += 1
+            default = None
+            if t.at(k) == "=":
+                begin = k = k + 1
+                while k < end and t.at(k) != ",":
+                    k = t.behind(k)
+                default = t.slice(begin, k)
+            rows.append({"name": name, "type": kind or None, "default": default, "mods": mods})
+            while k < end and t.at(k) != ",":
+                k = t.behind(k)
+            k += 1
+        return rows
+
+    def method(self, owner: dict, first: int, name: int, open_: int, kind: str | None, mods: list[str], end: int, named: int | None = None) -> int:
+        t = self.t
+        begin, behind = self.body(t.partner[open_] + 1, end)
+        rows = self.parameters(open_)
+        shown = lambda r: " ".join([*(m for m in r["mods"] if m in ("ref", "out", "in", "params")), r["type"] or ""])
+        qualifier = re.sub(r"\s", "", t.slice(named, name)) if named is not None else ""
+        full = f"{owner['full']}.{qualifier}{t.at(name).removeprefix('@')}{spaced(t.slice(name + 1, open_))}({', '.join(map(shown, rows))})"
+        more = {} if kind is not None else {"properties": {"is_constructor": "true"}}
+        where = (t.tokens[first].start, t.tokens[behind - 1].end)
+        own = self.g.add("Method", t.at(name).removeprefix("@"), full, where, owner["id"], "DEFINES", is_abstract="abstract" in mods, is_virtual="virtual" in mods, is_override="override" in mods, is_async="async" in mods, return_type=kind or "void", parameters=[r["name"] for r in rows], signature=full, **self.shown(first, mods), **more)
+        for r in rows:
+            mod = next((m for m in r["mods"] if m in ("ref", "out", "in")), None)
+            self.g.add("Parameter", r["name"], f"{full}::{r['name']}", None, own, "DECLARES", type=r["type"], default_value=r["default"], is_optional=r["default"] is not None, is_params="params" in r["mods"], is_variadic="params" in r["mods"], modifier=mod)
+        self.bodies.append((begin, behind - 1, own))
+        return behind
+
+    def property(self, owner: dict, first: int, name: int, kind: str, mods: list[str], end: int, named: int) -> int:
+        t, k = self.t, name + 1
+        readonly = False
+        if t.at(k) == "{":
+            inside = range(k + 1, t.partner[k])
+            readonly = not any(t.at(j) in ("set", "init") and t.around[j] == k for j in inside)
+            k = t.behind(k)
+            if t.at(k) == "=":
+                k = self.statement_end(k, end)
+        else:
+            k = self.statement_end(k, end)
+        full = f"{owner['full']}.{re.sub(chr(92) + 's', '', t.slice(named, name))}{t.at(name).removeprefix('@')}"
+        self.g.add("Variable", t.at(name).removeprefix("@"), full, (t.tokens[first].start, t.tokens[k - 1].end), owner["id"], "HAS_MEMBER", type=kind, is_readonly=readonly, is_constant=False, scope="static" if "static" in mods else "instance", properties={"is_property": "true"}, **self.shown(first, mods))
+        return k
+
+    def fields(self, owner: dict, first: int, k: int, kind: str, mods: list[str], end: int) -> int:
+        t, behind = self.t, self.statement_end(k, end)
+        shown = self.shown(first, mods)
+        while k < behind:
+            name, stop = k, k
+            while stop < behind - 1 and t.at(stop) != ",":
+                found = t.angles(stop) if t.at(stop) == "<" else None
+                stop = found if found and t.at(found) in ("(", "{", "[") else t.behind(stop)
+            value = t.slice(name + 2, stop) if t.at(name + 1) == "=" else None
+            plain = t.at(name).removeprefix("@")
+            here = (t.tokens[name].start, t.tokens[stop - 1].end)
+            self.g.add("Variable", plain, f"{owner['full']}.{plain}", (t.tokens[first].start, t.tokens[behind - 1].end), owner["id"], "HAS_MEMBER", here, type=kind, value=value, is_constant="const" in mods, is_readonly="readonly" in mods, scope="static" if "static" in mods else "instance", **shown)
+            k = stop + 1
+        return behind
+
+    # --- what names stand for
+
+    def resolve_bases(self) -> None:
+        """Bases by what the file itself declares."""
+        interfaces = {x["name"] for x in self.types if x["kind"] == "interface"}
+        classes = {x["name"] for x in self.types if x["kind"] in ("class", "record")}
+        full: dict[str, str] = {}
+        for x in self.types:
+            full.setdefault(x["name"], x["full"])
+        for x in self.types:
+            if not x["id"]:
                 continue
-            inner = _TYPE.match(m, k)
-            if inner and m.find("{", inner.end()) >= 0 and not (m[k - 1].isalnum() or m[k - 1] == "_"):
-                k, attribute = closing(m, m.find("{", inner.end())), None
-                continue
-            d = _MEMBER.match(m, k) if m[k].isalpha() or m[k] in "_~" else None
-            if not d or m[k - 1].isalnum() or m[k - 1] == "_" or d["name"] in ("where", "get", "set", "return") or not (d["type"] or d["name"].lstrip("~") == simple):
-                word = re.compile(r"[~\w]+|.", re.S).match(m, k)
-                k, attribute = word.end(), None
-                continue
-            mods, name, kind, at = d["mods"].split(), d["name"], d["type"], k if attribute is None else attribute
-            attribute = None
-            if name.startswith("~") or {"event", "delegate"} & set(mods):
-                stop = _STOP.search(m, closing(m, d.end() - 1) if d["next"] == "(" else d.start("next"))
-                k = end if not stop else closing(m, stop.start()) if stop[0] == "{" else stop.end()
+            plain = [re.sub(r"<.*", "", b, flags=re.S).split(".")[-1].strip() for b in x["bases"]]
+            shown = [b if "<" in b or p not in full else full[p] for b, p in zip(x["bases"], plain, strict=True)]
+            if x["kind"] == "interface":
+                x["node"]["base_interfaces"] = shown
                 continue
-            member = f"{full}.{name}" + re.sub(r"\s*,\s*", ", ", d["generic"] or "")
-            shown = {"visibility": visibility(mods), "is_static": "static" in mods, "docstring": docs(at)}
-            if d["next"] == "(":
-                open_ = d.end() - 1
-                close = closing(m, open_)
-                stop = _STOP.search(m, close)
-                finish = end if not stop else closing(m, stop.start()) if stop[0] == "{" else m.find(";", stop.start()) + 1
-                part = text[open_ + 1 : close - 1]
-                named = parameters("", "", part)
-                kinds = [" ".join(re.sub(r"^\[[^\]]*\]\s*", "", p).partition("=")[0].split()[:-1]) for p in split_top(part, masked(part, verbatim=True))]
-                member = f"{member}({', '.join(kinds)})"
-                built = name == simple and not kind
-                more = {"properties": {"is_constructor": "true"}} if built else {}
-                own = g.add("Method", name, member, (at, finish), owner, "DEFINES", is_abstract="abstract" in mods, is_virtual="virtual" in mods, is_override="override" in mods, is_async="async" in mods, return_type="void" if built else kind, parameters=named, signature=member, **shown, **more)
-                parameters(own, member, part)
-                k = max(finish, close)
-            elif d["next"] in ("{", "=>"):
-                if d["next"] == "{":
-                    finish = closing(m, d.end() - 1)
-                    body = m[d.end() : finish - 1]
-                    readonly = not re.search(r"\b(?:set|init)\b", body)
-                    tail = re.compile(r"\s*=[^;]*;").match(m, finish)
-                    finish = tail.end() if tail else finish
-                else:
-                    finish, readonly = m.find(";", d.end()) + 1, False
-                g.add("Variable", name, member, (at, finish), owner, "HAS_MEMBER", type=kind, is_readonly=readonly, is_constant=False, scope="static" if "static" in mods else "instance", properties={"is_property": "true"}, **shown)
-                k = finish
-            else:
-                finish = k
-                while finish < end and m[finish] != ";":
-                    finish = closing(m, finish) if m[finish] in "{([" else finish + 1
-                start = d.start("name")
-                for first, last in parts(m, start, finish):
-                    first += len(text[first:last]) - len(text[first:last].lstrip())
-                    field, eq, value = text[first:last].rstrip().partition("=")
-                    if re.fullmatch(r"\w+", field.strip()):
-                        here = (first, first + len(text[first:last].rstrip()))
-                        g.add("Variable", field.strip(), f"{full}.{field.strip()}", (at, finish + 1), owner, "HAS_MEMBER", here, type=kind, value=value.strip() or None if eq else None, is_constant="const" in mods, is_readonly="readonly" in mods, scope="static" if "static" in mods else "instance", **shown)
-                k = finish + 1
-
-    types = []
-    for t in found:
-        open_ = m.find("{", t.end())
-        end = closing(m, open_)
-        space = next((n for a, b, n in reversed(spaces) if a < t.start() < b), None)
-        while around and around[-1][1] <= t.start():  # types come in order: those that have closed hold no more
-            around.pop()
-        simple = t["name"] + re.sub(r"\s*,\s*", ", ", t["generic"] or "").strip()
-        full = ".".join([*([space] if space else []), *(n for _, _, n in around), simple])
-        around.append((open_, end, simple))
-        if t["kind"] != "enum":
-            names.setdefault(t["name"], full)
-            types.append((t, open_, end, full))
-
-    for t, open_, end, full in types:
-        mods = t["mods"].split()
-        head = text[t.end() : open_]
-        bases = [b.split(" where ")[0].strip() for b in split_top(head.partition(":")[2], head.partition(":")[2])] if ":" in head.split(" where ")[0] else []
-        plain = [re.sub(r"<.*", "", b).split(".")[-1] for b in bases]
-        is_interface = [p in interfaces or p not in classes and bool(re.match(r"I[A-Z]", p)) for p in plain]
-        bases = [b if "<" in b or p not in names else names[p] for b, p in zip(bases, plain, strict=True)]
-        common = {"visibility": visibility(mods), "docstring": docs(start_of(t.start()))}
-        if t["kind"] == "interface":
-            own = g.add("Interface", t["name"], full, (start_of(t.start()), end), g.file, "CONTAINS", base_interfaces=bases, **common)
-        elif t["kind"] == "class":
-            own = g.add("Class", t["name"], full, (start_of(t.start()), end), g.file, "CONTAINS", is_abstract="abstract" in mods, is_static="static" in mods, is_sealed="sealed" in mods, base_classes=[b for b, i in zip(bases, is_interface, strict=True) if not i], interfaces=[b for b, i in zip(bases, is_interface, strict=True) if i], **common)
-        else:
-            own = None
-        members(own, full, t["name"], open_ + 1, end - 1)
-    return g.nodes, g.edges
+            is_interface = [p in interfaces or p not in classes and bool(re.match(r"I[A-Z]", p)) for p in plain]
+            x["node"]["base_classes"] = [b for b, i in zip(shown, is_interface, strict=True) if not i]
+            x["node"]["interfaces"] = [b for b, i in zip(shown, is_interface, strict=True) if i]
+
+    def references(self) -> list[dict]:
+        """Calls and creations in the bodies of methods."""
+        t, out, seen = self.t, [], set()
+        for first, last, own in self.bodies:
+            for k in range(first, last + 1):
+                if not t.is_name(k):
+                    continue
+                behind = k + 1
+                if t.at(behind) == "<":
+                    behind = t.angles(behind) or behind
+                begin = k
+                while t.at(begin - 1) in (".", "?.") and t.is_name(begin - 2):
+                    begin -= 2
+                new = t.at(begin - 1) == "new"
+                if t.at(k) in _NO_CALLS or not (t.at(behind) == "(" or new and t.at(behind) == "{"):
+                    continue
+                # a name behind a type is a declaration's
+                if begin == k and not new and (t.is_name(k - 1) and t.at(k - 1) not in ("return", "await", "throw", "in", "else", "case", "yield", "do", "is", "as", "or", "and", "not", "when") or t.at(k - 1) in (">", "]")):
+                    continue
+                name = f"?.{t.at(k)}" if begin == k and t.at(k - 1) in (".", "?.") else ".".join(t.at(j) for j in range(begin, k + 1, 2))
+                found = (own, "new" if new else "call", name)
+                if found not in seen:
+                    seen.add(found)
+                    out.append(dict(zip(("src", "kind", "name"), found, strict=True)))
+        return out
+
+
+def extract_csharp(path: str, text: str) -> tuple[list[dict], list[dict], list[dict]]:
+    """Nodes, edges and references of a file."""
+    p = Parser(path, text)
+    p.scope(0, len(p.t), "")
+    p.resolve_bases()
+    return p.g.nodes, p.g.edges, p.references()

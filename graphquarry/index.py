@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from graphquarry import extract
 from graphquarry.operators import changes as changing
-from graphquarry.operators import stats
+from graphquarry.operators import stats, symbols
 from graphquarry.plans.storage import children, discard, exists, materialise, remove
 from graphquarry.schema import EDGE, STORED
 from graphquarry.sources import scan, store
@@ -38,7 +38,7 @@ def index_files(files: DataFrame, nodes: DataFrame, edges: DataFrame, scanned_pr
 
     New and modified files are extracted. Nodes are merged by id, so that a node that is still there keeps its summary
     and embedding; nodes that a modified file no longer has, and all of deleted files, go with
-    their edges; a file's own edges are made anew. A file that can't be extracted keeps what the graph has of it and its old
+    their edges; a file's own edges are made anew, and so are, over all files, the edges from names to what they stand for. A file that can't be extracted keeps what the graph has of it and its old
     checksum, hence is tried again by the next run. Edges whose ends don't exist are left out. ``files`` that aren't the
     ``whole`` of what was scanned cause no deletions.
     """
@@ -55,8 +55,10 @@ def index_files(files: DataFrame, nodes: DataFrame, edges: DataFrame, scanned_pr
     gone = materialise(touched.select("id").join(new_nodes.select("id"), "id", "left_anti"), "gone")
     left = nodes.join(gone, "id", "left_anti")
     state = materialise(store.upsert_nodes(left.select(*nodes.columns), new_nodes), "nodes")
-    kept = edges.join(touched.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti").select(*edges.columns)
-    links = materialise(store.create_edges(state, kept, new_edges), "edges")
+    kept = symbols.without_derived(edges).join(touched.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti").select(*edges.columns)
+    written = materialise(store.create_edges(state, kept, new_edges), "edges_written")
+    links = materialise(store.merge_edges(written, symbols.derived_edges(state, written)), "edges")
+    discard(written)
 
     counted = [changing.change_summary(found).select(F.concat(F.lit("files "), F.lower("status")).alias("metric"), "n")]
     counted.append(extract.failures(out).agg(F.count(F.lit(1)).alias("n")).select(F.lit("files failed").alias("metric"), "n"))

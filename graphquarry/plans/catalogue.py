@@ -12,7 +12,7 @@ from graphquarry.extract import extract, extracted_edges, extracted_nodes
 from graphquarry.functions.query_parser import APPROACHES, CONTEXT_PHRASES, ENTITY_PATTERNS, NODE_TYPE_WORDS, PROGRAMMING_TERMS, STRATEGIES, explained, parsed
 from graphquarry.operators import changes, enrich, graph, search, stats, vector
 from graphquarry.operators.components import connected_components
-from graphquarry.plans import samples
+from graphquarry.plans import fragments, samples
 from graphquarry.plans.storage import materialise
 from graphquarry.plans.views import view, with_views
 from graphquarry.schema import LEVELS
@@ -630,6 +630,101 @@ for _language in samples.SOURCES:
     query(f"SELECT {_columns} FROM documents, (VALUES {samples.values_sql(_language)}) v({', '.join(samples.COLUMNS)})")(_extraction(_language))
 
 
+def _varied(language: str):
+    """Files of two pieces each, which pieces by doc_id."""
+    suffix, system, pieces = fragments.FRAGMENTS[language]
+    n = len(pieces)
+
+    def f(spark, sf_dir):
+        texts = F.array(*[F.lit(t) for t, _ in pieces])
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+        one = F.pmod("doc_id", F.lit(n)).cast("int")
+        two = F.pmod(one + 1 + F.pmod(F.floor(F.col("doc_id") / n), F.lit(n - 1)), F.lit(n)).cast("int")
+        made = F.concat_ws("\n", F.element_at(texts, one + 1), F.element_at(texts, two + 1))
+        filled = F.replace(made, F.lit("¤"), F.col("doc_id").cast("string"))
+        files = docs.select(F.concat(F.lit("v"), F.col("doc_id").cast("string"), F.lit(f".{suffix}")).alias("path"), F.lit(language).alias("language"), F.lit(system).alias("module_system"), F.encode(filled, "UTF-8").alias("content"))
+        out = materialise(extract(files.withColumn("checksum", F.sha2("content", 256))), "extracted")
+        nodes, edges = extracted_nodes(out), extracted_edges(out)
+        parents = edges.select(F.col("dst").alias("id"), F.col("type").alias("edge"), F.col("src").alias("_src")).join(nodes.select(F.col("id").alias("_src"), F.col("full_name").alias("parent")), "_src")
+        found = nodes.filter("label <> 'File'").join(parents, "id", "left").withColumn("facts", samples.facts())
+        # a file that fails shows as one row
+        failed = out.filter("error is not null").select(F.lit("Error").alias("label"), F.col("error").alias("name"), F.col("path").alias("full_name"), *[F.lit(None).cast("string").alias(c) for c in ("edge", "parent", "facts")])
+        return found.select("label", "name", "full_name", "edge", "parent", "facts").unionByName(failed)
+
+    f.__name__ = f"extract_{language}_varied"
+    return f
+
+
+for _language, (_suffix, _, _pieces) in fragments.FRAGMENTS.items():
+    _n = len(_pieces)
+    _filled = lambda c: f"replace(replace({c}, '¤', CAST(doc_id AS VARCHAR)), '%', 'v' || doc_id || '.{_suffix}') AS {c}"
+    query(
+        f"""SELECT label, {', '.join(_filled(c) for c in ('name', 'full_name'))}, edge, {', '.join(_filled(c) for c in ('parent', 'facts'))}
+            FROM (SELECT doc_id, doc_id % {_n} AS one, (doc_id % {_n} + 1 + (doc_id // {_n}) % {_n - 1}) % {_n} AS two FROM documents) d
+            JOIN (VALUES {fragments.values_sql(_language)}) v({', '.join(fragments.COLUMNS)}) ON piece IN (one, two)"""
+    )(_varied(_language))
+
+
+# --- what names stand for
+
+
+#: Paths and texts of a document's files, ``¤`` being its number; the last file is one for all.
+_TREE = (
+    ("d¤/base.py", "python", "class Base¤: pass\n"),
+    ("d¤/mid.py", "python", "from .base import Base¤\nclass Mid¤(Base¤):\n    def go(self): pass\ndef help¤(): pass\n"),
+    ("d¤/top.py", "python", "from .mid import Mid¤, help¤\nclass Top¤(Mid¤):\n    def go(self):\n        self.stop()\n        help¤()\n        return Mid¤()\n    def stop(self): help¤()\n"),
+    ("cs/C¤.cs", "csharp", "using Shared; namespace N¤ { class C¤ : Root { void M¤() { Tool.Run(); new Root(); } } }"),
+)
+_SHARED = ("cs/Shared.cs", "csharp", "namespace Shared { class Root { } class Tool { public static void Run() { } } }")
+
+
+def _tree_index(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("n"))
+    one = F.explode(F.array(*[F.struct(F.lit(p).alias("path"), F.lit(x).alias("language"), F.lit(t).alias("text")) for p, x, t in _TREE]))
+    own = docs.select("n", one.alias("f")).select(*[F.replace(F.col(f"f.{c}"), F.lit("¤"), F.col("n")).alias(c) for c in ("path", "language", "text")])
+    files = own.unionByName(spark.createDataFrame([_SHARED], "path string, language string, text string"))
+    full = files.select("path", F.col("path").alias("absolute_path"), F.encode("text", "UTF-8").alias("content"), F.sha2("text", 256).alias("checksum"), F.octet_length("text").cast("long").alias("size"), F.lit(".x").alias("extension"), "language")
+    return indexing.index_files(full, *indexing.empty(spark))
+
+
+_each = lambda rows: ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else f"'{x}'" for x in r) + ")" for r in rows)
+_of_each = lambda rows: f"SELECT replace(root, '¤', CAST(doc_id AS VARCHAR)) AS root, direction, replace(full_name, '¤', CAST(doc_id AS VARCHAR)) AS full_name, depth FROM documents, (VALUES {_each(rows)}) v(root, direction, full_name, depth)"
+_GO, _STOP, _HELP = "d¤/top.py::Top¤::go", "d¤/top.py::Top¤::stop", "d¤/mid.py::help¤"
+
+
+@query(
+    _of_each([(_HELP, "IN", _GO, 1), (_HELP, "IN", _STOP, 1), (_STOP, "IN", _GO, 1), (_GO, "OUT", _STOP, 1), (_GO, "OUT", _HELP, 1), (_STOP, "OUT", _HELP, 1), ("N¤.C¤.M¤()", "OUT", "Shared.Tool.Run()", 1)])
+    + " UNION ALL SELECT 'Shared.Tool.Run()', 'IN', full_name, 1 FROM (SELECT format('N{0}.C{0}.M{0}()', doc_id) AS full_name FROM documents ORDER BY 'M' || doc_id LIMIT 20)"
+)
+def indexed_calls(spark, sf_dir):
+    """Callers and callees on an index's own edges: within a class, across files, and of a method that every document calls."""
+    r = _tree_index(spark, sf_dir)
+    code = r.nodes.filter("label in ('Function', 'Method')")
+    found = graph.call_hierarchy(code.select("id"), r.nodes, r.edges)
+    return found.join(code.select(F.col("id").alias("root"), F.col("full_name").alias("_root")), "root").select(F.col("_root").alias("root"), "direction", "full_name", "depth")
+
+
+_TOP, _MID, _BASE, _C = "d¤/top.py::Top¤", "d¤/mid.py::Mid¤", "d¤/base.py::Base¤", "N¤.C¤"
+
+
+@query(_of_each([(_TOP, "OUT", _MID, 1), (_TOP, "OUT", _BASE, 2), (_MID, "OUT", _BASE, 1), (_BASE, "IN", _MID, 1), (_BASE, "IN", _TOP, 2), (_MID, "IN", _TOP, 1), (_C, "OUT", "Shared.Root", 1), ("Shared.Root", "IN", _C, 1)]))
+def indexed_inheritance(spark, sf_dir):
+    """Ancestors and descendants on an index's own edges."""
+    r = _tree_index(spark, sf_dir)
+    types = r.nodes.filter("label = 'Class'")
+    found = graph.inheritance_hierarchy(types.select("id"), r.nodes, r.edges)
+    return found.join(types.select(F.col("id").alias("root"), F.col("full_name").alias("_root")), "root").select(F.col("_root").alias("root"), "direction", "full_name", "depth")
+
+
+@query(_of_each([(_GO, "CALLS", _STOP, 1), (_GO, "CALLS", _HELP, 1), (_GO, "INSTANTIATES", _MID, 1), (_STOP, "CALLS", _HELP, 1), (_TOP, "EXTENDS", _MID, 1), (_MID, "EXTENDS", _BASE, 1), (_C, "EXTENDS", "Shared.Root", 1), ("N¤.C¤.M¤()", "CALLS", "Shared.Tool.Run()", 1), ("N¤.C¤.M¤()", "INSTANTIATES", "Shared.Root", 1)]).replace("direction", "type").replace("root", "src").replace("full_name", "dst").replace(", depth FROM", " FROM"))
+def resolved_references(spark, sf_dir):
+    """The edges from bases, calls and creations to what their names stand for."""
+    r = _tree_index(spark, sf_dir)
+    names = r.nodes.select("id", "full_name")
+    made = r.edges.filter("properties['derived'] = 'true'").join(names.select(F.col("id").alias("src"), F.col("full_name").alias("_src")), "src").join(names.select(F.col("id").alias("dst"), F.col("full_name").alias("_dst")), "dst")
+    return made.select(F.col("_src").alias("src"), "type", F.col("_dst").alias("dst"))
+
+
 # --- indexing
 
 
