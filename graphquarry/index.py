@@ -1,7 +1,8 @@
 """Indexing from end to end: scan, changes, extraction, upsert, edges, deletion and summary.
 
-A store is a folder of snapshots, one a run that changed something; the newest one that is whole counts. So a run that
-breaks off leaves the last one as it was, and readers keep what they have opened.
+A store holds its rows in buckets by owning path (``sources.buckets``): a run reads the paths and checksums of all files, the rows of
+the buckets that changed, and names; it writes the buckets that changed, and commits them together. So a run that breaks off
+leaves the last commit as it was, and readers keep what they have opened.
 """
 
 from __future__ import annotations
@@ -14,13 +15,9 @@ from pyspark.sql import functions as F
 from graphquarry import extract
 from graphquarry.operators import changes as changing
 from graphquarry.operators import stats, symbols
-from graphquarry.plans.storage import children, discard, exists, materialise, remove
+from graphquarry.plans.storage import discard, exists, materialise, remove
 from graphquarry.schema import EDGE, STORED
-from graphquarry.sources import scan, store
-
-#: Snapshots that stay beside the newest one, for readers that have them open.
-KEPT = 1
-
+from graphquarry.sources import buckets, scan, store
 
 @dataclass(frozen=True)
 class Indexed:
@@ -33,19 +30,18 @@ class Indexed:
     summary: DataFrame
 
 
-def index_files(files: DataFrame, nodes: DataFrame, edges: DataFrame, scanned_prefix: str = "", whole: bool = True) -> Indexed:
+def index_files(files: DataFrame, nodes: DataFrame, edges: DataFrame, scanned_prefix: str = "", whole: bool = True, found: DataFrame | None = None, resolve: bool = True) -> Indexed:
     """The graph after ``files`` (path, absolute_path, content, checksum, size, extension, language[, module_system]) have been looked at.
 
     New and modified files are extracted. Nodes are merged by id, so that a node that is still there keeps its summary
     and embedding; nodes that a modified file no longer has, and all of deleted files, go with
-    their edges; a file's own edges are made anew, and so are, over all files, the edges from names to what they stand for. A file that can't be extracted keeps what the graph has of it and its old
-    checksum, hence is tried again by the next run. Edges whose ends don't exist are left out. ``files`` that aren't the
-    ``whole`` of what was scanned cause no deletions.
+    their edges; a file's own edges are made anew, and so are, over all files, the edges from names to what they stand
+    for. A file that can't be extracted keeps what the graph has of it and its old checksum, hence is tried again by the
+    next run. Edges whose ends don't exist are left out. ``files`` that aren't the
+    ``whole`` of what was scanned cause no deletions. ``found`` are changes that are known already; without ``resolve``
+    names are left alone.
     """
-    spark = files.sparkSession
-    known = nodes.filter("label = 'File'").select("path", "checksum")
-    known = known if whole else known.join(files.select("path"), "path", "left_semi")
-    found = materialise(changing.detect_changes(files, known, scanned_prefix), "changes")
+    found = changes_of(files, nodes, scanned_prefix, whole) if found is None else found
     work = files.join(changing.files_to_process(found).select("path"), "path", "left_semi")
     out = materialise(extract.extract(work), "extracted")
     new_nodes, new_edges = extract.extracted_nodes(out), extract.extracted_edges(out)
@@ -57,8 +53,7 @@ def index_files(files: DataFrame, nodes: DataFrame, edges: DataFrame, scanned_pr
     state = materialise(store.upsert_nodes(left.select(*nodes.columns), new_nodes), "nodes")
     kept = symbols.without_derived(edges).join(touched.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti").select(*edges.columns)
     written = materialise(store.create_edges(state, kept, new_edges), "edges_written")
-    links = materialise(store.merge_edges(written, symbols.derived_edges(state, written)), "edges")
-    discard(written)
+    links = materialise(store.merge_edges(written, symbols.derived_edges(state, written)), "edges") if resolve else written
 
     counted = [changing.change_summary(found).select(F.concat(F.lit("files "), F.lower("status")).alias("metric"), "n")]
     counted.append(extract.failures(out).agg(F.count(F.lit(1)).alias("n")).select(F.lit("files failed").alias("metric"), "n"))
@@ -72,46 +67,91 @@ def index_files(files: DataFrame, nodes: DataFrame, edges: DataFrame, scanned_pr
     return Indexed(state, links, found, extract.failures(out), materialise(summary, "summary"))
 
 
+def changes_of(files: DataFrame, nodes: DataFrame, scanned_prefix: str = "", whole: bool = True) -> DataFrame:
+    """What changed, from the files' checksums and those that are stored."""
+    known = nodes.filter("label = 'File'").select("path", "checksum")
+    known = known if whole else known.join(files.select("path"), "path", "left_semi")
+    return materialise(changing.detect_changes(files, known, scanned_prefix), "changes")
+
+
 def empty(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame([], STORED), spark.createDataFrame([], EDGE)
 
 
 def versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the whole snapshots of a store, oldest first."""
-    names = children(spark, path) if exists(spark, path) else []
-    numbers = sorted(int(x[1:]) for x in names if x[:1] == "v" and x[1:].isdigit())
-    return [n for n in numbers if exists(spark, f"{path}/v{n}/edges/_SUCCESS") and exists(spark, f"{path}/v{n}/nodes/_SUCCESS")]
+    """Numbers of the commits of a store, oldest first."""
+    return buckets.numbers(spark, path)
 
 
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of the newest snapshot; empty ones of a store that has none."""
-    found = versions(spark, path)
-    return store.read_snapshot(spark, f"{path}/v{found[-1]}") if found else empty(spark)
+    """Nodes and edges of the newest commit; empty ones of a store that has none."""
+    last = buckets.newest(spark, path)
+    return buckets.read(spark, path, last, "nodes"), buckets.read(spark, path, last, "edges")
 
 
 def write(nodes: DataFrame, edges: DataFrame, path: str) -> int:
-    """A new snapshot, nodes first; older ones than the last KEPT go. Returns its number."""
+    """All rows as a new commit. Returns its number."""
     spark = nodes.sparkSession
-    found = versions(spark, path)
-    number = found[-1] + 1 if found else 1
-    store.write_snapshot(nodes, edges, f"{path}/v{number}")
-    for n in found[: -KEPT or None]:
-        remove(spark, f"{path}/v{n}")
-    return number
+    last = buckets.newest(spark, path)
+    every = dict.fromkeys(("nodes", "edges"), range(last.buckets))
+    return buckets.commit(spark, path, last, *_in_buckets(nodes, edges, last.buckets), every).number
+
+
+def _in_buckets(nodes: DataFrame, edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    owner = nodes.select(F.col("id").alias("src"), buckets.bucket_of("path", n).alias("bucket"))
+    return nodes.withColumn("bucket", buckets.bucket_of("path", n)), edges.join(owner, "src")
+
+
+def _numbers(rows: DataFrame) -> list[int]:
+    """The buckets among some rows; there are never more than a store has."""
+    return sorted(r["bucket"] for r in rows.select("bucket").distinct().collect())
+
+
+def update(spark: SparkSession, files: DataFrame, path: str, whole: bool = True) -> Indexed:
+    """Brings the store at ``path`` up to date with ``files``, as ``index_files`` does, and writes the buckets that differ.
+
+    Rows are read of the buckets of changed paths only; of others the names that symbols and references have, and the
+    ends of edges. If another writer commits meanwhile, buckets.Conflict is raised and nothing has happened.
+    """
+    last = buckets.newest(spark, path)
+    n = last.buckets
+    nodes, edges = buckets.read(spark, path, last, "nodes"), buckets.read(spark, path, last, "edges")
+    found = changes_of(files, nodes, whole=whole)
+    touched = _numbers(found.filter("status <> 'UNCHANGED'").select(buckets.bucket_of("path", n).alias("bucket")))
+    own, links = buckets.read(spark, path, last, "nodes", touched), buckets.read(spark, path, last, "edges", touched)
+    part = index_files(files, own, links, found=found, resolve=False)
+    if touched:
+        rest = [k for k in range(n) if k not in touched]
+        others = symbols.without_derived(buckets.read(spark, path, last, "edges", rest))
+        lost = own.select("id").join(part.nodes.select("id"), "id", "left_anti")
+        cut = others.join(lost.select(F.col("id").alias("dst")), "dst", "left_semi")
+        state = buckets.read(spark, path, last, "nodes", rest).unionByName(part.nodes)
+        written = others.join(lost.select(F.col("id").alias("dst")), "dst", "left_anti").unionByName(part.edges)
+        derived = materialise(symbols.derived_edges(state, written), "derived")
+        # where edges differ from those stored
+        keys = ["src", "dst", "type"]
+        mark = lambda df, c: df.select(*keys, F.lit(True).alias(c))
+        stored = edges.filter(F.col("properties")["derived"] == "true")
+        differ = mark(stored, "_old").join(mark(derived, "_new"), keys, "full_outer").filter("_old is null or _new is null").select("src").unionByName(cut.select("src")).distinct()
+        owner = state.select(F.col("id").alias("src"), buckets.bucket_of("path", n).alias("bucket"))
+        changed = sorted({*touched, *_numbers(differ.join(owner, "src"))})
+        rows = part.nodes.withColumn("bucket", buckets.bucket_of("path", n))
+        ends = store.merge_edges(written, derived).join(owner.filter(F.col("bucket").isin(changed)), "src")
+        last = buckets.commit(spark, path, last, rows, ends, {"nodes": touched, "edges": changed})
+        discard(part.nodes, part.edges, derived)
+    nodes, edges = buckets.read(spark, path, last, "nodes"), buckets.read(spark, path, last, "edges")
+    total = F.when(F.col("metric") == "edges", F.lit(edges.count())).otherwise(F.col("n"))
+    return Indexed(nodes, edges, found, part.failures, part.summary.withColumn("n", total))
 
 
 def index(spark: SparkSession, root: str, path: str) -> Indexed:
     """Brings the store at ``path`` up to date with the source tree at ``root``. A run without changes writes nothing."""
-    nodes, edges = read(spark, path)
     files = materialise(scan.scan_directory(spark, root), "files")
     systems = scan.module_systems(files, scan.package_files(spark, root))
-    result = index_files(files.join(systems, "path", "left"), nodes, edges)
-    if result.changes.filter("status <> 'UNCHANGED'").limit(1).count():
-        write(result.nodes, result.edges, path)
-        nodes, edges = read(spark, path)
-        discard(result.nodes, result.edges, files)
-        result = Indexed(nodes, edges, result.changes, result.failures, result.summary)
-    return result
+    try:
+        return update(spark, files.join(systems, "path", "left"), path)
+    finally:
+        discard(files)
 
 
 def reset(spark: SparkSession, path: str) -> None:

@@ -94,24 +94,25 @@ def cleanup(spark: SparkSession) -> None:
         remove(spark, path)
 
 
-def _located(spark: SparkSession, path: str):
+def located(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it names it."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of ours that nothing will read again."""
-    store, target = _located(spark, path)
+    store, target = located(spark, path)
     store.delete(target, True)
     _WRITTEN.get(spark.sparkContext.applicationId, set()).discard(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    store, target = _located(spark, path)
+    store, target = located(spark, path)
     return store.exists(target)
 
 
 def children(spark: SparkSession, path: str) -> list[str]:
     """Names of what stands directly in a folder."""
-    store, target = _located(spark, path)
+    store, target = located(spark, path)
     return [x.getPath().getName() for x in store.listStatus(target)]

@@ -35,9 +35,6 @@ def into_store(spark: SparkSession, path: str) -> Callable[[DataFrame, int], Non
     """An ``apply`` that brings a store up to date with a batch's files (with content). A batch that is repeated finds them unchanged."""
 
     def apply(files: DataFrame, number: int) -> None:
-        nodes, edges = indexing.read(spark, path)
-        result = indexing.index_files(files.drop("status"), nodes, edges, whole=False)
-        if result.changes.filter("status <> 'UNCHANGED'").limit(1).count():
-            indexing.write(result.nodes, result.edges, path)
+        indexing.update(spark, files.drop("status"), path, whole=False)
 
     return apply
