@@ -13,8 +13,8 @@ from graphquarry.plans.storage import materialise, new_path
 from graphquarry.schema import INDEXED
 
 MIN_SIMILARITY, MAX_RESULTS, EXACT_BOOST = 0.6, 20, 1.2
-#: Query vectors in a block; bytes of them that are sent to the tasks in a pass; bytes of node vectors in a block.
-QUERIES_A_BLOCK, QUERY_BYTES, BLOCK_BYTES = 1024, 32 << 20, 16 << 20
+#: Bytes of query vectors that are sent to the tasks in a pass.
+QUERY_BYTES = 8 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -34,29 +34,19 @@ def similar_to(nodes: DataFrame, vector: list[float], k: int = MAX_RESULTS, leas
 
 
 def knn(nodes: DataFrame, queries: DataFrame, k: int = MAX_RESULTS, query_bytes: int = QUERY_BYTES) -> DataFrame:
-    """(query_id, id, label, score): the k nearest nodes of each label to each query (query_id, vector).
+    """(query_id, id, label, score): the k nearest nodes of each label to each query (query_id, vector); of equal scores the smallest ids.
 
-    Queries are written as blocks of QUERIES_A_BLOCK. As many blocks as have ``query_bytes`` are sent to the tasks
-    in a pass over the nodes; more of them go in further passes. A task multiplies blocks of its rows with them and
-    passes on at most k rows a block, query and label.
+    Queries go to the tasks as many at a time as have ``query_bytes``, each time in a pass over the nodes. A task
+    keeps each query's best of each label and passes on at most k rows, however many nodes are alike.
     """
     spark = nodes.sparkSession
-    id_type = queries.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {id_type}, id string, label string, score double"
-    asked = queries.filter(F.size("vector") > 0).select("query_id", F.transform("vector", lambda x: x.cast("double")).alias("v"))
-    asked = asked.withColumn("dim", F.size("v")).withColumn("place", F.row_number().over(Window.partitionBy("dim", F.pmod(F.xxhash64("query_id"), F.lit(64))).orderBy("query_id")))
-    block = F.concat_ws("-", F.pmod(F.xxhash64("query_id"), F.lit(64)).cast("string"), F.floor(F.col("place") / QUERIES_A_BLOCK).cast("string"))
-    gathered = asked.groupBy("dim", block.alias("block")).agg(F.collect_list(F.struct("query_id", "v")).alias("q"))
-    packed = materialise(gathered.select("dim", F.col("q.query_id").alias("query_ids"), F.flatten("q.v").alias("query_values")).withColumn("nth", F.monotonically_increasing_id()), "query_blocks")
-    size = packed.agg(F.sum(8 * F.size("query_values").cast("long"))).first()[0] or 0
-    passes = max(1, -(-size // query_bytes))
-    slim = nodes.filter((F.size("embedding") > 0) & F.col("label").isin(*INDEXED)).select("id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    rows = slim.mapInArrow(_gather, "dim int, label string, ids array<string>, values array<double>")
+    schema = result_schema(queries)
+    asked, passes = in_passes(queries, query_bytes)
+    slim = embedded(nodes)
     order = Window.partitionBy("query_id", "label").orderBy(F.desc("score"), "id")
 
     def one(n: int) -> DataFrame:
-        few = packed if passes == 1 else packed.filter(F.pmod(F.xxhash64("nth"), F.lit(passes)) == n)
-        met = rows.join(F.broadcast(few.drop("nth")), "dim").mapInArrow(_nearest(k), schema)
+        met = slim.mapInArrow(nearest(by_dim(asked, n), k, schema), schema)
         return met.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k).drop("_n")
 
     if passes == 1:
@@ -67,62 +57,104 @@ def knn(nodes: DataFrame, queries: DataFrame, k: int = MAX_RESULTS, query_bytes:
     return spark.read.schema(schema).parquet(path)
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, label, v) as blocks of one label and length, of about BLOCK_BYTES."""
-    held: dict[tuple[int, str], list[tuple[pa.Array, pa.Array]]] = {}
-    size: dict[tuple[int, str], int] = {}
-
-    def flush(key: tuple[int, str]) -> pa.RecordBatch:
-        ids, values = (pa.concat_arrays(x) for x in zip(*held.pop(key), strict=True))
-        size.pop(key)
-        whole = lambda a, t: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a.cast(t))
-        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]]), whole(ids, pa.string()), whole(values, pa.float64())], names=["dim", "label", "ids", "values"])
-
-    for batch in batches:
-        lists, labels = batch.column("v"), batch.column("label").dictionary_encode()
-        dims = lists.value_lengths().to_numpy(zero_copy_only=False)
-        codes = labels.indices.to_numpy(zero_copy_only=False)
-        for dim, code in set(zip(dims.tolist(), codes.tolist(), strict=True)):
-            at = pa.array(np.nonzero((dims == dim) & (codes == code))[0])
-            key = (dim, labels.dictionary[code].as_py())
-            held.setdefault(key, []).append((batch.column("id").take(at), lists.take(at).flatten()))
-            size[key] = size.get(key, 0) + 8 * dim * len(at)
-            if size[key] >= BLOCK_BYTES:
-                yield flush(key)
-    for key in list(held):
-        yield flush(key)
-
-
-def _matrix(values: pa.ListScalar, dim: int) -> np.ndarray:
-    """Rows of unit length; NaN where a row is all zeros."""
-    m = values.values.to_numpy(zero_copy_only=False).reshape(-1, dim)
+def result_schema(queries: DataFrame) -> str:
+    return f"query_id {queries.schema['query_id'].dataType.simpleString()}, id string, label string, score double"
+
+
+def embedded(nodes: DataFrame) -> DataFrame:
+    """(id, label, v) of nodes that a search goes through."""
+    return nodes.filter((F.size("embedding") > 0) & F.col("label").isin(*INDEXED)).select("id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+
+
+def in_passes(queries: DataFrame, query_bytes: int) -> tuple[DataFrame, int]:
+    """Written queries (query_id, v, pass), and the number of passes."""
+    asked = queries.filter(F.size("vector") > 0).select("query_id", F.transform("vector", lambda x: x.cast("double")).alias("v"))
+    size = asked.agg(F.sum(8 * F.size("v").cast("long"))).first()[0] or 0
+    passes = max(1, -(-size // query_bytes))
+    return materialise(asked.withColumn("pass", F.pmod(F.xxhash64("query_id"), F.lit(passes)).cast("int")), "queries"), passes
+
+
+Asked = dict[int, tuple[pa.Array, np.ndarray]]
+
+
+def by_dim(asked: DataFrame, n: int) -> Asked:
+    """A pass's queries by their length: ids, and vectors of length 1. Those without a direction have no neighbours."""
+    table = asked.filter(F.col("pass") == n).select("query_id", "v").toArrow()
+    ids, lists = table.column("query_id").combine_chunks(), table.column("v").combine_chunks()
+    sizes, flat = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False)
+    starts, out = np.cumsum(sizes) - sizes, {}
+    for d in np.unique(sizes).tolist():
+        at = np.nonzero(sizes == d)[0]
+        m = unit(flat[starts[at][:, None] + np.arange(d)])
+        known = ~np.isnan(m[:, 0])
+        out[d] = (ids.take(pa.array(at[known])), m[known])
+    return out
+
+
+def unit(m: np.ndarray) -> np.ndarray:
+    """Rows of length 1; NaN where a row is all zeros."""
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norm, out=np.full_like(m, np.nan, dtype=float), where=norm > 0)
 
 
-def _nearest(k: int):
+class Best:
+    """The k best rows of each query, by score and then by id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.ids = [np.zeros(0, object)] * queries
+        self.scores = [np.zeros(0)] * queries
+        self.least = np.full(queries, -np.inf)
+
+    def add(self, asked: np.ndarray, rows: np.ndarray, ids: np.ndarray, which: np.ndarray) -> None:
+        """Rows of length 1, in the order of their ids, met by the queries ``which``."""
+        step = max(1, (2 << 20) // max(1, len(rows)))
+        for first in range(0, len(which), step):
+            some = which[first : first + step]
+            # rounded, so that equal vectors tie wherever they stand
+            score = np.round((1 + asked[some] @ rows.T) / 2, 12)
+            for q, own in zip(some[(score.max(axis=1) >= self.least[some])].tolist(), score[score.max(axis=1) >= self.least[some]], strict=True):
+                at = np.nonzero(own >= self.least[q])[0]
+                if len(at) > self.k:  # what is above the k-th, and of its equals the first
+                    edge = np.partition(own[at], -self.k)[-self.k]
+                    above = at[own[at] > edge]
+                    at = np.r_[above, at[own[at] == edge][: self.k - len(above)]]
+                names, scores = np.concatenate([self.ids[q], ids[at]]), np.concatenate([self.scores[q], own[at]])
+                order = np.array(sorted(range(len(names)), key=lambda n: (-scores[n], names[n]))[: self.k])
+                self.ids[q], self.scores[q] = names[order], scores[order]
+                if len(order) == self.k:
+                    self.least[q] = scores[order[-1]]
+
+
+def rows_of(best: dict[tuple[int, str], Best], asked: Asked, names: list[str]) -> Iterator[pa.RecordBatch]:
+    for (dim, label), b in best.items():
+        for at in range(0, len(b.ids), 2048):
+            ids, scores = b.ids[at : at + 2048], b.scores[at : at + 2048]
+            own = asked[dim][0].take(pa.array(np.repeat(np.arange(at, at + len(ids)), [len(x) for x in ids])))
+            yield pa.RecordBatch.from_arrays([own, pa.array(np.concatenate(ids), pa.string()), pa.array([label] * len(own), pa.string()), pa.array(np.concatenate(scores), pa.float64())], names=names)
+
+
+def nearest(asked: Asked, k: int, schema: str):
+    """Rows (id, label, v) to the k nearest of each label to each query."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[int, str], Best] = {}
         for batch in batches:
-            for n in range(batch.num_rows):
-                dim, label = batch.column("dim")[n].as_py(), batch.column("label")[n].as_py()
-                ids, names = batch.column("ids")[n].values, batch.column("query_ids")[n].values
-                rows, asked = (_matrix(batch.column(c)[n], dim) for c in ("values", "query_values"))
-                known = np.nonzero(~np.isnan(rows[:, 0]))[0]
-                rows, of, at, scores = rows[known], [], [], []
-                step = max(1, (4 << 20) // max(1, len(known)))
-                for first in range(0, len(asked), step):
-                    # rounded, so that equal vectors tie wherever they stand
-                    score = np.round((1 + asked[first : first + step] @ rows.T) / 2, 12)
-                    for q, own in enumerate(score):
-                        if not len(own) or np.isnan(own[0]):
-                            continue
-                        good = np.arange(len(own))
-                        if len(own) > k:  # all that tie with the k-th
-                            good = np.nonzero(own >= np.partition(own, -k)[-k])[0]
-                        of.append(np.full(len(good), first + q)), at.append(known[good]), scores.append(own[good])
-                if of:
-                    of, at = pa.array(np.concatenate(of)), pa.array(np.concatenate(at))
-                    yield pa.RecordBatch.from_arrays([names.take(of), ids.take(at), pa.array([label] * len(at)), pa.array(np.concatenate(scores))], names=["query_id", "id", "label", "score"])
+            ids, labels, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
+            dims, flat = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False)
+            starts = np.cumsum(dims) - dims
+            for dim, label in sorted(set(zip(dims.tolist(), labels.tolist(), strict=True))):
+                if not len(asked.get(dim, ((),))[0]):
+                    continue
+                at = np.nonzero((dims == dim) & (labels == label))[0]
+                at = at[np.argsort(ids[at].astype(str), kind="stable")]
+                m = unit(flat[starts[at][:, None] + np.arange(dim)])
+                known = ~np.isnan(m[:, 0])
+                if known.any():
+                    held = best.setdefault((dim, label), Best(len(asked[dim][1]), k))
+                    held.add(asked[dim][1], m[known], ids[at[known]], np.arange(len(asked[dim][1])))
+        yield from rows_of(best, asked, names)
 
     return run
 

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from graphquarry import index as indexing
 from graphquarry.extract import extract, extracted_edges, extracted_nodes
 from graphquarry.functions.query_parser import APPROACHES, CONTEXT_PHRASES, ENTITY_PATTERNS, NODE_TYPE_WORDS, PROGRAMMING_TERMS, STRATEGIES, explained, parsed
-from graphquarry.operators import changes, enrich, graph, search, stats, vector
+from graphquarry.operators import changes, enrich, graph, search, stats, vector, vector_index
 from graphquarry.operators.components import connected_components
 from graphquarry.plans import fragments, samples
-from graphquarry.plans.storage import materialise
+from graphquarry.plans.storage import materialise, new_path
 from graphquarry.plans.views import view, with_views
 from graphquarry.schema import LEVELS
 from graphquarry.sources import scan, store
@@ -64,6 +64,13 @@ def knn_by_label(spark, sf_dir):
     return vector.knn(view(spark, sf_dir, "nodes"), q, 5).withColumn("score", F.round("score", 4))
 
 
+@query(KNN + " SELECT query_id, id, label, round(cos, 4) AS score FROM r", "nodes")
+def knn_index(spark, sf_dir):
+    """The same through a written index, of which a search reads the cells that can matter."""
+    index = vector_index.build(view(spark, sf_dir, "nodes"), new_path(spark, "vector-index"))
+    return vector_index.search(index, _asked_vectors(spark, sf_dir, 50), 5).withColumn("score", F.round("score", 4))
+
+
 @query(KNN + f", t AS (SELECT *, CASE WHEN {MATCH} THEN cos * 1.2 ELSE cos END AS score FROM r WHERE cos >= 0.6) SELECT query_id, id, label, name, round(cos, 4) AS original_score, round(score, 4) AS score FROM t", "nodes")
 def knn_threshold_boost(spark, sf_dir):
     found = vector.vector_search(view(spark, sf_dir, "nodes"), _asked_vectors(spark, sf_dir, 50), 5, per_label=True)
