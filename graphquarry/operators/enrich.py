@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphquarry.plans.storage import materialise
+from graphquarry.plans.storage import discard, materialise
 from graphquarry.schema import INDEXED, LEVELS, SUMMARISED
 
 CHILD_TYPES, RELATED_TYPES = ("CONTAINS", "DEFINES", "DECLARES"), ("CALLS", "USES", "REFERENCES")
@@ -182,17 +182,20 @@ def summarise_levels(nodes: DataFrame, edges: DataFrame, summarise: Callable[[],
     """Summaries of all levels, bottom-up: one set-based step a level.
 
     ``summarise`` makes a column from a node's columns, children, related and prompt; where
-    it gives null the node gets a note that it failed, and is not tried again. A level writes only its
-    new summaries; between levels only ids, names and summaries are put together, and the nodes are joined once, at the end.
+    it gives null the node gets a note that it failed, and is not tried again. A level writes its new summaries, and
+    ids, names and summaries once for the next level to read; the nodes themselves are joined once, at the end.
     """
-    narrow = nodes.select("id", "label", "name", "generated_summary", "summary_status")
+    state = materialise(nodes.select("id", "label", "name", "generated_summary", "summary_status"), "summary_state")
     made: DataFrame | None = None
     for label in LEVELS:
-        state = narrow if made is None else _with_summaries(narrow, made)
         work = prompts(ready(pending_level(nodes, label), state, edges), state, edges)
         failed = F.concat(F.lit("Code "), F.lower("label"), F.lit(" - summary generation failed"))
         done = materialise(work.select("id", F.coalesce(summarise(), failed).alias("_s"), F.lit("COMPLETED").alias("_t")), f"summaries-{label.lower()}")
         made = done if made is None else made.unionByName(done)
+        if label != LEVELS[-1]:
+            former, state = state, materialise(_with_summaries(state, done), "summary_state")
+            discard(former)
+    discard(state)
     return materialise(_with_summaries(nodes, made), "summaries")
 
 

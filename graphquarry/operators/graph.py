@@ -98,32 +98,54 @@ def expand_context(hits: DataFrame, nodes: DataFrame, edges: DataFrame, rules: D
 def expand_context_exact(hits: DataFrame, nodes: DataFrame, edges: DataFrame, rules: DataFrame | None = None, max_related: int = 50, max_hits: int = 10) -> DataFrame:
     """The same by the greedy pass: hits in rank order, each rule within what is left of the budget.
 
-    A hit reached before is not expanded; a node seen before uses up budget of its rule. To
-    the driver come at most ``max_related`` neighbours for each rule of at most ``max_hits`` hits.
+    A hit reached before is not expanded; a node seen before uses up budget of its rule.
     """
-    spark = nodes.sparkSession
-    rules = rules if rules is not None else rules_table(spark)
-    first = hits.orderBy("rank").limit(max_hits)
-    order = ["depth", F.asc_nulls_last("related_name"), "related", "direction"]
-    found = expand_candidates(first, nodes, edges, rules)
-    few = found.withColumn("_n", F.row_number().over(Window.partitionBy("rank", "rule_ord").orderBy(*order))).filter(F.col("_n") <= max_related)
-    rows: dict[int, dict[int, list]] = {}
-    for r in few.orderBy("rank", "rule_ord", "_n").drop("_n").collect():
-        rows.setdefault(r["rank"], {}).setdefault(r["rule_ord"], []).append(r)
-    done: set[str] = set()
-    kept = []
-    for hit in first.orderBy("rank").collect():
-        if hit["id"] in done:
-            continue
-        for rule in sorted(rows.get(hit["rank"], {})):
-            for r in rows[hit["rank"]][rule][: max_related - len(kept)]:
-                if r["related"] not in done:
-                    done.add(r["related"])
-                    kept.append(r)
-        done.add(hit["id"])
-        if len(kept) >= max_related:
-            break
-    return spark.createDataFrame(kept, found.schema)
+    one = expand_context_each(hits.withColumn("query_id", F.lit(0)), nodes, edges, rules, max_related, max_hits)
+    return one.drop("query_id")
+
+
+def expand_context_each(hits: DataFrame, nodes: DataFrame, edges: DataFrame, rules: DataFrame | None = None, max_related: int = 50, max_hits: int = 10) -> DataFrame:
+    """The greedy pass for each query of hits (query_id, id, rank): its first ``max_hits``, in one task, which holds at most ``max_related`` neighbours of each rule of each of them.
+
+    Neighbours are cut to the budget by hit and rule before they meet the queries, so that a hub that many queries hit is
+    expanded once and sends on no more than that.
+    """
+    rules = rules if rules is not None else rules_table(nodes.sparkSession)
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    first = hits.select("query_id", "id", "rank").withColumn("_nth", nth).filter(F.col("_nth") <= max_hits).drop("_nth")
+    order = Window.partitionBy("from_node", "rule_ord").orderBy("depth", F.asc_nulls_last("related_name"), "related", "direction")
+    found = expand_candidates(first.select("id").distinct().withColumn("rank", F.lit(0)), nodes, edges, rules)
+    few = found.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= max_related).drop("rank")
+    met = first.withColumnRenamed("id", "from_node").join(few, "from_node", "left").select("query_id", "rank", *few.columns)
+    kept = ", ".join(f"{c} {t}" for c, t in met.dtypes if c != "_n")
+    names = [c for c in met.columns if c != "_n"]
+
+    def greedy(rows):
+        """A query's rows: a row a hit and neighbour, or one of a hit that has none."""
+        rows = rows.sort_by([("rank", "ascending"), ("rule_ord", "ascending"), ("_n", "ascending")])
+        done, used, taken, spent, skipped = set(), [], 0, 0, None
+        rank, hit, rule = (rows.column(c).to_pylist() for c in ("rank", "from_node", "rule_ord"))
+        related = rows.column("related").to_pylist()
+        for k, node in enumerate(related):
+            if k == 0 or rank[k] != rank[k - 1]:
+                if k and not skipped:
+                    done.add(hit[k - 1])
+                if taken >= max_related:
+                    break
+                skipped = hit[k] in done
+            if k == 0 or (rank[k], rule[k]) != (rank[k - 1], rule[k - 1]):
+                room, spent = max_related - taken, 0
+            if skipped or node is None or spent >= room:
+                continue
+            spent += 1
+            if node not in done:
+                done.add(node)
+                taken += 1
+                used.append(k)
+        return rows.select(names).take(used)
+
+    out = met.groupBy("query_id").applyInArrow(greedy, kept)
+    return out.select("query_id", "from_node", "rank", "rule_ord", "related", "related_label", "related_name", "type", "direction", "depth")
 
 
 def reach(roots: DataFrame, edges: DataFrame, types: tuple[str, ...], direction: str = "OUT", max_depth: int = 3) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphquarry.functions.query_parser import parsed
-from graphquarry.operators.graph import call_hierarchy, expand_candidates, inheritance_hierarchy, rules_table
+from graphquarry.operators.graph import call_hierarchy, expand_context_each, inheritance_hierarchy
 from graphquarry.operators.enrich import hashing_embedder
 from graphquarry.operators.stats import hierarchy_counts
 from graphquarry.operators.vector import vector_search
@@ -90,13 +90,14 @@ def node_details(nodes: DataFrame, ids: DataFrame | None = None, include_source:
 def merge_and_score(hits: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
     """One row a query and node from hits (query_id, seq, id, label, name, match_type, score, and the query's intent).
 
-    The highest score counts; match types are joined in order of seq. ``related`` is the
-    number of nodes of the query's context.
+    The highest score counts; match types are joined in order of seq. ``related`` is the number of nodes of the
+    query's context, of hits that have it; a node has its first hit's.
     """
     first = F.min("seq").alias("seq")
     kinds = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "match_type"))), lambda x: x["match_type"]), "+").alias("match_type")
-    intent = ["entity_names", "keywords", "node_types", "confidence", "related"]
-    merged = hits.groupBy("query_id", "id").agg(first, F.min_by("label", "seq").alias("label"), F.min_by("name", "seq").alias("name"), F.max("score").alias("base"), kinds, *[F.first(c).alias(c) for c in intent])
+    intent = ["entity_names", "keywords", "node_types", "confidence"]
+    own = F.min_by(F.struct("label", "name", "related"), "seq").alias("own")
+    merged = hits.groupBy("query_id", "id").agg(first, own, F.max("score").alias("base"), kinds, *[F.first(c).alias(c) for c in intent]).select("*", "own.*").drop("own")
     name = F.lower(F.coalesce("name", F.lit("")))
     exact = F.exists("entity_names", lambda e: F.lower(e) == name) | F.exists("keywords", lambda k: F.contains(name, k))
     score = F.col("base") * F.when(exact, config.boost_exact).otherwise(1.0) * F.col("confidence")
@@ -104,7 +105,7 @@ def merge_and_score(hits: DataFrame, config: SearchConfig = SearchConfig()) -> D
     score = score * F.when(F.contains("match_type", F.lit("+")), config.boost_types).otherwise(1.0)
     related = F.coalesce("related", F.lit(0))
     score = score + F.when(related > 0, F.least(F.lit(0.1), related * 0.002)).otherwise(0.0)
-    return merged.withColumn("hybrid_score", F.least(F.lit(config.max_score), score)).select("query_id", "seq", "id", "label", "name", "match_type", "base", "hybrid_score")
+    return merged.withColumn("hybrid_score", F.least(F.lit(config.max_score), score)).select("query_id", "seq", "id", "label", "name", "match_type", "base", "hybrid_score", "related")
 
 
 def with_vectors(queries: DataFrame, embed: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -124,8 +125,8 @@ def hybrid_search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, config
     """The best nodes for each query (query_id, text[, vector]): query_id, rank, id, label, name, match_type, hybrid_score, explanation.
 
     The intent decides the branches: vectors for semantic, hybrid and contextual queries, names for
-    entity and hybrid ones, context for contextual ones or where the text asks for it. The context
-    is that of the first hits, before scoring.
+    entity and hybrid ones, context for contextual ones or where the text asks for it. The context is
+    the greedy one of a query's first hits, before scoring, and counts for those hits.
     """
     intents = materialise(parsed(with_vectors(queries, embed).select("query_id", "text", "vector")).withColumnRenamed("programming_terms", "keywords"), "intents")
     by_vector = intents.filter(F.col("query_type").isin("semantic", "hybrid", "contextual"))
@@ -141,14 +142,14 @@ def hybrid_search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, config
     wants = intents.filter(((F.col("query_type") == "contextual") | F.col("expand_context")) & F.lit(config.context_expansion)).select("query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("seq"))
     roots = hits.join(wants, "query_id", "left_semi").withColumn("place", rank).filter(F.col("place") <= config.context_roots)
-    context = expand_candidates(roots.select("id").distinct().withColumn("rank", F.lit(0)), nodes, edges, rules if rules is not None else rules_table(nodes.sparkSession))
-    reached = roots.select("query_id", F.col("id").alias("from_node")).join(context.select("from_node", "related"), "from_node")
-    related = reached.groupBy("query_id").agg(F.least(F.countDistinct("related"), F.lit(config.max_context_nodes)).alias("related"))
+    context = expand_context_each(roots.select("query_id", "id", F.col("place").alias("rank")), nodes, edges, rules, config.max_context_nodes, config.context_roots)
+    counted = roots.select("query_id").distinct().join(context.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left")
+    related = roots.select("query_id", "seq").join(counted.select("query_id", F.coalesce("n", F.lit(0)).alias("related")), "query_id")
 
-    full = hits.join(intents.select("query_id", "entity_names", "keywords", "node_types", "confidence"), "query_id").join(related, "query_id", "left")
+    full = hits.join(intents.select("query_id", "entity_names", "keywords", "node_types", "confidence"), "query_id").join(related, ["query_id", "seq"], "left")
     scored = merge_and_score(full, config)
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hybrid_score"), "seq"))
-    top = scored.withColumn("rank", best).filter(F.col("rank") <= config.max_total_results).join(related, "query_id", "left")
+    top = scored.withColumn("rank", best).filter(F.col("rank") <= config.max_total_results)
     why = F.concat(F.col("match_type"), F.lit(" match"), F.when(F.col("related").isNotNull(), F.format_string(" | Context: %d related nodes", "related")).otherwise(""))
     return top.select("query_id", "rank", "id", "label", "name", "match_type", "hybrid_score", why.alias("explanation"))
 

@@ -527,11 +527,11 @@ def hybrid_merge_score(spark, sf_dir):
     h = spark.sql(HITS.format(f"parquet.`{sf_dir}/embeddings.parquet`"))
     pick = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), (F.col("query_id") + 1).cast("int"))
     full = h.withColumns({"entity_names": F.array(F.lit("PaymentService")), "keywords": F.array(F.lit("login")), "node_types": F.array(F.lit("Class")), "confidence": pick(0.8, 0.7, 0.6), "related": pick(0, 10, 80)})
-    return search.merge_and_score(full).withColumn("hybrid_score", F.round("hybrid_score", 6))
+    return search.merge_and_score(full).drop("related").withColumn("hybrid_score", F.round("hybrid_score", 6))
 
 
 HYBRID = (
-    PARSED.replace("WITH w AS", "WITH w AS", 1).replace("FROM asked)", "FROM asked WHERE query_id % 50 = 0)")
+    PARSED.replace("FROM asked)", "FROM asked WHERE query_id % 50 = 0)")
     + ", " + DIRECTED.removeprefix("WITH ") + EXPANDED.removeprefix(DIRECTED)
     + f""", i AS (SELECT t.*, a.embedding FROM t JOIN nodes a ON a.vec_id = t.query_id),
     cos AS (SELECT a.query_id, a.text, a.node_types, b.id, b.label, b.name, b.generated_summary, {COS} AS cos FROM i a JOIN nodes b ON a.query_type IN ('semantic', 'hybrid', 'contextual')),
@@ -543,13 +543,22 @@ HYBRID = (
     l AS (SELECT query_id, nth, entity, n.id, n.label, n.name, CASE WHEN n.name = entity THEN 1.0 WHEN full_name = entity THEN 0.9 WHEN contains(n.name, entity) THEN 0.8 ELSE 0.7 END AS found FROM e JOIN nodes n ON contains(n.name, entity) OR contains(full_name, entity)),
     p10 AS (SELECT *, row_number() OVER (PARTITION BY query_id, nth ORDER BY found DESC, name, id) AS place FROM l QUALIFY place <= 10),
     hits AS (SELECT * FROM v UNION ALL SELECT query_id, 1000000 + nth * 1000 + place, id, label, name, 'entity', CAST(found AS DOUBLE) * CAST(1.3 AS DOUBLE) FROM p10),
-    roots AS (SELECT hits.query_id, hits.id FROM hits JOIN i ON i.query_id = hits.query_id AND (query_type = 'contextual' OR expand_context) QUALIFY row_number() OVER (PARTITION BY hits.query_id ORDER BY seq) <= 10),
-    rel AS (SELECT query_id, least(50, count(DISTINCT related)) AS related FROM roots JOIN x ON x.from_node = roots.id GROUP BY query_id),
-    mg AS (SELECT query_id, id, min(seq) AS seq, arg_min(label, seq) AS label, arg_min(name, seq) AS name, max(score) AS base, string_agg(match_type, '+' ORDER BY seq) AS match_type FROM hits GROUP BY query_id, id),
-    sc AS (SELECT mg.*, rel.related, least(CAST(2.0 AS DOUBLE), base
+    roots AS (SELECT hits.query_id, hits.id, hits.seq, row_number() OVER (PARTITION BY hits.query_id ORDER BY seq) AS place FROM hits JOIN i ON i.query_id = hits.query_id AND (query_type = 'contextual' OR expand_context) QUALIFY place <= 10),
+    cand AS (SELECT query_id, place, rule_ord, related, row_number() OVER (PARTITION BY query_id, place, rule_ord ORDER BY x.depth, x.related_name, x.related, x.direction) AS n FROM roots JOIN x ON x.from_node = roots.id),
+    told AS (SELECT query_id, place, rule_ord, list(related ORDER BY n) AS found FROM cand GROUP BY query_id, place, rule_ord),
+    step AS (SELECT roots.query_id, roots.id, o, told.found, row_number() OVER (PARTITION BY roots.query_id ORDER BY roots.place, o) AS k FROM roots CROSS JOIN (SELECT unnest(range(0, 11)) AS o) LEFT JOIN told ON told.query_id = roots.query_id AND told.place = roots.place AND told.rule_ord = o),
+    pass AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS done, CAST(0 AS BIGINT) AS kept, false AS skip FROM roots
+        UNION ALL SELECT s.query_id, s.k, CASE WHEN o = 10 THEN CASE WHEN skip THEN done ELSE list_append(done, s.id) END WHEN skip OR o = 0 OR found IS NULL THEN done ELSE list_concat(done, list_filter(found[1:greatest(0, 50 - kept)], lambda y: NOT list_contains(done, y))) END,
+            CASE WHEN skip OR o IN (0, 10) OR found IS NULL THEN kept ELSE kept + len(list_distinct(list_filter(found[1:greatest(0, 50 - kept)], lambda y: NOT list_contains(done, y)))) END,
+            CASE WHEN o = 0 THEN list_contains(done, s.id) ELSE skip END
+        FROM pass p JOIN step s ON s.query_id = p.query_id AND s.k = p.k + 1),
+    rel AS (SELECT roots.query_id, roots.seq, c.related FROM roots JOIN (SELECT query_id, max(kept) AS related FROM pass GROUP BY query_id) c ON c.query_id = roots.query_id),
+    mh AS (SELECT hits.*, rel.related FROM hits LEFT JOIN rel ON rel.query_id = hits.query_id AND rel.seq = hits.seq),
+    mg AS (SELECT query_id, id, min(seq) AS seq, arg_min(label, seq) AS label, arg_min(name, seq) AS name, arg_min_null(related, seq) AS related, max(score) AS base, string_agg(match_type, '+' ORDER BY seq) AS match_type FROM mh GROUP BY query_id, id),
+    sc AS (SELECT mg.*, least(CAST(2.0 AS DOUBLE), base
         * CAST(CASE WHEN len(list_filter(entity_names, lambda y: lower(y) = lower(coalesce(mg.name, '')))) > 0 OR len(list_filter(programming_terms, lambda y: contains(lower(coalesce(mg.name, '')), y))) > 0 THEN 1.5 ELSE 1.0 END AS DOUBLE)
         * CAST(confidence AS DOUBLE) * CAST(CASE WHEN list_contains(node_types, mg.label) THEN 1.2 ELSE 1.0 END AS DOUBLE) * CAST(CASE WHEN contains(match_type, '+') THEN 1.1 ELSE 1.0 END AS DOUBLE)
-        + CAST(CASE WHEN coalesce(rel.related, 0) > 0 THEN least(0.1, rel.related * 0.002) ELSE 0.0 END AS DOUBLE)) AS hybrid_score FROM mg JOIN i ON i.query_id = mg.query_id LEFT JOIN rel ON rel.query_id = mg.query_id)
+        + CAST(CASE WHEN coalesce(mg.related, 0) > 0 THEN least(0.1, mg.related * 0.002) ELSE 0.0 END AS DOUBLE)) AS hybrid_score FROM mg JOIN i ON i.query_id = mg.query_id)
     SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, seq) AS INTEGER) AS rank, id, label, name, match_type, round(hybrid_score, 6) AS hybrid_score,
         concat(match_type, ' match', CASE WHEN related IS NOT NULL THEN concat(' | Context: ', related, ' related nodes') ELSE '' END) AS explanation FROM sc QUALIFY rank <= 30"""
 )
