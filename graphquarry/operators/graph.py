@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphquarry.operators.components import connected_components
+from graphquarry.plans.joins import Split, split
 from graphquarry.plans.storage import materialise
 
 # Fixed values: (label, edge type, label at the other end or None, direction), in the order in which they apply.
@@ -59,21 +60,22 @@ def resolved_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*edges.columns)
 
 
-def _step(frontier: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One hop from (.., at, rel_type, direction); keeps the other columns."""
-    return frontier.join(edges, (F.col("at") == F.col("id")) & (F.col("rel_type") == F.col("type")) & F.col("rule_direction").isin("BOTH", F.col("direction"))).drop("id", "type")
+def _step(frontier: DataFrame, edges: Split) -> DataFrame:
+    """One hop from (.., at, rel_type, direction); keeps the other columns. A hub's edges are dealt over several tasks."""
+    return edges.join(frontier, "at").filter((F.col("rel_type") == F.col("type")) & F.col("rule_direction").isin("BOTH", F.col("direction"))).drop("id", "type")
 
 
 def expand_candidates(hits: DataFrame, nodes: DataFrame, edges: DataFrame, rules: DataFrame) -> DataFrame:
     """Every neighbour that a rule gives a hit (id, rank): a row an edge, or a row a path for deeper rules."""
-    both = directed(edges)
+    wanted = [r["rel_type"] for r in rules.select("rel_type").distinct().collect()]
+    both = split(directed(edges.filter(F.col("type").isin(wanted))), "id", F.xxhash64("related"))
     labels = nodes.select("id", "label")
     start = hits.select("id", "rank").join(labels, "id").join(F.broadcast(rules), F.col("label") == F.col("from_label"))
     start = start.select(F.col("id").alias("from_node"), "rank", "rule_ord", "rel_type", "to_label", "rule_direction", "max_depth", F.col("id").alias("at"))
     deepest = rules.agg(F.max("max_depth")).first()[0] or 0
     found, frontier = None, start
     for depth in range(1, deepest + 1):
-        frontier = _step(frontier.filter(F.col("max_depth") >= depth), nodes, both).withColumn("at", F.col("related")).withColumn("depth", F.lit(depth))
+        frontier = _step(frontier.filter(F.col("max_depth") >= depth), both).withColumn("at", F.col("related")).withColumn("depth", F.lit(depth))
         step = frontier.select("from_node", "rank", "rule_ord", "rel_type", "to_label", F.col("direction"), "depth", "related")
         found = step if found is None else found.unionByName(step)
         frontier = frontier.drop("related", "direction", "depth")
@@ -152,15 +154,16 @@ def reach(roots: DataFrame, edges: DataFrame, types: tuple[str, ...], direction:
     """(root, id, depth) of what each root reaches within ``max_depth`` edges, at its least depth, without itself.
 
     Breadth first from all roots together; each level is written, so that neither lineage
-    nor plan grows with the depth, and is compared with what was reached before.
+    nor plan grows with the depth, and is compared with what was reached before. The edges of a node that has a large share of
+    them are dealt over several tasks, to which what has reached it goes.
     """
     e = edges.filter(F.col("type").isin(*types))
     e = e.select("src", "dst") if direction == "OUT" else e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    e = e.distinct()
+    e = split(materialise(e.distinct(), "reach_edges"), "src", F.xxhash64("dst"))
     seen = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")).distinct()
     frontier = seen
     for depth in range(1, max_depth + 1):
-        step = frontier.join(e, F.col("id") == F.col("src")).select("root", F.col("dst").alias("id")).distinct()
+        step = e.join(frontier.select("root", "id"), "id").select("root", F.col("dst").alias("id")).distinct()
         frontier = materialise(step.join(seen, ["root", "id"], "left_anti").withColumn("depth", F.lit(depth)), "reach")
         if not frontier.limit(1).count():
             break

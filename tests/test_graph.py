@@ -3,7 +3,10 @@
 import random
 
 from graphquarry.operators.components import connected_components
-from graphquarry.operators.graph import call_hierarchy, derived_inheritance, expand_context, expand_context_exact, inheritance_hierarchy, neighbours, reach
+from pyspark.sql import functions as F
+
+from graphquarry.operators.graph import call_hierarchy, derived_inheritance, expand_context, expand_context_each, expand_context_exact, inheritance_hierarchy, neighbours, reach
+from graphquarry.plans import joins
 from graphquarry.sources.store import create_edges, delete_component, delete_owned, merge_edges, upsert_nodes
 
 
@@ -114,3 +117,36 @@ def test_deletes(spark):
 def test_derived_inheritance(spark):
     made = spark.createDataFrame([("1", "Class", "A", "p", ["q.B", "Z"], ["I"], None), ("2", "Class", "B", "o", None, None, None), ("3", "Interface", "I", "p", None, None, ["J<int>"]), ("4", "Interface", "J", "p", None, None, None)], "id string, label string, name string, path string, base_classes array<string>, interfaces array<string>, base_interfaces array<string>")
     assert rows(derived_inheritance(made), "src", "dst", "type") == [("1", "2", "EXTENDS"), ("1", "3", "IMPLEMENTS"), ("3", "4", "EXTENDS")]
+
+
+def test_context_of_many_queries_is_that_of_each(spark):
+    g = random.Random(9)
+    kinds = ["File", "Class", "Method", "Function"]
+    labels = {f"n{i:02d}": kinds[i % 4] for i in range(40)}
+    edges = [(f"n{g.randrange(40):02d}", f"n{g.randrange(40):02d}", g.choice(["CONTAINS", "DEFINES", "CALLS", "EXTENDS", "IMPORTS"])) for _ in range(300)]
+    nodes, e = graph(spark, edges, labels)
+    asked = {q: [f"n{g.randrange(40):02d}" for _ in range(g.randrange(1, 14))] for q in range(6)}
+    hits = spark.createDataFrame([(q, x, k) for q, found in asked.items() for k, x in enumerate(found)], "query_id int, id string, rank int")
+    for budget in (3, 50):
+        got = expand_context_each(hits, nodes, e, max_related=budget)
+        want = []
+        for q, found in asked.items():
+            own = spark.createDataFrame([(x, k) for k, x in enumerate(found)], "id string, rank int")
+            want += [(q, *x) for x in rows(expand_context_exact(own, nodes, e, max_related=budget), "related", "rank", "rule_ord")]
+            assert len([x for x in want if x[0] == q]) <= budget
+        assert rows(got, "query_id", "related", "rank", "rule_ord") == sorted(want)
+
+
+def test_a_hub_is_dealt_over_several_tasks(spark, monkeypatch):
+    """Callers of one method: no part has more than its share, and what is reached is the same."""
+    monkeypatch.setattr(joins, "LEAST_PART", 50)
+    edges = spark.range(2000).select(F.format_string("c%04d", "id").alias("src"), F.when(F.col("id") < 1500, "hub").otherwise(F.format_string("d%d", F.col("id") % 400)).alias("dst"), F.lit("CALLS").alias("type"), F.lit(None).cast("map<string,string>").alias("properties"))
+    into = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    made = joins.split(into, "src", F.xxhash64("dst"), share=0.002, least=50)
+    assert made.rows.filter("src = 'hub'").groupBy("_own").count().agg(F.max("count")).first()[0] < 120 and made.hubs.count() == 1
+    met = made.join(spark.createDataFrame([("r1", "hub"), ("r2", "hub"), ("r2", "d7")], "root string, id string"), "id")
+    assert met.filter("id = 'hub'").count() == 3000 and met.filter("id = 'd7'").count() == edges.filter("dst = 'd7'").count()
+    nodes = edges.select(F.col("src").alias("id")).union(spark.createDataFrame([("hub",)], "id string")).select("id", F.lit("Method").alias("label"), F.col("id").alias("name"), F.col("id").alias("full_name"))
+    root = nodes.filter("id = 'hub'").select("id")
+    assert reach(root, edges, ("CALLS",), "IN", 2).count() == 1500
+    assert [r[0] for r in rows(call_hierarchy(root, nodes, edges, 1, "IN"), "id")] == [f"c{i:04d}" for i in range(20)]
