@@ -59,13 +59,21 @@ def lookup(names: DataFrame, nodes: DataFrame, limit: int = 10) -> DataFrame:
     """
     size = F.least(F.length("entity"), F.lit(GRAM))
     asked = names.select("lookup_id", "entity").filter("entity is not null").withColumn("gram", F.substring(F.col("entity"), F.lit(1), size))
+    sizes = sorted(r[0] for r in asked.select(size).distinct().collect())  # of 0 to GRAM
+    if not sizes:
+        sizes = [GRAM]
     full = F.coalesce("full_name", F.lit(""))
-    every = F.array_distinct(F.concat(F.array(F.lit("")), *[grams(F.coalesce(x, F.lit("")), n) for x in (F.col("name"), full) for n in range(1, GRAM + 1)]))
-    known = nodes.filter("name is not null or full_name is not null").select("id", "label", "name", "full_name", F.explode(every).alias("gram"))
+    made = [F.array(F.lit(""))] if sizes[0] == 0 else []
+    made += [grams(F.coalesce(x, F.lit("")), n) for x in (F.col("name"), full) for n in sizes if n]
+    known = nodes.filter("name is not null or full_name is not null").select("id", "label", "name", "full_name", F.explode(F.array_distinct(F.concat(*made))).alias("gram"))
     few = asked.limit(SENT_LOOKUPS + 1).count() <= SENT_LOOKUPS
-    found = known.join(F.broadcast(asked) if few else asked, "gram")
+    return best_by_name(known.join(F.broadcast(asked) if few else asked, "gram"), limit)
+
+
+def best_by_name(pairs: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` best of each lookup among pairs (lookup_id, entity, id, label, name, full_name), those that don't contain the entity being dropped."""
     entity = F.col("entity")
-    found = found.filter(F.coalesce(F.contains("name", entity), F.lit(False)) | F.coalesce(F.contains("full_name", entity), F.lit(False)))
+    found = pairs.filter(F.coalesce(F.contains("name", entity), F.lit(False)) | F.coalesce(F.contains("full_name", entity), F.lit(False)))
     score = F.when(F.col("name") == entity, 1.0).when(F.col("full_name") == entity, 0.9).when(F.contains("name", entity), 0.8).otherwise(0.7)
     order = Window.partitionBy("lookup_id").orderBy(F.desc("match_score"), F.asc_nulls_last("name"), "id")
     best = found.withColumn("match_score", score).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphquarry import index as indexing
 from graphquarry.extract import extract, extracted_edges, extracted_nodes
 from graphquarry.functions.query_parser import APPROACHES, CONTEXT_PHRASES, ENTITY_PATTERNS, NODE_TYPE_WORDS, PROGRAMMING_TERMS, STRATEGIES, explained, parsed
-from graphquarry.operators import changes, enrich, graph, search, stats, vector, vector_index
+from graphquarry.operators import changes, enrich, graph, name_index, search, stats, vector, vector_index
 from graphquarry.operators.components import connected_components
 from graphquarry.plans import fragments, samples
 from graphquarry.plans.storage import materialise, new_path
@@ -104,6 +104,20 @@ def similar_to_node(spark, sf_dir):
 ENTITIES = ("red widget", "ring", "bolt", "Brand#4::blue bolt::2", "Brand#1", "gear")
 
 
+@query(
+    """WITH q AS (SELECT vec_id AS lookup_id, name AS entity FROM nodes WHERE vec_id % 50 = 0 UNION ALL SELECT vec_id + 1, substr(full_name, 3, 5 + vec_id % 4) FROM nodes WHERE vec_id % 50 = 0),
+        s AS (SELECT q.lookup_id, entity, id, label, name, CASE WHEN name = entity THEN 1.0 WHEN full_name = entity THEN 0.9 WHEN contains(name, entity) THEN 0.8 ELSE 0.7 END AS match_score
+              FROM nodes JOIN q ON contains(name, entity) OR contains(full_name, entity))
+        SELECT *, CAST(row_number() OVER (PARTITION BY lookup_id ORDER BY match_score DESC, name, id) AS INTEGER) AS place FROM s QUALIFY place <= 10""", "nodes",
+)
+def name_index_lookup(spark, sf_dir):
+    """Names and parts of full names of every fiftieth node, by the rarest gram of each."""
+    n = view(spark, sf_dir, "nodes")
+    few = n.filter("vec_id % 50 = 0")
+    asked = few.select(F.col("vec_id").alias("lookup_id"), F.col("name").alias("entity")).unionByName(few.select((F.col("vec_id") + 1).alias("lookup_id"), F.expr("substr(full_name, 3, 5 + cast(vec_id % 4 as int))").alias("entity")))
+    return name_index.indexed_lookup(name_index.build(n, new_path(spark, "name-index")), asked, n)
+
+
 @query(
     f"""WITH q AS (SELECT unnest([{quoted(ENTITIES)}]) AS entity),
         s AS (SELECT entity AS lookup_id, entity, id, label, name, CASE WHEN name = entity THEN 1.0 WHEN full_name = entity THEN 0.9 WHEN contains(name, entity) THEN 0.8 ELSE 0.7 END AS match_score

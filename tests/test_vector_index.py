@@ -1,11 +1,11 @@
-"""Exact nearest neighbours through a written index, and ties."""
+"""Exact nearest neighbours and names through written indexes, and ties."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphquarry.operators import vector, vector_index
-from graphquarry.plans import storage
+from graphquarry.operators import name_index, search, vector, vector_index
+from graphquarry.plans import joins, storage
 
 
 def facts(df):
@@ -66,3 +66,19 @@ def test_index_of_nothing(spark, clustered):
     assert vector_index.search(index, asked, 3).count() == 0
     with pytest.raises(ValueError):
         vector_index.build(nodes, index.path)
+
+
+def test_names_by_the_rarest_gram(spark, monkeypatch):
+    monkeypatch.setattr(joins, "LEAST_PART", 20)
+    words = ["getUser", "getUserName", "setName", "get", "x", "ab", "Äget", None, ""]
+    rows = [(f"{k:03d}", "Class", n, f) for k, (n, f) in enumerate((n, f) for n in words for f in (f"mod::{n}", None))]
+    rows += [(f"h{k:03d}", "Method", f"get{k}", f"hub::get{k}") for k in range(300)]  # a gram that nearly all have
+    nodes = spark.createDataFrame(rows, "id string, label string, name string, full_name string")
+    asked = spark.createDataFrame([(i, e) for i, e in enumerate(["get", "getUser", "serNa", "get27", "zzz", "getzz", "x", "ab", "", "mod::", "Äge", None, "hub::get1"])], "lookup_id int, entity string")
+    index = name_index.build(nodes, storage.new_path(spark, "names"))
+    facts = lambda df: sorted(map(tuple, df.collect()))
+    assert facts(name_index.indexed_lookup(index, asked, nodes, 7)) == facts(search.lookup(asked, nodes, 7))
+    chosen = {r["entity"]: r["gram"] for r in name_index.rarest(index, asked).collect()}
+    assert chosen["getUser"] != "get" and "zzz" not in chosen and "getzz" not in chosen
+    plan = index.read("postings", [3])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
