@@ -277,6 +277,24 @@ def rule_expansion(spark, sf_dir):
     return found.select("from_node", "rank", "rule_ord", "related", "type", "depth")
 
 
+DEEP = (("Class", "DEFINES", None, "OUT", 2), ("Method", "CALLS", None, "BOTH", 2), ("Function", "CALLS", "Function", "OUT", 3), ("File", "CONTAINS", None, "IN", 1))
+_DEEP_SQL = "(VALUES " + ", ".join(f"('{a}', 1, '{t}', {'NULL' if b is None else repr(b)}, '{d}', {m})" for a, t, b, d, m in DEEP) + ") AS r(from_label, rule_ord, rel_type, to_label, rule_direction, max_depth)"
+_HOP = "d.type = {0}.rel_type AND ({0}.rule_direction = 'BOTH' OR {0}.rule_direction = d.direction)"
+
+
+@query(
+    DIRECTED + f""", walk AS (SELECT h.id AS from_node, r.*, d.related, d.direction, 1 AS depth FROM nodes h JOIN {_DEEP_SQL} ON h.label = r.from_label JOIN d ON d.id = h.id AND {_HOP.format('r')} WHERE h.vec_id % 20 = 0
+            UNION ALL SELECT w.from_node, w.from_label, w.rule_ord, w.rel_type, w.to_label, w.rule_direction, w.max_depth, d.related, d.direction, w.depth + 1 FROM walk w JOIN d ON d.id = w.related AND {_HOP.format('w')} WHERE w.depth < w.max_depth)
+        SELECT from_node, rule_ord, n.id AS related, n.label AS related_label, rel_type AS type, direction, depth FROM walk JOIN nodes n ON n.id = walk.related WHERE n.id <> from_node AND (to_label IS NULL OR to_label = n.label)""", "nodes", "edges",
+)
+def rule_expansion_deep(spark, sf_dir):
+    """Rules of several hops: a row a path."""
+    n = view(spark, sf_dir, "nodes")
+    hits = n.filter("vec_id % 20 = 0").select("id", F.col("vec_id").cast("int").alias("rank"))
+    found = graph.expand_candidates(hits, n, view(spark, sf_dir, "edges"), graph.rules_table(spark, DEEP))
+    return found.select("from_node", "rule_ord", "related", "related_label", "type", "direction", "depth")
+
+
 # The greedy pass as a recursion over its steps: a hit's beginning, its rules in order, its end.
 GREEDY = EXPANDED + """, ten AS (SELECT id, rank FROM h ORDER BY rank LIMIT 10),
     c AS (SELECT x.*, row_number() OVER (PARTITION BY x.rank, rule_ord ORDER BY depth, related_name, related, direction) AS n FROM x JOIN ten ON ten.id = x.from_node),
@@ -614,6 +632,25 @@ def search_by_text(spark, sf_dir):
     return hit.select("query_id", "id", "label")
 
 
+_HEX = lambda n: f"(instr('0123456789abcdef', substr(md5(w), {n}, 1)) - 1)"
+
+
+@query(
+    f"""WITH t AS (SELECT vec_id, id, label, list_filter(string_split_regex(lower(generated_summary), '\\s+'), lambda x: x <> '')[1:512] AS words FROM nodes WHERE trim(coalesce(generated_summary, '')) <> ''),
+        w AS (SELECT vec_id, id, label, len(words) AS n, unnest(words) AS w FROM t),
+        v AS (SELECT vec_id, id, label, ({_HEX(3)} * 16 + {_HEX(4)}) % 64 AS place, sum(CASE WHEN {_HEX(5)} % 2 = 1 THEN -1.0 ELSE 1.0 END) / any_value(n) AS x FROM w GROUP BY ALL),
+        l AS (SELECT id, sqrt(sum(x * x)) AS norm FROM v GROUP BY id HAVING sum(x * x) > 0),
+        d AS (SELECT a.vec_id AS query_id, a.id AS own, b.id, b.label, sum(a.x * b.x) AS dot FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.place = b.place GROUP BY ALL),
+        c AS (SELECT q.vec_id AS query_id, n.label, coalesce(dot, 0) / (x.norm * y.norm) AS cos FROM t q JOIN l x ON x.id = q.id AND q.vec_id % 50 = 0 JOIN t n ON true JOIN l y ON y.id = n.id LEFT JOIN d ON d.query_id = q.vec_id AND d.id = n.id)
+        SELECT query_id, label, round((1 + max(cos)) / 2, 4) AS score FROM c GROUP BY query_id, label""", "nodes",
+)
+def text_nearest_by_label(spark, sf_dir):
+    """How near the nearest summary of each label is to every fiftieth node's, both embedded by the offline backend."""
+    n = enrich.embed_pending(view(spark, sf_dir, "nodes").withColumn("embedding", F.lit(None).cast("array<float>")))
+    asked = n.filter("vec_id % 50 = 0 and trim(coalesce(generated_summary, '')) <> ''").select(F.col("vec_id").alias("query_id"), F.col("generated_summary").alias("text"))
+    return vector.knn(n, materialise(search.with_vectors(asked), "asked"), 1).select("query_id", "label", F.round("score", 4).alias("score"))
+
+
 # --- interchange
 
 

@@ -63,12 +63,11 @@ def _listed(store: pafs.FileSystem, root: str, folder: str) -> tuple[list[str],
     return files, sorted(x for x, t in named if t == pafs.FileType.Directory and posixpath.basename(x) not in IGNORED)
 
 
-def scan_directory(spark: SparkSession, root: str, partitions: int | None = None) -> DataFrame:
-    """The known source files under ``root``: path relative to it, content and checksum.
+def walked(spark: SparkSession, root: str, partitions: int | None = None) -> DataFrame:
+    """The path, relative to it, of every file under ``root`` that isn't in an ignored folder.
 
     ``root`` is a folder that all tasks see, or the URI of one in any store that Arrow opens. The driver
-    lists the upper folders, until there are FOLDERS to share out; tasks walk those, list and read their
-    files. Files that can't be read get an empty checksum. A missing root raises.
+    lists the upper folders, until there are FOLDERS to share out; tasks walk those. A missing root raises.
     """
     store, top = _opened(root)
     if store.get_file_info(top).type != pafs.FileType.Directory:
@@ -89,7 +88,17 @@ def scan_directory(spark: SparkSession, root: str, partitions: int | None = None
                 todo += inner
                 yield pa.RecordBatch.from_arrays([pa.array(files, pa.string())], names=["path"])
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    paths = spark.createDataFrame([(x,) for x in names], "path string")
+    if folders:
+        inner = spark.createDataFrame([(x,) for x in folders], "folder string").repartition(partitions or len(folders))
+        paths = paths.unionByName(inner.mapInArrow(walk, "path string"))
+    return paths
+
+
+def _read(root: str):
+    """Paths to rows of FILE; files that can't be read have no content."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, base = _opened(root)
         for batch in batches:
             for p in batch.column("path").to_pylist():
@@ -102,25 +111,21 @@ def scan_directory(spark: SparkSession, root: str, partitions: int | None = None
                 columns = [[p], [full], [len(data) if data is not None else 0], [data]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.binary()), strict=True)], names=["path", "absolute_path", "size", "content"])
 
-    paths = spark.createDataFrame([(x,) for x in names], "path string")
-    if folders:
-        inner = spark.createDataFrame([(x,) for x in folders], "folder string").repartition(partitions or len(folders))
-        paths = paths.unionByName(inner.mapInArrow(walk, "path string"))
-    chosen = paths.filter(wanted(F.col("path")) & language(F.col("path")).isNotNull())
+    return run
+
+
+def scan_directory(spark: SparkSession, root: str, partitions: int | None = None) -> DataFrame:
+    """The known source files under ``root`` (see ``walked``): path relative to it, content and checksum. Files that can't be read get an empty checksum."""
+    chosen = walked(spark, root, partitions).filter(wanted(F.col("path")) & language(F.col("path")).isNotNull())
     chosen = chosen.repartition(partitions or spark.sparkContext.defaultParallelism)
-    return described(chosen.mapInArrow(read, FILE))
+    return described(chosen.mapInArrow(_read(root), FILE))
 
 
 def package_files(spark: SparkSession, root: str) -> DataFrame:
-    """(dir, type) of the package.json files under ``root``; those that can't be parsed have no type."""
-    store, top = _opened(root)
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "package.json").text(root if "://" in root else f"file://{top}")
-    base = "/" + top.strip("/") + "/"
-    where = F.regexp_replace(F.url_decode(F.input_file_name()), r"^[a-z0-9]+:/+", "/")
-    inner = F.substring_index(where, base, -1)
-    folder = F.regexp_replace(F.regexp_replace(inner, r"/?package\.json$", ""), "^/+", "")
-    found = files.select(folder.alias("dir"), F.get_json_object("value", "$.type").alias("type"))
-    return found.filter(~F.arrays_overlap(F.split("dir", "/"), F.array(*[F.lit(x) for x in IGNORED])))
+    """(dir, type) of the package.json files under ``root``, found by the same walk; those that can't be parsed have no type."""
+    named = walked(spark, root).filter((F.col("path") == "package.json") | F.col("path").endswith("/package.json"))
+    text = F.decode(F.coalesce("content", F.lit(b"")), "UTF-8")
+    return named.mapInArrow(_read(root), FILE).select(F.regexp_replace("path", r"/?package\.json$", "").alias("dir"), F.get_json_object(text, "$.type").alias("type"))
 
 
 def described(files: DataFrame) -> DataFrame:
