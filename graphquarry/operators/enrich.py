@@ -178,9 +178,12 @@ def reset_status(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("summary_status", F.lit(None).cast("string"))
 
 
-def summarise_levels(nodes: DataFrame, edges: DataFrame, summarise: Callable[[], Column] = extractive_summary) -> DataFrame:
+def summarise_levels(nodes: DataFrame, edges: DataFrame, summarise: Callable[[], Column] = extractive_summary, answers: Callable[[str, DataFrame], DataFrame] | None = None) -> DataFrame:
     """Summaries of all levels, bottom-up: one set-based step a level.
 
+    ``answers`` takes the place of ``summarise`` where a backend is to be asked once and for all: from a level and its work (id, text) it makes
+    (id, value), as a ``ledger.Ledger`` does; work without an answer stays pending.
+
     ``summarise`` makes a column from a node's columns, children, related and prompt; where
     it gives null the node gets a note that it failed, and is not tried again. A level writes its new summaries, and
     ids, names and summaries once for the next level to read; the nodes themselves are joined once, at the end.
@@ -190,7 +193,12 @@ def summarise_levels(nodes: DataFrame, edges: DataFrame, summarise: Callable[[],
     for label in LEVELS:
         work = prompts(ready(pending_level(nodes, label), state, edges), state, edges)
         failed = F.concat(F.lit("Code "), F.lower("label"), F.lit(" - summary generation failed"))
-        done = materialise(work.select("id", F.coalesce(summarise(), failed).alias("_s"), F.lit("COMPLETED").alias("_t")), f"summaries-{label.lower()}")
+        if answers:
+            told = answers(label, work.select("id", F.col("prompt").alias("text")))
+            said = work.select("id", "label").join(told, "id").select("id", F.coalesce("value", failed).alias("_s"))
+        else:
+            said = work.select("id", F.coalesce(summarise(), failed).alias("_s"))
+        done = materialise(said.withColumn("_t", F.lit("COMPLETED")), f"summaries-{label.lower()}")
         made = done if made is None else made.unionByName(done)
         if label != LEVELS[-1]:
             former, state = state, materialise(_with_summaries(state, done), "summary_state")
