@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphquarry.llm.batches import batch_bytes
 from graphquarry.llm.sketches import Members
 from graphquarry.llm.words import Words, mark, scramble, slices, table
 from graphquarry.plans.storage import discard, materialise
@@ -39,7 +40,11 @@ SHARE = 80
 SCALE = 2_000_000
 #: Phrases of a language that are reported.
 TOP = 2000
-SHARD_BYTES = 2 << 20
+#: Parts that a language's phrases are ranked in before they are ranked together.
+PARTS = 32
+SHARD_BYTES = 1 << 19
+#: Bytes of text that reach a task at once.
+BATCH_BYTES = 4 << 20
 #: Bytes between pieces, and between words.
 BREAK = table(*b".,;:!?", range(0x0A, 0x0E))
 BETWEEN = table(0x20, 0x09, *b".,;:!?", range(0x0A, 0x0E))
@@ -152,16 +157,18 @@ def handed_down(phrases: DataFrame) -> DataFrame:
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, share: int = SHARE, text_col: str = "text", lang_col: str = "lang", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score."""
-    context = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
+    context = spark.sparkContext
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    short = _frequent(texts, hasher(shard_bytes, (1, 2)), least)
-    some = context.broadcast(Members.of(short, short.count()))
-    long = _frequent(texts, lambda batches: hasher(shard_bytes, (3, 4), some.value, 2)(batches), least)
-    every = short.unionByName(long)
-    most = context.broadcast(Members.of(every, every.count()))
-    sent = texts.mapInArrow(lambda batches: phraser(shard_bytes, most.value)(batches), _COUNTED)
-    counted = sent.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("phrase").isNull() | (F.col("n") >= least))
-    counted = materialise(counted.withColumn("phrase", F.col("phrase").cast("string")), "phrase_counts")
+    with batch_bytes(spark, BATCH_BYTES):
+        short = _frequent(texts, hasher(shard_bytes, (1, 2)), least)
+        some = context.broadcast(Members.of(short, short.count()))
+        long = _frequent(texts, lambda batches: hasher(shard_bytes, (3, 4), some.value, 2)(batches), least)
+        every = short.unionByName(long)
+        most = context.broadcast(Members.of(every, every.count()))
+        sent = texts.mapInArrow(lambda batches: phraser(shard_bytes, most.value)(batches), _COUNTED)
+        counted = sent.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("phrase").isNull() | (F.col("n") >= least))
+        counted = materialise(counted.withColumn("phrase", F.col("phrase").cast("string")), "phrase_counts")
     some.destroy(), most.destroy()
     discard(short, long)
     totals = counted.filter("phrase is null").select("lang", "n")
@@ -181,6 +188,9 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, share: int
     once = handed_down(candidates.select("lang", "phrase", F.col("a").alias("_longer")))
     longer = once.unionByName(handed_down(once)).groupBy("lang", "phrase").agg(F.max("_longer").alias("_longer"))
     stay = lowest.join(longer, ["lang", "phrase"], "left").filter(F.col("_longer").isNull() | (100 * F.col("_longer") < share * F.col("a")))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    best = stay.withColumn("rank", rank).filter(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    ranked = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= top)
+    # first in parts of a language, so that the task that ranks a language gets at most ``top`` phrases of each part
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
+    best = ranked(ranked(stay.withColumn("_part", part), "lang", "_part").drop("_part", "rank"), "lang")
     return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
