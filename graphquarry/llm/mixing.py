@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphquarry.llm.batches import batch_bytes
 from graphquarry.llm.words import table
 from graphquarry.plans.storage import discard, materialise
 
@@ -34,8 +35,10 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Words of a budget that the dynamic programme meets.
 REACH = 1 << 16
+#: Bytes of text that reach a task at once.
+BATCH_BYTES = 4 << 20
 #: Documents of a bucket of a length's hash space.
-BUCKET_DOCS = 8192
+BUCKET_DOCS = 256
 #: Share of the rows from which a group is joined by broadcast; there are fewer than its inverse.
 HOT_SHARE = 0.002
 _SPACE = table(0x20, range(0x09, 0x0E))
@@ -100,27 +103,35 @@ def fitted(lengths: np.ndarray, counts: np.ndarray, budget: int, reach: int = RE
 
 
 def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> tuple[np.ndarray, int]:
-    """The bounded-knapsack programme: the counts that come nearest to the budget, and by how much they miss it."""
-    # bit s of reached[i]: the first i choices can have s words; each is so many documents of one length
-    limit = budget + int(lengths.max())
-    mask, reached, choices = (1 << (limit + 1)) - 1, [1], []
-    for k in np.argsort(lengths, kind="stable").tolist():
-        x, part = int(lengths[k]), 1
-        n = min(int(counts[k]), limit // x)
-        while n and not reached[-1] >> budget & 1:
+    """The bounded-knapsack programme: the counts that come nearest to the budget, and by how much they miss it.
+
+    A length's documents are choices of 1, 2, 4.. of them; with each sum stands the choice by which it was first reached, from
+    one that earlier choices had reached, so memory follows the budget and not the number of lengths.
+    """
+    unit = int(np.gcd.reduce(lengths))
+    size, whole = lengths // unit, budget // unit
+    # the sums nearest to the budget that there can be, in units
+    order = [whole, whole + 1] if 2 * (budget - whole * unit) <= unit else [whole + 1, whole]
+    limit = whole + int(size.max())
+    first = np.full(limit + 1, -1, np.int64)
+    first[0] = 0
+    choices = [(0, 0)]
+    for k in np.argsort(size, kind="stable").tolist():
+        n, part = min(int(counts[k]), limit // int(size[k])), 1
+        while n and first[order[0]] < 0:
             part = min(part, n)
+            step = part * int(size[k])
+            fresh = np.nonzero((first[step:] < 0) & (first[: limit + 1 - step] >= 0))[0] + step
+            first[fresh] = len(choices)
             choices.append((k, part))
-            reached.append((reached[-1] | reached[-1] << (part * x)) & mask)
             n, part = n - part, part * 2
-    below = (reached[-1] & ((1 << (budget + 1)) - 1)).bit_length() - 1
-    over = reached[-1] >> (budget + 1)
-    above = budget + (over & -over).bit_length()
-    at = above if over and above - budget < budget - below else below
-    missed, taken = abs(budget - at), np.zeros(len(lengths), np.int64)
-    for (k, part), had in zip(reversed(choices), reversed(reached[:-1]), strict=True):
-        if not had >> at & 1:
-            taken[k] += part
-            at -= part * int(lengths[k])
+    sums = np.nonzero(first >= 0)[0]
+    at = int(min(sums.tolist(), key=lambda x: (abs(x * unit - budget), x)))
+    missed, taken = abs(at * unit - budget), np.zeros(len(lengths), np.int64)
+    while at:
+        k, part = choices[first[at]]
+        taken[k] += part
+        at -= part * int(size[k])
     return taken, missed
 
 
@@ -155,7 +166,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
     # a source's name, with a mark that a null has not
     named = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
-    sized = materialise(slim.mapInArrow(count_words, "doc_id bigint, source string, size bigint").select("doc_id", named.alias("_source"), "size"), "sizes")
+    with batch_bytes(docs.sparkSession, BATCH_BYTES):
+        sized = materialise(slim.mapInArrow(count_words, "doc_id bigint, source string, size bigint").select("doc_id", named.alias("_source"), "size"), "sizes")
     lengths = materialise(sized.groupBy("_source", "size").agg(F.count(F.lit(1)).alias("docs")), "lengths")
     sizes = lengths.groupBy("_source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"))
     sources = materialise(targets(sizes.withColumn("source", F.expr("case when _source <> '' then substr(_source, 2) end")), weights, most), "targets").withColumn("_source", named).drop("source")
