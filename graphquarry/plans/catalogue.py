@@ -672,10 +672,15 @@ def interchange_edges(spark, sf_dir):
 # --- extraction
 
 
+def _spread(ids: DataFrame) -> DataFrame:
+    """Ids over all cores before texts are made of them: a file of ids alone is one task's."""
+    return ids.repartition(ids.sparkSession.sparkContext.defaultParallelism)
+
+
 def _sources(spark, sf_dir, language: str, text: str | None = None, where: str = "true") -> DataFrame:
     """One file a document, its number in place of ``@`` (but for Python's decorators)."""
     suffix, system, sample = samples.SOURCES[language]
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter(where).select(F.col("doc_id").cast("string").alias("n"))
+    docs = _spread(spark.read.parquet(f"{sf_dir}/documents.parquet").filter(where).select(F.col("doc_id").cast("string").alias("n")))
     made = F.regexp_replace(F.lit(text or sample), "@(?!decorated|static)", F.col("n"))
     return docs.select(F.concat(F.lit("f"), "n", F.lit(f".{suffix}")).alias("path"), F.lit(language).alias("language"), F.lit(system).alias("module_system"), F.encode(made, "UTF-8").alias("content")).withColumn("checksum", F.sha2("content", 256))
 
@@ -704,7 +709,7 @@ def _varied(language: str):
 
     def f(spark, sf_dir):
         texts = F.array(*[F.lit(t) for t, _ in pieces])
-        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+        docs = _spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id"))
         one = F.pmod("doc_id", F.lit(n)).cast("int")
         two = F.pmod(one + 1 + F.pmod(F.floor(F.col("doc_id") / n), F.lit(n - 1)), F.lit(n)).cast("int")
         made = F.concat_ws("\n", F.element_at(texts, one + 1), F.element_at(texts, two + 1))
@@ -746,7 +751,7 @@ _SHARED = ("cs/Shared.cs", "csharp", "namespace Shared { class Root { } class To
 
 
 def _tree_index(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("n"))
+    docs = _spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("n")))
     one = F.explode(F.array(*[F.struct(F.lit(p).alias("path"), F.lit(x).alias("language"), F.lit(t).alias("text")) for p, x, t in _TREE]))
     own = docs.select("n", one.alias("f")).select(*[F.replace(F.col(f"f.{c}"), F.lit("¤"), F.col("n")).alias(c) for c in ("path", "language", "text")])
     files = own.unionByName(spark.createDataFrame([_SHARED], "path string, language string, text string"))
