@@ -42,12 +42,19 @@ def extract_text(path: str, text: str, language: str, module_system: str = "esm"
     return nodes, edges
 
 
+def is_closed(nodes: list[dict], edges: list[dict]) -> bool:
+    own = {n["id"] for n in nodes}
+    return len(own) == len(nodes) and len({(e["src"], e["dst"], e["type"]) for e in edges}) == len(edges) and all(e["src"] in own and e["dst"] in own for e in edges)
+
+
 def _row_type() -> StructType:
-    return StructType.fromDDL(f"path string, error string, nodes array<struct<{_struct(NODE)}>>, edges array<struct<{_struct(EDGE)}>>")
+    return StructType.fromDDL(f"path string, error string, closed boolean, nodes array<struct<{_struct(NODE)}>>, edges array<struct<{_struct(EDGE)}>>")
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """path, error, nodes and edges (arrays of rows) of files (path, content, checksum, language[, module_system]).
+    """path, error, closed, nodes and edges (arrays of rows) of files (path, content, checksum, language[, module_system]).
+
+    A file is closed if its nodes and edges are each there once and the edges' ends are all among the nodes.
 
     A file that can't be parsed gets an error and nothing else; it stops no other file.
     """
@@ -64,7 +71,7 @@ def extract(files: DataFrame) -> DataFrame:
             for n in nodes:
                 if n.get("properties"):
                     n["properties"] = list(n["properties"].items())
-            return {"path": path, "nodes": nodes, "edges": edges}
+            return {"path": path, "closed": is_closed(nodes, edges), "nodes": nodes, "edges": edges}
         except Exception as e:  # any failure is the file's own
             return {"path": path, "error": f"{type(e).__name__}: {e}"}
 

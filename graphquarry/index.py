@@ -16,7 +16,7 @@ from graphquarry import extract
 from graphquarry.operators import changes as changing
 from graphquarry.operators import stats, symbols
 from graphquarry.plans.storage import discard, exists, materialise, remove
-from graphquarry.schema import EDGE, STORED
+from graphquarry.schema import EDGE, STORED, packed, unpacked
 from graphquarry.sources import buckets, scan, store
 
 @dataclass(frozen=True)
@@ -39,28 +39,52 @@ def index_files(files: DataFrame, nodes: DataFrame, edges: DataFrame, scanned_pr
     for. A file that can't be extracted keeps what the graph has of it and its old checksum, hence is tried again by the
     next run. Edges whose ends don't exist are left out. ``files`` that aren't the
     ``whole`` of what was scanned cause no deletions. ``found`` are changes that are known already; without ``resolve``
-    names are left alone.
+    names are left alone. ``nodes`` and ``edges`` are a graph: each is there once, and edges have both ends.
+
+    What changed files own is told from the rest by path, once; only that is merged, and what no changed file
+    has to do with stays where it is stored. A file's own nodes and edges need no exchange at all where it is closed.
     """
     found = changes_of(files, nodes, scanned_prefix, whole) if found is None else found
     work = files.join(changing.files_to_process(found).select("path"), "path", "left_semi")
     out = materialise(extract.extract(work), "extracted")
-    new_nodes, new_edges = extract.extracted_nodes(out), extract.extracted_edges(out)
-
-    renewed = out.filter("error is null").select("path")
-    touched = store.owned_by(nodes, renewed.unionByName(changing.deleted_files(found).select("path")))
-    gone = materialise(touched.select("id").join(new_nodes.select("id"), "id", "left_anti"), "gone")
-    left = nodes.join(gone, "id", "left_anti")
-    state = materialise(store.upsert_nodes(left.select(*nodes.columns), new_nodes), "nodes")
-    kept = symbols.without_derived(edges).join(touched.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti").select(*edges.columns)
-    written = materialise(store.create_edges(state, kept, new_edges), "edges_written")
-    links = materialise(store.merge_edges(written, symbols.derived_edges(state, written)), "edges") if resolve else written
+    done = out.filter("error is null")
+    again = done.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count() > 0
+    # files by themselves, and what has to be merged with other rows
+    alone, others = (done.filter("false"), done) if again else (done.filter("closed"), done.filter("not closed"))
+    mixed = others.limit(1).count() > 0
+    new_nodes = extract.extracted_nodes(alone)
+    new_nodes = new_nodes.unionByName(store.latest(extract.extracted_nodes(others))) if mixed else new_nodes
+
+    paths = materialise(done.select("path").unionByName(changing.deleted_files(found).select("path")).distinct(), "touched_paths")
+    told = touched = gone = None
+    if paths.limit(1).count():
+        slim = nodes.withColumn("id", packed("id")).join(paths.withColumn("_touched", F.lit(True)), "path", "left")
+        told = materialise(slim.withColumn("id", unpacked("id")).select(*nodes.columns, "_touched"), "told")
+        touched = told.filter("_touched").drop("_touched")
+        touched = touched if touched.limit(1).count() else None
+    rest = nodes if told is None else told.filter("_touched is null").drop("_touched")
+    base = symbols.without_derived(edges)
+    if touched is None:
+        fresh = store.with_columns_of(nodes, new_nodes)
+        kept = base
+    else:
+        gone = materialise(touched.select("id", "label").join(new_nodes.select("id"), "id", "left_anti"), "gone")
+        fresh = materialise(store.merged_nodes(touched.join(gone, "id", "left_anti").select(*nodes.columns), new_nodes), "nodes")
+        kept = materialise(store.without_ends(base, touched, gone), "edges_kept")
+    state = rest.unionByName(fresh)
+    state.made_of = (told, fresh)
+    some = F.coalesce("properties", F.create_map().cast("map<string,string>")).alias("properties")
+    written = kept.unionByName(extract.extracted_edges(alone)).select("src", "dst", "type", some)
+    if mixed:
+        written = written.unionByName(store.merge_edges(store.resolved_edges(state, extract.extracted_edges(others))))
+    links = symbols.with_derived(written, symbols.derived_edges(state, written)) if resolve else written
 
     counted = [changing.change_summary(found).select(F.concat(F.lit("files "), F.lower("status")).alias("metric"), "n")]
     counted.append(extract.failures(out).agg(F.count(F.lit(1)).alias("n")).select(F.lit("files failed").alias("metric"), "n"))
-    wide = stats.ingestion_stats(new_nodes.select("id").distinct(), links, nodes).select("nodes_created", "nodes_merged", "edges")
-    lost = store.deletion_counts(nodes, edges, gone).select(F.col("files").alias("files_removed"), F.col("related").alias("nodes_removed"))
-    for df in (wide, lost):
-        counted += [df.select(F.lit(c.replace("_", " ")).alias("metric"), F.col(c).alias("n")) for c in df.columns]
+    merged = touched.join(gone, "id", "left_anti").count() if touched is not None else 0
+    n = {"nodes created": new_nodes.count() - merged, "nodes merged": merged, "edges": links.count()}
+    n |= {"files removed": gone.filter("label = 'File'").count() if gone is not None else 0, "nodes removed": gone.filter("label <> 'File'").count() if gone is not None else 0}
+    counted.append(nodes.sparkSession.createDataFrame(list(n.items()), "metric string, n bigint"))
     summary = counted[0]
     for c in counted[1:]:
         summary = summary.unionByName(c)

@@ -14,7 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphquarry.plans.storage import materialise
+from graphquarry.plans.storage import discard, materialise
+from graphquarry.schema import EDGE, packed, unpacked
+from graphquarry.sources.store import merge_edges
 
 #: Share of the references from which a key is looked up by broadcast; there are fewer than its inverse.
 HOT_SHARE = 0.002
@@ -44,27 +46,42 @@ def _in_csharp(path: Column) -> Column:
     return F.lower(path).endswith(".cs")
 
 
-def owners(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, owner, owner_name, owner_full) of the methods whose type is known."""
-    types = nodes.filter(F.col("label").isin("Class", "Interface")).select(F.col("id").alias("owner"), F.col("name").alias("owner_name"), F.col("full_name").alias("owner_full"))
-    return edges.filter("type = 'DEFINES'").select(F.col("src").alias("owner"), F.col("dst").alias("id")).join(types, "owner").dropDuplicates(["id"])
+#: Types of the edges that are derived.
+_TYPES = ("EXTENDS", "IMPLEMENTS", "CALLS", "INSTANTIATES")
 
 
-def symbol_table(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(scope, name) with the least id of a function or method, of a class and of an interface that is visible there by that name."""
-    found = nodes.filter(F.col("label").isin("Class", "Interface", "Function", "Method")).select("id", "label", "name", "full_name", "path")
-    found = found.join(owners(nodes, edges), "id", "left").filter("label <> 'Method' or owner is not null")
+def owners(nodes: DataFrame, edges: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, owner, owner_name, owner_full), ids packed, of those of the ``wanted`` (id, packed) that are methods whose type is known."""
+    types = nodes.filter(F.col("label").isin("Class", "Interface")).select(packed("id").alias("owner"), F.col("name").alias("owner_name"), F.col("full_name").alias("owner_full"))
+    held = edges.filter("type = 'DEFINES'").select(packed("src").alias("owner"), packed("dst").alias("id")).join(wanted, "id", "left_semi")
+    return held.dropDuplicates(["id"]).join(types, "owner")
+
+
+def _spot(scope: Column, name: Column) -> Column:
+    """A scope and a name in it, as a digest of 16 bytes."""
+    return F.unhex(F.md5(F.encode(F.concat(scope, F.lit("\n"), name), "UTF-8")))
+
+
+def named(nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """(id, packed, label, name, full_name, path) of the symbols whose last name is among ``asked`` (key)."""
+    found = nodes.filter(F.col("label").isin("Class", "Interface", "Function", "Method")).select(packed("id").alias("id"), "label", "name", "full_name", "path", _last(F.col("name")).alias("key"))
+    return found.join(asked, "key", "left_semi").drop("key")
+
+
+def symbol_table(found: DataFrame, held: DataFrame) -> DataFrame:
+    """(spot) of a scope and a name with the least id of a function or method, of a class and of an interface that is visible there by that name, of what was ``named``."""
+    found = found.join(held, "id", "left").filter("label <> 'Method' or owner is not null")
     space = _before(_plain(F.coalesce("owner_full", "full_name")))
     name = F.when(F.col("owner").isNotNull(), F.concat_ws(".", "owner_name", "name")).otherwise(F.col("name"))
     entry = lambda scope, name: F.struct(scope.alias("scope"), name.alias("name"))
     entries = F.array(
         entry(F.concat(F.lit("file:"), "path"), name),
-        F.when(F.col("owner").isNotNull(), entry(F.concat(F.lit("type:"), "owner"), F.col("name"))),
+        F.when(F.col("owner").isNotNull(), entry(F.concat(F.lit("type:"), F.hex("owner")), F.col("name"))),
         F.when(_in_csharp(F.col("path")), entry(F.concat(F.lit("space:"), space), name)),
     )
-    rows = found.select("id", "label", F.explode(F.array_compact(entries)).alias("e")).select("id", "label", "e.*")
+    rows = found.select("id", "label", F.explode(F.array_compact(entries)).alias("e")).select("id", "label", _spot(F.col("e.scope"), F.col("e.name")).alias("spot"))
     of = lambda *labels: F.min(F.when(F.col("label").isin(*labels), F.col("id")))
-    return rows.groupBy("scope", "name").agg(of("Function", "Method").alias("code"), of("Class").alias("class"), of("Interface").alias("interface"))
+    return rows.filter("spot is not null").groupBy("spot").agg(of("Function", "Method").alias("code"), of("Class").alias("class"), of("Interface").alias("interface"))
 
 
 def references(nodes: DataFrame) -> DataFrame:
@@ -74,8 +91,8 @@ def references(nodes: DataFrame) -> DataFrame:
     bases = F.concat(base("base_classes"), base("interfaces"), base("base_interfaces"))
     uses = F.concat(said("calls", "call"), said("creates", "new"))
     every = F.when(F.col("label").isin("Class", "Interface"), bases).when(F.col("label").isin("Function", "Method"), uses)
-    rows = nodes.select(F.col("id").alias("src"), "path", "label", "full_name", F.explode(every).alias("r")).select("src", "path", "label", "full_name", "r.*")
-    return rows.filter("name <> '' and name not like '?%'").distinct()
+    rows = nodes.select(F.col("id").alias("src"), "path", "label", "full_name", F.explode(F.array_distinct(every)).alias("r")).select("src", "path", "label", "full_name", "r.*")
+    return rows.filter("name <> '' and name not like '?%'")
 
 
 def _normal(path: Column) -> Column:
@@ -120,9 +137,9 @@ def imported_files(nodes: DataFrame) -> DataFrame:
     return met.select("path", listed.alias("listed"), star.alias("star"), known.alias("alias"), "target").distinct()
 
 
-def candidates(refs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(src, kind, name, rank, near, scope, key): where each reference may be found, and by which name."""
-    refs = refs.join(owners(nodes, edges).select(F.col("id").alias("src"), "owner", "owner_full"), "src", "left")
+def candidates(refs: DataFrame, nodes: DataFrame, held: DataFrame) -> DataFrame:
+    """(ref, label, kind, rank, near, spot): where each reference may be found, and by which name."""
+    refs = refs.withColumn("src", packed("src")).join(held.select(F.col("id").alias("src"), "owner", "owner_full"), "src", "left").drop("src")
     cs = _in_csharp(F.col("path"))
     before, last = _before(F.col("name")), _last(F.col("name"))
     own = F.col("owner").isNotNull() & (F.col("kind") == "call") & (before.isin(*_OWN) | (cs & (before == "")))
@@ -138,50 +155,69 @@ def candidates(refs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame
     spaced = lambda outer: F.concat(F.lit("space:"), F.concat_ws(".", F.nullif(outer, F.lit("")), F.nullif(written, F.lit(""))))
     none = F.array().cast("array<struct<rank: int, near: int, scope: string, key: string>>")
     spots = F.concat(
-        F.when(own, F.array(spot(MEMBER, zero, F.concat(F.lit("type:"), "owner"), last))).otherwise(none),
+        F.when(own, F.array(spot(MEMBER, zero, F.concat(F.lit("type:"), F.hex("owner")), last))).otherwise(none),
         F.when(~before.isin(*_OWN), F.array(spot(FILE, zero, F.concat(F.lit("file:"), "path"), short))).otherwise(none),
         F.when(cs & ~before.isin(*_OWN), F.transform(around, lambda outer, n: spot(AROUND, n, spaced(outer), short))).otherwise(none),
     )
-    direct = refs.select("src", "kind", "name", F.explode(spots).alias("s")).select("src", "kind", "name", "s.*")
+    own_columns = ["ref", "label", "kind"]
+    direct = refs.select(*own_columns, F.explode(spots).alias("s")).select(*own_columns, "s.*")
 
     used = nodes.filter((F.col("label") == "Import") & _in_csharp(F.col("path")) & F.col("alias").isNull()).select("path", F.col("module").alias("_outer")).distinct()
-    by_using = refs.filter(cs & ~before.isin(*_OWN)).join(used, "path").select("src", "kind", "name", F.lit(USED).alias("rank"), zero.alias("near"), spaced(F.col("_outer")).alias("scope"), short.alias("key"))
+    by_using = refs.filter(cs & ~before.isin(*_OWN)).join(used, "path").select(*own_columns, F.lit(USED).alias("rank"), zero.alias("near"), spaced(F.col("_outer")).alias("scope"), short.alias("key"))
 
-    found = imported_files(nodes)
+    found = materialise(imported_files(nodes), "imported_files")
     first = F.regexp_extract("name", r"^[^.]*", 0)
-    asked = refs.filter(~cs & ~before.isin(*_OWN)).select("path", "src", "kind", "name", first.alias("_first"), short.alias("key"), before.alias("_before"), last.alias("_last"))
-    shape = lambda df, near, key: df.select("src", "kind", "name", F.lit(IMPORTED).alias("rank"), F.lit(near).alias("near"), F.concat(F.lit("file:"), "target").alias("scope"), F.col(key).alias("key"))
+    asked = refs.filter(~cs & ~before.isin(*_OWN)).select("path", *own_columns, first.alias("_first"), short.alias("key"), before.alias("_before"), last.alias("_last"))
+    shape = lambda df, near, key: df.select(*own_columns, F.lit(IMPORTED).alias("rank"), F.lit(near).alias("near"), F.concat(F.lit("file:"), "target").alias("scope"), F.col(key).alias("key"))
     listed = asked.join(found.select("path", F.explode("listed").alias("_first"), "target"), ["path", "_first"])
     module = asked.join(found.filter("alias is not null").select("path", F.col("alias").alias("_before"), "target"), ["path", "_before"])
     anything = asked.join(found.filter("star").select("path", "target"), "path")
     out = direct.unionByName(by_using).unionByName(shape(listed, 0, "key")).unionByName(shape(module, 1, "_last"))
     # of what is imported whole, a name behind a qualifier may be a member of the module
-    return out.unionByName(shape(anything, 2, "key")).unionByName(shape(anything.filter("_before <> ''"), 3, "_last"))
+    out = out.unionByName(shape(anything, 2, "key")).unionByName(shape(anything.filter("_before <> ''"), 3, "_last"))
+    return out.select(*own_columns, "rank", "near", _spot(F.col("scope"), F.col("key")).alias("spot"))
 
 
 def _looked_up(asked: DataFrame, table: DataFrame) -> DataFrame:
-    """Rows (.., scope, key) with the table's row, if there is one."""
-    named = table.withColumnRenamed("name", "key")
-    known = materialise(asked.join(named.select("scope", "key").hint("merge"), ["scope", "key"], "left_semi").groupBy("scope", "key").agg(F.count(F.lit(1)).alias("n")), "symbol_uses")
+    """Rows (.., spot) with the table's row, if there is one."""
+    known = materialise(asked.groupBy("spot").agg(F.count(F.lit(1)).alias("n")).join(table.select("spot").hint("merge"), "spot", "left_semi"), "symbol_uses")
     total = known.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(known.filter(F.col("n") > total * HOT_SHARE).select("scope", "key"))
-    few = named.join(hot, ["scope", "key"], "left_semi")
-    often = asked.join(F.broadcast(few), ["scope", "key"])
-    return often.unionByName(asked.join(hot, ["scope", "key"], "left_anti").join(named.hint("merge"), ["scope", "key"]).select(*often.columns))
+    hot = F.broadcast(known.filter(F.col("n") > total * HOT_SHARE).select("spot"))
+    often = asked.join(F.broadcast(table.join(hot, "spot", "left_semi")), "spot")
+    return often.unionByName(asked.join(hot, "spot", "left_anti").join(table.hint("merge"), "spot").select(*often.columns))
 
 
 def derived_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """EXTENDS, IMPLEMENTS, CALLS and INSTANTIATES edges (src, dst, type, properties) of all references that can be resolved."""
-    refs = materialise(references(nodes), "references")
-    table = materialise(symbol_table(nodes, edges), "symbols")
-    met = _looked_up(candidates(refs, nodes, edges), table).join(refs.select("src", "label").distinct(), "src")
+    """EXTENDS, IMPLEMENTS, CALLS and INSTANTIATES edges (src, dst, type, properties) of all references that can be resolved.
+
+    Of the symbols only those take part whose last name some reference has. References go by numbers, scopes with names by digests.
+    """
+    refs = materialise(references(nodes).withColumn("ref", F.monotonically_increasing_id()), "references")
+    keys = materialise(refs.select(_last(F.col("name")).alias("key")).distinct(), "asked_names")
+    found = materialise(named(nodes, keys), "named")
+    if not found.limit(1).count():
+        discard(refs, keys, found)
+        return edges.sparkSession.createDataFrame([], EDGE)
+    wanted = found.select("id").unionByName(refs.select(packed("src").alias("id"))).distinct()
+    held = materialise(owners(nodes, edges, wanted), "owners")
+    table = materialise(symbol_table(found, held), "symbols")
+    asked = materialise(candidates(refs, nodes, held), "candidates")
+    met = _looked_up(asked, table)
     target = F.when(F.col("kind") == "new", F.col("class")).when(F.col("kind") == "call", F.coalesce("code", "class")).when(F.col("label") == "Class", F.coalesce("class", "interface")).otherwise(F.col("interface"))
     kind = F.when(F.col("kind") == "new", "INSTANTIATES").when(F.col("kind") == "call", F.when(F.col("code").isNotNull(), "CALLS").otherwise("INSTANTIATES"))
     kind = F.coalesce(kind, F.when((F.col("label") == "Class") & F.col("class").isNull(), "IMPLEMENTS").otherwise("EXTENDS"))
-    rows = met.withColumn("dst", target).withColumn("type", kind).filter("dst is not null and dst <> src or dst = src and type = 'CALLS'")
-    nearest = rows.groupBy("src", "kind", "name").agg(F.min(F.struct("rank", "near", "dst", "type")).alias("b"))
+    rows = met.select("ref", "rank", "near", target.alias("dst"), kind.alias("type")).filter("dst is not null").join(refs.select("ref", packed("src").alias("src")), "ref")
+    nearest = rows.filter("dst <> src or type = 'CALLS'").groupBy("ref", "src").agg(F.min(F.struct("rank", "near", "dst", "type")).alias("b"))
     made = nearest.select("src", "b.dst", "b.type").distinct()
-    return made.withColumn("properties", F.create_map(*[F.lit(x) for kv in DERIVED.items() for x in kv]))
+    return made.select(unpacked("src").alias("src"), unpacked("dst").alias("dst"), "type", F.create_map(*[F.lit(x) for kv in DERIVED.items() for x in kv]).alias("properties"))
+
+
+def with_derived(edges: DataFrame, derived: DataFrame) -> DataFrame:
+    """Edges that each are there once, merged with derived ones; those of other types stay where they are."""
+    same = F.coalesce(F.col("type").isin(*_TYPES), F.lit(False))
+    slim = lambda df: df.select(packed("src").alias("src"), packed("dst").alias("dst"), "type", "properties")
+    both = materialise(merge_edges(slim(edges.filter(same)), slim(derived)), "edges_derived")
+    return edges.filter(~same).select("src", "dst", "type", "properties").unionByName(both.select(unpacked("src").alias("src"), unpacked("dst").alias("dst"), "type", "properties"))
 
 
 def without_derived(edges: DataFrame) -> DataFrame:

@@ -83,6 +83,7 @@ def materialise(df: DataFrame, name: str, *partition_by: str, **options: str | i
 def discard(*tables: DataFrame | None) -> None:
     """Removes what ``materialise`` wrote, where nothing will read it again; other DataFrames and None are passed over."""
     for t in tables:
+        discard(*getattr(t, "made_of", ()))
         path = getattr(t, "written_to", None)
         if path:
             remove(t.sparkSession, path)

@@ -45,6 +45,18 @@ def node_id(label: str, path: str, full_name: str, ordinal: int) -> str:
     return hashlib.sha256("|".join((label, path, full_name, str(ordinal))).encode()).hexdigest()
 
 
+def packed(id_: str | Column) -> Column:
+    """An id as bytes, half as many where it is a hash; what isn't one gets a head by which no two ids are alike. Such ids sort before hashes."""
+    c = F.col(id_) if isinstance(id_, str) else id_
+    return F.when(c.rlike("^[0-9a-f]{64}$"), F.unhex(c)).otherwise(F.concat(F.lit(bytes(33)), F.encode(c, "UTF-8")))
+
+
+def unpacked(key: str | Column) -> Column:
+    """The id that ``packed`` made bytes of."""
+    c = F.col(key) if isinstance(key, str) else key
+    return F.when(F.octet_length(c) == 32, F.lower(F.hex(c))).otherwise(F.decode(F.substring(c, F.lit(34), F.octet_length(c)), "UTF-8"))
+
+
 def known_label(label: Column) -> Column:
     return F.when(label.isin(*LABELS), label).otherwise(UNKNOWN_LABEL)
 

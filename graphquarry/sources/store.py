@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphquarry.operators.graph import component_of, resolved_edges
-from graphquarry.schema import EDGE, INTERCHANGE, NODE_FIELDS, STORED
+from graphquarry.schema import EDGE, INTERCHANGE, NODE_FIELDS, STORED, packed, unpacked
 
 
 def latest(*batches: DataFrame) -> DataFrame:
@@ -27,7 +27,16 @@ def upsert_nodes(stored: DataFrame, *incoming: DataFrame) -> DataFrame:
 
     Ids that repeat among the new rows are one node; the last batch's values win.
     """
-    new = latest(*incoming)
+    return merged_nodes(stored, latest(*incoming))
+
+
+def with_columns_of(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """New rows in the columns of the stored ones, null where they have none."""
+    return new.select(*[F.col(c) if c in new.columns else F.lit(None).cast(stored.schema[c].dataType).alias(c) for c in stored.columns])
+
+
+def merged_nodes(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """``upsert_nodes`` of new rows that are one an id."""
     names = [c for c in stored.columns if c != "id"]
     known = [c for c in names if c in new.columns]
     joined = stored.join(new.select("id", *[F.col(c).alias(f"_{c}") for c in known]), "id", "full_outer")
@@ -51,6 +60,13 @@ def create_edges(nodes: DataFrame, stored: DataFrame, incoming: DataFrame) -> Da
     return merge_edges(stored, resolved_edges(nodes, incoming))
 
 
+def without_ends(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """Edges that neither start from ``sources`` (id) nor lead to ``targets`` (id)."""
+    slim = edges.select(packed("src").alias("src"), packed("dst").alias("dst"), "type", "properties")
+    left = slim.join(sources.select(packed("id").alias("src")), "src", "left_anti").join(targets.select(packed("id").alias("dst")), "dst", "left_anti")
+    return left.select(unpacked("src").alias("src"), unpacked("dst").alias("dst"), "type", "properties")
+
+
 def owned_by(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     """The nodes that files at ``paths`` (path) own, the files included."""
     return nodes.join(paths.select("path").distinct(), "path", "left_semi").select(*nodes.columns)
