@@ -48,13 +48,14 @@ def is_closed(nodes: list[dict], edges: list[dict]) -> bool:
 
 
 def _row_type() -> StructType:
-    return StructType.fromDDL(f"path string, error string, closed boolean, nodes array<struct<{_struct(NODE)}>>, edges array<struct<{_struct(EDGE)}>>")
+    return StructType.fromDDL(f"path string, error string, closed boolean, nodes array<struct<{_struct(NODE)}>>, edges array<struct<{_struct(EDGE)}, src_at: int, dst_at: int>>")
 
 
 def extract(files: DataFrame) -> DataFrame:
     """path, error, closed, nodes and edges (arrays of rows) of files (path, content, checksum, language[, module_system]).
 
-    A file is closed if its nodes and edges are each there once and the edges' ends are all among the nodes.
+    A file is closed if its nodes and edges are each there once and the edges' ends are all among the nodes; its edges
+    then have the places of their ends there, from 1, in place of ids (``extracted_edges`` gives those).
 
     A file that can't be parsed gets an error and nothing else; it stops no other file.
     """
@@ -71,7 +72,10 @@ def extract(files: DataFrame) -> DataFrame:
             for n in nodes:
                 if n.get("properties"):
                     n["properties"] = list(n["properties"].items())
-            return {"path": path, "closed": is_closed(nodes, edges), "nodes": nodes, "edges": edges}
+            if closed := is_closed(nodes, edges):
+                at = {n["id"]: k for k, n in enumerate(nodes, 1)}
+                edges = [e | {"src": None, "dst": None, "src_at": at[e["src"]], "dst_at": at[e["dst"]]} for e in edges]
+            return {"path": path, "closed": closed, "nodes": nodes, "edges": edges}
         except Exception as e:  # any failure is the file's own
             return {"path": path, "error": f"{type(e).__name__}: {e}"}
 
@@ -89,7 +93,9 @@ def extracted_nodes(extracted: DataFrame) -> DataFrame:
 
 
 def extracted_edges(extracted: DataFrame) -> DataFrame:
-    return extracted.filter("error is null").select(F.explode("edges").alias("e")).select("e.*")
+    end = lambda e, c: F.coalesce(e[c], F.element_at("nodes", e[f"{c}_at"])["id"]).alias(c)
+    named = F.transform("edges", lambda e: F.struct(end(e, "src"), end(e, "dst"), e["type"].alias("type"), e["properties"].alias("properties")))
+    return extracted.filter("error is null").select(F.explode(named).alias("e")).select("e.*")
 
 
 def failures(extracted: DataFrame) -> DataFrame:

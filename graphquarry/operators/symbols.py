@@ -216,7 +216,9 @@ def with_derived(edges: DataFrame, derived: DataFrame) -> DataFrame:
     """Edges that each are there once, merged with derived ones; those of other types stay where they are."""
     same = F.coalesce(F.col("type").isin(*_TYPES), F.lit(False))
     slim = lambda df: df.select(packed("src").alias("src"), packed("dst").alias("dst"), "type", "properties")
-    both = materialise(merge_edges(slim(edges.filter(same)), slim(derived)), "edges_derived")
+    fresh = materialise(slim(derived), "derived")
+    held = slim(edges.filter(same))
+    both = materialise(merge_edges(held, fresh), "edges_derived") if held.limit(1).count() else fresh
     return edges.filter(~same).select("src", "dst", "type", "properties").unionByName(both.select(unpacked("src").alias("src"), unpacked("dst").alias("dst"), "type", "properties"))
 
 

@@ -65,3 +65,10 @@ def test_edges_without_ends(spark):
     edges = spark.createDataFrame([("a", "b", "CALLS", None), ("b", "c", "CALLS", {"k": "v"}), ("c", "d", "CALLS", None)], EDGE)
     one = lambda x: spark.createDataFrame([(x,)], "id string")
     assert store.without_ends(edges, one("a"), one("d")).collect() == edges.filter("src = 'b'").collect()
+
+
+def test_closed_files_store_places_of_ends(spark):
+    out = extract.extract(files(spark, range(3)))
+    assert out.select(F.explode("edges.src").alias("src"), "edges.src_at").filter("src is not null").count() == 0
+    ids, edges = {r["id"] for r in extract.extracted_nodes(out).collect()}, extract.extracted_edges(out).collect()
+    assert len(edges) == 12 and {r["src"] for r in edges} | {r["dst"] for r in edges} == ids
