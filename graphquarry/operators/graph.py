@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphquarry.operators.components import connected_components
 from graphquarry.plans.joins import Split, split
 from graphquarry.plans.storage import materialise
+from graphquarry.schema import packed, unpacked
 
 # Fixed values: (label, edge type, label at the other end or None, direction), in the order in which they apply.
 RULES = (
@@ -157,14 +158,20 @@ def reach(roots: DataFrame, edges: DataFrame, types: tuple[str, ...], direction:
     nor plan grows with the depth, and is compared with what was reached before. The edges of a node that has a large share of
     them are dealt over several tasks, to which what has reached it goes.
     """
-    e = edges.filter(F.col("type").isin(*types))
-    e = e.select("src", "dst") if direction == "OUT" else e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    e = split(materialise(e.distinct(), "reach_edges"), "src", F.xxhash64("dst"))
-    seen = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")).distinct()
+    return _reach(roots, edges, types, direction, max_depth).withColumns({c: unpacked(c) for c in ("root", "id")})
+
+
+def _reach(roots: DataFrame, edges: DataFrame, types: tuple[str, ...], direction: str, max_depth: int) -> DataFrame:
+    """``reach`` with packed ids. Levels grow with the graph, so they are merged with it and not sent through the driver."""
+    e = edges.filter(F.col("type").isin(*types)).select(packed("src").alias("src"), packed("dst").alias("dst"))
+    e = e if direction == "OUT" else e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    e = split(materialise(e, "reach_edges"), "src", F.xxhash64("dst"))
+    start = roots.select(packed("id").alias("id")).distinct()
+    seen = start.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"))
     frontier = seen
     for depth in range(1, max_depth + 1):
-        step = e.join(frontier.select("root", "id"), "id").select("root", F.col("dst").alias("id")).distinct()
-        frontier = materialise(step.join(seen, ["root", "id"], "left_anti").withColumn("depth", F.lit(depth)), "reach")
+        step = e.join(frontier.select("root", "id"), "id", "merge").select("root", F.col("dst").alias("id")).distinct()
+        frontier = materialise(step.join(seen.hint("merge"), ["root", "id"], "left_anti").withColumn("depth", F.lit(depth)), "reach")
         if not frontier.limit(1).count():
             break
         seen = seen.unionByName(frontier)
@@ -173,12 +180,12 @@ def reach(roots: DataFrame, edges: DataFrame, types: tuple[str, ...], direction:
 
 def hierarchy(roots: DataFrame, nodes: DataFrame, edges: DataFrame, types: tuple[str, ...], direction: str, max_depth: int, limit: int | None = None) -> DataFrame:
     """``reach`` with labels and names, the first ``limit`` of each root by name."""
-    ends = nodes.select("id", "label", "name", "full_name")
-    found = reach(roots, edges, types, direction, max_depth).join(ends, "id").withColumn("direction", F.lit(direction))
+    ends = nodes.select(packed("id").alias("id"), "label", "name", "full_name").hint("merge")
+    found = _reach(roots, edges, types, direction, max_depth).join(ends, "id").withColumn("direction", F.lit(direction))
     if limit:
         order = Window.partitionBy("root").orderBy(F.asc_nulls_last("name"), "id")
         found = found.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit).drop("_n")
-    return found.select("root", "direction", "id", "label", "name", "full_name", "depth")
+    return found.select(unpacked("root").alias("root"), "direction", unpacked("id").alias("id"), "label", "name", "full_name", "depth")
 
 
 def call_hierarchy(roots: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int = 3, direction: str = "BOTH", limit: int | None = 20) -> DataFrame:

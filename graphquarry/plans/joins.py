@@ -21,11 +21,11 @@ class Split:
     key: str
     hubs: DataFrame
 
-    def join(self, left: DataFrame, on: str) -> DataFrame:
-        """Each row of ``left`` with the rows whose key is its column ``on``; rows at a hub go to each of its parts."""
+    def join(self, left: DataFrame, on: str, how: str | None = None) -> DataFrame:
+        """Each row of ``left`` with the rows whose key is its column ``on``; rows at a hub go to each of its parts. ``how`` is a hint for the join."""
         named = F.broadcast(self.hubs.withColumnRenamed(self.key, on))
         sent = left.join(named, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
-        return sent.join(self.rows, (F.col(on) == F.col(self.key)) & (F.col("_part") == F.col("_own"))).drop("_part", "_own")
+        return (sent.hint(how) if how else sent).join(self.rows, (F.col(on) == F.col(self.key)) & (F.col("_part") == F.col("_own"))).drop("_part", "_own")
 
 
 def split(rows: DataFrame, key: str, spread: Column, share: float | None = None, least: int | None = None) -> Split:
