@@ -18,6 +18,8 @@ from graphquarry.plans.joins import split
 from graphquarry.plans.storage import exists, materialise
 
 BUCKETS = 64
+#: Parts of a bucket at least, and nodes for each part that are written together.
+LEAST_PARTS, PART_NODES = 4, 25_000
 
 
 @dataclass(frozen=True)
@@ -42,8 +44,10 @@ def build(nodes: DataFrame, path: str) -> NameIndex:
         raise ValueError(f"{path} is taken")
     every = F.array_distinct(F.concat(*[grams(F.coalesce(c, F.lit("")), GRAM) for c in ("name", "full_name")]))
     postings = nodes.select("id", F.explode(every).alias("gram")).select("gram", "id", _bucket("gram").alias("bucket"))
-    # a bucket by several tasks, each sorted, so that a gram's rows stand together in each file
-    dealt = postings.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("bucket", "gram")
+    # a bucket by several tasks, the more the more nodes there are, each sorted, so that a gram's rows stand together in each file
+    parts = max(LEAST_PARTS, -(-nodes.count() // PART_NODES))
+    by = ["bucket", F.pmod(F.xxhash64("id"), F.lit(parts))]
+    dealt = (postings.repartition(*by) if parts == LEAST_PARTS else postings.repartition(BUCKETS * parts // 2, *by)).sortWithinPartitions("bucket", "gram")
     dealt.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
     written = spark.read.schema("gram string, id string, bucket int").parquet(f"{path}/postings")
     written.groupBy("gram", "bucket").agg(F.count(F.lit(1)).alias("n")).select("gram", "n", "bucket").repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/counts")
@@ -60,12 +64,15 @@ def rarest(index: NameIndex, names: DataFrame) -> DataFrame:
 
 def indexed_lookup(index: NameIndex, names: DataFrame, nodes: DataFrame, limit: int = 10) -> DataFrame:
     """What ``search.lookup`` finds among the indexed nodes, for rows of ``names`` (lookup_id, entity)."""
-    asked = materialise(rarest(index, names), "lookups")
+    # lookups that ask for the same are one: pairs then grow with the nodes and not with nodes times lookups
+    texts = materialise(names.filter("entity is not null").select("entity").distinct().withColumn("lookup_id", F.col("entity")), "entities")
+    asked = materialise(rarest(index, texts), "lookups")
     buckets = [r[0] for r in asked.select(_bucket("gram")).distinct().collect()]
     wanted = index.read("postings", buckets).join(asked.select("gram").distinct(), "gram", "left_semi")
     # a gram that many names have is dealt over several tasks
     met = split(materialise(wanted, "postings"), "gram", F.xxhash64("id")).join(asked.withColumnRenamed("gram", "_asked"), "_asked").select("lookup_id", "entity", "id")
     known = nodes.select("id", "label", "name", "full_name")
     long = best_by_name(met.join(known, "id"), limit)
-    short = lookup(names.filter(F.length("entity") < GRAM), nodes, limit)
-    return long.unionByName(short)
+    short = lookup(texts.filter(F.length("entity") < GRAM), nodes, limit)
+    best = materialise(long.unionByName(short).drop("lookup_id"), "found")
+    return names.select("lookup_id", "entity").join(best, "entity").select("lookup_id", "entity", *[c for c in best.columns if c != "entity"])

@@ -1,10 +1,14 @@
 """What a run exchanges and writes: no more than what changed needs."""
 
+import tracemalloc
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from graphquarry import extract
 from graphquarry import index as indexing
+from graphquarry.operators import name_index, vector
 from graphquarry.plans import storage
 from graphquarry.schema import EDGE, packed, unpacked
 from graphquarry.sources import store
@@ -72,3 +76,28 @@ def test_closed_files_store_places_of_ends(spark):
     assert out.select(F.explode("edges.src").alias("src"), "edges.src_at").filter("src is not null").count() == 0
     ids, edges = {r["id"] for r in extract.extracted_nodes(out).collect()}, extract.extracted_edges(out).collect()
     assert len(edges) == 12 and {r["src"] for r in edges} | {r["dst"] for r in edges} == ids
+
+
+def test_lookups_of_one_name_are_one(spark, tmp_path):
+    nodes = spark.createDataFrame([(f"n{k}", "Class", "red ring", f"pkg::red ring::{k}") for k in range(30)], "id string, label string, name string, full_name string")
+    index = name_index.build(nodes, f"file://{tmp_path}/names")
+    asked = spark.createDataFrame([(k, ("red ring", "re", None)[k % 3]) for k in range(90)], "lookup_id long, entity string")
+    found, tables = written(spark, lambda: name_index.indexed_lookup(index, asked, nodes, 5))
+    assert tables["lookups"] == 1 and tables["found"] == 10
+    rows = found.collect()
+    assert len(rows) == 60 * 5 and {r["place"] for r in rows} == {1, 2, 3, 4, 5} and {r["lookup_id"] % 3 for r in rows} == {0, 1}
+    many = name_index.build(nodes, f"file://{tmp_path}/many")
+    assert sorted(name_index.indexed_lookup(many, asked, nodes, 5).collect()) == sorted(rows)
+
+
+def test_scores_are_held_in_small_blocks():
+    g = np.random.default_rng(1)
+    asked, rows = (vector.unit(g.normal(size=(n, 8))) for n in (4000, 1000))
+    best = vector.Best(len(asked), 1)
+    tracemalloc.start()
+    best.add(asked, rows, np.array([f"n{k:04}" for k in range(len(rows))], object), np.arange(len(asked)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12e6  # 32 MB of scores in all
+    want = np.round((1 + asked @ rows.T) / 2, 12).argmax(axis=1)
+    assert [x[0] for x in best.ids] == [f"n{k:04}" for k in want]
