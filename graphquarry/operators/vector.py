@@ -15,6 +15,8 @@ from graphquarry.schema import INDEXED
 MIN_SIMILARITY, MAX_RESULTS, EXACT_BOOST = 0.6, 20, 1.2
 #: Bytes of query vectors that are sent to the tasks in a pass.
 QUERY_BYTES = 8 << 20
+#: Scores that a task holds at once: with more, memory would follow the number of queries until a pass is full.
+SCORES = 1 << 17
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -108,12 +110,15 @@ class Best:
 
     def add(self, asked: np.ndarray, rows: np.ndarray, ids: np.ndarray, which: np.ndarray) -> None:
         """Rows of length 1, in the order of their ids, met by the queries ``which``."""
-        step = max(1, (2 << 20) // max(1, len(rows)))
+        step = max(1, SCORES // max(1, len(rows)))
         for first in range(0, len(which), step):
             some = which[first : first + step]
             # rounded, so that equal vectors tie wherever they stand
-            score = np.round((1 + asked[some] @ rows.T) / 2, 12)
-            for q, own in zip(some[(score.max(axis=1) >= self.least[some])].tolist(), score[score.max(axis=1) >= self.least[some]], strict=True):
+            score = asked[some] @ rows.T
+            score += 1
+            score /= 2
+            np.round(score, 12, out=score)
+            for q, own in ((some[n], score[n]) for n in np.nonzero(score.max(axis=1) >= self.least[some])[0].tolist()):
                 at = np.nonzero(own >= self.least[q])[0]
                 if len(at) > self.k:  # what is above the k-th, and of its equals the first
                     edge = np.partition(own[at], -self.k)[-self.k]
