@@ -164,7 +164,8 @@ def hybrid_search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, config
 
 def hierarchical_context(hits: DataFrame, nodes: DataFrame, edges: DataFrame, call_depth: int = 2) -> DataFrame:
     """For each hit (id) the sizes of its hierarchy: of calls for methods and functions, of inheritance for classes and interfaces."""
-    labelled = hits.select("id").distinct().join(nodes.select("id", "label"), "id")
+    nodes = materialise(nodes.select("id", "label", "name", "full_name"), "hierarchy_nodes")  # five joins read them
+    labelled = hits.select("id").distinct().join(nodes.select("id", "label").hint("merge"), "id")
     calls = call_hierarchy(labelled.filter(F.col("label").isin("Method", "Function")), nodes, edges, call_depth)
     kin = inheritance_hierarchy(labelled.filter(F.col("label").isin("Class", "Interface")), nodes, edges)
     return hierarchy_counts(calls.unionByName(kin))
