@@ -52,14 +52,14 @@ def pending_level(nodes: DataFrame, label: str, limit: int | None = None) -> Dat
 
 def ready(candidates: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Those whose children of the blocking labels all have a summary."""
-    waiting = nodes.filter(F.col("label").isin(*BLOCKING) & blank("generated_summary")).select(F.col("id").alias("dst"))
+    waiting = nodes.filter(F.col("label").isin(*BLOCKING) & blank("generated_summary")).select(F.col("id").alias("dst")).hint("merge")
     blocked = edges.filter(F.col("type").isin(*CHILD_TYPES)).join(waiting, "dst", "left_semi").select(F.col("src").alias("id"))
-    return candidates.join(blocked, "id", "left_anti")
+    return candidates.join(blocked.hint("merge"), "id", "left_anti")
 
 
 def neighbour_summaries(nodes: DataFrame, edges: DataFrame, types: tuple[str, ...], most: int) -> DataFrame:
     """(id, summaries): "name: summary" of the first ``most`` neighbours by name that have one."""
-    ends = nodes.filter(~blank("generated_summary")).select(F.col("id").alias("dst"), "name", "generated_summary")
+    ends = nodes.filter(~blank("generated_summary")).select(F.col("id").alias("dst"), "name", "generated_summary").hint("merge")
     joined = edges.filter(F.col("type").isin(*types)).select("src", "dst").distinct().join(ends, "dst")
     order = Window.partitionBy("src").orderBy(F.asc_nulls_last("name"), "dst")
     few = joined.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most)
@@ -85,7 +85,7 @@ def prompts(candidates: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFr
     """``candidates`` with children, related and prompt."""
     children = neighbour_summaries(nodes, edges, CHILD_TYPES, MAX_CHILDREN).withColumnRenamed("summaries", "children")
     related = neighbour_summaries(nodes, edges, RELATED_TYPES, MAX_RELATED).withColumnRenamed("summaries", "related")
-    return candidates.join(children, "id", "left").join(related, "id", "left").withColumn("prompt", prompt())
+    return candidates.join(children.hint("merge"), "id", "left").join(related.hint("merge"), "id", "left").withColumn("prompt", prompt())
 
 
 def extractive_summary() -> Column:
@@ -186,8 +186,10 @@ def summarise_levels(nodes: DataFrame, edges: DataFrame, summarise: Callable[[],
 
     ``summarise`` makes a column from a node's columns, children, related and prompt; where
     it gives null the node gets a note that it failed, and is not tried again. A level writes its new summaries, and
-    ids, names and summaries once for the next level to read; the nodes themselves are joined once, at the end.
+    ids, names and summaries once for the next level to read; the nodes themselves are written once, whatever they are made of, and joined once, at the end. What is joined grows
+    with the graph, hence is merged at any size: broadcasts of each level's tables would add up at the driver.
     """
+    nodes = base = materialise(nodes, "summary_nodes")
     state = materialise(nodes.select("id", "label", "name", "generated_summary", "summary_status"), "summary_state")
     made: DataFrame | None = None
     for label in LEVELS:
@@ -195,7 +197,7 @@ def summarise_levels(nodes: DataFrame, edges: DataFrame, summarise: Callable[[],
         failed = F.concat(F.lit("Code "), F.lower("label"), F.lit(" - summary generation failed"))
         if answers:
             told = answers(label, work.select("id", F.col("prompt").alias("text")))
-            said = work.select("id", "label").join(told, "id").select("id", F.coalesce("value", failed).alias("_s"))
+            said = work.select("id", "label").join(told.hint("merge"), "id").select("id", F.coalesce("value", failed).alias("_s"))
         else:
             said = work.select("id", F.coalesce(summarise(), failed).alias("_s"))
         done = materialise(said.withColumn("_t", F.lit("COMPLETED")), f"summaries-{label.lower()}")
@@ -204,12 +206,14 @@ def summarise_levels(nodes: DataFrame, edges: DataFrame, summarise: Callable[[],
             former, state = state, materialise(_with_summaries(state, done), "summary_state")
             discard(former)
     discard(state)
-    return materialise(_with_summaries(nodes, made), "summaries")
+    out = materialise(_with_summaries(nodes, made), "summaries")
+    discard(base)
+    return out
 
 
 def _with_summaries(nodes: DataFrame, made: DataFrame) -> DataFrame:
     columns = {"generated_summary": F.coalesce("_s", "generated_summary"), "summary_status": F.coalesce("_t", "summary_status")}
-    return nodes.join(made, "id", "left").withColumns(columns).select(*nodes.columns)
+    return nodes.join(made.hint("merge"), "id", "left").withColumns(columns).select(*nodes.columns)
 
 
 def embed_pending(nodes: DataFrame, embed: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -228,5 +232,5 @@ def enrich(nodes: DataFrame, edges: DataFrame, summarise: Callable[[], Column] =
 
 def enrichment_totals(before: DataFrame, after: DataFrame) -> DataFrame:
     """(label, n): nodes that got a summary, by level and in all."""
-    new = after.filter(~blank("generated_summary")).select("id", "label").join(before.filter(~blank("generated_summary")).select("id"), "id", "left_anti")
+    new = after.filter(~blank("generated_summary")).select("id", "label").join(before.filter(~blank("generated_summary")).select("id").hint("merge"), "id", "left_anti")
     return new.rollup("label").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("label", F.lit("total")).alias("label"), "n")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graphquarry import extract
 from graphquarry import index as indexing
-from graphquarry.operators import name_index, vector
+from graphquarry.operators import enrich, name_index, vector
 from graphquarry.plans import storage
 from graphquarry.schema import EDGE, packed, unpacked
 from graphquarry.sources import store
@@ -101,3 +101,12 @@ def test_scores_are_held_in_small_blocks():
     assert peak < 12e6  # 32 MB of scores in all
     want = np.round((1 + asked @ rows.T) / 2, 12).argmax(axis=1)
     assert [x[0] for x in best.ids] == [f"n{k:04}" for k in want]
+
+
+def test_levels_read_written_nodes(spark):
+    rows = [(str(k), ("Method", "Class", "File")[k % 3], f"n{k}", f"p::n{k}", "code", None, None) for k in range(30)]
+    nodes = spark.createDataFrame(rows, "id string, label string, name string, full_name string, raw_code string, generated_summary string, summary_status string")
+    plan = enrich.prompts(nodes, nodes, spark.createDataFrame([("1", "0", "DEFINES", None)], EDGE))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+    done, tables = written(spark, lambda: enrich.summarise_levels(nodes, spark.createDataFrame([("1", "0", "DEFINES", None)], EDGE)))
+    assert done.filter("generated_summary is not null").count() == 30 and "summary_nodes" not in tables
