@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from graphquarry.llm.batches import batch_bytes
 from graphquarry.llm.words import Words, scramble
 from graphquarry.operators.components import connected_components
-from graphquarry.plans.storage import discard, materialise, setting
+from graphquarry.plans.storage import discard, gathered, materialise, setting
 
 WORDS, THRESHOLD = 5, 0.8
 #: At a similarity of 0.8 a pair shares a band with a probability of 0.99998.
@@ -56,6 +56,8 @@ GROUPS = 128
 HUBS, LARGE_ROUNDS = 8, 1
 #: Members of a bucket, or pairs of a hub, that stand under one salt.
 SALTED = 2048
+#: Pairs that a task verifies at least.
+TOGETHER_PAIRS = 2_000
 #: Share of all entries from which a bucket is joined by broadcast; there are fewer than its inverse.
 HOT_SHARE = 0.002
 _GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
@@ -240,51 +242,55 @@ def _every_salt(df: DataFrame) -> DataFrame:
 def _buckets(unique: DataFrame) -> DataFrame:
     """(bucket, salt, salts, node, n, hub, hub_n): the members of buckets that hold several nodes, and the smallest of them."""
     entries = unique.select("node", "n", F.explode("bands").alias("bucket"))
+    n = unique.agg(F.sum(F.size("bands"))).first()[0] or 0
     counted = entries.groupBy("bucket").agg(F.min("node").alias("hub"), F.min_by("n", "node").alias("hub_n"), F.count(F.lit(1)).alias("many")).filter("many > 1")
-    shared = materialise(counted, "bucket_sizes")
+    shared = materialise(gathered(counted, n), "bucket_sizes")
     total = shared.agg(F.sum("many")).first()[0] or 0
     hot = shared.filter(F.col("many") > total * HOT_SHARE)
     joined = entries.join(F.broadcast(hot), "bucket").unionByName(entries.join(F.broadcast(hot.select("bucket")), "bucket", "left_anti").join(shared.hint("merge"), "bucket"))
     joined = joined.withColumn("salts", salted(F.col("many"))).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
-    work = materialise(joined.select("bucket", "salt", "salts", "node", "n", "hub", "hub_n"), "buckets")
+    work = materialise(gathered(joined.select("bucket", "salt", "salts", "node", "n", "hub", "hub_n"), 2 * total), "buckets")
     discard(shared)
     return work
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, weighted: bool) -> DataFrame:
-    """Those pairs (hub, node) that are alike, as (src, dst). A hub of many pairs is sent to several salts."""
-    counts = pairs.groupBy("hub").agg(salted(F.count(F.lit(1))).alias("salts"))
-    left = _every_salt(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("a")).join(counts, "hub")).drop("salts")
+def _verified(pairs: DataFrame, many: int, sets: DataFrame, threshold: float, weighted: bool) -> DataFrame:
+    """Those of so many pairs (hub, node) that are alike, as (src, dst). A hub of many pairs is sent to several salts."""
+    counts = gathered(pairs.groupBy("hub").agg(salted(F.count(F.lit(1))).alias("salts")), many)
+    left = _every_salt(gathered(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("a")).join(counts, "hub"), many, TOGETHER_PAIRS)).drop("salts")
     right = sets.select("node", F.col("shingles").alias("b"))
-    dealt = pairs.join(counts, "hub").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).drop("salts")
-    both = dealt.join(right, "node").join(left, ["hub", "salt"])
-    return both.select("hub", "node", "a", "b").mapInArrow(verifier(threshold, weighted), "src bigint, dst bigint")
+    dealt = gathered(pairs.join(counts, "hub"), many).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).drop("salts")
+    both = gathered(dealt.join(right, "node"), many, TOGETHER_PAIRS).join(left, ["hub", "salt"])
+    return gathered(both, many, TOGETHER_PAIRS).select("hub", "node", "a", "b").mapInArrow(verifier(threshold, weighted), "src bigint, dst bigint")
 
 
 def _joined_classes(classes: DataFrame | None, links: DataFrame) -> DataFrame:
     """(id, component) after new links: only the classes that they touch are put together anew."""
+    n = links.count()
     if classes is None:
-        return materialise(connected_components(links), "classes")
+        return materialise(gathered(connected_components(links, most=n), 2 * n), "classes")
     of = lambda c: classes.select(F.col("id").alias(c), F.col("component").alias(f"{c}_class"))
-    ends = links.join(of("src"), "src", "left").join(of("dst"), "dst", "left").select(F.coalesce("src_class", "src").alias("src"), F.coalesce("dst_class", "dst").alias("dst"))
-    moved = materialise(connected_components(ends), "class_moves")
-    old = classes.join(moved.select(F.col("id").alias("component"), F.col("component").alias("_to")), "component", "left").select("id", F.coalesce("_to", "component").alias("component"))
-    out = materialise(old.unionByName(moved.join(classes.select("id"), "id", "left_anti").select("id", "component")), "classes")
+    known = classes.count()
+    ends = gathered(gathered(links.join(of("src"), "src", "left"), n).join(of("dst"), "dst", "left"), n).select(F.coalesce("src_class", "src").alias("src"), F.coalesce("dst_class", "dst").alias("dst"))
+    moved = materialise(gathered(connected_components(ends, most=n), 2 * n), "class_moves")
+    old = gathered(classes.join(moved.select(F.col("id").alias("component"), F.col("component").alias("_to")), "component", "left"), known).select("id", F.coalesce("_to", "component").alias("component"))
+    new = gathered(moved.join(classes.select("id"), "id", "left_anti"), 2 * n).select("id", "component")
+    out = materialise(old.unionByName(new), "classes")
     discard(moved, classes)
     return out
 
 
-def _hubs(rest: DataFrame, hubs: int, largest: bool) -> DataFrame:
-    """(bucket, salts, hub, hub_n, hub_class): the next hubs of each bucket; whatever a task passes on is reduced to ``hubs`` a bucket before."""
+def _hubs(rest: DataFrame, many: int, hubs: int, largest: bool) -> DataFrame:
+    """(bucket, salts, hub, hub_n, hub_class): the next hubs of each bucket of so many rows; whatever a task passes on is reduced to ``hubs`` a bucket before."""
     mixed = F.xxhash64("bucket", "node")
     slot = F.pmod(mixed, F.lit(hubs)).alias("slot")
     found = rest.groupBy("bucket", "class", slot).agg(F.min(F.struct(mixed.alias("m"), "node", "n")).alias("first"), F.count(F.lit(1)).alias("some"), F.first("salts").alias("salts"))
     size = F.sum("some").over(Window.partitionBy("bucket", "class"))
-    found = found.withColumn("size", size)
+    found = gathered(gathered(found, many).withColumn("size", size), many)
     order = [F.desc("size") if largest else F.asc("size"), "class", "slot"]
     place = F.row_number().over(Window.partitionBy("bucket").orderBy(*order))
     found = found.withColumn("place", place).filter(F.col("place") <= hubs)
-    return found.select("bucket", "salts", F.col("first.node").alias("hub"), F.col("first.n").alias("hub_n"), F.col("class").alias("hub_class"))
+    return gathered(found, many).select("bucket", "salts", F.col("first.node").alias("hub"), F.col("first.n").alias("hub_n"), F.col("class").alias("hub_class"))
 
 
 def _classes(docs: DataFrame, words: int, threshold: float, bands: int, rows: int, id_col: str, text_col: str, weighted: bool) -> DataFrame:
@@ -293,7 +299,7 @@ def _classes(docs: DataFrame, words: int, threshold: float, bands: int, rows: in
     usable = signed.filter("doc_id is not null and digest is not null")
     once = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.count(F.lit(1)).alias("many"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     # written, for the numbers must not change
-    unique = materialise(once.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    unique = materialise(gathered(once, signed.count()).withColumn("node", F.monotonically_increasing_id()), "nodes")
     work = _buckets(unique)
 
     wanted = unique.join(work.select("node").distinct(), "node", "left_semi").select("node", "digest", F.col("least.row").alias("row"))
@@ -302,13 +308,14 @@ def _classes(docs: DataFrame, words: int, threshold: float, bands: int, rows: in
     spread = sets.select("node", "spread")
 
     near = F.lit(True) if weighted else F.least("n", "hub_n") >= F.lit(threshold) * F.greatest("n", "hub_n")
-    pairs = materialise(work.filter(F.col("node") != F.col("hub")).filter(near).select("hub", "node").distinct(), "pairs")
+    many = work.count()
+    pairs = materialise(gathered(work.filter(F.col("node") != F.col("hub")).filter(near).select("hub", "node").distinct(), many), "pairs")
     tested = classes = None
     hubs, turn = HUBS, 0
     read, work, done = [work], work.filter("node <> hub").select("bucket", "salt", "salts", "node", "n"), [pairs]
     while True:
-        if pairs.limit(1).count():
-            fresh = materialise(_verified(pairs, sets, threshold, weighted), "links")
+        if n := pairs.count():
+            fresh = materialise(_verified(pairs, n, sets, threshold, weighted), "links")
             tested = pairs if tested is None else tested.unionByName(pairs)
             if fresh.limit(1).count():
                 classes = _joined_classes(classes, fresh)
@@ -316,22 +323,23 @@ def _classes(docs: DataFrame, words: int, threshold: float, bands: int, rows: in
         if classes is None:
             rest = work.withColumn("class", F.col("node"))
         else:
-            rest = work.join(classes.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
-        open_ = rest.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.first("salts").alias("salts")).filter("low <> high").select("bucket", "salts")
-        rest = materialise(rest.join(_every_salt(open_).select("bucket", "salt"), ["bucket", "salt"], "left_semi"), "buckets")
+            rest = gathered(work.join(classes.select(F.col("id").alias("node"), "component"), "node", "left"), many).withColumn("class", F.coalesce("component", "node")).drop("component")
+        open_ = gathered(rest.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.first("salts").alias("salts")), many).filter("low <> high").select("bucket", "salts")
+        rest = materialise(gathered(rest.join(_every_salt(open_).select("bucket", "salt"), ["bucket", "salt"], "left_semi"), many), "buckets")
         discard(*read)
-        if not rest.limit(1).count():
+        many = rest.count()
+        if not many:
             break
-        chosen = materialise(_hubs(rest, hubs, turn < LARGE_ROUNDS), "hubs")
-        sent = _every_salt(chosen.join(spread.select(F.col("node").alias("hub"), F.col("spread").alias("hub_spread")), "hub")).drop("salts")
-        met = rest.join(spread, "node").join(sent, ["bucket", "salt"]).filter("class <> hub_class")
+        chosen = materialise(_hubs(rest, many, hubs, turn < LARGE_ROUNDS), "hubs")
+        sent = _every_salt(gathered(chosen.join(spread.select(F.col("node").alias("hub"), F.col("spread").alias("hub_spread")), "hub"), many)).drop("salts")
+        met = gathered(rest.join(spread, "node"), many).join(sent, ["bucket", "salt"]).filter("class <> hub_class")
         if not weighted:
             shared = F.aggregate(F.zip_with("spread", "hub_spread", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
             met = met.filter(shared * (1 + threshold) >= (F.col("n") + F.col("hub_n")) * threshold - 1e-9)
         pairs = met.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["hub", "node"], "left_anti")
-        pairs = materialise(pairs, "pairs")
+        pairs = materialise(gathered(pairs, many * hubs), "pairs")
         read, done = [rest, chosen], [*done, pairs]
         work = rest.join(chosen.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "salt", "salts", "node", "n")
         turn += 1

@@ -80,6 +80,18 @@ def materialise(df: DataFrame, name: str, *partition_by: str, **options: str | i
     return out
 
 
+#: Rows for which a small table gets a partition, and partitions that it gets at least.
+PART_ROWS, LEAST_PARTS = 25_000, 12
+
+
+def gathered(df: DataFrame, rows: int, each: int = PART_ROWS) -> DataFrame:
+    """``df`` of about so many rows in as many partitions as they are worth, if it has more; no row moves.
+
+    Small rounds cost what their tasks and files cost, whatever the number of shuffle partitions is.
+    """
+    return df.coalesce(max(LEAST_PARTS, -(-rows // each)))
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Removes what ``materialise`` wrote, where nothing will read it again; other DataFrames and None are passed over."""
     for t in tables:

@@ -2,11 +2,13 @@
 
 import random
 
+from graphquarry.operators import components
 from graphquarry.operators.components import connected_components
 from pyspark.sql import functions as F
 
 from graphquarry.operators.graph import call_hierarchy, derived_inheritance, expand_context, expand_context_each, expand_context_exact, inheritance_hierarchy, neighbours, reach
 from graphquarry.plans import joins
+from graphquarry.plans.storage import LEAST_PARTS, setting
 from graphquarry.sources.store import create_edges, delete_component, delete_owned, merge_edges, upsert_nodes
 
 
@@ -72,6 +74,18 @@ def test_components_agree_with_union_find(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_components_end_with_stars_and_small_rounds_take_few_tasks(spark, monkeypatch):
+    written = []
+    write = components.materialise
+    monkeypatch.setattr(components, "materialise", lambda df, name: written.append(df.rdd.getNumPartitions()) or write(df, name))
+    star = spark.range(1, 300).selectExpr("id as src", "0l as dst")
+    assert connected_components(star).filter("component = 0").count() == 300
+    assert len(written) == 1
+    with setting(spark, "spark.sql.shuffle.partitions", "64"), setting(spark, "spark.sql.adaptive.coalescePartitions.enabled", "false"):
+        chain = spark.range(100).selectExpr("id as src", "id + 1 as dst")
+        assert {r["component"] for r in connected_components(chain, most=100).collect()} == {0}
+        assert len(written) > 2 and set(written[1:]) == {LEAST_PARTS}
+
 def test_neighbours_in_every_direction(spark):
     nodes, edges = graph(spark, [("a", "b", "CALLS"), ("c", "a", "CALLS"), ("a", "zz", "USES")], {"b": "Function"})
     root = nodes.filter("id = 'a'")
