@@ -30,6 +30,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphquarry.llm.batches import batch_bytes
 from graphquarry.llm.bpe import chunks
 from graphquarry.plans.storage import materialise
 
@@ -37,6 +38,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Words a worker keeps encoded; older ones go when twice as many are held.
 KEPT_WORDS = 250_000
+#: Bytes of the batches that workers get.
+BATCH_BYTES = 4 << 20
 #: Pieces that are numbered in one group, about, and bytes where they carry their ids.
 GROUP = 25_000
 GROUP_BYTES = 8 << 20
@@ -230,4 +233,6 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, length_col: str = "length",
 
 def pack_documents(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of every document, each with its place."""
-    return pack(materialise(pieces(docs, path, pattern, capacity, end_id, with_ids, id_col, text_col), "pieces"), capacity, order_cols=("doc_id", "piece", "ids_crc32"))
+    with batch_bytes(docs.sparkSession, BATCH_BYTES):
+        written = materialise(pieces(docs, path, pattern, capacity, end_id, with_ids, id_col, text_col), "pieces")
+    return pack(written, capacity, order_cols=("doc_id", "piece", "ids_crc32"))

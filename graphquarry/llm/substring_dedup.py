@@ -42,11 +42,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphquarry.llm.batches import batch_bytes
 from graphquarry.llm.words import Words
 from graphquarry.plans.storage import discard, materialise
 
 WINDOW = 13
 CHUNK_BYTES = 1 << 20
+#: Bytes of the batches of documents that workers get.
+BATCH_BYTES = 4 << 20
 #: Text bytes a range of chunks; windows a bucket of hash space; bytes of passages an automaton.
 RANGE_BYTES, BUCKET_WINDOWS, SHARD_BYTES = 16 << 20, 1_000_000, 2 << 20
 SERVED = 8
@@ -537,7 +540,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False,
     total = named.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
     dealt = named.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id")
-    chunks = materialise(dealt.mapInArrow(chunker(chunk_bytes), "chunk bigint, ids binary, sizes binary, texts binary").withColumn("part", F.spark_partition_id()), "chunks")
+    with batch_bytes(docs.sparkSession, BATCH_BYTES):
+        chunks = materialise(dealt.mapInArrow(chunker(chunk_bytes), "chunk bigint, ids binary, sizes binary, texts binary").withColumn("part", F.spark_partition_id()), "chunks")
     bits = max(8, int(total / _BYTES_A_WORD / BUCKET_WINDOWS).bit_length())
     sent = chunks.mapInArrow(window_senders(window, bits, mask), "part int, bucket int, chunk bigint, hashes binary")
     asked = _matched(sent, bits, -(-ranges // max(1, group_ranges)))
