@@ -261,11 +261,12 @@ def test_documents_go_to_workers_in_small_batches(spark, monkeypatch):
     import public_tokenizers
 
     from graphquarry.llm import packing, substring_dedup
+    from graphquarry.plans.storage import byte_size
 
     seen = {}
     for module, table in ((packing, "pieces"), (substring_dedup, "chunks")):
         write = module.materialise
-        monkeypatch.setattr(module, "materialise", lambda df, name, write=write: seen.update({name: int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))}) or write(df, name))
+        monkeypatch.setattr(module, "materialise", lambda df, name, write=write: seen.update({name: byte_size(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))}) or write(df, name))
     docs = spark.createDataFrame([(1, "a b c"), (2, "d e f")], "doc_id long, text string")
     assert packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).count() == 2
     assert substring_dedup.substring_dedup(docs).count() == 2
