@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 from graphquarry.extract.csharp import extract_csharp
 from graphquarry.extract.ecma import extract_ecma
 from graphquarry.extract.python import extract_python
-from graphquarry.schema import EDGE, NODE
+from graphquarry.schema import EDGE, NODE, NODE_FIELDS
 
 #: Files that a task turns into rows at once.
 BATCH = 64
@@ -43,19 +43,19 @@ def extract_text(path: str, text: str, language: str, module_system: str = "esm"
 
 
 def is_closed(nodes: list[dict], edges: list[dict]) -> bool:
-    own = {n["id"] for n in nodes}
-    return len(own) == len(nodes) and len({(e["src"], e["dst"], e["type"]) for e in edges}) == len(edges) and all(e["src"] in own and e["dst"] in own for e in edges)
+    own, ends = {n["id"] for n in nodes}, {e["dst"] for e in edges}
+    return len(own) == len(nodes) and len(ends) == len(edges) and all(e["src"] in own for e in edges) and ends <= own
 
 
 def _row_type() -> StructType:
-    return StructType.fromDDL(f"path string, error string, closed boolean, nodes array<struct<{_struct(NODE)}>>, edges array<struct<{_struct(EDGE)}, src_at: int, dst_at: int>>")
+    return StructType.fromDDL(f"path string, error string, closed boolean, nodes array<struct<{_struct(NODE)}, edge_at: int>>, edges array<struct<{_struct(EDGE)}, src_at: int, dst_at: int>>")
 
 
 def extract(files: DataFrame) -> DataFrame:
     """path, error, closed, nodes and edges (arrays of rows) of files (path, content, checksum, language[, module_system]).
 
-    A file is closed if its nodes and edges are each there once and the edges' ends are all among the nodes; its edges
-    then have the places of their ends there, from 1, in place of ids (``extracted_edges`` gives those).
+    A file is closed if its nodes are each there once, with one edge at most that leads to each, and the edges' ends are all among the nodes; its edges
+    then have the places of their ends there, from 1, in place of ids (``extracted_edges`` gives those), and nodes the place of the edge that leads to them.
 
     A file that can't be parsed gets an error and nothing else; it stops no other file.
     """
@@ -74,6 +74,8 @@ def extract(files: DataFrame) -> DataFrame:
                     n["properties"] = list(n["properties"].items())
             if closed := is_closed(nodes, edges):
                 at = {n["id"]: k for k, n in enumerate(nodes, 1)}
+                for k, e in enumerate(edges, 1):
+                    nodes[at[e["dst"]] - 1]["edge_at"] = k
                 edges = [e | {"src": None, "dst": None, "src_at": at[e["src"]], "dst_at": at[e["dst"]]} for e in edges]
             return {"path": path, "closed": closed, "nodes": nodes, "edges": edges}
         except Exception as e:  # any failure is the file's own
@@ -89,7 +91,21 @@ def extract(files: DataFrame) -> DataFrame:
 
 
 def extracted_nodes(extracted: DataFrame) -> DataFrame:
-    return extracted.filter("error is null").select(F.explode("nodes").alias("n")).select("n.*")
+    return extracted.filter("error is null").select(F.explode("nodes").alias("n")).select(*[F.col(f"n.{c}").alias(c) for c in NODE_FIELDS])
+
+
+def placed_nodes(extracted: DataFrame, parent: dict[str, str], *columns: str) -> DataFrame:
+    """``columns`` of the nodes of closed files, with the type of the edge that leads to each (edge) and, by the names that ``parent`` gives them, columns of the node that it leads from.
+
+    A file has all of it, by places: no row leaves its task.
+    """
+
+    def node(n: Column) -> Column:
+        edge = F.element_at("edges", n["edge_at"])
+        above = F.element_at("nodes", edge["src_at"])
+        return F.struct(*[n[c].alias(c) for c in columns], edge["type"].alias("edge"), *[above[c].alias(name) for c, name in parent.items()])
+
+    return extracted.filter("closed").select(F.explode(F.transform("nodes", node)).alias("n")).select("n.*")
 
 
 def extracted_edges(extracted: DataFrame) -> DataFrame:

@@ -45,7 +45,9 @@ def index_files(files: DataFrame, nodes: DataFrame, edges: DataFrame, scanned_pr
     has to do with stays where it is stored. A file's own nodes and edges need no exchange at all where it is closed.
     """
     found = changes_of(files, nodes, scanned_prefix, whole) if found is None else found
-    work = files.join(changing.files_to_process(found).select("path"), "path", "left_semi")
+    # texts are exchanged only if some file is to be left alone
+    left = found.filter(~F.col("status").isin(*changing.TO_PROCESS)).limit(1).count()
+    work = files.join(changing.files_to_process(found).select("path"), "path", "left_semi") if left else files.filter("path is not null")
     out = materialise(extract.extract(work), "extracted")
     done = out.filter("error is null")
     again = done.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count() > 0
@@ -74,10 +76,17 @@ def index_files(files: DataFrame, nodes: DataFrame, edges: DataFrame, scanned_pr
     state = rest.unionByName(fresh)
     state.made_of = (told, fresh)
     some = F.coalesce("properties", F.create_map().cast("map<string,string>")).alias("properties")
-    written = kept.unionByName(extract.extracted_edges(alone)).select("src", "dst", "type", some)
+    former = kept.select("src", "dst", "type", some)
     if mixed:
-        written = written.unionByName(store.merge_edges(store.resolved_edges(state, extract.extracted_edges(others))))
-    links = symbols.with_derived(written, symbols.derived_edges(state, written)) if resolve else written
+        former = former.unionByName(store.merge_edges(store.resolved_edges(state, extract.extracted_edges(others))))
+    written = former.unionByName(extract.extracted_edges(alone).select("src", "dst", "type", some))
+    links = written
+    if resolve and touched is None:
+        # new closed files have all that lookups need of them but names
+        apart = rest.unionByName(store.with_columns_of(nodes, store.latest(extract.extracted_nodes(others)))) if mixed else rest
+        links = symbols.with_derived(written, symbols.derived_edges(apart, former, symbols.placed(alone)))
+    elif resolve:
+        links = symbols.with_derived(written, symbols.derived_edges(state, written))
 
     counted = [changing.change_summary(found).select(F.concat(F.lit("files "), F.lower("status")).alias("metric"), "n")]
     counted.append(extract.failures(out).agg(F.count(F.lit(1)).alias("n")).select(F.lit("files failed").alias("metric"), "n"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STATUSES = ("NEW", "MODIFIED", "UNCHANGED", "DELETED")
+TO_PROCESS = ("NEW", "MODIFIED")
 
 
 def stored_snapshot(files: DataFrame) -> DataFrame:
@@ -27,7 +28,7 @@ def detect_changes(current: DataFrame, stored: DataFrame, scanned_prefix: str =
 
 
 def files_to_process(changes: DataFrame) -> DataFrame:
-    return changes.filter(F.col("status").isin("NEW", "MODIFIED"))
+    return changes.filter(F.col("status").isin(*TO_PROCESS))
 
 
 def deleted_files(changes: DataFrame) -> DataFrame:

@@ -161,21 +161,34 @@ def reach(roots: DataFrame, edges: DataFrame, types: tuple[str, ...], direction:
     return _reach(roots, edges, types, direction, max_depth).withColumns({c: unpacked(c) for c in ("root", "id")})
 
 
-def _reach(roots: DataFrame, edges: DataFrame, types: tuple[str, ...], direction: str, max_depth: int) -> DataFrame:
-    """``reach`` with packed ids. Levels grow with the graph, so they are merged with it and not sent through the driver."""
+def _reach(roots: DataFrame | None, edges: DataFrame, types: tuple[str, ...], direction: str, max_depth: int) -> DataFrame:
+    """``reach`` with packed ids; without ``roots``, of all that have edges. Levels grow with the graph, so they are merged with it and not sent through the driver.
+
+    The first level of all roots is the edges themselves. Levels hold no root of its own, so that roots needn't be joined to be left out.
+    """
     e = edges.filter(F.col("type").isin(*types)).select(packed("src").alias("src"), packed("dst").alias("dst"))
     e = e if direction == "OUT" else e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    e = split(materialise(e, "reach_edges"), "src", F.xxhash64("dst"))
-    start = roots.select(packed("id").alias("id")).distinct()
-    seen = start.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"))
-    frontier = seen
+    steps = materialise(e, "reach_edges")
+    e = split(steps, "src", F.xxhash64("dst"))
+    start = None if roots is None else roots.select(packed("id").alias("id")).distinct()
+    seen = frontier = None
     for depth in range(1, max_depth + 1):
-        step = e.join(frontier.select("root", "id"), "id", "merge").select("root", F.col("dst").alias("id")).distinct()
-        frontier = materialise(step.join(seen.hint("merge"), ["root", "id"], "left_anti").withColumn("depth", F.lit(depth)), "reach")
-        if not frontier.limit(1).count():
+        if frontier is None:
+            step = steps.select(F.col("src").alias("root"), F.col("dst").alias("id")) if start is None else e.join(start.select(F.col("id").alias("root"), "id"), "id", "merge").select("root", F.col("dst").alias("id"))
+        else:
+            step = e.join(frontier.select("root", "id"), "id", "merge").select("root", F.col("dst").alias("id"))
+        step = step.filter("root <> id").distinct()
+        if seen is not None:
+            # what is new is looked for only if there is any, as else all that was seen would be exchanged for nothing
+            step = materialise(step, "reach_step")
+            if not step.limit(1).count():
+                break
+            step = step.join(seen.hint("merge"), ["root", "id"], "left_anti")
+        frontier = materialise(step.withColumn("depth", F.lit(depth)), "reach")
+        if seen is not None and not frontier.limit(1).count():
             break
-        seen = seen.unionByName(frontier)
-    return seen.filter("depth > 0")
+        seen = frontier if seen is None else seen.unionByName(frontier)
+    return seen if seen is not None else steps.select(F.col("src").alias("root"), F.col("dst").alias("id"), F.lit(0).alias("depth")).limit(0)
 
 
 def hierarchy(roots: DataFrame, nodes: DataFrame, edges: DataFrame, types: tuple[str, ...], direction: str, max_depth: int, limit: int | None = None) -> DataFrame:
@@ -188,6 +201,23 @@ def hierarchy(roots: DataFrame, nodes: DataFrame, edges: DataFrame, types: tuple
     return found.select(unpacked("root").alias("root"), "direction", unpacked("id").alias("id"), "label", "name", "full_name", "depth")
 
 
+def hierarchies(nodes: DataFrame, edges: DataFrame, types: tuple[str, ...], max_depth: int, limit: int | None = None) -> DataFrame:
+    """``hierarchy`` of all ``nodes`` in both directions, with the full name of each root as root_name.
+
+    What reaches a node lies as far from it as it lies from that: so one walk along the edges gives both directions,
+    and each pair meets the names of its two ends once.
+    """
+    ends = nodes.select(packed("id").alias("id"), "label", "name", "full_name")
+    at = lambda p: ends.select(F.col("id").alias(p), F.struct("label", "name", "full_name").alias(f"{p}_end")).hint("merge")
+    pairs = _reach(None, edges, types, "OUT", max_depth).select(F.col("root").alias("a"), F.col("id").alias("b"), "depth").join(at("a"), "a").join(at("b"), "b")
+    side = lambda d, x, y: F.struct(F.lit(d).alias("direction"), F.col(x).alias("root"), F.col(f"{x}_end.full_name").alias("root_name"), F.col(y).alias("id"), *[F.col(f"{y}_end.{c}").alias(c) for c in ("label", "name", "full_name")])
+    found = pairs.select("depth", F.explode(F.array(side("OUT", "a", "b"), side("IN", "b", "a"))).alias("s")).select("s.*", "depth")
+    if limit:
+        order = Window.partitionBy("root", "direction").orderBy(F.asc_nulls_last("name"), "id")
+        found = found.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit).drop("_n")
+    return found.select(unpacked("root").alias("root"), "root_name", "direction", unpacked("id").alias("id"), "label", "name", "full_name", "depth")
+
+
 def call_hierarchy(roots: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int = 3, direction: str = "BOTH", limit: int | None = 20) -> DataFrame:
     """Callers (IN) and callees (OUT)."""
     sides = ("IN", "OUT") if direction == "BOTH" else (direction,)

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphquarry.extract import placed_nodes
 from graphquarry.plans.storage import discard, materialise
 from graphquarry.schema import EDGE, packed, unpacked
 from graphquarry.sources.store import merge_edges
@@ -50,6 +51,18 @@ def _in_csharp(path: Column) -> Column:
 _TYPES = ("EXTENDS", "IMPLEMENTS", "CALLS", "INSTANTIATES")
 
 
+#: What lookups read of nodes.
+_READ = ("id", "label", "name", "full_name", "path", "properties", "base_classes", "interfaces", "base_interfaces", "module", "alias", "imported_names", "is_wildcard")
+_CODE = ("Class", "Interface", "Function", "Method")
+
+
+def placed(extracted: DataFrame) -> DataFrame:
+    """The nodes of closed files with their owner, owner_name and owner_full, as ``owners`` has them, by places instead of joins."""
+    rows = placed_nodes(extracted, {"id": "owner", "label": "owner_label", "name": "owner_name", "full_name": "owner_full"}, *_READ)
+    held = (F.col("edge") == "DEFINES") & F.col("owner_label").isin("Class", "Interface")
+    return rows.select(*_READ, F.when(held, packed("owner")).alias("owner"), *[F.when(held, F.col(c)).alias(c) for c in ("owner_name", "owner_full")])
+
+
 def owners(nodes: DataFrame, edges: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, owner, owner_name, owner_full), ids packed, of those of the ``wanted`` (id, packed) that are methods whose type is known."""
     types = nodes.filter(F.col("label").isin("Class", "Interface")).select(packed("id").alias("owner"), F.col("name").alias("owner_name"), F.col("full_name").alias("owner_full"))
@@ -64,35 +77,49 @@ def _spot(scope: Column, name: Column) -> Column:
 
 def named(nodes: DataFrame, asked: DataFrame) -> DataFrame:
     """(id, packed, label, name, full_name, path) of the symbols whose last name is among ``asked`` (key)."""
-    found = nodes.filter(F.col("label").isin("Class", "Interface", "Function", "Method")).select(packed("id").alias("id"), "label", "name", "full_name", "path", _last(F.col("name")).alias("key"))
+    found = nodes.filter(F.col("label").isin(*_CODE)).select(packed("id").alias("id"), "label", "name", "full_name", "path", _last(F.col("name")).alias("key"))
     return found.join(asked, "key", "left_semi").drop("key")
 
 
-def symbol_table(found: DataFrame, held: DataFrame) -> DataFrame:
-    """(spot) of a scope and a name with the least id of a function or method, of a class and of an interface that is visible there by that name, of what was ``named``."""
-    found = found.join(held, "id", "left").filter("label <> 'Method' or owner is not null")
+def entries(found: DataFrame) -> DataFrame:
+    """(id, label, key, spots): of symbols with their owners, where each is visible by which names, as digests; the key is its last name."""
+    found = found.filter("label <> 'Method' or owner is not null")
     space = _before(_plain(F.coalesce("owner_full", "full_name")))
     name = F.when(F.col("owner").isNotNull(), F.concat_ws(".", "owner_name", "name")).otherwise(F.col("name"))
     entry = lambda scope, name: F.struct(scope.alias("scope"), name.alias("name"))
-    entries = F.array(
+    each = F.array(
         entry(F.concat(F.lit("file:"), "path"), name),
         F.when(F.col("owner").isNotNull(), entry(F.concat(F.lit("type:"), F.hex("owner")), F.col("name"))),
         F.when(_in_csharp(F.col("path")), entry(F.concat(F.lit("space:"), space), name)),
     )
-    rows = found.select("id", "label", F.explode(F.array_compact(entries)).alias("e")).select("id", "label", _spot(F.col("e.scope"), F.col("e.name")).alias("spot"))
+    return found.select("id", "label", _last(F.col("name")).alias("key"), F.transform(F.array_compact(each), lambda e: _spot(e["scope"], e["name"])).alias("spots"))
+
+
+def symbol_table(visible: DataFrame) -> DataFrame:
+    """(spot) of a scope and a name with the least id of a function or method, of a class and of an interface that is visible there by that name, of such ``entries``."""
+    rows = visible.select("id", "label", F.explode("spots").alias("spot"))
     of = lambda *labels: F.min(F.when(F.col("label").isin(*labels), F.col("id")))
     return rows.filter("spot is not null").groupBy("spot").agg(of("Function", "Method").alias("code"), of("Class").alias("class"), of("Interface").alias("interface"))
 
 
+#: What references have of the type that owns their source, and whether they had it by places.
+_OWNED = ("owner", "owner_full", "placed")
+
+
 def references(nodes: DataFrame) -> DataFrame:
-    """(src, path, label, full_name, kind, name): bases of types, and the calls and creations of functions and methods."""
+    """Bases of types, and the calls and creations of functions and methods: (of, nth, src, path, label, full_name, kind, name) and what else ``nodes`` have of _OWNED.
+
+    Those of one source have its number (of) and their own from 0 (nth).
+    """
     base = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.struct(F.lit("base").alias("kind"), _plain(x).alias("name")))
     said = lambda key, kind: F.transform(F.split(F.coalesce(F.col("properties")[key], F.lit("")), ","), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
     bases = F.concat(base("base_classes"), base("interfaces"), base("base_interfaces"))
     uses = F.concat(said("calls", "call"), said("creates", "new"))
     every = F.when(F.col("label").isin("Class", "Interface"), bases).when(F.col("label").isin("Function", "Method"), uses)
-    rows = nodes.select(F.col("id").alias("src"), "path", "label", "full_name", F.explode(F.array_distinct(every)).alias("r")).select("src", "path", "label", "full_name", "r.*")
-    return rows.filter("name <> '' and name not like '?%'")
+    known = F.filter(F.array_distinct(every), lambda r: (r["name"] != "") & ~r["name"].startswith("?"))
+    own = ["of", "src", "path", "label", "full_name", *[c for c in _OWNED if c in nodes.columns]]
+    rows = nodes.filter(F.col("label").isin(*_CODE)).withColumn("of", F.monotonically_increasing_id()).withColumnRenamed("id", "src")
+    return rows.select(*own, F.posexplode(known).alias("nth", "r")).select(*own, "nth", "r.*")
 
 
 def _normal(path: Column) -> Column:
@@ -137,9 +164,8 @@ def imported_files(nodes: DataFrame) -> DataFrame:
     return met.select("path", listed.alias("listed"), star.alias("star"), known.alias("alias"), "target").distinct()
 
 
-def candidates(refs: DataFrame, nodes: DataFrame, held: DataFrame) -> DataFrame:
-    """(ref, label, kind, rank, near, spot): where each reference may be found, and by which name."""
-    refs = refs.withColumn("src", packed("src")).join(held.select(F.col("id").alias("src"), "owner", "owner_full"), "src", "left").drop("src")
+def candidates(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(of, nth, label, kind, rank, near, spot): where each reference, with its owner, may be found, and by which name."""
     cs = _in_csharp(F.col("path"))
     before, last = _before(F.col("name")), _last(F.col("name"))
     own = F.col("owner").isNotNull() & (F.col("kind") == "call") & (before.isin(*_OWN) | (cs & (before == "")))
@@ -159,7 +185,7 @@ def candidates(refs: DataFrame, nodes: DataFrame, held: DataFrame) -> DataFrame:
         F.when(~before.isin(*_OWN), F.array(spot(FILE, zero, F.concat(F.lit("file:"), "path"), short))).otherwise(none),
         F.when(cs & ~before.isin(*_OWN), F.transform(around, lambda outer, n: spot(AROUND, n, spaced(outer), short))).otherwise(none),
     )
-    own_columns = ["ref", "label", "kind"]
+    own_columns = ["of", "nth", "label", "kind"]
     direct = refs.select(*own_columns, F.explode(spots).alias("s")).select(*own_columns, "s.*")
 
     used = nodes.filter((F.col("label") == "Import") & _in_csharp(F.col("path")) & F.col("alias").isNull()).select("path", F.col("module").alias("_outer")).distinct()
@@ -187,28 +213,46 @@ def _looked_up(asked: DataFrame, table: DataFrame) -> DataFrame:
     return often.unionByName(asked.join(hot, "spot", "left_anti").join(table.hint("merge"), "spot").select(*often.columns))
 
 
-def derived_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def derived_edges(nodes: DataFrame, edges: DataFrame, by_place: DataFrame | None = None) -> DataFrame:
     """EXTENDS, IMPLEMENTS, CALLS and INSTANTIATES edges (src, dst, type, properties) of all references that can be resolved.
 
     Of the symbols only those take part whose last name some reference has. References go by numbers, scopes with names by digests.
+    ``by_place`` are nodes of more files, which have their owners already (``placed``); ``nodes`` and ``edges`` are then those of the others.
     """
-    refs = materialise(references(nodes).withColumn("ref", F.monotonically_increasing_id()), "references")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("owner", "binary"), ("owner_name", "string"), ("owner_full", "string"))]
+    every, others = nodes.select(*_READ, *none, F.lit(False).alias("placed")), True
+    if by_place is not None:
+        others = nodes.limit(1).count() > 0
+        more = by_place.withColumn("placed", F.lit(True))
+        every = every.unionByName(more) if others else more
+    refs = materialise(references(every), "references")
     keys = materialise(refs.select(_last(F.col("name")).alias("key")).distinct(), "asked_names")
-    found = materialise(named(nodes, keys), "named")
-    if not found.limit(1).count():
-        discard(refs, keys, found)
+    # not a semi join, which would be done before digests are made of the names
+    visible = None if by_place is None else entries(by_place.filter(F.col("label").isin(*_CODE)).withColumn("id", packed("id"))).join(keys, "key").drop("key")
+    told, found, held = refs, None, None
+    if others:
+        found = materialise(named(nodes, keys), "named")
+        own = refs.filter("not placed").drop("owner", "owner_full")
+        wanted = found.select("id").unionByName(own.select(packed("src").alias("id"))).distinct()
+        held = materialise(owners(nodes, edges, wanted), "owners")
+        rest = entries(found.join(held, "id", "left")).drop("key")
+        visible = rest if visible is None else visible.unionByName(rest)
+        by_source = own.withColumn("_id", packed("src")).join(held.select(F.col("id").alias("_id"), "owner", "owner_full"), "_id", "left").select(*refs.columns)
+        told = by_source if by_place is None else refs.filter("placed").unionByName(by_source)
+    table = materialise(symbol_table(visible), "symbols")
+    if not table.limit(1).count():
+        discard(refs, keys, found, held, table)
         return edges.sparkSession.createDataFrame([], EDGE)
-    wanted = found.select("id").unionByName(refs.select(packed("src").alias("id"))).distinct()
-    held = materialise(owners(nodes, edges, wanted), "owners")
-    table = materialise(symbol_table(found, held), "symbols")
-    asked = materialise(candidates(refs, nodes, held), "candidates")
+    asked = materialise(candidates(told, every), "candidates")
     met = _looked_up(asked, table)
     target = F.when(F.col("kind") == "new", F.col("class")).when(F.col("kind") == "call", F.coalesce("code", "class")).when(F.col("label") == "Class", F.coalesce("class", "interface")).otherwise(F.col("interface"))
     kind = F.when(F.col("kind") == "new", "INSTANTIATES").when(F.col("kind") == "call", F.when(F.col("code").isNotNull(), "CALLS").otherwise("INSTANTIATES"))
     kind = F.coalesce(kind, F.when((F.col("label") == "Class") & F.col("class").isNull(), "IMPLEMENTS").otherwise("EXTENDS"))
-    rows = met.select("ref", "rank", "near", target.alias("dst"), kind.alias("type")).filter("dst is not null").join(refs.select("ref", packed("src").alias("src")), "ref")
-    nearest = rows.filter("dst <> src or type = 'CALLS'").groupBy("ref", "src").agg(F.min(F.struct("rank", "near", "dst", "type")).alias("b"))
-    made = nearest.select("src", "b.dst", "b.type").distinct()
+    # by sources, whose references' edges are told apart where they have met
+    sources = refs.filter("nth = 0").select("of", packed("src").alias("src"))
+    rows = met.select("of", "nth", "rank", "near", target.alias("dst"), kind.alias("type")).filter("dst is not null").join(sources, "of")
+    nearest = rows.filter("dst <> src or type = 'CALLS'").groupBy("of", "nth", "src").agg(F.min(F.struct("rank", "near", "dst", "type")).alias("b"))
+    made = nearest.select("of", "src", "b.dst", "b.type").distinct()
     return made.select(unpacked("src").alias("src"), unpacked("dst").alias("dst"), "type", F.create_map(*[F.lit(x) for kv in DERIVED.items() for x in kv]).alias("properties"))
 
 

@@ -6,7 +6,7 @@ from graphquarry.operators import components
 from graphquarry.operators.components import connected_components
 from pyspark.sql import functions as F
 
-from graphquarry.operators.graph import call_hierarchy, derived_inheritance, expand_context, expand_context_each, expand_context_exact, inheritance_hierarchy, neighbours, reach
+from graphquarry.operators.graph import call_hierarchy, derived_inheritance, expand_context, expand_context_each, expand_context_exact, hierarchies, inheritance_hierarchy, neighbours, reach
 from graphquarry.plans import joins
 from graphquarry.plans.storage import LEAST_PARTS, setting
 from graphquarry.sources.store import create_edges, delete_component, delete_owned, merge_edges, upsert_nodes
@@ -164,3 +164,15 @@ def test_a_hub_is_dealt_over_several_tasks(spark, monkeypatch):
     root = nodes.filter("id = 'hub'").select("id")
     assert reach(root, edges, ("CALLS",), "IN", 2).count() == 1500
     assert [r[0] for r in rows(call_hierarchy(root, nodes, edges, 1, "IN"), "id")] == [f"c{i:04d}" for i in range(20)]
+
+
+def test_hierarchies_of_all_nodes(spark):
+    g = random.Random(5)
+    pairs = [(f"n{g.randrange(30)}", f"n{g.randrange(30)}", g.choice(["CALLS", "EXTENDS", "IMPLEMENTS"])) for _ in range(70)] + [("n1", "n1", "EXTENDS"), ("n1", "lost", "EXTENDS"), ("lost", "n2", "EXTENDS")]
+    nodes, edges = graph(spark, pairs)
+    nodes = nodes.filter("id <> 'lost'")
+    names = ("root", "direction", "id", "label", "full_name", "depth")
+    every = hierarchies(nodes, edges, ("EXTENDS", "IMPLEMENTS"), 5)
+    assert rows(every, *names) == rows(inheritance_hierarchy(nodes.select("id"), nodes, edges), *names) and every.filter("root_name <> concat('p::', root)").count() == 0
+    assert rows(hierarchies(nodes, edges, ("CALLS",), 3, 2), *names) == rows(call_hierarchy(nodes.select("id"), nodes, edges, 3, limit=2), *names)
+    assert hierarchies(nodes, edges, ("USES",), 3).count() == 0

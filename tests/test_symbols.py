@@ -125,3 +125,21 @@ def test_what_functions_call():
     assert said("def f():\n    a.b.c(d())[0].e()\n    def g(): h()\n    return lambda: k()\n", "python") == {"f": {"decorators": "", "calls": "?.e,a.b.c,d,k"}, "g": {"decorators": "", "calls": "h"}}
     assert said("function f() { if (a) b.c(d(), new E.F(1)); g`x`; function h() { i?.(); return new K } }", "javascript") == {"f": {"calls": "b.c,d", "creates": "E.F"}, "h": {"calls": "i", "creates": "K"}}
     assert said("class A { void M() { if (x) { B<int>(); new C { X = 1 }; this.D(); E.F(); int G() { return H(); } } } }", "csharp") == {"M": {"calls": "B,this.D,E.F,H", "creates": "C"}}
+
+
+def test_owners_by_place_are_those_of_joins(spark):
+    from graphquarry.plans import storage
+
+    known = storage._WRITTEN.setdefault(spark.sparkContext.applicationId, set())
+    before = set(known)
+    result = indexing.index_files(files(spark, FILES), *indexing.empty(spark))
+    # new files have the owners of their methods by themselves: nothing is joined for them
+    assert not {p.rpartition("/")[2].rpartition("-")[0] for p in known - before} & {"owners", "named"}
+    found = {(r["src"], r["dst"], r["type"]) for r in result.edges.filter("properties['derived'] = 'true'").collect()}
+    joined = symbols.derived_edges(result.nodes, symbols.without_derived(result.edges))
+    assert found == {(r["src"], r["dst"], r["type"]) for r in joined.collect()} and len(found) == len(WANT) + 1
+    # files of a graph that exists and new ones: both kinds in one lookup
+    some = dict(list(FILES.items())[:6])
+    half = indexing.index_files(files(spark, some), *indexing.empty(spark))
+    whole = indexing.index_files(files(spark, FILES), half.nodes, half.edges)
+    assert found == {(r["src"], r["dst"], r["type"]) for r in whole.edges.filter("properties['derived'] = 'true'").collect()}

@@ -110,3 +110,11 @@ def test_levels_read_written_nodes(spark):
     assert "BroadcastHashJoin" not in plan
     done, tables = written(spark, lambda: enrich.summarise_levels(nodes, spark.createDataFrame([("1", "0", "DEFINES", None)], EDGE)))
     assert done.filter("generated_summary is not null").count() == 30 and "summary_nodes" not in tables
+
+
+def test_new_files_are_not_exchanged(spark):
+    """Texts of files meet the list of changes only where some file is left alone."""
+    assert not extract.is_closed([{"id": "a"}, {"id": "b"}], [{"src": "a", "dst": "b", "type": t} for t in ("CONTAINS", "DEFINES")])
+    out = extract.extract(files(spark, range(3)))
+    names = {(r["full_name"], r["edge"], r["above"]) for r in extract.placed_nodes(out, {"full_name": "above"}, "full_name").filter("full_name like 'p1%'").collect()}
+    assert names == {("p1.py", None, None), ("p1.py::C1", "CONTAINS", "p1.py"), ("p1.py::C1::m", "DEFINES", "p1.py::C1"), ("p1.py::C1::m::self", "DECLARES", "p1.py::C1::m"), ("p1.py::C1::m::x", "DECLARES", "p1.py::C1::m")}
