@@ -10,6 +10,7 @@ from graphquarry import extract
 from graphquarry import index as indexing
 from graphquarry.operators import enrich, name_index, vector
 from graphquarry.plans import catalogue, storage
+from graphquarry.plans.views import view
 from graphquarry.schema import EDGE, packed, unpacked
 from graphquarry.sources import store
 
@@ -128,3 +129,10 @@ def test_parents_of_closed_files_need_no_join(spark):
     facts = lambda df: sorted((r["full_name"], r["edge"] or "", r["parent"] or "") for r in df.collect())
     assert facts(catalogue._with_parents(part)) == facts(catalogue._with_parents(out)) and len(facts(catalogue._with_parents(out))) == 20
     assert "Join" in catalogue._with_parents(part)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nodes_are_merged_with_tables_that_grow(spark):
+    nodes = view(spark, "/root/testdata/sf0.001", "nodes")
+    for df in (nodes, nodes.select("id", "label"), catalogue.QUERIES["enrichment_totals"](spark, "/root/testdata/sf0.001")):
+        df.collect()
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
