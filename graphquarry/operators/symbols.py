@@ -227,11 +227,17 @@ def derived_edges(nodes: DataFrame, edges: DataFrame, by_place: DataFrame | None
         every = every.unionByName(more) if others else more
     refs = materialise(references(every), "references")
     keys = materialise(refs.select(_last(F.col("name")).alias("key")).distinct(), "asked_names")
+    if not keys.limit(1).count():
+        discard(refs, keys)
+        return edges.sparkSession.createDataFrame([], EDGE)
     # not a semi join, which would be done before digests are made of the names
     visible = None if by_place is None else entries(by_place.filter(F.col("label").isin(*_CODE)).withColumn("id", packed("id"))).join(keys, "key").drop("key")
     told, found, held = refs, None, None
     if others:
         found = materialise(named(nodes, keys), "named")
+        if by_place is None and not found.limit(1).count():
+            discard(refs, keys, found)
+            return edges.sparkSession.createDataFrame([], EDGE)
         own = refs.filter("not placed").drop("owner", "owner_full")
         wanted = found.select("id").unionByName(own.select(packed("src").alias("id"))).distinct()
         held = materialise(owners(nodes, edges, wanted), "owners")
